@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["wordloom.plans.q_text"]
+MODULES = ["wordloom.plans.q_text", "wordloom.plans.q_labels"]
 
 
 def queries() -> dict:
