@@ -18,6 +18,15 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(expr, fn) -> Column:
+    """Evaluate ``expr`` once per row and pass it to ``fn`` as a lambda variable.
+
+    Inside a higher-order-function lambda every non-variable subexpression is
+    re-evaluated for each element; binding it first keeps per-row work linear.
+    """
+    return F.get(F.transform(F.array(_c(expr)), fn), 0)
+
+
 def ascii_only(c) -> Column:
     """CLN-1: null -> '' and drop every non-ASCII character."""
     return F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"[^\x00-\x7F]", "")

@@ -70,8 +70,8 @@ def backfill_labels(pairs: Column, mode: str = "next") -> Column:
     n = F.size(pairs)
     if mode == "last":
         last = F.get(F.reverse(F.filter(pairs, lambda p: p["label"] != "")), 0)["label"]
-        return F.transform(pairs, lambda p: p.withField(
-            "label", F.when(p["label"] != "", p["label"]).otherwise(last)))
+        return T.let(last, lambda lst: F.transform(pairs, lambda p: p.withField(
+            "label", F.when(p["label"] != "", p["label"]).otherwise(lst))))
     if mode != "next":
         raise ValueError("mode must be 'next' or 'last'")
     return F.transform(pairs, lambda p, i: p.withField(
@@ -145,11 +145,11 @@ def group_tags(tokens, labels) -> Column:
     """
     tk, lb = T._c(tokens), T._c(labels)
     z = F.arrays_zip(tk.alias("t"), lb.alias("l"))
-    return F.transform(F.array_distinct(lb), lambda l: F.struct(
+    return T.let(z, lambda zz: F.transform(F.array_distinct(lb), lambda l: F.struct(
         l.alias("label"),
         (F.array_position(lb, l) - 1).cast("int").alias("first_pos"),
-        F.regexp_replace(F.array_join(F.transform(F.filter(z, lambda e: e["l"] == l), lambda e: e["t"]), " "),
-                         r"^[ ,;]+|[ ,;]+$", "").alias("text")))
+        F.regexp_replace(F.array_join(F.transform(F.filter(zz, lambda e: e["l"] == l), lambda e: e["t"]), " "),
+                         r"^[ ,;]+|[ ,;]+$", "").alias("text"))))
 
 
 def merge_object_runs(tokens, labels, run_label: str = "object") -> Column:
@@ -161,10 +161,10 @@ def merge_object_runs(tokens, labels, run_label: str = "object") -> Column:
     n = F.size(tk)
     starts = F.filter(_seq0(n), lambda i: ~((i > 0) & (F.get(lb, i) == run_label)
                                            & (F.get(lb, i - 1) == run_label)))
-    return F.transform(starts, lambda s, k: F.struct(
+    return T.let(starts, lambda st: F.transform(st, lambda s, k: F.struct(
         F.get(lb, s).alias("label"),
-        F.array_join(F.slice(tk, s + 1, F.coalesce(F.get(starts, k + 1), n) - s), " ").alias("term"),
-        s.alias("pos")))
+        F.array_join(F.slice(tk, s + 1, F.coalesce(F.get(st, k + 1), n) - s), " ").alias("term"),
+        s.alias("pos"))))
 
 
 def label_runs(tokens, labels, fixes=fixed.PREDICTED_LABEL_FIXES) -> Column:
@@ -177,9 +177,9 @@ def second_objects(runs) -> Column:
     """WIN-3: the first object run keeps ``object``; later ones become ``object2``."""
     runs = T._c(runs)
     first_obj = F.get(F.filter(runs, lambda r: r["label"] == "object"), 0)["pos"]
-    return F.transform(runs, lambda r: r.withField(
-        "label", F.when((r["label"] == "object") & (r["pos"] > first_obj), F.lit(fixed.OBJECT2))
-                  .otherwise(r["label"])))
+    return T.let(first_obj, lambda fo: F.transform(runs, lambda r: r.withField(
+        "label", F.when((r["label"] == "object") & (r["pos"] > fo), F.lit(fixed.OBJECT2))
+                  .otherwise(r["label"]))))
 
 
 def with_label_columns(df: DataFrame, tokens: str = "tokens", labels: str = "labels",

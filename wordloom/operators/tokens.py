@@ -39,18 +39,19 @@ def ngram_spans(words, max_n: int = fixed.MAX_NGRAM) -> Column:
     Returns ``array<struct<n int, start int, gram string>>``.  A text with
     fewer than n words contributes nothing for that n.
     """
-    w = F.col(words) if isinstance(words, str) else words
-    size = F.size(w)
+    def spans(w):
+        size = F.size(w)
+
+        def per_n(n):
+            starts = F.when(size >= n, F.sequence(F.lit(0), size - n)) \
+                      .otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.struct(
+                n.cast("int").alias("n"), i.cast("int").alias("start"),
+                F.array_join(F.slice(w, i + 1, n), " ").alias("gram")))
 
-    def per_n(n):
-        starts = F.when(size >= n, F.sequence(F.lit(0), size - n)) \
-                  .otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(
-            n.cast("int").alias("n"), i.cast("int").alias("start"),
-            F.array_join(F.slice(w, i + 1, n), " ").alias("gram")))
+        return F.flatten(F.transform(F.sequence(F.lit(max_n), F.lit(1), F.lit(-1)), per_n))
 
-    levels = F.sequence(F.lit(max_n), F.lit(1), F.lit(-1))
-    return F.flatten(F.transform(levels, per_n))
+    return T.let(words, spans)
 
 
 def explode_ngrams(df: DataFrame, id_cols, words_col: str, max_n: int = fixed.MAX_NGRAM) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["wordloom.plans.q_text", "wordloom.plans.q_labels"]
+MODULES = ["wordloom.plans.q_text", "wordloom.plans.q_labels", "wordloom.plans.q_vectors"]
 
 
 def queries() -> dict:
