@@ -12,6 +12,7 @@ import time
 sys.path.insert(0, __file__.rsplit("/tools/", 1)[0])
 
 import duckdb  # noqa: E402
+import pandas as pd  # noqa: E402
 
 from wordloom.plans.common import TABLES  # noqa: E402
 from wordloom.plans.registry import oracle_sql, queries  # noqa: E402
@@ -19,7 +20,7 @@ from wordloom.session import build_session  # noqa: E402
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):

@@ -9,3 +9,20 @@ Packages:
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Serialise this package's functions by value inside UDFs.
+
+    Python workers then need no installed copy of the package: the code of
+    every UDF helper travels with the task, on a cluster as in local mode.
+    """
+    import sys
+    try:
+        from pyspark import cloudpickle
+    except ImportError:  # pragma: no cover - pyspark always ships it
+        return
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()

@@ -27,6 +27,14 @@ def let(expr, fn) -> Column:
     return F.get(F.transform(F.array(_c(expr)), fn), 0)
 
 
+def nstruct(**fields) -> Column:
+    """``named_struct`` from keyword arguments (no aliases, safe inside any lambda)."""
+    args = []
+    for k, v in fields.items():
+        args += [F.lit(k.replace("__", ".")), v]
+    return F.named_struct(*args)
+
+
 def ascii_only(c) -> Column:
     """CLN-1: null -> '' and drop every non-ASCII character."""
     return F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"[^\x00-\x7F]", "")

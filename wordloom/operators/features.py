@@ -97,18 +97,18 @@ def with_pos(df: DataFrame, token_col: str, lexicon: DataFrame | None, default_t
 def token_record(t, nouns=None, verbs=None, tag=None) -> Column:
     """FEA-10: one token's feature struct (POS fields from columns when given)."""
     t = T._c(t)
-    return F.struct(
-        (nouns if nouns is not None else F.lit(0)).cast("int").alias("nouns_count"),
-        (verbs if verbs is not None else F.lit(0)).cast("int").alias("verbs_count"),
-        (tag if tag is not None else F.lit("")).alias("nltk_tag"),
-        is_location(t).alias("is_location"),
-        is_object(t).alias("is_object"),
-        S.token_length(t).cast("int").alias("length"),
-        S.has_vowels(t).alias("has_vowels"),
-        S.has_period(t).alias("period"),
-        S.ends_with_comma(t).alias("comma"),
-        is_preposition(t).alias("prepositions"),
-        S.possessive(t).alias("possessive"),
+    return T.nstruct(
+        nouns_count=(nouns if nouns is not None else F.lit(0)).cast("int"),
+        verbs_count=(verbs if verbs is not None else F.lit(0)).cast("int"),
+        nltk_tag=(tag if tag is not None else F.lit("")),
+        is_location=is_location(t),
+        is_object=is_object(t),
+        length=S.token_length(t).cast("int"),
+        has_vowels=S.has_vowels(t),
+        period=S.has_period(t),
+        comma=S.ends_with_comma(t),
+        prepositions=is_preposition(t),
+        possessive=S.possessive(t),
     )
 
 
@@ -125,25 +125,23 @@ def sequence_features(tokens, pos_map=None) -> Column:
     n = F.size(tk)
 
     def base(x, i):
-        pos = F.element_at(pos_map, x) if pos_map is not None else None
+        pos = F.try_element_at(pos_map, x) if pos_map is not None else None
         rec = token_record(x,
                            pos["nouns_count"] if pos is not None else None,
                            pos["verbs_count"] if pos is not None else None,
                            F.coalesce(pos["nltk_tag"], F.lit("")) if pos is not None else None)
-        return F.struct(rec.alias("f"),
-                        ((i == 0) & (n > 1)).alias("rawstring_start"),
-                        ((i == n - 1) & (n > 1)).alias("rawstring_end"))
+        return T.nstruct(f=rec, rawstring_start=(i == 0) & (n > 1), rawstring_end=(i == n - 1) & (n > 1))
 
     recs = F.transform(tk, base)
-    return F.transform(recs, lambda r, i: F.struct(
-        F.get(tk, i).alias("token"),
-        r["f"].alias("feat"),
-        r["rawstring_start"].alias("rawstring_start"),
-        r["rawstring_end"].alias("rawstring_end"),
-        (n == 1).alias("singleton"),
-        F.get(recs, i - 1).alias("previous"),
-        F.get(recs, i + 1).alias("next"),
-    ))
+    return T.let(recs, lambda rs: F.transform(rs, lambda r, i: T.nstruct(
+        token=F.get(tk, i),
+        feat=r["f"],
+        rawstring_start=r["rawstring_start"],
+        rawstring_end=r["rawstring_end"],
+        singleton=F.size(rs) == 1,
+        previous=F.get(rs, i - 1),
+        next=F.get(rs, i + 1),
+    )))
 
 
 def explode_features(df: DataFrame, id_cols, feats_col: str = "features") -> DataFrame:

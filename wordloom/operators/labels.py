@@ -184,20 +184,23 @@ def second_objects(runs) -> Column:
 
 def with_label_columns(df: DataFrame, tokens: str = "tokens", labels: str = "labels",
                        columns: list[str] = fixed.LABELS, keep=None,
-                       fixes=fixed.PREDICTED_LABEL_FIXES) -> DataFrame:
+                       fixes=fixed.PREDICTED_LABEL_FIXES, clash_prefix: str = "ent_") -> DataFrame:
     """RSH-1 (with WIN-2, WIN-3): one string column per label plus ``object2``.
 
     Object runs are merged first; the first object run fills ``object``,
     later ones fill ``object2``.  Several terms of one label join with a
     blank; labels outside ``columns`` are dropped; absent labels give ''.
-    The run array is staged as its own column, computed once per row.
+    The run array is staged as its own column, computed once per row.  A
+    label column whose name is already taken by a kept column (the work
+    order's own ``description``) gets ``clash_prefix``.
     """
     keep = [c for c in df.columns if c not in (tokens, labels)] if keep is None else list(keep)
+    names = {c: (clash_prefix + c if c in keep else c) for c in list(columns) + [fixed.OBJECT2]}
     staged = df.select(*keep, label_runs(tokens, labels, fixes).alias("_runs")) \
                .withColumn("_runs", second_objects("_runs"))
     def terms_of(c):
         return F.array_join(F.transform(F.filter("_runs", lambda r: r["label"] == c), lambda r: r["term"]), " ")
-    cols = [terms_of(c).alias(c) for c in list(columns) + [fixed.OBJECT2]]
+    cols = [terms_of(c).alias(names[c]) for c in list(columns) + [fixed.OBJECT2]]
     return staged.select(*keep, *cols)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["wordloom.plans.q_text", "wordloom.plans.q_labels", "wordloom.plans.q_vectors",
-           "wordloom.plans.q_cluster", "wordloom.plans.q_clean"]
+           "wordloom.plans.q_cluster", "wordloom.plans.q_clean",
+           "wordloom.plans.q_sequence"]
 
 
 def queries() -> dict:
