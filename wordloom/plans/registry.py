@@ -6,7 +6,7 @@ import importlib
 
 MODULES = ["wordloom.plans.q_text", "wordloom.plans.q_labels", "wordloom.plans.q_vectors",
            "wordloom.plans.q_cluster", "wordloom.plans.q_clean",
-           "wordloom.plans.q_sequence"]
+           "wordloom.plans.q_sequence", "wordloom.plans.q_io"]
 
 
 def queries() -> dict:
