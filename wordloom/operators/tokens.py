@@ -66,8 +66,9 @@ def english_stopwords() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def remove_stopwords(words, stopwords: list[str] | None = None) -> Column:
-    """TOK-6: drop stopwords from an array column (exact match)."""
-    stop = F.array(*[F.lit(s) for s in (stopwords or english_stopwords())])
-    w = F.col(words) if isinstance(words, str) else words
-    return F.filter(w, lambda x: ~F.array_contains(stop, x))
+def remove_stopwords(df: DataFrame, words_col: str, out: str, stopwords: list[str] | None = None,
+                     case_sensitive: bool = True) -> DataFrame:
+    """TOK-6: drop stopwords from an array column (JVM hash-set lookup via ``StopWordsRemover``)."""
+    r = StopWordsRemover(inputCol=words_col, outputCol=out, stopWords=stopwords or english_stopwords(),
+                         caseSensitive=case_sensitive)
+    return r.transform(df)

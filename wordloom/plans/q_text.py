@@ -90,11 +90,11 @@ def q_gazetteer_flags(spark, sf):
 def q_stopword_filter(spark, sf):
     """TOK-6: English documents, words left after stopword removal."""
     d = load(spark, sf, "documents").where(F.col("lang") == "en")
-    words = T.space_split(T.normalize("text"))
-    kept = TK.remove_stopwords(words)
-    return d.select("doc_id", F.size(words).cast("bigint").alias("n_words"),
-                    F.size(kept).cast("bigint").alias("n_kept"),
-                    F.md5(F.array_join(kept, " ")).alias("kept_md5"))
+    w = d.select("doc_id", T.space_split(T.normalize("text")).alias("words"))
+    k = TK.remove_stopwords(w, "words", "kept")
+    return k.select("doc_id", F.size("words").cast("bigint").alias("n_words"),
+                    F.size("kept").cast("bigint").alias("n_kept"),
+                    F.md5(F.array_join("kept", " ")).alias("kept_md5"))
 
 
 def q_ngrams_longest_first(spark, sf):

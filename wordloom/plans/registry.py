@@ -6,7 +6,8 @@ import importlib
 
 MODULES = ["wordloom.plans.q_text", "wordloom.plans.q_labels", "wordloom.plans.q_vectors",
            "wordloom.plans.q_cluster", "wordloom.plans.q_clean",
-           "wordloom.plans.q_sequence", "wordloom.plans.q_io"]
+           "wordloom.plans.q_sequence", "wordloom.plans.q_io",
+           "wordloom.plans.flagship"]
 
 
 def queries() -> dict:
