@@ -70,7 +70,7 @@ def replace_phrases(df: DataFrame, id_col: str, text_col: str, phrases: DataFram
     """
     max_words = phrases.agg(F.max("n_words")).first()[0] or 1  # one number
     words = T.space_split(T.squeeze_spaces(F.col(text_col)))
-    base = df.select(id_col, text_col, words.alias("_w"))
+    base = df.select(*df.columns, words.alias("_w"))
     keyf = (lambda x: x) if case_sensitive else F.lower
     base = base.withColumn("_k", F.transform("_w", lambda w: keyf(F.when(
         F.regexp_replace(w, TRAIL, "") == "", w).otherwise(F.regexp_replace(w, TRAIL, "")))))
