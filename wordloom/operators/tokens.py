@@ -62,7 +62,17 @@ def explode_ngrams(df: DataFrame, id_cols, words_col: str, max_n: int = fixed.MA
 
 
 def english_stopwords() -> list[str]:
-    """Default English stopword list shipped with Spark ML."""
+    """Default English stopword list shipped with Spark ML (read from its jar; no JVM needed)."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+    for jar in glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")):
+        with zipfile.ZipFile(jar) as z:
+            name = "org/apache/spark/ml/feature/stopwords/english.txt"
+            if name in z.namelist():
+                return [w for w in z.read(name).decode("utf-8").split("\n") if w]
     return StopWordsRemover.loadDefaultStopWords("english")
 
 

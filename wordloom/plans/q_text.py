@@ -110,9 +110,26 @@ def q_ngrams_longest_first(spark, sf):
                     F.col("start").cast("int").alias("start"), "gram")
 
 
+def part_lexicon(spark, sf):
+    """``(word, tag, ord)``: last word of a part name is a noun (NN), earlier words adjectives (JJ)."""
+    p = load(spark, sf, "part").select("p_partkey", T.space_split(T.normalize("p_name")).alias("w"))
+    e = p.select("p_partkey", F.posexplode("w").alias("i", "word"), F.size("w").alias("n"))
+    return e.select("word", F.when(F.col("i") == F.col("n") - 1, "NN").otherwise("JJ").alias("tag"),
+                    (F.col("p_partkey") * 100 + F.col("i")).alias("ord")).distinct()
+
+
+def q_token_pos(spark, sf):
+    """JOIN-4: noun count, verb count and last tag of every distinct conversation and part token."""
+    c = load(spark, sf, "conversations").select(T.normalize("text").alias("t"))
+    p = load(spark, sf, "part").select(T.normalize("p_name").alias("t"))
+    toks = c.unionByName(p).select(F.explode(T.tokenize("t")).alias("token")).distinct()
+    out = FE.with_pos(toks, "token", part_lexicon(spark, sf))
+    return out.select("token", F.col("nouns_count").cast("int").alias("nouns_count"),
+                      F.col("verbs_count").cast("int").alias("verbs_count"), "nltk_tag")
+
+
 def _stop_sql() -> str:
-    from pyspark.ml.feature import StopWordsRemover
-    words = StopWordsRemover.loadDefaultStopWords("english")
+    words = TK.english_stopwords()
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
@@ -149,6 +166,7 @@ QUERIES = {
     "gazetteer_flags": q_gazetteer_flags,
     "stopword_filter": q_stopword_filter,
     "ngrams_longest_first": q_ngrams_longest_first,
+    "token_pos": q_token_pos,
 }
 
 
@@ -215,4 +233,25 @@ WITH w AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(kept) AS BIGINT) AS n_kept,
        md5(array_to_string(kept, ' ')) AS kept_md5 FROM k""",
         "ngrams_longest_first": _ngram_sql(),
+        "token_pos": f"""
+WITH pw AS (
+  SELECT p_partkey, CASE WHEN {sql_normalize('p_name')} = '' THEN []::VARCHAR[]
+                         ELSE regexp_split_to_array({sql_normalize('p_name')}, '\\s+') END AS w FROM part
+),
+lex AS (
+  SELECT DISTINCT word, CASE WHEN i = len(w) - 1 THEN 'NN' ELSE 'JJ' END AS tag, p_partkey * 100 + i AS ord
+  FROM (SELECT p_partkey, w, unnest(w) AS word, unnest(range(len(w))) AS i FROM pw)
+),
+lk AS (
+  SELECT word, sum(CAST(tag LIKE 'NN%' AS INT)) AS nouns_count, sum(CAST(tag LIKE 'VB%' AS INT)) AS verbs_count,
+         arg_max(tag, ord) AS nltk_tag FROM lex GROUP BY word
+),
+toks AS (
+  SELECT DISTINCT unnest(tk) AS token FROM (
+    SELECT {sql_tokens(nt)} AS tk FROM conversations
+    UNION ALL SELECT {sql_tokens(sql_normalize('p_name'))} AS tk FROM part)
+)
+SELECT t.token, CAST(coalesce(lk.nouns_count, 0) AS INT) AS nouns_count,
+       CAST(coalesce(lk.verbs_count, 0) AS INT) AS verbs_count, coalesce(lk.nltk_tag, '') AS nltk_tag
+FROM toks t LEFT JOIN lk ON t.token = lk.word""",
     }
