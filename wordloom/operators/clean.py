@@ -59,6 +59,31 @@ def synonym_table(spark, entries: list[tuple[str, str]] | None = None, file_df:
                      F.size(F.split("phrase", " ")).alias("n_words"), "line_no")
 
 
+FIRST_WORDS_LITERAL_MAX = 10_000
+
+
+def _candidate_spans(keys: DataFrame, id_col: str, phrases: DataFrame, max_words: int) -> DataFrame:
+    """``(id, n, start, gram)`` spans that can match a phrase.
+
+    With a small phrase table (checked) spans are generated only where a
+    word can start a phrase (a literal hash-set test per word); otherwise
+    every span up to ``max_words`` words is generated and the join filters.
+    """
+    firsts = phrases.select(F.split("phrase", " ").getItem(0).alias("w")).distinct() \
+                    .limit(FIRST_WORDS_LITERAL_MAX + 1).collect()
+    if len(firsts) > FIRST_WORDS_LITERAL_MAX:
+        return TK.explode_ngrams(keys, id_col, "_k", max_n=max_words).select(id_col, "n", "start", "gram")
+    first_set = [r["w"] for r in firsts]
+    k = F.col("_k")
+    size = F.size(k)
+    starts = F.filter(F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>")),
+                      lambda i: F.get(k, i).isin(*first_set))
+    spans = F.flatten(F.transform(starts, lambda i: F.transform(
+        F.filter(F.sequence(F.lit(1), F.lit(max_words)), lambda n: i + n <= size),
+        lambda n: T.nstruct(n=n, start=i, gram=F.array_join(F.slice(k, i + 1, n), " ")))))
+    return keys.select(id_col, F.explode(spans).alias("s")).select(id_col, "s.n", "s.start", "s.gram")
+
+
 def replace_phrases(df: DataFrame, id_col: str, text_col: str, phrases: DataFrame,
                     out: str = "cleaned", case_sensitive: bool = False) -> DataFrame:
     """CLN-2 + CLN-3: whole-word phrase substitution, longest phrase first.
@@ -74,7 +99,7 @@ def replace_phrases(df: DataFrame, id_col: str, text_col: str, phrases: DataFram
     keyf = (lambda x: x) if case_sensitive else F.lower
     base = base.withColumn("_k", F.transform("_w", lambda w: keyf(F.when(
         F.regexp_replace(w, TRAIL, "") == "", w).otherwise(F.regexp_replace(w, TRAIL, "")))))
-    spans = TK.explode_ngrams(base.select(id_col, "_k"), id_col, "_k", max_n=int(max_words))
+    spans = _candidate_spans(base.select(id_col, "_k"), id_col, phrases, int(max_words))
     p = phrases.select(F.col("phrase").alias("gram"), "target", "n_chars", "line_no")
     hits = spans.join(checked_broadcast(p), "gram")
     per = hits.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(

@@ -269,6 +269,10 @@ def decode(df: DataFrame, model: SequenceModel, out: str = "labels") -> DataFram
 
 def label_tokens(df: DataFrame, text_col: str, model: SequenceModel, dim: int | None = None) -> DataFrame:
     """SEQ-2 on a text column: ``tokens`` (TOK-2 of the lower-cased text) and predicted ``labels``."""
+    spread = df.sparkSession.sparkContext.defaultParallelism
+    if not df.isStreaming and df.rdd.getNumPartitions() < spread:
+        # a few large input splits would leave cores idle in the Python decoder
+        df = df.repartition(spread)
     d = df.withColumn("tokens", T.tokenize(F.lower(F.col(text_col))))
     enc = with_features(d, "tokens", dim or model.dim)
     return decode(enc, model).drop("ntok", "ftok", "fidx", "fval")

@@ -144,27 +144,33 @@ def segment(df: DataFrame, id_col: str, text_col: str, vectors: DataFrame, max_n
 
     Spans are taken in (length desc, start asc) order when none of their
     words is already covered.  ``stopwords`` (Q6): single-word grams in the
-    list are never used.  Returns ``(id, grams array<string>, n_grams, vec)``
-    for every input id (``vec`` null when nothing is known).
+    list are never used.  A gram chosen at several places counts once in the
+    mean (Q13).  Returns ``(id, grams array<string>, n_grams, vec)`` for
+    every input id (``vec`` null when nothing is known).
+
+    Plan: spans semi-join the vector keys (no vectors move), the matches of
+    a text are resolved in-row, and only the chosen grams are joined to
+    their vectors and averaged (``Summarizer``, partial aggregation).
     """
     words = T.space_split(F.lower(F.col(text_col)) if lower else F.col(text_col))
     spans = TK.explode_ngrams(df.select(id_col, words.alias("_w")), id_col, "_w", max_n)
     if stopwords:
         spans = spans.where(~((F.col("n") == 1) & F.col("gram").isin(*stopwords)))
-    v = vectors.select(F.col(key_col).alias("_vkey"), F.col(vec_col).alias("_vec"))
-    hits = spans.withColumn("_vkey", T.vector_key("gram")).join(checked_broadcast(v), "_vkey")
+    keys = checked_broadcast(vectors.select(F.col(key_col).alias("_vkey")))
+    hits = spans.withColumn("_vkey", T.vector_key("gram")).join(keys, "_vkey", "left_semi")
     per = hits.groupBy(id_col).agg(F.array_sort(F.collect_list(
-        F.struct("ord", "start", "n", "gram", as_double("_vec").alias("vec")))).alias("_spans"))
+        F.struct("ord", "start", "n", "gram"))).alias("_spans"))
     per = per.withColumn("_mask", greedy_cover(F.col("_spans")))
     chosen = F.transform(F.filter(F.arrays_zip(F.col("_spans").alias("s"), F.col("_mask").alias("m")),
-                                  lambda z: z["m"]), lambda z: z["s"])
-    per = per.select(id_col, chosen.alias("_c"))
-    per = per.select(id_col, F.transform("_c", lambda c: c["gram"]).alias("grams"),
-                     F.size("_c").alias("n_grams"), vec_mean(F.transform("_c", lambda c: c["vec"])).alias("vec"))
+                                  lambda z: z["m"]), lambda z: z["s"]["gram"])
+    per = per.select(id_col, chosen.alias("grams"))
+    picked = per.select(id_col, F.explode(F.array_distinct("grams")).alias("gram"))
+    pv = lookup_vectors(picked, "gram", vectors, out="_vec", key_col=key_col, vec_col=vec_col)
+    means = mean_vectors(pv, id_col, "_vec", out="vec").drop("n_found")
     base = df.select(id_col).distinct() if df.columns != [id_col] else df
-    return base.join(per, id_col, "left").select(
+    return base.join(per, id_col, "left").join(means, id_col, "left").select(
         id_col, F.coalesce("grams", F.array().cast("array<string>")).alias("grams"),
-        F.coalesce("n_grams", F.lit(0)).alias("n_grams"), "vec")
+        F.coalesce(F.size("grams"), F.lit(0)).alias("n_grams"), "vec")
 
 
 # ---------------------------------------------------------------------------
