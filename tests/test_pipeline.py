@@ -31,7 +31,9 @@ def test_pipeline_and_stream(spark):
     cfg = PipelineConfig(work_orders_tsv=wo, training_csv=tr, synonyms_tsv=syn, word_vectors=vec,
                          out_dir=os.path.join(d, "out"), iterations=15, dim=1 << 12,
                          stages=["ingest", "train", "label", "vectorize", "cluster"])
-    done = run_pipeline(spark, cfg)
+    counters = {}
+    done = run_pipeline(spark, cfg, counters)
+    assert counters["work_orders"] == 3 and counters["labelled"] == 3
     lab = spark.read.parquet(done["labelled"]).orderBy("row_id").collect()
     assert len(lab) == 3
     assert lab[2]["description"] == "bedroom heater"

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from wordloom import fixed
 from wordloom.functions import text as T
 from wordloom.operators.vectors import as_double
+from wordloom.session import ensure_checkpoint_dir
 
 
 def cluster_count(n, per_cluster: int = fixed.MEMBERS_PER_CLUSTER) -> Column:
@@ -134,6 +135,7 @@ def kmeans_by_type(df: DataFrame, type_col: str = "type", id_col: str = "entity"
 
 def _split_buckets(sub: DataFrame, n: int, seed: int, max_bucket_rows: int) -> DataFrame:
     """Coarse distributed KMeans split, repeated on buckets that are still too large."""
+    ensure_checkpoint_dir(sub.sparkSession)
     m = max(2, int(math.ceil(2 * n / max_bucket_rows)))
     km = KMeans(k=m, seed=seed, featuresCol="_v", predictionCol="_b", maxIter=10)
     b = km.fit(sub).transform(sub).withColumn("_bucket", F.col("_b").cast("string")).drop("_b").checkpoint()

@@ -28,6 +28,7 @@ from pyspark.sql import types as T_
 from wordloom import fixed
 from wordloom.functions import text as T
 from wordloom.operators import features as FE
+from wordloom.session import ensure_checkpoint_dir
 
 DEFAULT_DIM = 1 << 18
 
@@ -299,6 +300,7 @@ def fit(train: DataFrame, labels=fixed.MODEL_LABELS, dim: int = DEFAULT_DIM, ite
         history: list | None = None) -> SequenceModel:
     """Fit a linear-chain CRF on ``(tokens, y)`` rows (y = label indices)."""
     spark = train.sparkSession
+    ensure_checkpoint_dir(spark)
     L = len(labels)
     enc = with_features(train.select(tokens_col, y_col), tokens_col, dim).select("ntok", "ftok", "fidx", "fval", y_col)
     # spread the texts over all cores once, then cut lineage on shared storage (reused every iteration)

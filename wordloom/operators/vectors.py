@@ -19,7 +19,7 @@ from wordloom import fixed
 from wordloom.functions import text as T
 from wordloom.operators import tokens as TK
 from wordloom.operators.cover import greedy_cover
-from wordloom.session import checked_broadcast
+from wordloom.session import checked_broadcast, ensure_checkpoint_dir
 
 
 # ---------------------------------------------------------------------------
@@ -235,6 +235,7 @@ def resolve_entities(ents: DataFrame, vectors: DataFrame, idf: DataFrame | None
     ``(id, type, entity, resolved_text, method, vec)`` with ``method`` in
     direct / segment / reduced / none and ``vec`` null for none (Q9).
     """
+    ensure_checkpoint_dir(ents.sparkSession)
     cur = ents.select(F.col(id_col).alias("id"), F.col(type_col).alias("type"),
                       F.col(text_col).alias("entity"), F.col(text_col).alias("text"),
                       F.lit(0).alias("round"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom import fixed
@@ -52,10 +52,21 @@ class PipelineConfig:
     backfill: str = "next"
 
 
-def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> dict[str, str]:
-    """Run the configured stages; returns the folder of every written output."""
+def run_pipeline(spark: SparkSession, cfg: PipelineConfig, counters: dict | None = None) -> dict[str, str]:
+    """Run the configured stages; returns the folder of every written output.
+
+    ``counters`` (AGG-9), when given, receives row counts observed while the
+    stages write (``DataFrame.observe``: counted during the write itself, no
+    extra pass over the data).
+    """
     out = (cfg.out_dir or stage_path(spark, "pipeline")).rstrip("/")
     done: dict[str, str] = {}
+    observed: dict[str, Observation] = {}
+
+    def counted(df, name):
+        ob = Observation(name)
+        observed[name] = ob
+        return df.observe(ob, F.count(F.lit(1)).alias("rows"))
 
     def p(name):
         done[name] = f"{out}/{name}"
@@ -76,7 +87,8 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> dict[str, str]:
                     cleaned = CL.spell_correct(cleaned.select("row_id", "_d"), "row_id", "_d", dic,
                                                cfg.max_distance, out="_d").join(wo.drop("description"), "row_id")
                 wo = cleaned.drop("description").withColumnRenamed("_d", "description")
-            wo.select("row_id", *R.WORK_ORDER_COLUMNS).write.mode("overwrite").parquet(p("work_orders"))
+            counted(wo.select("row_id", *R.WORK_ORDER_COLUMNS), "work_orders").write.mode("overwrite") \
+                .parquet(p("work_orders"))
         elif stage == "train":
             lines = R.read_training_lines(spark, cfg.training_csv)
             parsed = L.parse_training_lines(lines, "line", "line_id", mode=cfg.backfill)
@@ -94,7 +106,7 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> dict[str, str]:
             model = SQ.SequenceModel.load(spark, done.get("model") or f"{out}/model", dim=cfg.dim)
             lab = SQ.label_tokens(wo, "description", model)
             cols = L.with_label_columns(lab, "tokens", "labels")
-            cols.write.mode("overwrite").parquet(p("labelled"))
+            counted(cols, "labelled").write.mode("overwrite").parquet(p("labelled"))
             K.write_labelled(spark.read.parquet(done["labelled"]).drop("row_id"), p("labelled_tsv"))
         elif stage == "vectorize":
             lab = spark.read.parquet(done.get("labelled") or f"{out}/labelled")
@@ -104,7 +116,8 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> dict[str, str]:
                      .withColumn("id", F.monotonically_increasing_id())
             wv = R.read_word_vectors(spark, cfg.word_vectors, cfg.word_vectors_format)
             res = V.resolve_entities(first.select("id", "type", "entity"), wv, idf)
-            K.write_entity_vectors(res.where(F.col("vec").isNotNull()), p("entity_vectors"))
+            K.write_entity_vectors(counted(res.where(F.col("vec").isNotNull()), "entity_vectors"),
+                                   p("entity_vectors"))
         elif stage == "cluster":
             ev = spark.read.parquet(done.get("entity_vectors") or f"{out}/entity_vectors")
             assign = C.kmeans_by_type(ev, "type", "entity", "vec", types=cfg.cluster_types or None)
@@ -113,4 +126,7 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> dict[str, str]:
             K.write_cluster_report(members, p("cluster_report"))
         else:
             raise ValueError(f"unknown stage {stage!r}")
+    if counters is not None:
+        for name, ob in observed.items():
+            counters[name] = ob.get.get("rows")
     return done

@@ -145,7 +145,7 @@ def read_word_vectors(spark: SparkSession, path: str, fmt: str = "parquet", norm
     return df.withColumn("vec", normalized("vec")) if normalize else df
 
 
-def read_entity_vectors_text(spark: SparkSession, path: str) -> DataFrame:
+def read_entity_vectors_text(spark: SparkSession, path: str, distinct: bool = False) -> DataFrame:
     """SRC-8 compatibility reader: ``type<TAB>entity<TAB>[ v v v ... ]`` records, brackets spanning lines.
 
     Records are cut at ``]`` + newline, so wrapped vectors reassemble and the
@@ -153,6 +153,8 @@ def read_entity_vectors_text(spark: SparkSession, path: str) -> DataFrame:
     ``vec`` null (reported, not fatal).
     """
     recs = spark.read.option("lineSep", "]\n").text(path)
+    if distinct:  # SET-2: identical records once
+        recs = recs.distinct()
     body = F.regexp_replace(F.col("value"), r"^\s+|\]\s*$", "")
     f = F.split(body, "\t", 3)
     nums = F.split(F.trim(F.regexp_replace(F.get(f, 2), r"[\[\]]", " ")), r"\s+")
