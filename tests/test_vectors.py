@@ -70,6 +70,20 @@ def test_resolve(spark):
     assert r[4] == ("reduced", [1.0, 1.0])  # prefix of five words is a direct key
 
 
+def test_resolve_long_unknown_text_jumps(spark):
+    known = {"a_b": [1.0, 0.0], "door": [0.0, 1.0]}
+    long_text = "a b " + " ".join(f"w{i}" for i in range(200))
+    ents = spark.createDataFrame([(1, "object", long_text.upper())], "id long, type string, entity string")
+    # upper case: no word known in its own case, lower-cased grams contain "a b" -> segment
+    r = V.resolve_entities(ents, vecs(spark, known)).first()
+    assert r.method == "segment"
+    ents2 = spark.createDataFrame([(2, "object", "A B " + " ".join(f"W{i}" for i in range(200)))],
+                                  "id long, type string, entity string")
+    known2 = {"A_B": [1.0, 1.0]}
+    r2 = V.resolve_entities(ents2, vecs(spark, known2)).first()
+    assert r2.method == "reduced" and r2.resolved_text == "A B"
+
+
 def test_idf_and_weights(spark):
     df = spark.createDataFrame([("t", "hot water"), ("t", "hot air"), ("u", "cold")], "type string, text string")
     idf = V.idf_by_type(df, "type", "text")

@@ -198,23 +198,31 @@ def outlier_words(df: DataFrame, id_col: str, text_col: str, vectors: DataFrame,
         id_col, "outlier", F.coalesce("n_known", F.lit(0)).alias("n_known"))
 
 
-def reduce_text(words, outlier) -> Column:
-    """VEC-2 step on a word array: remove the first occurrence of ``outlier``, else drop the last word."""
+def reduce_text(words, outlier, max_key_words: int | None = None) -> Column:
+    """VEC-2 step on a word array: remove the first occurrence of ``outlier``, else drop the last word.
+
+    With ``max_key_words`` (the most words any vector key has) a text with no
+    known word jumps straight to its prefix of that many words: no shorter
+    step could match, because segmentation of a prefix only sees grams of
+    the text, and no longer prefix is a key.
+    """
     ws = T._c(words)
     o = T._c(outlier)
     idx = F.array_position(ws, o)
     removed = T.let(idx, lambda ix: F.array_compact(F.transform(ws, lambda x, i: F.when(i + 1 != ix, x))))
+    keep = F.size(ws) - 1 if max_key_words is None else F.least(F.size(ws) - 1, F.lit(max_key_words))
     return (F.when(F.size(ws) <= 1, ws)
              .when(o.isNotNull() & (idx > 0), removed)
-             .otherwise(F.slice(ws, 1, F.size(ws) - 1)))
+             .otherwise(F.slice(ws, 1, keep)))
 
 
 def reduce_entities(df: DataFrame, id_col: str, text_col: str, vectors: DataFrame, out: str = "reduced",
-                    **kw) -> DataFrame:
+                    max_key_words: int | None = None, **kw) -> DataFrame:
     """VEC-2 for every text: one reduction step, as a new text column."""
     o = outlier_words(df, id_col, text_col, vectors, **kw)
     j = df.join(o, id_col, "left")
-    return j.withColumn(out, F.array_join(reduce_text(T.space_split(F.col(text_col)), F.col("outlier")), " "))
+    return j.withColumn(out, F.array_join(reduce_text(T.space_split(F.col(text_col)), F.col("outlier"),
+                                                      max_key_words), " "))
 
 
 # ---------------------------------------------------------------------------
@@ -236,6 +244,8 @@ def resolve_entities(ents: DataFrame, vectors: DataFrame, idf: DataFrame | None
     direct / segment / reduced / none and ``vec`` null for none (Q9).
     """
     ensure_checkpoint_dir(ents.sparkSession)
+    # longest vector key in words: bounds how far a text without known words must shrink
+    max_key_words = vectors.agg(F.max(F.size(F.split(F.col("term"), "_")))).first()[0] or 1
     cur = ents.select(F.col(id_col).alias("id"), F.col(type_col).alias("type"),
                       F.col(text_col).alias("entity"), F.col(text_col).alias("text"),
                       F.lit(0).alias("round"))
@@ -266,6 +276,7 @@ def resolve_entities(ents: DataFrame, vectors: DataFrame, idf: DataFrame | None
                     "id", "type", "entity", F.col("text").alias("resolved_text"), F.lit("none").alias("method"),
                     F.lit(None).cast("array<double>").alias("vec")))
             break
-        red = reduce_entities(multi.select("id", "type", "entity", "text"), "id", "text", vectors)
+        red = reduce_entities(multi.select("id", "type", "entity", "text"), "id", "text", vectors,
+                              max_key_words=int(max_key_words))
         cur = red.select("id", "type", "entity", F.col("reduced").alias("text"), F.lit(rnd).alias("round")).checkpoint()
     return done
