@@ -72,11 +72,24 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (no job runs); None if unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimates are advisory
+        return None
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      max_bytes: int = 256 << 20) -> DataFrame:
     """Broadcast-hint ``df`` only if it has at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows; a larger side is returned
-    unhinted so the planner shuffles (and AQE may still convert it).
+    A side whose planner estimate is far above ``max_bytes`` is returned
+    unhinted at once (no job; AQE may still convert the join from real
+    sizes).  Otherwise the exact check reads at most ``max_rows + 1`` rows.
     """
+    est = estimated_bytes(df)
+    if est is not None and est > 8 * max_bytes:
+        return df
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
