@@ -127,11 +127,21 @@ class SequenceModel:
         return m
 
 
+def _segment_sum(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """Sum ``rows`` into ``n`` slots by ``keys`` (keys ascending, as feature entries are)."""
+    out = np.zeros((n, rows.shape[1]))
+    if len(keys):
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        out[keys[starts]] = np.add.reduceat(rows, starts, axis=0)
+    return out
+
+
 def emissions(W: np.ndarray, ntok: int, ftok, fidx, fval) -> np.ndarray:
-    E = np.zeros((ntok, W.shape[1]))
-    if len(fidx):
-        np.add.at(E, np.asarray(ftok, dtype=np.int64), np.asarray(fval)[:, None] * W[np.asarray(fidx, dtype=np.int64)])
-    return E
+    """Per-token label scores: sum of value * weight over the token's features."""
+    if not len(fidx):
+        return np.zeros((ntok, W.shape[1]))
+    rows = np.asarray(fval)[:, None] * W[np.asarray(fidx, dtype=np.int64)]
+    return _segment_sum(rows, np.asarray(ftok, dtype=np.int64), ntok)
 
 
 def viterbi(E: np.ndarray, A: np.ndarray) -> np.ndarray:
@@ -209,9 +219,7 @@ def batch_gradient(W: np.ndarray, A: np.ndarray, ntok, ftok, fidx, fval, ys):
     tok = np.concatenate([np.asarray(a, dtype=np.int64) + offs[i] for i, a in enumerate(ftok)] or [np.zeros(0, np.int64)])
     idx = np.concatenate([np.asarray(b, dtype=np.int64) for b in fidx] or [np.zeros(0, np.int64)])
     val = np.concatenate([np.asarray(c, dtype=np.float64) for c in fval] or [np.zeros(0)])
-    Eall = np.zeros((int(offs[-1]), L))
-    if len(idx):
-        np.add.at(Eall, tok, val[:, None] * W[idx])
+    Eall = _segment_sum(val[:, None] * W[idx], tok, int(offs[-1])) if len(idx) else np.zeros((int(offs[-1]), L))
     Dall = np.zeros_like(Eall)
     yall = np.concatenate([np.asarray(y, dtype=np.int64) for y in ys] or [np.zeros(0, np.int64)])
     by_len: dict[int, list[int]] = {}
@@ -232,7 +240,9 @@ def batch_gradient(W: np.ndarray, A: np.ndarray, ntok, ftok, fidx, fval, ys):
         np.add.at(emp, (Y[:, :-1].ravel(), Y[:, 1:].ravel()), 1.0)
         GA += pair - emp
     if len(idx):
-        np.add.at(G, idx, val[:, None] * Dall[tok])
+        contrib = val[:, None] * Dall[tok]
+        for j in range(L):
+            G[:, j] += np.bincount(idx, weights=contrib[:, j], minlength=G.shape[0])
     return loss, G, GA
 
 
