@@ -81,7 +81,7 @@ def _candidate_spans(keys: DataFrame, id_col: str, phrases: DataFrame, max_words
     spans = F.flatten(F.transform(starts, lambda i: F.transform(
         F.filter(F.sequence(F.lit(1), F.lit(max_words)), lambda n: i + n <= size),
         lambda n: T.nstruct(n=n, start=i, gram=F.array_join(F.slice(k, i + 1, n), " ")))))
-    return keys.select(id_col, F.explode(spans).alias("s")).select(id_col, "s.n", "s.start", "s.gram")
+    return TK.explode_with_pos(keys, id_col, spans, "_p", "s").select(id_col, "s.n", "s.start", "s.gram")
 
 
 def replace_phrases(df: DataFrame, id_col: str, text_col: str, phrases: DataFrame,
@@ -183,8 +183,8 @@ def spell_candidates(words: DataFrame, dictionary: DataFrame, max_distance: int
     vocab = words.select(F.col(word_col).alias("word")).where(eligible("word")).distinct()
     dic = dictionary.select(F.col("word").alias("cand"), F.col("freq").cast("long").alias("freq"))
     unknown = vocab.join(dic.select(F.col("cand").alias("word")), "word", "left_anti")  # JOIN-7
-    uk = unknown.select("word", F.explode(deletes("word", max_distance)).alias("dkey"))
-    dk = dic.select("cand", "freq", F.explode(deletes("cand", max_distance)).alias("dkey"))
+    uk = TK.explode_with_pos(unknown, "word", deletes("word", max_distance), "_p", "dkey")
+    dk = TK.explode_with_pos(dic, ["cand", "freq"], deletes("cand", max_distance), "_p", "dkey")
     pairs = uk.join(dk, "dkey").select("word", "cand", "freq").distinct()
     scored = pairs.withColumn("distance", edit_distance("word", "cand", max_distance)).where(F.col("distance").isNotNull())
     best = scored.groupBy("word").agg(F.min(F.struct("distance", (-F.col("freq")).alias("nf"), "cand")).alias("b"))
@@ -199,7 +199,7 @@ def spell_correct(df: DataFrame, id_col: str, text_col: str, dictionary: DataFra
     Returns ``(id, out, n_words, n_corrected)``.  Each distinct word is
     corrected once; the result is joined back to the word positions.
     """
-    words = df.select(id_col, F.posexplode(spell_words(text_col)).alias("pos", "word"))
+    words = TK.explode_with_pos(df, id_col, spell_words(text_col), "pos", "word")
     corr = spell_candidates(words.select("word"), dictionary, max_distance).select("word", "correction")
     fixed_words = words.join(corr, "word", "left").select(
         id_col, "pos", F.coalesce("correction", "word").alias("w"), F.col("correction").isNotNull().alias("c"))

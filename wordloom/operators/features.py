@@ -146,5 +146,6 @@ def sequence_features(tokens, pos_map=None) -> Column:
 
 def explode_features(df: DataFrame, id_cols, feats_col: str = "features") -> DataFrame:
     """Long form of ``sequence_features``: one row per token with flat neighbour columns."""
+    from wordloom.operators.tokens import explode_with_pos
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    return df.select(*ids, F.posexplode(feats_col).alias("pos", "r")).select(*ids, "pos", "r.*")
+    return explode_with_pos(df, ids, feats_col, "pos", "r").select(*ids, "pos", "r.*")

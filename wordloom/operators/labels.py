@@ -53,10 +53,11 @@ def keep_rows(df: DataFrame, cond: Column) -> DataFrame:
 
     A plain ``where`` on a derived column is pushed down with the derivation
     inlined, so the derivation runs twice.  Exploding a 0/1-element array
+    (outer form, so no size filter is inferred and pushed down either)
     selects the same rows after the projection, computing everything once.
     """
-    flag = F.explode(F.when(cond, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    return df.select("*", flag.alias("_keep")).drop("_keep")
+    flag = F.posexplode_outer(F.when(cond, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    return df.select("*", flag.alias("_kp", "_keep")).where(F.col("_kp").isNotNull()).drop("_kp", "_keep")
 
 
 def backfill_labels(pairs: Column, mode: str = "next") -> Column:
@@ -104,7 +105,8 @@ def parse_training_lines(df: DataFrame, line_col: str = "line", id_col: str = "l
 def training_pairs(parsed: DataFrame, id_col: str = "line_id") -> DataFrame:
     """Long form ``(line_id, pos, term, label)`` of the accepted lines."""
     pairs = F.when(F.col("reason").isNull(), F.col("pairs"))
-    return parsed.select(id_col, F.inline(F.coalesce(pairs, F.array().cast(parsed.schema["pairs"].dataType))))
+    ex = parsed.select(id_col, F.posexplode_outer(pairs).alias("_p", "_e")).where(F.col("_p").isNotNull())
+    return ex.select(id_col, "_e.*")
 
 
 def training_rejects(parsed: DataFrame) -> DataFrame:

@@ -10,6 +10,20 @@ from wordloom import fixed
 from wordloom.functions import text as T
 
 
+def explode_with_pos(df: DataFrame, keep, arr, pos: str = "pos", value: str = "value") -> DataFrame:
+    """``posexplode`` of ``arr`` keeping the ``keep`` columns; empty/null arrays give no rows.
+
+    A plain (non-outer) explode makes the optimizer infer ``size(arr) > 0``
+    and push that filter below the projection that builds ``arr``, so the
+    array (tokens, n-grams, features) would be computed twice.  The outer
+    form plus a filter on the produced position computes it once.
+    """
+    keep = [keep] if isinstance(keep, str) else list(keep)
+    a = F.col(arr) if isinstance(arr, str) else arr
+    return (df.select(*keep, F.posexplode_outer(a).alias(pos, value))
+              .where(F.col(pos).isNotNull()))
+
+
 def with_tokens(df: DataFrame, text_col: str = "text", out: str = "tokens") -> DataFrame:
     """TOK-1 + TOK-2 on one column; the tokens stay one array per row (no shuffle)."""
     return df.withColumn(out, T.tokenize(text_col))
@@ -18,8 +32,7 @@ def with_tokens(df: DataFrame, text_col: str = "text", out: str = "tokens") -> D
 def explode_tokens(df: DataFrame, id_cols, tokens_col: str = "tokens",
                    pos: str = "pos", token: str = "token") -> DataFrame:
     """Long form ``(*id_cols, pos, token)``: one row per token, position from 0."""
-    ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    return df.select(*ids, F.posexplode(tokens_col).alias(pos, token))
+    return explode_with_pos(df, id_cols, tokens_col, pos, token)
 
 
 def token_counts(df: DataFrame, text_col: str = "text", normalize: bool = True) -> DataFrame:
@@ -29,7 +42,7 @@ def token_counts(df: DataFrame, text_col: str = "text", normalize: bool = True)
     token per partition, so a hot token costs no more than a cold one.
     """
     src = T.normalize(text_col) if normalize else F.col(text_col)
-    return (df.select(F.explode(T.tokenize(src)).alias("token"))
+    return (explode_with_pos(df, [], T.tokenize(src), "_p", "token")
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -57,7 +70,7 @@ def ngram_spans(words, max_n: int = fixed.MAX_NGRAM) -> Column:
 def explode_ngrams(df: DataFrame, id_cols, words_col: str, max_n: int = fixed.MAX_NGRAM) -> DataFrame:
     """Long form ``(*id_cols, n, start, gram, ord)``; ``ord`` is the longest-first order."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    return (df.select(*ids, F.posexplode(ngram_spans(words_col, max_n)).alias("ord", "span"))
+    return (explode_with_pos(df, ids, ngram_spans(words_col, max_n), "ord", "span")
               .select(*ids, "span.n", "span.start", "span.gram", "ord"))
 
 

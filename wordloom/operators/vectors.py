@@ -91,7 +91,7 @@ def idf_by_type(df: DataFrame, type_col: str, text_col: str, max_n: int = fixed.
     words = T.idf_terms(text_col)
     grams = F.array_distinct(F.transform(TK.ngram_spans(words, max_n), lambda s: s["gram"]))
     docs = df.select(F.col(type_col).alias("type"), grams.alias("_g"))
-    dfreq = docs.select("type", F.explode("_g").alias("gram")).groupBy("type", "gram").agg(
+    dfreq = TK.explode_with_pos(docs, "type", "_g", "_p", "gram").groupBy("type", "gram").agg(
         F.count(F.lit(1)).alias("df"))
     ndocs = docs.groupBy("type").agg(F.count(F.lit(1)).alias("n_docs"))
     out = dfreq.join(checked_broadcast(ndocs), "type")
@@ -164,7 +164,7 @@ def segment(df: DataFrame, id_col: str, text_col: str, vectors: DataFrame, max_n
     chosen = F.transform(F.filter(F.arrays_zip(F.col("_spans").alias("s"), F.col("_mask").alias("m")),
                                   lambda z: z["m"]), lambda z: z["s"]["gram"])
     per = per.select(id_col, chosen.alias("grams"))
-    picked = per.select(id_col, F.explode(F.array_distinct("grams")).alias("gram"))
+    picked = TK.explode_with_pos(per, id_col, F.array_distinct("grams"), "_p", "gram")
     pv = lookup_vectors(picked, "gram", vectors, out="_vec", key_col=key_col, vec_col=vec_col)
     means = mean_vectors(pv, id_col, "_vec", out="vec").drop("n_found")
     base = df.select(id_col).distinct() if df.columns != [id_col] else df
@@ -184,7 +184,7 @@ def outlier_words(df: DataFrame, id_col: str, text_col: str, vectors: DataFrame,
     Returns ``(id, outlier, n_known)``; ``outlier`` null when no word is known.
     Ties on similarity go to the smaller word.
     """
-    w = df.select(id_col, F.posexplode(T.space_split(F.col(text_col))).alias("pos", "word"))
+    w = TK.explode_with_pos(df, id_col, T.space_split(F.col(text_col)), "pos", "word")
     v = vectors.select(F.col(key_col).alias("word"), normalized(vec_col).alias("u"))
     known = w.join(checked_broadcast(v), "word")
     per = known.groupBy(id_col).agg(F.collect_list(F.struct("word", "u")).alias("_k"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.operators import clean as CL
+from wordloom.operators import tokens as TK
 from wordloom.plans.common import load, sql_normalize
 
 # Extra phrase entries for the documents (parameter of the query, like a synonym file).
@@ -25,7 +26,7 @@ def _docs(spark, sf):
 
 
 def dictionary(spark, sf):
-    b = load(spark, sf, "benchmark").select(F.explode(CL.spell_words(T.normalize("text"))).alias("word"))
+    b = TK.explode_with_pos(load(spark, sf, "benchmark"), [], CL.spell_words(T.normalize("text")), "_p", "word")
     return b.where(F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
@@ -38,7 +39,7 @@ def q_synonym_map(spark, sf):
 
 def q_spell_candidates(spark, sf):
     """JOIN-5 / JOIN-7: correction of every unknown eligible document word."""
-    words = _docs(spark, sf).select(F.explode(CL.spell_words("t")).alias("word"))
+    words = TK.explode_with_pos(_docs(spark, sf), [], CL.spell_words("t"), "_p", "word")
     c = CL.spell_candidates(words, dictionary(spark, sf), max_distance=1)
     return c.select("word", "correction", "distance", F.col("freq").cast("bigint").alias("freq"))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wordloom import fixed
 from wordloom.functions import text as T
 from wordloom.operators import labels as L
+from wordloom.operators import tokens as TK
 from wordloom.plans.common import load, sql_normalize
 
 # ---------------------------------------------------------------------------
@@ -115,15 +116,15 @@ def q_label_vocab(spark, sf):
 def q_tag_group(spark, sf):
     """AGG-1: per order, tokens grouped by label in first-appearance order."""
     s = order_sequences(spark, sf)
-    return s.select("o_orderkey", F.inline(L.group_tags("tokens", "labels"))).select(
-        "o_orderkey", "label", F.col("first_pos").cast("int").alias("first_pos"), "text")
+    g = TK.explode_with_pos(s, "o_orderkey", L.group_tags("tokens", "labels"), "_p", "g")
+    return g.select("o_orderkey", "g.label", F.col("g.first_pos").cast("int").alias("first_pos"), "g.text")
 
 
 def q_merge_runs(spark, sf):
     """WIN-2: consecutive object tokens merged into one term."""
     s = order_sequences(spark, sf)
-    return s.select("o_orderkey", F.inline(L.merge_object_runs("tokens", "labels"))).select(
-        "o_orderkey", F.col("pos").cast("int").alias("pos"), "label", "term")
+    r = TK.explode_with_pos(s, "o_orderkey", L.merge_object_runs("tokens", "labels"), "_p", "r")
+    return r.select("o_orderkey", F.col("r.pos").cast("int").alias("pos"), "r.label", "r.term")
 
 
 def labelled_columns(spark, sf):

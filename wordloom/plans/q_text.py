@@ -59,7 +59,7 @@ def q_token_counts(spark, sf):
 def q_token_shape(spark, sf):
     """FEA-1..FEA-9 on every distinct raw (case-kept) token of the documents."""
     d = load(spark, sf, "documents")
-    toks = d.select(F.explode(T.tokenize(T.ascii_only("text"))).alias("token")).distinct()
+    toks = TK.explode_with_pos(d, [], T.tokenize(T.ascii_only("text")), "_p", "token").select("token").distinct()
     t = F.col("token")
     return toks.select(
         "token",
@@ -80,7 +80,7 @@ def q_gazetteer_flags(spark, sf):
     """JOIN-3 over all document tokens plus part names: per distinct token the three memberships."""
     d = load(spark, sf, "documents").select(T.normalize("text").alias("t"))
     p = load(spark, sf, "part").select(T.normalize("p_name").alias("t"))
-    toks = d.unionByName(p).select(F.explode(T.tokenize("t")).alias("token")).distinct()
+    toks = d.unionByName(p).transform(lambda u: TK.explode_with_pos(u, [], T.tokenize("t"), "_p", "token")).select("token").distinct()
     out = FE.gazetteer_flags(toks, "token")
     return out.select("token", F.col("is_location").cast("int").alias("is_location"),
                       F.col("is_object").cast("int").alias("is_object"),
@@ -113,7 +113,7 @@ def q_ngrams_longest_first(spark, sf):
 def part_lexicon(spark, sf):
     """``(word, tag, ord)``: last word of a part name is a noun (NN), earlier words adjectives (JJ)."""
     p = load(spark, sf, "part").select("p_partkey", T.space_split(T.normalize("p_name")).alias("w"))
-    e = p.select("p_partkey", F.posexplode("w").alias("i", "word"), F.size("w").alias("n"))
+    e = TK.explode_with_pos(p.withColumn("n", F.size("w")), ["p_partkey", "n"], "w", "i", "word")
     return e.select("word", F.when(F.col("i") == F.col("n") - 1, "NN").otherwise("JJ").alias("tag"),
                     (F.col("p_partkey") * 100 + F.col("i")).alias("ord")).distinct()
 
@@ -122,7 +122,7 @@ def q_token_pos(spark, sf):
     """JOIN-4: noun count, verb count and last tag of every distinct conversation and part token."""
     c = load(spark, sf, "conversations").select(T.normalize("text").alias("t"))
     p = load(spark, sf, "part").select(T.normalize("p_name").alias("t"))
-    toks = c.unionByName(p).select(F.explode(T.tokenize("t")).alias("token")).distinct()
+    toks = c.unionByName(p).transform(lambda u: TK.explode_with_pos(u, [], T.tokenize("t"), "_p", "token")).select("token").distinct()
     out = FE.with_pos(toks, "token", part_lexicon(spark, sf))
     return out.select("token", F.col("nouns_count").cast("int").alias("nouns_count"),
                       F.col("verbs_count").cast("int").alias("verbs_count"), "nltk_tag")

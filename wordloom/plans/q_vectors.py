@@ -32,7 +32,7 @@ def turns(spark, sf):
 
 
 def turn_words(spark, sf):
-    return turns(spark, sf).select("conv_id", "turn", "role", F.posexplode(T.space_split("t")).alias("pos", "word"))
+    return TK.explode_with_pos(turns(spark, sf), ["conv_id", "turn", "role"], T.space_split("t"), "pos", "word")
 
 
 def _r6(c):
@@ -107,7 +107,7 @@ def q_outlier_word(spark, sf):
     """VEC-3: least similar known word of each turn."""
     t = turns(spark, sf)
     t = t.select(F.concat_ws("_", "conv_id", "turn").alias("sid"), "t")
-    vt = derived_vectors(spark, sf, t.select(F.explode(T.space_split("t")).alias("term")))
+    vt = derived_vectors(spark, sf, TK.explode_with_pos(t, [], T.space_split("t"), "_p", "term"))
     o = V.outlier_words(t, "sid", "t", vt.select("term", "vec"))
     return o.select("sid", "outlier", F.col("n_known").cast("bigint").alias("n_known"))
 
@@ -116,7 +116,7 @@ def q_entity_reduce(spark, sf):
     """VEC-2: one reduction step of each turn (outlier removed, else last word dropped)."""
     t = turns(spark, sf)
     t = t.select(F.concat_ws("_", "conv_id", "turn").alias("sid"), "t")
-    vt = derived_vectors(spark, sf, t.select(F.explode(T.space_split("t")).alias("term")))
+    vt = derived_vectors(spark, sf, TK.explode_with_pos(t, [], T.space_split("t"), "_p", "term"))
     r = V.reduce_entities(t, "sid", "t", vt.select("term", "vec"))
     return r.select("sid", F.md5("reduced").alias("reduced_md5"))
 
