@@ -186,7 +186,9 @@ def spell_candidates(words: DataFrame, dictionary: DataFrame, max_distance: int
     uk = TK.explode_with_pos(unknown, "word", deletes("word", max_distance), "_p", "dkey")
     dk = TK.explode_with_pos(dic, ["cand", "freq"], deletes("cand", max_distance), "_p", "dkey")
     pairs = uk.join(dk, "dkey").select("word", "cand", "freq").distinct()
-    scored = pairs.withColumn("distance", edit_distance("word", "cand", max_distance)).where(F.col("distance").isNotNull())
+    from wordloom.operators.labels import keep_rows
+    scored = keep_rows(pairs.withColumn("distance", edit_distance("word", "cand", max_distance)),
+                       F.col("distance").isNotNull())
     best = scored.groupBy("word").agg(F.min(F.struct("distance", (-F.col("freq")).alias("nf"), "cand")).alias("b"))
     return best.select("word", F.col("b.cand").alias("correction"), F.col("b.distance").cast("int").alias("distance"),
                        (-F.col("b.nf")).alias("freq"))

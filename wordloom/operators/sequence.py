@@ -295,14 +295,15 @@ def label_tokens(df: DataFrame, text_col: str, model: SequenceModel, dim: int |
 
 def training_sequences(parsed: DataFrame, id_col: str = "line_id", labels=fixed.MODEL_LABELS) -> DataFrame:
     """Accepted training lines -> ``(id, tokens, y)``: each term tokenised, every token labelled with its term's label."""
-    ok = parsed.where(F.col("reason").isNull())
+    from wordloom.operators.labels import keep_rows
+    ok = keep_rows(parsed, F.col("reason").isNull())
     per_term = F.transform("pairs", lambda p: F.transform(T.tokenize(p["term"]), lambda t: T.nstruct(
         t=t, l=p["label"])))
     lab = F.array(*[F.lit(x) for x in labels])
     st = ok.select(id_col, F.flatten(per_term).alias("_tl"))
-    return st.select(id_col, F.transform("_tl", lambda e: e["t"]).alias("tokens"),
-                     F.transform("_tl", lambda e: (F.array_position(lab, e["l"]) - 1).cast("int")).alias("y")) \
-             .where(F.size("tokens") > 0)
+    seqs = st.select(id_col, F.transform("_tl", lambda e: e["t"]).alias("tokens"),
+                     F.transform("_tl", lambda e: (F.array_position(lab, e["l"]) - 1).cast("int")).alias("y"))
+    return keep_rows(seqs, F.size("tokens") > 0)
 
 
 def fit(train: DataFrame, labels=fixed.MODEL_LABELS, dim: int = DEFAULT_DIM, iterations: int = 40,
