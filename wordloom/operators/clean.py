@@ -94,11 +94,13 @@ def replace_phrases(df: DataFrame, id_col: str, text_col: str, phrases: DataFram
     again, which is the same as replacing phrase by phrase with a shield.
     """
     max_words = phrases.agg(F.max("n_words")).first()[0] or 1  # one number
-    words = T.space_split(T.squeeze_spaces(F.col(text_col)))
-    base = df.select(*df.columns, words.alias("_w"))
-    keyf = (lambda x: x) if case_sensitive else F.lower
-    base = base.withColumn("_k", F.transform("_w", lambda w: keyf(F.when(
-        F.regexp_replace(w, TRAIL, "") == "", w).otherwise(F.regexp_replace(w, TRAIL, "")))))
+    squeezed = T.squeeze_spaces(F.col(text_col))
+    base = df.select(*df.columns, T.space_split(squeezed).alias("_w"), squeezed.alias("_sq"))
+    # match keys: one pass over the whole text strips trailing . , ; : ! ? from every word that has
+    # another character (blanks are never touched, so keys stay aligned with the words)
+    keys = F.regexp_replace("_sq", r"([^\s.,;:!?])[.,;:!?]+(\s|$)", "$1$2")
+    keys = keys if case_sensitive else F.lower(keys)
+    base = base.withColumn("_k", T.space_split(keys)).drop("_sq")
     spans = _candidate_spans(base.select(id_col, "_k"), id_col, phrases, int(max_words))
     p = phrases.select(F.col("phrase").alias("gram"), "target", "n_chars", "line_no")
     hits = spans.join(checked_broadcast(p), "gram")
