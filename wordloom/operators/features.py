@@ -95,21 +95,30 @@ def with_pos(df: DataFrame, token_col: str, lexicon: DataFrame | None, default_t
 
 
 def token_record(t, nouns=None, verbs=None, tag=None) -> Column:
-    """FEA-10: one token's feature struct (POS fields from columns when given)."""
+    """FEA-10: one token's feature struct (POS fields from columns when given).
+
+    The cleaned and abbreviated forms are bound once per token and shared by
+    the features that need them.
+    """
     t = T._c(t)
-    return T.nstruct(
-        nouns_count=(nouns if nouns is not None else F.lit(0)).cast("int"),
-        verbs_count=(verbs if verbs is not None else F.lit(0)).cast("int"),
-        nltk_tag=(tag if tag is not None else F.lit("")),
-        is_location=is_location(t),
-        is_object=is_object(t),
-        length=S.token_length(t).cast("int"),
-        has_vowels=S.has_vowels(t),
-        period=S.has_period(t),
-        comma=S.ends_with_comma(t),
-        prepositions=is_preposition(t),
-        possessive=S.possessive(t),
-    )
+
+    def build(cl, ab):
+        return T.nstruct(
+            nouns_count=(nouns if nouns is not None else F.lit(0)).cast("int"),
+            verbs_count=(verbs if verbs is not None else F.lit(0)).cast("int"),
+            nltk_tag=(tag if tag is not None else F.lit("")),
+            is_location=is_location(t),
+            is_object=is_object(t),
+            length=S.token_length(t).cast("int"),
+            has_vowels=F.substring(ab, 2, 1 << 30).rlike(f"[{fixed.VOWELS}]"),
+            period=S.has_period(t),
+            comma=S.ends_with_comma(t),
+            prepositions=ab.isin(*fixed.PREPOSITIONS),
+            possessive=cl.endswith("'s"),
+        )
+
+    return T.let(T.clean_token(t), lambda cl: T.let(
+        F.when(t.isin("&"), t).otherwise(F.regexp_replace(cl, r"\W", "")), lambda ab: build(cl, ab)))
 
 
 def sequence_features(tokens, pos_map=None) -> Column:
