@@ -7,7 +7,6 @@ the documents play the work orders to be labelled.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from wordloom import fixed
@@ -46,11 +45,6 @@ def fixed_model(dim: int = SMALL_DIM) -> SQ.SequenceModel:
     m = SQ.SequenceModel(dim=dim)
     pos = {l: i for i, l in enumerate(m.labels)}
 
-    def h(name):
-        import xxhash
-        v = xxhash.xxh64_intdigest(name.encode(), seed=42)
-        return None if v is None else v
-
     # weights are set through the same hashing as Spark uses (see _hash_index)
     for name, label, w in [("bias", "noise", 0.5), ("is_object", "object", 2.0), ("is_location", "location", 2.0),
                            ("rawstring.end", "object", 1.5), ("next:rawstring.end", "description", 1.0),
