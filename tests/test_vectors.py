@@ -37,9 +37,14 @@ def test_segment_matches_brute_force(spark):
     known = {"a": [1, 0], "b_c": [0, 1], "c_d_e": [1, 1], "e": [2, 2], "a_b_c_d": [3, 0], "d": [0, 3]}
     texts = [" ".join(rng.choice(vocab, size=rng.integers(0, 9))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    got = {r.id: list(r.grams) for r in V.segment(df, "id", "t", vecs(spark, known)).collect()}
+    got = {r.id: list(r.grams) for r in V.segment(df, "id", "t", vecs(spark, known), drop_stopwords=False).collect()}
     for i, t in enumerate(texts):
         assert got[i] == brute_segment(t, known), t
+    # Q6: a single stopword ("a") is never a segment by default; longer grams containing it still are
+    dropped = {r.id: list(r.grams) for r in V.segment(df, "id", "t", vecs(spark, known)).collect()}
+    known_wo_a = {k: v for k, v in known.items() if k != "a"}
+    for i, t in enumerate(texts):
+        assert dropped[i] == brute_segment(t, known_wo_a), t
 
 
 def test_segment_mean_and_unknown(spark):

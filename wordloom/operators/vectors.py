@@ -139,12 +139,13 @@ def mean_vectors(df: DataFrame, group_cols, vec_col: str = "vec", weight_col: st
 
 def segment(df: DataFrame, id_col: str, text_col: str, vectors: DataFrame, max_n: int = fixed.MAX_NGRAM,
             lower: bool = True, stopwords: list[str] | None = None, key_col: str = "term",
-            vec_col: str = "vec") -> DataFrame:
+            vec_col: str = "vec", drop_stopwords: bool = True) -> DataFrame:
     """Cover each text with the longest known n-grams, then average their vectors.
 
     Spans are taken in (length desc, start asc) order when none of their
-    words is already covered.  ``stopwords`` (Q6): single-word grams in the
-    list are never used.  A gram chosen at several places counts once in the
+    words is already covered.  Q6: with ``drop_stopwords`` a single-word
+    gram that is a stopword (``stopwords``, default the English list) is
+    never used.  A gram chosen at several places counts once in the
     mean (Q13).  Returns ``(id, grams array<string>, n_grams, vec)`` for
     every input id (``vec`` null when nothing is known).
 
@@ -154,8 +155,9 @@ def segment(df: DataFrame, id_col: str, text_col: str, vectors: DataFrame, max_n
     """
     words = T.space_split(F.lower(F.col(text_col)) if lower else F.col(text_col))
     spans = TK.explode_ngrams(df.select(id_col, words.alias("_w")), id_col, "_w", max_n)
-    if stopwords:
-        spans = spans.where(~((F.col("n") == 1) & F.col("gram").isin(*stopwords)))
+    if drop_stopwords:
+        stop = stopwords if stopwords is not None else TK.english_stopwords()
+        spans = spans.where(~((F.col("n") == 1) & F.col("gram").isin(*stop)))
     keys = checked_broadcast(vectors.select(F.col(key_col).alias("_vkey")))
     hits = spans.withColumn("_vkey", T.vector_key("gram")).join(keys, "_vkey", "left_semi")
     per = hits.groupBy(id_col).agg(F.array_sort(F.collect_list(
@@ -232,7 +234,7 @@ def reduce_entities(df: DataFrame, id_col: str, text_col: str, vectors: DataFram
 def resolve_entities(ents: DataFrame, vectors: DataFrame, idf: DataFrame | None = None,
                      id_col: str = "id", type_col: str = "type", text_col: str = "entity",
                      max_n: int = fixed.MAX_NGRAM, stopwords: list[str] | None = None,
-                     max_rounds: int | None = None) -> DataFrame:
+                     max_rounds: int | None = None, drop_stopwords: bool = True) -> DataFrame:
     """Entity -> vector in the original order of attempts.
 
     (a) direct hit of the whole entity (case kept) times its type weight;
@@ -255,7 +257,8 @@ def resolve_entities(ents: DataFrame, vectors: DataFrame, idf: DataFrame | None
         d = lookup_vectors(cur, "text", vectors, out="_dvec")
         d = with_weights(d, "type", "text", idf)
         d = d.withColumn("_dvec", F.when(F.col("_dvec").isNotNull(), scaled("_dvec", "weight")))
-        seg = segment(cur.select("id", "text"), "id", "text", vectors, max_n=max_n, stopwords=stopwords)
+        seg = segment(cur.select("id", "text"), "id", "text", vectors, max_n=max_n, stopwords=stopwords,
+                      drop_stopwords=drop_stopwords)
         r = d.join(seg.select("id", F.col("vec").alias("_svec")), "id", "left")
         method = (F.when(F.col("_dvec").isNotNull(), F.when(F.col("round") == 0, "direct").otherwise("reduced"))
                    .when(F.col("_svec").isNotNull(), F.when(F.col("round") == 0, "segment").otherwise("reduced")))
