@@ -44,21 +44,23 @@ def fixed_model(dim: int = SMALL_DIM) -> SQ.SequenceModel:
     """A small hand-set model: objects after descriptions, gazetteer words by kind."""
     m = SQ.SequenceModel(dim=dim)
     pos = {l: i for i, l in enumerate(m.labels)}
-
-    # weights are set through the same hashing as Spark uses (see _hash_index)
-    for name, label, w in [("bias", "noise", 0.5), ("is_object", "object", 2.0), ("is_location", "location", 2.0),
-                           ("rawstring.end", "object", 1.5), ("next:rawstring.end", "description", 1.0),
-                           ("prepositions", "conjunction", 1.5), ("length", "description", 0.1)]:
-        m.W[_hash_index(name, dim), pos[label]] += w
+    weights = [("bias", "noise", 0.5), ("is_object", "object", 2.0), ("is_location", "location", 2.0),
+               ("rawstring.end", "object", 1.5), ("next:rawstring.end", "description", 1.0),
+               ("prepositions", "conjunction", 1.5), ("length", "description", 0.1)]
+    idx = _hash_indices([w[0] for w in weights], dim)  # same hashing as the Spark feature encoder
+    for name, label, w in weights:
+        m.W[idx[name], pos[label]] += w
     m.A[pos["description"], pos["object"]] = 1.0
     m.A[pos["object"], pos["object"]] = 0.5
     return m
 
 
-def _hash_index(name: str, dim: int) -> int:
+def _hash_indices(names: list[str], dim: int) -> dict[str, int]:
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
-    return spark.range(1).select(F.pmod(F.xxhash64(F.lit(name)), F.lit(dim)).alias("i")).first()["i"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    rows = df.select("name", F.pmod(F.xxhash64("name"), F.lit(dim)).alias("i")).collect()  # one row per name
+    return {r["name"]: int(r["i"]) for r in rows}
 
 
 def q_viterbi_decode(spark, sf):
