@@ -38,7 +38,9 @@ def test_pipeline_and_stream(spark):
     assert len(lab) == 3
     assert lab[2]["description"] == "bedroom heater"
     assert lab[0]["object"] == "sink" and lab[0]["action"] == "fix"
-    assert spark.read.parquet(done["entity_vectors"]).count() >= 1
+    n_vec = spark.read.parquet(done["entity_vectors"]).count()
+    assert n_vec >= 1
+    assert counters["entities"] == n_vec + counters["entities.unresolved"]
     assert os.path.isdir(done["cluster_report"])
     # streaming: the same labelling over a folder of work-order files
     src = os.path.join(d, "stream_in")

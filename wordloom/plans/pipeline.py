@@ -63,10 +63,10 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig, counters: dict | None
     done: dict[str, str] = {}
     observed: dict[str, Observation] = {}
 
-    def counted(df, name):
+    def counted(df, name, *extra):
         ob = Observation(name)
         observed[name] = ob
-        return df.observe(ob, F.count(F.lit(1)).alias("rows"))
+        return df.observe(ob, F.count(F.lit(1)).alias("rows"), *extra)
 
     def p(name):
         done[name] = f"{out}/{name}"
@@ -116,8 +116,9 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig, counters: dict | None
                      .withColumn("id", F.monotonically_increasing_id())
             wv = R.read_word_vectors(spark, cfg.word_vectors, cfg.word_vectors_format)
             res = V.resolve_entities(first.select("id", "type", "entity"), wv, idf)
-            K.write_entity_vectors(counted(res.where(F.col("vec").isNotNull()), "entity_vectors"),
-                                   p("entity_vectors"))
+            # Q9: unresolved entities are counted (observed before the filter), not written
+            res = counted(res, "entities", F.sum((F.col("method") == "none").cast("int")).alias("unresolved"))
+            K.write_entity_vectors(res.where(F.col("vec").isNotNull()), p("entity_vectors"))
         elif stage == "cluster":
             ev = spark.read.parquet(done.get("entity_vectors") or f"{out}/entity_vectors")
             assign = C.kmeans_by_type(ev, "type", "entity", "vec", types=cfg.cluster_types or None)
@@ -128,5 +129,9 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig, counters: dict | None
             raise ValueError(f"unknown stage {stage!r}")
     if counters is not None:
         for name, ob in observed.items():
-            counters[name] = ob.get.get("rows")
+            got = ob.get
+            counters[name] = got.get("rows")
+            for k, v in got.items():
+                if k != "rows":
+                    counters[f"{name}.{k}"] = v
     return done
