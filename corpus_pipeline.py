@@ -14,9 +14,11 @@ from wordloom.llm import stages
 from wordloom.session import ensure_checkpoint_dir, stage_path
 
 STAGES = [
+    ("toxicity", stages.toxicity_stage),
     ("line_dedup", stages.line_dedup_stage),
     ("simhash_dedup", stages.simhash_stage),
     ("secret_scan", stages.secret_stage),
+    ("best_fit_packing", stages.packing_stage),
 ]
 
 # The stages hash, classify and pack by rules that SQL doesn't have; tests hold them against brute force.

@@ -51,11 +51,14 @@ class WordHasher:
     only on the word's bytes.
     """
 
-    def __init__(self, separators: np.ndarray = SPACE, lower: bool = False):
+    def __init__(self, separators: np.ndarray = SPACE, lower: bool = False, prefix: int = 0):
+        """With ``prefix``, `heads` holds the hashes of the words' first so many bytes after each call."""
         rng = np.random.default_rng(20240229)
         value = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
         base = int(rng.integers(1 << 60, 1 << 62)) * 2 + 1
-        self.sep = separators
+        self.sep, self.prefix = separators, prefix
+        self.heads = np.zeros(0, np.uint64)
+        self._heads: list = []
         self.value = value[LOWER] if lower else value
         self.power = self._powers(base)
         self.inverse = self._powers(pow(base, -1, 1 << 64))
@@ -72,6 +75,7 @@ class WordHasher:
         data = np.frombuffer(b"\n".join(texts), np.uint8)  # \n keeps words of two texts apart
         begin = np.concatenate([[0], np.cumsum(size + 1)])[:len(texts)]
         hashes, starts, at = [], [], 0
+        self._heads = []
         while at < len(data):
             end = min(len(data), at + CHUNK)
             if end < len(data):  # a chunk ends behind a separator, if it has one
@@ -86,6 +90,7 @@ class WordHasher:
             starts.append(s + at)
             hashes.append(h)
             at = end
+        self.heads = np.concatenate(self._heads) if self._heads else np.zeros(0, np.uint64)
         if not hashes:
             return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
         start = np.concatenate(starts)
@@ -98,11 +103,14 @@ class WordHasher:
         s, e = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(self.value[part] * self.power[:len(part)], out=total[1:])
+        if self.prefix:
+            head = np.minimum(e, s + self.prefix)
+            self._heads.append(mix((total[head] - total[s]) * self.inverse[s]))
         return s, mix((total[e] - total[s]) * self.inverse[s] + (e - s).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
     def _one_word(self, data: np.ndarray, at: int, hashes: list, starts: list) -> int:
         """A word longer than a chunk: hash its pieces, then the pieces' hashes."""
-        end = at
+        end, known = at, len(self._heads)
         acc = _U(0x2545F4914F6CDD1D)
         while end < len(data):
             part = data[end:end + CHUNK]
@@ -114,6 +122,8 @@ class WordHasher:
             end += len(part)
             if len(stop):
                 break
+        if self.prefix:  # of the pieces only the first has the word's head
+            self._heads[known:] = [self._heads[known][:1]]
         hashes.append(np.array([acc], np.uint64))
         starts.append(np.array([at], np.int64))
         return end

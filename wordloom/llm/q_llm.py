@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, line_dedup, secrets, simhash
+from wordloom.llm import bpe, html_text, line_dedup, packing, secrets, simhash, toxicity
 from wordloom.session import ensure_checkpoint_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,11 +37,26 @@ def op5_bpe(spark, sf_dir):
     return done.withColumnRenamed("id", "doc_id")
 
 
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).select(
+        F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_html_text(spark, sf_dir):
+    return html_text.extract_main_text(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op10_line_dedup(spark, sf_dir):
     return line_dedup.line_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_simhash, op5_bpe, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_simhash, op5_bpe, op6_best_fit_packing, op7_toxicity, op9_html_text, op10_line_dedup)}
 
 
 def sql() -> dict[str, str]:

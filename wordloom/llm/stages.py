@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import line_dedup, secrets, simhash
+from wordloom.llm import line_dedup, packing, secrets, simhash, toxicity
 
 # What stands where a secret stood.
 REDACTED = "[SECRET]"
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score lies below their language's cut; the model learns from the `labels` table beside them."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    return docs.where(toxicity.score_column(F.col("text").cast("string"), model, spark) < toxicity.cut_column(F.col("lang"), model))
+
+
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line repeats; every document stays."""
     return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -28,3 +35,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     clean = secrets.redact_column(F.col("row.text"), REDACTED)
     kept = marked.select(*[F.col("row")[c].alias(c) if c != "text" else clean.alias(c) for c in docs.columns])
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in the training sequences."""
+    return packing.pack_documents(docs)
