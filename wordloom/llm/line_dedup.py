@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.batches import SPACE, WordHasher, as_long, text_slices, utf8_texts
 from wordloom.llm.graph import written
+from wordloom.llm.sieve import left_join_some, likely_in
 
 SLOT_BITS = 22
 SLOT_RANGES = 64
-BITMAP_BITS = 24
 # Candidates a set offers for each of its prefix words before it is known whether one of them matches.
 OFFERS = 2
 # Postings of a word beyond this number are split over several buckets.
@@ -248,43 +248,19 @@ def _meet(postings: DataFrame, buckets: int, num: int, den: int, offers: int, on
         blobs, wanted = [], []
         for t in tables:
             blobs += [x.as_py() for x in t.column("rows") if x.is_valid]
-            if only is not None:
+            if some:
                 wanted += [np.array(x.as_py(), np.int64) for x in t.column("wanted") if x.is_valid]
         rows = np.frombuffer(b"".join(blobs), POSTING)
         if len(rows):
-            yield from pairs(rows, None if only is None else np.concatenate([w.view(np.uint64) for w in wanted]) if wanted else np.zeros(0, np.uint64))
+            yield from pairs(rows, None if not some else np.concatenate([w.view(np.uint64) for w in wanted]) if wanted else np.zeros(0, np.uint64))
 
-    if only is None:
+    some = only is not None
+    if not some:
         return postings.groupBy("bucket").applyInArrow(run, PAIR).distinct()
     return postings.withColumn("wanted", F.lit(None).cast("array<long>")).unionByName(only.withColumn("rows", F.lit(None).cast("binary"))) \
         .groupBy("bucket").applyInArrow(run, PAIR).distinct()
 
 
-def _bitmap(ids: DataFrame):
-    """A fixed-size bit table (2 MB) of the ids, for a first sieve; a join decides."""
-    slot = F.xxhash64("id").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    bits = np.zeros(1 << BITMAP_BITS, bool)
-    # At most 2**24 slots, whatever the number of ids; they come as packed ranges.
-    ranges = ids.select(slot.alias("slot")).distinct().groupBy(F.shiftright("slot", 12).alias("r")) \
-        .agg(F.collect_set(F.col("slot").cast("int")).alias("s"))
-    for r in ranges.toLocalIterator():
-        bits[r["s"]] = True
-    return np.packbits(bits)
-
-
-def _among(ids: DataFrame):
-    """A column function: whether an id is likely among ``ids`` (true for all that are, and for few others)."""
-    shared = ids.sparkSession.sparkContext.broadcast(_bitmap(ids))
-
-    @F.pandas_udf("boolean")
-    def likely(slot):
-        import pandas as pd
-        s = slot.to_numpy()
-        return pd.Series((shared.value[s >> 3] >> (7 - (s & 7)) & 1).astype(bool))
-
-    return lambda column: likely(F.xxhash64(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)).cast("int"))
-
-
 def _line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc, line, words) of the wanted lines, from their documents; a document's lines come together."""
     def run(batches):
@@ -299,7 +275,8 @@ def _line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                                                   pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), as_long(word))], ["doc", "line", "words"])
 
     picks = wanted.groupBy("doc").agg(F.collect_set("line").alias("lines"))  # the lines of one document
-    likely = docs.where(_among(picks.select(F.col("doc").alias("id")))(F.col("id")))
+    picks = written(picks, "picked_lines")
+    likely = docs.where(likely_in(picks, "doc")(F.col("id")))
     return likely.join(picks, likely["id"] == picks["doc"]).select("doc", "text", "lines").mapInArrow(run, "doc long, line int, words array<long>")
 
 
@@ -381,24 +358,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.Series(out, dtype=object)
 
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.struct("*").alias("row"))
-    joined = _with_gone(packed, gone)
+    joined = left_join_some(packed, gone, "id")
     text = cut(F.col("row")[text_col].cast("string"), F.col("gone"))
     return joined.select(*[(F.when(F.col("gone").isNull(), F.col("row")[c]).otherwise(text) if c == text_col else F.col("row")[c]).alias(c)
                            for c in docs.columns])
 
 
-def _with_gone(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """``rows`` (with a column `id`) and each document's list of lines to remove in `gone`, null for none.
-
-    Rows that a bit table of the changed documents rules out aren't shuffled.
-    """
-    changed = _among(gone.select("id"))
-    flagged = rows.withColumn("_likely", F.coalesce(changed(rows["id"]), F.lit(False)))
-    touched = flagged.where("_likely").drop("_likely")
-    rest = flagged.where("not _likely").drop("_likely").withColumn("gone", F.lit(None).cast("array<int>"))
-    return touched.join(gone, "id", "left").unionByName(rest)
-
-
 def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the kept lines joined by newlines) for every row; null texts count as empty."""
     gone = repeated_lines(docs, id_col, text_col, threshold).groupBy(F.col("doc").alias("id")).agg(F.collect_list("line").alias("gone"))
@@ -418,4 +383,4 @@ def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     names = ["doc_id", "n_lines", "n_removed", "kept_sha256"]
     schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
-    return _with_gone(rows, gone).mapInArrow(run, schema)
+    return left_join_some(rows, gone, "id").select("id", "text", "gone").mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, html_text, line_dedup, packing, secrets, simhash, toxicity
+from wordloom.llm import bpe, html_text, line_dedup, packing, secrets, simhash, substring_dedup, topk_search, toxicity, vector_near_dup
 from wordloom.session import ensure_checkpoint_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_topk_search(spark, sf_dir):
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"), k=5).withColumnRenamed("id", "vec_id")
+
+
 def op2_secret_scan(spark, sf_dir):
     return secrets.secret_digest(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
 
@@ -32,6 +36,11 @@ def op3_simhash(spark, sf_dir):
                         F.col("component").alias("component_id"))
 
 
+def op4_embedding_dedup(spark, sf_dir):
+    found = vector_near_dup.vector_links(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op5_bpe(spark, sf_dir):
     done = bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), keep_ids=False)
     return done.withColumnRenamed("id", "doc_id")
@@ -48,6 +57,10 @@ def op7_toxicity(spark, sf_dir):
         F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), window=35, keep_text=False).withColumnRenamed("id", "doc_id")
+
+
 def op9_html_text(spark, sf_dir):
     return html_text.extract_main_text(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -56,7 +69,9 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.line_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_simhash, op5_bpe, op6_best_fit_packing, op7_toxicity, op9_html_text, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_topk_search, op2_secret_scan, op3_simhash, op4_embedding_dedup, op5_bpe, op6_best_fit_packing, op7_toxicity, op8_substring_dedup,
+    op9_html_text, op10_line_dedup)}
 
 
 def sql() -> dict[str, str]:
