@@ -16,10 +16,25 @@ def test_longest_first_and_shield(spark):
 
 
 def test_case_punctuation_and_builtins(spark):
-    got = run_phrases(spark, ["Pls check A/C.", "no match here", "a--b"], [], builtins=True)
-    assert got[0] == "please check AC."
-    assert got[1] == "no match here"
-    assert got[2] == "a--b"
+    texts = ["Pls check A/C.", "no match here", "a--b", "(bedrm)", "'bedrm'", "kitchen/bedrm", "bedrm-2", "x&amp;y", "bedrms", "--"]
+    got = run_phrases(spark, texts, [], builtins=True)
+    assert [got[i] for i in range(len(texts))] == [
+        "please check AC.", "no match here", "a-b", "(bedroom)", "'bedroom'", "kitchen/bedroom", "bedroom-2", "xandy", "bedrms", "-"]
+
+
+def test_synonym_file_comes_first_in_file_order(spark):
+    import os
+    import tempfile
+
+    from wordloom.sources import readers as R
+    d = tempfile.mkdtemp()
+    for name, text in (("a.tsv", "pls\tfirst\nzz\tone\n"), ("b.tsv", "zz\ttwo\n")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    tab = CL.synonym_table(spark, [("zz", "three")], file_df=R.read_synonyms(spark, d).repartition(5))
+    rows = {r.phrase: r for r in tab.collect()}
+    assert rows["pls"].target == "please" and rows["pls"].place.source == 0   # first place, last target
+    assert rows["zz"].target == "three" and rows["zz"].place.file.endswith("a.tsv")
 
 
 def test_duplicate_phrase_last_target(spark):
@@ -41,3 +56,36 @@ def test_spelling(spark):
     df = spark.createDataFrame([(1, "water laek under sink, 3rd floor")], "id long, t string")
     r = CL.spell_correct(df, "id", "t", dic).first()
     assert r.corrected == "water leak under sink , 3rd floor" and r.n_corrected == 1
+
+
+def test_spelling_distance_two(spark):
+    dic = spark.createDataFrame([("bathroom", 10), ("abc", 5), ("kitchen", 2)], "word string, freq long")
+    words = ["bathrm", "bahtrom", "abthrooom", "ca", "kitcehn", "ktichne", "kxtxhxn", "x" * 40]
+    got = {r.word: (r.correction, r.distance) for r in
+           CL.spell_candidates(spark.createDataFrame([(w,) for w in words], "word string"), dic).collect()}
+    assert got["bathrm"] == ("bathroom", 2)
+    assert got["bahtrom"] == ("bathroom", 2)      # a swap and a deletion
+    assert got["abthrooom"] == ("bathroom", 2)    # a swap and an insertion
+    assert got["ca"] == ("abc", 2)                # a swap with a letter put between
+    assert got["kitcehn"] == ("kitchen", 1)
+    assert got["ktichne"] == ("kitchen", 2)       # two swaps
+    assert "kxtxhxn" not in got and "x" * 40 not in got
+
+
+def test_edit_distance_brute_force(spark):
+    import itertools
+
+    def neighbours(w):
+        out = {w[:i] + w[i + 1:] for i in range(len(w))}
+        out |= {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in "abc"}
+        out |= {w[:i] + c + w[i + 1:] for i in range(len(w)) for c in "abc"}
+        return out | {w[:i] + w[i + 1] + w[i] + w[i + 2:] for i in range(len(w) - 1)}
+    words = ["".join(x) for n in (1, 2, 3, 4) for x in itertools.product("abc", repeat=n)][::3]
+    rows = []
+    for a in words:
+        one = neighbours(a) - {a}
+        two = set().union(*(neighbours(x) for x in one)) - one - {a}
+        rows += [(a, b, 0 if a == b else 1 if b in one else 2 if b in two else None) for b in words]
+    df = spark.createDataFrame(rows, "a string, b string, d int")
+    bad = df.where(~CL.edit_distance("a", "b", 2).eqNullSafe(df["d"])).collect()
+    assert not bad, bad[:5]

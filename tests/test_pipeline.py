@@ -29,7 +29,7 @@ def test_pipeline_and_stream(spark):
                            ("fix", [0.5, 0.5])], "term string, vec array<double>").write.parquet(vec)
     syn = write(os.path.join(d, "syn.tsv"), "bedrm\tbedroom\n")
     cfg = PipelineConfig(work_orders_tsv=wo, training_csv=tr, synonyms_tsv=syn, word_vectors=vec,
-                         out_dir=os.path.join(d, "out"), iterations=15, dim=1 << 12,
+                         out_dir=os.path.join(d, "out"),
                          stages=["ingest", "train", "label", "vectorize", "cluster"])
     counters = {}
     done = run_pipeline(spark, cfg, counters)
@@ -45,7 +45,7 @@ def test_pipeline_and_stream(spark):
     # streaming: the same labelling over a folder of work-order files
     src = os.path.join(d, "stream_in")
     spark.read.parquet(done["work_orders"]).drop("row_id").write.parquet(src)
-    model = SQ.SequenceModel.load(spark, done["model"], dim=1 << 12)
+    model = SQ.SequenceModel.load(spark, done["model"])
     q = start_labelling(spark, src, model, os.path.join(d, "stream_out"), os.path.join(d, "stream_ckpt"))
     q.awaitTermination(120)
     got = spark.read.parquet(os.path.join(d, "stream_out"))

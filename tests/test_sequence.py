@@ -50,12 +50,12 @@ def test_fit_and_decode(spark):
                      [4, 0, 2] if i % 2 else [4, 1, 2]))
     train = spark.createDataFrame(rows, "id long, tokens array<string>, y array<int>")
     hist = []
-    model = SQ.fit(train, dim=1 << 12, iterations=15, history=hist)
+    model = SQ.fit(train, history=hist)
     assert hist[-1] < hist[0] * 0.5
-    enc = SQ.with_features(train, "tokens", 1 << 12)
+    enc = SQ.with_features(train, "tokens", model.features)
     out = SQ.decode(enc, model).select("tokens", "labels").collect()
     labels = model.labels
     for r, row in zip(out, rows):
         assert r.labels == [labels[k] for k in row[2]]
     empty = spark.createDataFrame([(1, [])], "id long, tokens array<string>")
-    assert SQ.decode(SQ.with_features(empty, "tokens", 1 << 12), model).first()["labels"] == []
+    assert SQ.decode(SQ.with_features(empty, "tokens", model.features), model).first()["labels"] == []

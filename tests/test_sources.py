@@ -34,7 +34,7 @@ def test_spreadsheet_xml(spark):
     write(os.path.join(d, "a.xml"), x)
     wo = R.raw_to_work_orders(R.read_spreadsheet_table(spark, d)).orderBy("row_id").collect()
     assert [(r.address, r.category, r.description, r.unit) for r in wo] == [
-        ("1 Main St", "Plumbing", "Leak nder sink", "3C"), ("", "Heat", "no heat", ""), ("", "", "", "")]
+        ("1 Main St", "Plumbing", "Leak nder sink", "3C"), ("", "Heat", "no heat", "")]
 
 
 def test_vector_text_and_synonyms(spark):
@@ -58,3 +58,22 @@ def test_tsv_round_trip(spark):
     assert back["location"] == "kitchen" and back["numerator"] == "" and back["ent_description"] == "leaky"
     ents = sorted((r.type, r.entity) for r in R.labelled_entities(R.read_labelled(spark, out)).collect())
     assert ents == [("action", "fix"), ("description", "leaky"), ("location", "kitchen"), ("object", "sink")]
+
+
+def test_headers_per_file_and_rejects(spark):
+    d = tempfile.mkdtemp()
+    row = lambda vals: "<Row>" + "".join(f'<Cell><Data ss:Type="String">{v}</Data></Cell>' for v in vals) + "</Row>"
+    for name, rows in (("a.xml", [("id", "address", "category", "description"), ("1", "1 Main", "Heat", "no heat")]),
+                       ("b.xml", [("description", "category", "id", "address"), ("leak", "Plumbing", "2", "2 Main"), ()])):
+        write(os.path.join(d, name), f'<?xml version="1.0"?><Workbook xmlns="{NS}" xmlns:ss="{NS}"><Worksheet><Table>'
+              + "".join(map(row, rows)) + "</Table></Worksheet></Workbook>")
+    table = R.read_spreadsheet_table(spark, d)
+    got = sorted((r.address, r.category, r.description, r.unit) for r in R.raw_to_work_orders(table).collect())
+    assert got == [("1 Main", "Heat", "no heat", ""), ("2 Main", "Plumbing", "leak", "")]
+    assert [r.reason for r in R.raw_rejects(table).collect()] == ["no work-order field"]
+
+
+def test_malformed_bytes_do_not_fail(spark):
+    from wordloom.functions import text as T
+    df = spark.createDataFrame([(bytearray(b"caf\xc3\xa9 \xff x"),)], "b binary")
+    assert df.select(T.decode_utf8("b").alias("t")).first()["t"] == "caf\u00e9 \ufffd x"

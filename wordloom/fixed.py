@@ -39,7 +39,6 @@ TRAINING_LABEL_FIXES = [("anlysis", "analysis")]
 PREDICTED_LABEL_FIXES = [("decription", "description"), ("inspect", "action")]
 
 # Sentinel that shields replaced text from later abbreviation rules.
-SHIELD = "xxxxxxx"
 
 # Built-in abbreviation map (phrase -> replacement), in original order.
 BUILTIN_SYNONYMS = [
@@ -128,5 +127,3 @@ MEMBERS_PER_CLUSTER = 5
 MAX_NGRAM = 4
 
 # Row limits of the quick and the full labelling run.
-QUICK_ROW_LIMIT = 200
-FULL_ROW_LIMIT = 2_000_000

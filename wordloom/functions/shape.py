@@ -92,7 +92,39 @@ def length_code(t) -> Column:
             .otherwise(F.concat(F.lit("w:"), F.length(a).cast("string")))
 
 
+def full_bracketed(t) -> Column:
+    return T._c(t).rlike(r"""^["('][A-Za-z0-9_]+[")']""")
+
+
+def bracketed(t) -> Column:
+    """A bracket or quote at one side of the leading word only."""
+    return T._c(t).rlike(r"""^(["('][A-Za-z0-9_]+|[A-Za-z0-9_]+[")'])""") & ~full_bracketed(t)
+
+
+def more_vowels(t) -> Column:
+    """More vowels than other characters."""
+    a = abbrev_token(t)
+    return F.length(F.regexp_replace(a, f"[^{fixed.VOWELS}]", "")) * 2 > F.length(a)
+
+
+def ends_in_punctuation(t) -> Column:
+    """The last character, if a character after the first is neither a word character nor a period; else ``false``."""
+    t = T._c(t)
+    return F.when(t.rlike(r"^.+[^.A-Za-z0-9_]"), F.substring(t, -1, 1)).otherwise("false")
+
+
+def word_form(t) -> Column:
+    """The abbreviated form, ``false`` for numbers."""
+    a = abbrev_token(t)
+    return F.when(a.rlike(r"^[0-9]+$"), "false").otherwise(a)
+
+
 OPTIONAL_FEATURES = {
+    "bracketed": bracketed,
+    "fullbracketed": full_bracketed,
+    "more.vowels": more_vowels,
+    "endsinpunc": ends_in_punctuation,
+    "word": word_form,
     "hyphenated": hyphenated,
     "contracted": contracted,
     "just.letters": just_letters,

@@ -56,8 +56,8 @@ def normalize(c) -> Column:
 
 
 def decode_utf8(c) -> Column:
-    """CLN-10: bytes -> text.  Strings pass through unchanged."""
-    return F.decode(_c(c), "UTF-8")
+    """CLN-10: bytes -> text; malformed bytes become U+FFFD.  Strings pass through unchanged."""
+    return F.make_valid_utf8(_c(c).cast("string"))
 
 
 def fix_labels(c, fixes=fixed.TRAINING_LABEL_FIXES) -> Column:

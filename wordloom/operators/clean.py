@@ -2,9 +2,9 @@
 
 Both are joins, not per-row dictionaries:
 
-* phrases - every text's word n-grams (up to the longest phrase) are joined
-  with the phrase table; the matches of one text are resolved by a greedy
-  longest-first cover and the text is rebuilt in-row.
+* phrases - runs of units (words and single other characters) as long as a
+  phrase are joined with the phrase table; the matches of one text are
+  resolved by a greedy longest-first cover and the text is rebuilt in-row.
 * spelling - only the *distinct vocabulary* is corrected: unknown words are
   found with an anti-join, candidates come from an equi-join on shared
   deletion keys (symmetric-delete neighbourhood), are verified by edit
@@ -23,8 +23,8 @@ from wordloom.operators import tokens as TK
 from wordloom.operators.cover import greedy_cover
 from wordloom.session import checked_broadcast
 
-# characters set aside at the end of a word before phrase matching
-TRAIL = r"[.,;:!?]+$"
+# units of a text for phrase matching: runs of word characters, and every other character by itself
+UNITS = r"\w+|\W"
 
 
 # ---------------------------------------------------------------------------
@@ -35,52 +35,53 @@ def synonym_table(spark, entries: list[tuple[str, str]] | None = None, file_df:
                   with_builtins: bool = True, case_sensitive: bool = False) -> DataFrame:
     """``(phrase, target, n_chars, rank)`` ordered by ``rank`` (longest phrase first).
 
-    ``file_df`` is a parsed synonym file ``(line_no, phrase, target)`` (see
-    ``sources.readers.read_synonyms``); ``entries`` are extra pairs; the
-    built-in map follows.  A phrase given twice keeps its first position and
+    ``file_df`` is a parsed synonym file ``(line_no, phrase, target)`` or
+    ``(file, line_no, phrase, target)`` (see ``sources.readers.read_synonyms``)
+    and comes first; then ``entries``, then the built-in map.  A phrase given twice keeps its first position and
     its last target.  Matching is case-insensitive unless ``case_sensitive``.
     """
-    rows = []
-    if entries:
-        rows += [(i, p, t) for i, (p, t) in enumerate(entries)]
-    base = len(rows) + 1_000_000_000
+    rows = [(1, i, p, t) for i, (p, t) in enumerate(entries or [])]
     if with_builtins:
-        rows += [(base + i, p, t) for i, (p, t) in enumerate(fixed.BUILTIN_SYNONYMS)]
-    df = spark.createDataFrame(rows, "line_no long, phrase string, target string")
+        rows += [(2, i, p, t) for i, (p, t) in enumerate(fixed.BUILTIN_SYNONYMS)]
+    order = F.struct("source", "file", "line")
+    df = spark.createDataFrame(rows, "source int, line long, phrase string, target string").withColumn("file", F.lit(""))
     if file_df is not None:
-        df = file_df.select(F.col("line_no").cast("long") - 2_000_000_000, "phrase", "target") \
-                    .toDF("line_no", "phrase", "target").unionByName(df)
+        name = F.col("file") if "file" in file_df.columns else F.lit("")
+        df = df.unionByName(file_df.select(F.lit(0).alias("source"), name.alias("file"), F.col("line_no").cast("long").alias("line"),
+                                           "phrase", "target"))
     key = F.trim(F.regexp_replace(F.col("phrase"), r"\s+", " "))
     if not case_sensitive:
         key = F.lower(key)
-    df = df.select(key.alias("phrase"), "target", "line_no").where(F.col("phrase") != "")
-    df = df.groupBy("phrase").agg(F.min("line_no").alias("line_no"), F.max_by("target", "line_no").alias("target"))
-    return df.select("phrase", "target", F.length("phrase").alias("n_chars"),
-                     F.size(F.split("phrase", " ")).alias("n_words"), "line_no")
+    df = df.select(key.alias("phrase"), "target", order.alias("place")).where(F.col("phrase") != "")
+    df = df.groupBy("phrase").agg(F.min("place").alias("place"), F.max_by("target", "place").alias("target"))
+    return df.select("phrase", "target", F.length("phrase").alias("n_chars"), F.size(units("phrase")).alias("n_units"), "place")
+
+
+def units(text) -> Column:
+    """Words and single other characters of a text, in order; joined they give the text back."""
+    return F.regexp_extract_all(T._c(text), F.lit(UNITS), F.lit(0))
 
 
 FIRST_WORDS_LITERAL_MAX = 10_000
 
 
-def _candidate_spans(keys: DataFrame, id_col: str, phrases: DataFrame, max_words: int) -> DataFrame:
+def _candidate_spans(keys: DataFrame, id_col: str, phrases: DataFrame, lengths: list[int]) -> DataFrame:
     """``(id, n, start, gram)`` spans that can match a phrase.
 
     With a small phrase table (checked) spans are generated only where a
-    word can start a phrase (a literal hash-set test per word); otherwise
-    every span up to ``max_words`` words is generated and the join filters.
+    unit can start a phrase (a literal hash-set test per unit); otherwise
+    every span as long as some phrase is generated and the join filters.
     """
-    firsts = phrases.select(F.split("phrase", " ").getItem(0).alias("w")).distinct() \
-                    .limit(FIRST_WORDS_LITERAL_MAX + 1).collect()
-    if len(firsts) > FIRST_WORDS_LITERAL_MAX:
-        return TK.explode_ngrams(keys, id_col, "_k", max_n=max_words).select(id_col, "n", "start", "gram")
-    first_set = [r["w"] for r in firsts]
+    firsts = phrases.select(F.get(units("phrase"), 0).alias("w")).distinct().limit(FIRST_WORDS_LITERAL_MAX + 1).collect()
     k = F.col("_k")
     size = F.size(k)
-    starts = F.filter(F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>")),
-                      lambda i: F.get(k, i).isin(*first_set))
+    starts = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    if len(firsts) <= FIRST_WORDS_LITERAL_MAX:
+        first_set = [r["w"] for r in firsts]
+        starts = F.filter(starts, lambda i: F.get(k, i).isin(*first_set))
     spans = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.filter(F.sequence(F.lit(1), F.lit(max_words)), lambda n: i + n <= size),
-        lambda n: T.nstruct(n=n, start=i, gram=F.array_join(F.slice(k, i + 1, n), " ")))))
+        F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: i + n <= size),
+        lambda n: T.nstruct(n=n, start=i, gram=F.array_join(F.slice(k, i + 1, n), "")))))
     return TK.explode_with_pos(keys, id_col, spans, "_p", "s").select(id_col, "s.n", "s.start", "s.gram")
 
 
@@ -88,42 +89,36 @@ def replace_phrases(df: DataFrame, id_col: str, text_col: str, phrases: DataFram
                     out: str = "cleaned", case_sensitive: bool = False) -> DataFrame:
     """CLN-2 + CLN-3: whole-word phrase substitution, longest phrase first.
 
-    Words are blank-separated; trailing ``. , ; : ! ?`` of a word are set
-    aside for matching and kept after the replacement.  Phrases are applied
-    in (length desc, table order) order and replaced text is never matched
-    again, which is the same as replacing phrase by phrase with a shield.
+    A phrase matches a run of units, so an edge of it that is a word
+    character lies at a word boundary and any other edge may lie anywhere
+    (``(bedrm)``, ``a--b``).  Phrases are applied in (length desc, table
+    order) order and replaced text is never matched again, which is the
+    same as replacing phrase by phrase with a shield.
     """
-    max_words = phrases.agg(F.max("n_words")).first()[0] or 1  # one number
+    lengths = sorted(r[0] for r in phrases.select("n_units").distinct().collect())  # distinct lengths: a few numbers
     squeezed = T.squeeze_spaces(F.col(text_col))
-    base = df.select(*df.columns, T.space_split(squeezed).alias("_w"), squeezed.alias("_sq"))
-    # match keys: one pass over the whole text strips trailing . , ; : ! ? from every word that has
-    # another character (blanks are never touched, so keys stay aligned with the words)
-    keys = F.regexp_replace("_sq", r"([^\s.,;:!?])[.,;:!?]+(\s|$)", "$1$2")
-    keys = keys if case_sensitive else F.lower(keys)
-    base = base.withColumn("_k", T.space_split(keys)).drop("_sq")
-    spans = _candidate_spans(base.select(id_col, "_k"), id_col, phrases, int(max_words))
-    p = phrases.select(F.col("phrase").alias("gram"), "target", "n_chars", "line_no")
+    base = df.select(*df.columns, units(squeezed).alias("_w"))
+    keys = base.select(id_col, (F.col("_w") if case_sensitive else units(F.lower(squeezed))).alias("_k"))
+    spans = _candidate_spans(keys, id_col, phrases, lengths or [1])
+    p = phrases.select(F.col("phrase").alias("gram"), "target", "n_chars", "place")
     hits = spans.join(checked_broadcast(p), "gram")
     per = hits.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("n_chars")).alias("o1"), F.col("line_no").alias("o2"), "start", "n", "target"))).alias("_s"))
+        (-F.col("n_chars")).alias("o1"), F.col("place").alias("o2"), "start", "n", "target"))).alias("_s"))
     per = per.withColumn("_m", greedy_cover(F.col("_s")))
     per = per.select(id_col, F.transform(F.filter(F.arrays_zip(F.col("_s").alias("s"), F.col("_m").alias("m")),
                                                   lambda z: z["m"]), lambda z: z["s"]).alias("_c"))
     j = base.join(per, id_col, "left")
 
     def rebuild(c):
-        starts = F.map_from_entries(F.transform(c, lambda x: F.struct(x["start"], x)))
-        inner = F.flatten(F.transform(c, lambda x: F.when(x["n"] > 1, F.sequence(x["start"] + 1, x["start"] + x["n"] - 1))
-                                      .otherwise(F.array().cast("array<int>"))))
-        return T.let(starts, lambda sm: T.let(inner, lambda cov: F.array_compact(F.transform(
-            F.col("_w"), lambda w, i: F.when(F.try_element_at(sm, i).isNotNull(), F.concat(
-                F.try_element_at(sm, i)["target"],
-                F.regexp_extract(F.get(F.col("_w"), i + F.try_element_at(sm, i)["n"] - 1), TRAIL, 0)))
-            .when(F.array_contains(cov, i), F.lit(None).cast("string"))
-            .otherwise(w)))))
+        starts = F.map_from_entries(F.transform(c, lambda x: T.nstruct(k=x["start"], v=x["target"])))
+        inner = F.map_from_entries(F.flatten(F.transform(c, lambda x: F.when(x["n"] > 1, F.transform(
+            F.sequence(x["start"] + 1, x["start"] + x["n"] - 1), lambda i: T.nstruct(k=i, v=F.lit(True))))
+            .otherwise(F.array().cast("array<struct<k:int,v:boolean>>")))))
+        return T.let(starts, lambda sm: T.let(inner, lambda cov: F.transform(
+            F.col("_w"), lambda w, i: F.coalesce(F.try_element_at(sm, i), F.when(F.try_element_at(cov, i), F.lit("")), w))))
 
     cleaned = F.when(F.col("_c").isNull(), F.col("_w")).otherwise(rebuild(F.col("_c")))
-    return j.select(*[c for c in df.columns], F.trim(T.squeeze_spaces(F.array_join(cleaned, " "))).alias(out))
+    return j.select(*[c for c in df.columns], F.trim(T.squeeze_spaces(F.array_join(cleaned, ""))).alias(out))
 
 
 # ---------------------------------------------------------------------------
@@ -168,13 +163,28 @@ def single_swap(a, b) -> Column:
 
 
 def edit_distance(a, b, max_d: int) -> Column:
-    """Levenshtein distance up to ``max_d`` (null above); a single adjacent swap counts as 1."""
-    lev = F.levenshtein(T._c(a), T._c(b), max_d)
-    d = F.when(single_swap(a, b), F.lit(1)).otherwise(F.when(lev >= 0, lev))
-    return F.when(d <= max_d, d)
+    """Edit distance up to ``max_d`` <= 2 (null above) where swapping two adjacent characters is one edit."""
+    if max_d > 2:
+        raise ValueError("distances above 2 are not supported")
+    a, b = T._c(a), T._c(b)
+    lev = F.levenshtein(a, b, max_d)
+    d = F.when((lev == 0) | (lev == 1), lev).when(single_swap(a, b), F.lit(1))
+    if max_d > 1:
+        # Two edits of which one is a swap: it comes first (a swap of a) or last (a swap of b).
+        places = lambda w: F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1)))
+        one = F.lit(1)
+
+        def swapped(w, i):
+            return F.concat(F.substr(w, one, i - 1), F.substr(w, i + 1, one), F.substr(w, i, one), F.substr(w, i + 2))
+
+        near = lambda x, y: F.levenshtein(x, y, 1) >= 0
+        with_swap = F.exists(places(a), lambda i: near(swapped(a, i), b) | single_swap(swapped(a, i), b)) \
+            | F.exists(places(b), lambda i: near(a, swapped(b, i)))
+        d = d.when(lev == 2, lev).when((F.abs(F.length(a) - F.length(b)) <= 1) & with_swap, F.lit(2))
+    return d
 
 
-def spell_candidates(words: DataFrame, dictionary: DataFrame, max_distance: int = 1,
+def spell_candidates(words: DataFrame, dictionary: DataFrame, max_distance: int = 2,
                      word_col: str = "word") -> DataFrame:
     """JOIN-5: best dictionary word for every unknown eligible word.
 
@@ -184,7 +194,10 @@ def spell_candidates(words: DataFrame, dictionary: DataFrame, max_distance: int
     """
     vocab = words.select(F.col(word_col).alias("word")).where(eligible("word")).distinct()
     dic = dictionary.select(F.col("word").alias("cand"), F.col("freq").cast("long").alias("freq"))
-    unknown = vocab.join(dic.select(F.col("cand").alias("word")), "word", "left_anti")  # JOIN-7
+    # a word longer than the longest dictionary word by more than the distance has no candidate
+    longest = dictionary.agg(F.max(F.length("word"))).scalar()
+    unknown = vocab.where(F.length("word") <= longest + max_distance) \
+                   .join(dic.select(F.col("cand").alias("word")), "word", "left_anti")  # JOIN-7
     uk = TK.explode_with_pos(unknown, "word", deletes("word", max_distance), "_p", "dkey")
     dk = TK.explode_with_pos(dic, ["cand", "freq"], deletes("cand", max_distance), "_p", "dkey")
     pairs = uk.join(dk, "dkey").select("word", "cand", "freq").distinct()
@@ -196,28 +209,29 @@ def spell_candidates(words: DataFrame, dictionary: DataFrame, max_distance: int
                        (-F.col("b.nf")).alias("freq"))
 
 
-def spell_correct(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame, max_distance: int = 1,
+def spell_correct(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame, max_distance: int = 2,
                   out: str = "corrected") -> DataFrame:
     """CLN-5: correct every eligible unknown word of every text; other words pass through.
 
     Returns ``(id, out, n_words, n_corrected)``.  Each distinct word is
-    corrected once; the result is joined back to the word positions.
+    corrected once.  Only the distinct words of a text go to the join with
+    the corrections, and only texts with corrections are changed.
     """
-    words = TK.explode_with_pos(df, id_col, spell_words(text_col), "pos", "word")
-    corr = spell_candidates(words.select("word"), dictionary, max_distance).select("word", "correction")
-    fixed_words = words.join(corr, "word", "left").select(
-        id_col, "pos", F.coalesce("correction", "word").alias("w"), F.col("correction").isNotNull().alias("c"))
-    per = fixed_words.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("_ws"),
-        F.sum(F.col("c").cast("int")).alias("n_corrected"), F.count(F.lit(1)).alias("n_words"))
-    res = per.select(id_col, F.array_join(F.transform("_ws", lambda x: x["w"]), " ").alias(out), "n_words", "n_corrected")
-    return df.select(id_col).join(res, id_col, "left").select(
-        id_col, F.coalesce(out, F.lit("")).alias(out), F.coalesce("n_words", F.lit(0)).alias("n_words"),
-        F.coalesce("n_corrected", F.lit(0)).alias("n_corrected"))
+    base = df.select(id_col, spell_words(text_col).alias("_w"))
+    words = TK.explode_with_pos(base, id_col, F.filter(F.array_distinct("_w"), eligible), "_p", "word").select(id_col, "word")
+    corr = spell_candidates(words.select("word").distinct(), dictionary, max_distance).select("word", "correction")
+    per = words.join(corr, "word").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "correction"))).alias("_m"))
+    done = base.join(per, id_col, "left")
+    new = F.when(F.col("_m").isNull(), F.col("_w")).otherwise(
+        F.transform("_w", lambda w: F.coalesce(F.try_element_at(F.col("_m"), w), w)))
+    changed = F.when(F.col("_m").isNull(), F.lit(0)).otherwise(
+        F.size(F.filter("_w", lambda w: F.try_element_at(F.col("_m"), w).isNotNull())))
+    return done.select(id_col, F.coalesce(F.array_join(new, " "), F.lit("")).alias(out),
+                       F.coalesce(F.size("_w"), F.lit(0)).cast("long").alias("n_words"), changed.cast("long").alias("n_corrected"))
 
 
 def preclean(df: DataFrame, id_col: str, text_col: str, phrases: DataFrame, dictionary: DataFrame,
-             max_distance: int = 1, out: str = "cleaned") -> DataFrame:
+             max_distance: int = 2, out: str = "cleaned") -> DataFrame:
     """CLN-6: phrases first, then spelling."""
     p = replace_phrases(df.select(id_col, text_col), id_col, text_col, phrases, out="_p")
     s = spell_correct(p.select(id_col, "_p"), id_col, "_p", dictionary, max_distance, out=out)

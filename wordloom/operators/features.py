@@ -16,10 +16,6 @@ from wordloom.functions import shape as S
 from wordloom.functions import text as T
 from wordloom.session import checked_broadcast
 
-# Names of the numeric/boolean base features, in record order.
-BASE_FEATURES = ["nouns_count", "verbs_count", "nltk_tag", "is_location", "is_object",
-                 "length", "has.vowels", "period", "comma", "prepositions", "possessive"]
-
 
 def gazetteer_table(spark) -> DataFrame:
     """D16: the fixed gazetteers as a small ``(kind, term)`` table."""
@@ -94,9 +90,25 @@ def with_pos(df: DataFrame, token_col: str, lexicon: DataFrame | None, default_t
                             "nltk_tag": F.coalesce("nltk_tag", F.lit(default_tag))})
 
 
-def token_record(t, nouns=None, verbs=None, tag=None) -> Column:
+def with_pos_array(df: DataFrame, tokens_col: str, lexicon: DataFrame, out: str = "pos", default_tag: str = "") -> DataFrame:
+    """JOIN-4 for whole texts: an array of POS structs beside the token array, in token order.
+
+    Each distinct token array is looked up once; the lexicon is broadcast
+    only below the checked size.
+    """
+    from wordloom.operators.tokens import explode_with_pos
+    distinct = df.select(F.col(tokens_col).alias("_tk")).where(F.col("_tk").isNotNull()).distinct()
+    words = with_pos(explode_with_pos(distinct, "_tk", F.col("_tk"), "_i", "_word"), "_word", lexicon, default_tag)
+    per = words.groupBy("_tk").agg(F.array_sort(F.collect_list(F.struct("_i", "nouns_count", "verbs_count", "nltk_tag"))).alias("_ps"))
+    joined = df.join(per, F.col(tokens_col) == per["_tk"], "left").drop("_tk")
+    return joined.withColumn(out, F.coalesce(F.col("_ps"), F.array().cast(per.schema["_ps"].dataType))).drop("_ps")
+
+
+def token_record(t, nouns=None, verbs=None, tag=None, optional=()) -> Column:
     """FEA-10: one token's feature struct (POS fields from columns when given).
 
+    ``optional`` names features of ``shape.OPTIONAL_FEATURES`` to add (FEA-9).
+
     The cleaned and abbreviated forms are bound once per token and shared by
     the features that need them.
     """
@@ -115,30 +127,29 @@ def token_record(t, nouns=None, verbs=None, tag=None) -> Column:
             comma=S.ends_with_comma(t),
             prepositions=ab.isin(*fixed.PREPOSITIONS),
             possessive=cl.endswith("'s"),
+            **{name.replace(".", "_"): S.OPTIONAL_FEATURES[name](t) for name in optional},
         )
 
     return T.let(T.clean_token(t), lambda cl: T.let(
         F.when(t.isin("&"), t).otherwise(F.regexp_replace(cl, r"\W", "")), lambda ab: build(cl, ab)))
 
 
-def sequence_features(tokens, pos_map=None) -> Column:
+def sequence_features(tokens, pos=None, optional=()) -> Column:
     """FEA-10..12 over a token array, in place (no explode).
 
     Returns ``array<struct<token, feat, rawstring_start, rawstring_end,
     singleton, previous, next>>`` where ``previous``/``next`` are the
     neighbours' feature structs including their own boundary flags, null at
-    the edges.  ``pos_map`` (``map<string, struct<nouns_count,
-    verbs_count, nltk_tag>>``) supplies POS fields per token when given.
+    the edges.  ``pos`` (an array beside the tokens, see `with_pos_array`)
+    supplies the POS fields when given; ``optional`` adds FEA-9 features.
     """
     tk = T._c(tokens)
     n = F.size(tk)
 
     def base(x, i):
-        pos = F.try_element_at(pos_map, x) if pos_map is not None else None
-        rec = token_record(x,
-                           pos["nouns_count"] if pos is not None else None,
-                           pos["verbs_count"] if pos is not None else None,
-                           F.coalesce(pos["nltk_tag"], F.lit("")) if pos is not None else None)
+        own = F.get(T._c(pos), i) if pos is not None else None
+        rec = token_record(x, *([own[c] for c in ("nouns_count", "verbs_count", "nltk_tag")] if own is not None else [None] * 3),
+                           optional=optional)
         return T.nstruct(f=rec, rawstring_start=(i == 0) & (n > 1), rawstring_end=(i == n - 1) & (n > 1))
 
     recs = F.transform(tk, base)

@@ -1,18 +1,19 @@
 """Linear-chain sequence labelling (SEQ-1 fit, SEQ-2 decode, SEQ-3 label a dataset).
 
 Features are built in Spark (JVM expressions over the token array, no
-explode) and hashed into ``dim`` slots, flattened per text into three
-arrays: ``ftok`` (token position), ``fidx`` (hashed feature), ``fval``
-(value).  The model is ``W[dim, L]`` emission weights plus ``A[L, L]``
-transition weights; its size is set by ``dim`` and never grows with the
-data, so it is broadcast.
-
-* decode: Arrow-batched pandas UDF, numpy Viterbi per text.
-* fit: conditional log-likelihood with L2, full-batch AdaGrad.  Each
-  iteration is one distributed pass: ``mapInPandas`` runs forward-backward
-  per text and emits one sparse gradient row per touched feature; a
-  ``groupBy(idx)`` sums them (map-side partial sums), and only the summed
-  gradient (bounded by ``dim``) reaches the driver for the update.
+explode) and flattened per text into three arrays: ``ftok`` (token
+position), ``fidx`` (the feature's number in the model's index, exact: every
+name has its own) and ``fval`` (value).  The model is ``W[features, L]``
+emission weights plus ``A[L, L]`` transition weights.  Its features are the
+names that the training texts have; with the base features these are a few
+dozen names and one for each POS tag.
+
+* decode: Arrow batches, numpy Viterbi per text, each distinct text once.
+* fit: conditional log-likelihood with L2, minimised by L-BFGS until the loss
+  no longer falls.  Each evaluation is one distributed pass: ``mapInPandas``
+  runs forward-backward per text and emits one gradient row per touched
+  feature; a ``groupBy(idx)`` sums them (map-side partial sums), and only the
+  summed gradient (bounded by the model's size) reaches the driver.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ from wordloom.functions import text as T
 from wordloom.operators import features as FE
 from wordloom.session import ensure_checkpoint_dir
 
-DEFAULT_DIM = 1 << 18
-
 # ---------------------------------------------------------------------------
 # feature encoding
 # ---------------------------------------------------------------------------
@@ -46,17 +45,19 @@ def _kv(k, v) -> Column:
     return F.named_struct(F.lit("k"), k, F.lit("v"), v)
 
 
-def _record_items(rec: Column, prefix: str) -> list[Column]:
+def _record_items(rec: Column, prefix: str, optional=()) -> list[Column]:
     """``struct<k, v>`` items of one feature record (string features become ``name:value`` with 1)."""
     items = [_kv(F.lit(prefix + n), rec[n].cast("double")) for n in _NUMERIC]
     items += [_kv(F.lit(prefix + name), rec[f].cast("double")) for f, name in _BOOL]
     items.append(_kv(F.concat(F.lit(prefix + "nltk_tag:"), rec["nltk_tag"]), F.lit(1.0)))
+    # optional features by their value as text: name:true, name:upper, ...
+    items += [_kv(F.concat(F.lit(f"{prefix}{n}:"), rec[n.replace(".", "_")].cast("string")), F.lit(1.0)) for n in optional]
     return items
 
 
-def token_items(r: Column) -> Column:
+def token_items(r: Column, optional=()) -> Column:
     """All ``(feature, value)`` items of one element of ``features.sequence_features``."""
-    own = _record_items(r["feat"], "")
+    own = _record_items(r["feat"], "", optional)
     own += [_kv(F.lit("rawstring.start"), r["rawstring_start"].cast("double")),
             _kv(F.lit("rawstring.end"), r["rawstring_end"].cast("double")),
             _kv(F.lit("singleton"), r["singleton"].cast("double")),
@@ -64,7 +65,7 @@ def token_items(r: Column) -> Column:
     items = F.array(*own)
     for side in ("previous", "next"):
         nb = r[side]
-        side_items = _record_items(nb["f"], side + ":") + [
+        side_items = _record_items(nb["f"], side + ":", optional) + [
             _kv(F.lit(side + ":rawstring.start"), nb["rawstring_start"].cast("double")),
             _kv(F.lit(side + ":rawstring.end"), nb["rawstring_end"].cast("double"))]
         items = F.concat(items, F.when(nb.isNotNull(), F.array(*side_items))
@@ -72,14 +73,26 @@ def token_items(r: Column) -> Column:
     return F.filter(items, lambda e: e["v"] != 0)
 
 
-def with_features(df: DataFrame, tokens_col: str = "tokens", dim: int = DEFAULT_DIM) -> DataFrame:
-    """Add ``ntok``, ``ftok``, ``fidx``, ``fval`` for the token array (staged, computed once per row)."""
-    st = df.withColumn("_sf", FE.sequence_features(tokens_col))
-    st = st.withColumn("_it", F.transform("_sf", token_items)).drop("_sf")
+def with_features(df: DataFrame, tokens_col: str = "tokens", names: list[str] | None = None, lexicon: DataFrame | None = None,
+                  optional=()) -> DataFrame:
+    """Add ``ntok``, ``ftok``, ``fval`` and ``fidx`` (or ``fkey``, the names, without an index) for the token array.
+
+    Features that the index ``names`` does not have are left out, as they
+    have no weight.  ``lexicon`` (word, tag[, ord]) supplies the POS features.
+    """
+    pos = None
+    st = df
+    if lexicon is not None:
+        st, pos = FE.with_pos_array(df, tokens_col, lexicon, "_pos"), "_pos"
+    st = st.withColumn("_sf", FE.sequence_features(tokens_col, pos, optional))
+    st = st.withColumn("_it", F.transform("_sf", lambda r: token_items(r, optional))).drop("_sf", *([pos] if pos else []))
+    if names is not None:
+        number = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]) if names else F.create_map().cast("map<string,int>")
+        st = st.withColumn("_it", T.let(number, lambda m: F.transform("_it", lambda it: F.filter(
+            F.transform(it, lambda e: T.nstruct(k=F.try_element_at(m, e["k"]), v=e["v"])), lambda e: e["k"].isNotNull()))))
     st = st.withColumn("ntok", F.size(tokens_col))
     st = st.withColumn("ftok", F.flatten(F.transform("_it", lambda it, t: F.transform(it, lambda e: t))))
-    st = st.withColumn("fidx", F.flatten(F.transform("_it", lambda it: F.transform(
-        it, lambda e: F.pmod(F.xxhash64(e["k"]), F.lit(dim)).cast("int")))))
+    st = st.withColumn("fkey" if names is None else "fidx", F.flatten(F.transform("_it", lambda it: F.transform(it, lambda e: e["k"]))))
     st = st.withColumn("fval", F.flatten(F.transform("_it", lambda it: F.transform(it, lambda e: e["v"]))))
     return st.drop("_it")
 
@@ -90,40 +103,41 @@ def with_features(df: DataFrame, tokens_col: str = "tokens", dim: int = DEFAULT_
 
 @dataclass
 class SequenceModel:
+    features: list[str] = field(default_factory=list)
     labels: list[str] = field(default_factory=lambda: list(fixed.MODEL_LABELS))
-    dim: int = DEFAULT_DIM
+    optional: tuple = ()
     W: np.ndarray | None = None
     A: np.ndarray | None = None
 
     def __post_init__(self):
         L = len(self.labels)
         if self.W is None:
-            self.W = np.zeros((self.dim, L))
+            self.W = np.zeros((len(self.features), L))
         if self.A is None:
             self.A = np.zeros((L, L))
 
     def weights_frame(self, spark) -> DataFrame:
-        """Non-zero weights as ``(idx, label, w)`` plus transitions ``(-1 - from, to_label, w)``."""
-        rows = [(int(i), self.labels[j], float(self.W[i, j])) for i, j in zip(*np.nonzero(self.W))]
-        rows += [(-1 - a, self.labels[b], float(self.A[a, b])) for a in range(len(self.labels))
-                 for b in range(len(self.labels))]
-        return spark.createDataFrame(rows, "idx int, label string, w double")
+        """``(kind, name, label, w)``: feature weights, transitions (from, to) and the optional features' names."""
+        rows = [("feature", n, self.labels[j], float(self.W[i, j])) for i, n in enumerate(self.features) for j in range(len(self.labels))]
+        rows += [("transition", a, b, float(self.A[i, j])) for i, a in enumerate(self.labels) for j, b in enumerate(self.labels)]
+        rows += [("optional", n, "", 0.0) for n in self.optional]
+        return spark.createDataFrame(rows, "kind string, name string, label string, w double")
 
     def save(self, spark, path: str) -> None:
         """Model as Parquet: the weights frame."""
         self.weights_frame(spark).write.mode("overwrite").parquet(path)
 
     @classmethod
-    def load(cls, spark, path: str, labels=None, dim: int = DEFAULT_DIM) -> "SequenceModel":
-        rows = spark.read.parquet(path).collect()  # bounded by dim * L
-        labels = list(labels or fixed.MODEL_LABELS)
-        m = cls(labels=labels, dim=dim)
-        pos = {l: i for i, l in enumerate(labels)}
+    def load(cls, spark, path: str, labels=None) -> "SequenceModel":
+        rows = spark.read.parquet(path).collect()  # the model: features * labels
+        m = cls(features=sorted({r["name"] for r in rows if r["kind"] == "feature"}), labels=list(labels or fixed.MODEL_LABELS),
+                optional=tuple(sorted(r["name"] for r in rows if r["kind"] == "optional")))
+        pos, num = {x: i for i, x in enumerate(m.labels)}, {x: i for i, x in enumerate(m.features)}
         for r in rows:
-            if r["idx"] >= 0:
-                m.W[r["idx"], pos[r["label"]]] = r["w"]
-            else:
-                m.A[-1 - r["idx"], pos[r["label"]]] = r["w"]
+            if r["kind"] == "feature":
+                m.W[num[r["name"]], pos[r["label"]]] = r["w"]
+            elif r["kind"] == "transition":
+                m.A[pos[r["name"]], pos[r["label"]]] = r["w"]
         return m
 
 
@@ -278,15 +292,21 @@ def decode(df: DataFrame, model: SequenceModel, out: str = "labels") -> DataFram
     return df.mapInPandas(run, schema)
 
 
-def label_tokens(df: DataFrame, text_col: str, model: SequenceModel, dim: int | None = None) -> DataFrame:
-    """SEQ-2 on a text column: ``tokens`` (TOK-2 of the lower-cased text) and predicted ``labels``."""
-    spread = df.sparkSession.sparkContext.defaultParallelism
-    if not df.isStreaming and df.rdd.getNumPartitions() < spread:
-        # a few large input splits would leave cores idle in the Python decoder
-        df = df.repartition(spread)
-    d = df.withColumn("tokens", T.tokenize(F.lower(F.col(text_col))))
-    enc = with_features(d, "tokens", dim or model.dim)
-    return decode(enc, model).drop("ntok", "ftok", "fidx", "fval")
+def label_tokens(df: DataFrame, text_col: str, model: SequenceModel, lexicon: DataFrame | None = None) -> DataFrame:
+    """SEQ-2 on a text column: ``tokens`` (TOK-2 of the lower-cased text) and predicted ``labels``.
+
+    Each distinct text is labelled once and its labels joined back (a stream
+    labels its rows as they come).
+    """
+    def labelled(texts: DataFrame) -> DataFrame:
+        d = texts.withColumn("tokens", T.tokenize(F.lower(F.col(text_col))))
+        return decode(with_features(d, "tokens", model.features, lexicon, model.optional), model).drop("ntok", "ftok", "fidx", "fval")
+
+    if df.isStreaming:
+        return labelled(df)
+    done = labelled(df.select(text_col).where(F.col(text_col).isNotNull()).distinct())
+    out = df.join(done.withColumnRenamed(text_col, "_text"), df[text_col] == F.col("_text"), "left").drop("_text")
+    return out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("tokens", "labels")})
 
 
 # ---------------------------------------------------------------------------
@@ -306,63 +326,98 @@ def training_sequences(parsed: DataFrame, id_col: str = "line_id", labels=fixed.
     return keep_rows(seqs, F.size("tokens") > 0)
 
 
-def fit(train: DataFrame, labels=fixed.MODEL_LABELS, dim: int = DEFAULT_DIM, iterations: int = 40,
-        learning_rate: float = 0.5, l2: float = 0.01, tokens_col: str = "tokens", y_col: str = "y",
-        history: list | None = None) -> SequenceModel:
-    """Fit a linear-chain CRF on ``(tokens, y)`` rows (y = label indices)."""
+def minimise(evaluate, x: np.ndarray, tolerance: float, memory: int = 8, history: list | None = None) -> np.ndarray:
+    """L-BFGS with backtracking until a step lowers the loss by less than ``tolerance`` of it.
+
+    ``evaluate(x)`` gives the loss and its gradient.
+    """
+    loss, grad = evaluate(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        if history is not None:
+            history.append(loss)
+        way, alphas = grad.copy(), []
+        for s, y in reversed(pairs):
+            alphas.append((s @ way) / (s @ y))
+            way -= alphas[-1] * y
+        if pairs:
+            s, y = pairs[-1]
+            way *= (s @ y) / (y @ y)
+        else:
+            way /= max(1.0, float(np.abs(grad).sum()))
+        for (s, y), alpha in zip(pairs, reversed(alphas)):
+            way += s * (alpha - (y @ way) / (s @ y))
+        slope, step = float(grad @ way), 1.0
+        if slope <= 0:
+            return x
+        while True:
+            new = x - step * way
+            new_loss, new_grad = evaluate(new)
+            if new_loss <= loss - 1e-4 * step * slope:
+                break
+            step /= 2
+            if step * np.abs(way).max() < 1e-10:
+                return x
+        s, y = new - x, new_grad - grad
+        if s @ y > 1e-12:
+            pairs = [*pairs[1 - memory:], (s, y)]
+        first, gain = len(pairs) < 2, loss - new_loss
+        x, loss, grad = new, new_loss, new_grad
+        if gain < tolerance * max(1.0, abs(loss)) and not first:
+            if history is not None:
+                history.append(loss)
+            return x
+
+
+def fit(train: DataFrame, labels=fixed.MODEL_LABELS, tolerance: float = 1e-3, l2: float = 0.01, tokens_col: str = "tokens", y_col: str = "y",
+        lexicon: DataFrame | None = None, optional=(), history: list | None = None) -> SequenceModel:
+    """Fit a linear-chain CRF on ``(tokens, y)`` rows (y = label indices).
+
+    Ends when an iteration lowers the loss by less than ``tolerance`` of it.
+    """
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)
     L = len(labels)
-    enc = with_features(train.select(tokens_col, y_col), tokens_col, dim).select("ntok", "ftok", "fidx", "fval", y_col)
-    # spread the texts over all cores once, then cut lineage on shared storage (reused every iteration)
-    parts = max(spark.sparkContext.defaultParallelism, enc.rdd.getNumPartitions())
-    enc = enc.repartition(parts).checkpoint()
-    model = SequenceModel(labels=list(labels), dim=dim)
-    gW = np.zeros_like(model.W)
-    gA = np.zeros_like(model.A)
-    schema = "idx int, g array<double>"
-    for _ in range(iterations):
-        bc = spark.sparkContext.broadcast((model.W, model.A))
+    named = with_features(train.select(tokens_col, y_col), tokens_col, None, lexicon, optional).select("ntok", "ftok", "fkey", "fval", y_col).checkpoint()
+    # The model's features: every name that occurs.
+    names = [r[0] for r in named.select(F.explode(F.array_distinct("fkey")).alias("k")).distinct().orderBy("k").collect()]
+    number = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]) if names else F.create_map().cast("map<string,int>")
+    # spread the texts over all cores once, then cut lineage on shared storage (reused in every pass)
+    enc = named.select("ntok", "ftok", T.let(number, lambda m: F.transform("fkey", lambda k: F.element_at(m, k))).alias("fidx"), "fval", y_col)
+    enc = enc.repartition(spark.sparkContext.defaultParallelism).checkpoint()
+    model = SequenceModel(features=names, labels=list(labels), optional=tuple(optional))
+    D = len(names)
+
+    def evaluate(x: np.ndarray):
+        """Loss and gradient over all texts: one distributed pass."""
+        W, A = x[:D * L].reshape(D, L), x[D * L:].reshape(L, L)
+        bc = spark.sparkContext.broadcast((W, A))
 
         def part_grad(it, bc=bc):
             W, A = bc.value
-            G = np.zeros_like(W)
-            GA = np.zeros_like(A)
-            loss = 0.0
+            G, GA, loss = np.zeros_like(W), np.zeros_like(A), 0.0
             for pdf in it:
                 ls, g, ga = batch_gradient(W, A, pdf["ntok"], pdf["ftok"], pdf["fidx"], pdf["fval"], pdf[y_col])
                 loss += ls
                 G += g
                 GA += ga
-            touched = np.nonzero(np.abs(G).sum(1) > 0)[0]
-            rows = [(int(k), G[k].tolist()) for k in touched]
-            rows.append((-1, GA.ravel().tolist()))
-            rows.append((-2, [loss]))
+            rows = [(int(k), G[k].tolist()) for k in np.flatnonzero(np.abs(G).sum(1) > 0)]
+            rows += [(-1 - a, GA[a].tolist()) for a in range(L)]
+            rows.append((D, [loss] + [0.0] * (L - 1)))
             yield pd.DataFrame(rows, columns=["idx", "g"])
 
-        grads = enc.mapInPandas(part_grad, schema)
-        width = max(L * L, L)
-        summed = grads.groupBy("idx").agg(F.array(*[F.sum(F.get(F.col("g"), i)) for i in range(width)]).alias("g"))
-        rows = summed.collect()  # at most (touched features + 2) rows, bounded by dim
-        loss = 0.0
-        GW = np.zeros_like(model.W)
-        GA = np.zeros_like(model.A)
-        for r in rows:
-            g = np.asarray([x if x is not None else 0.0 for x in r["g"]])
-            if r["idx"] == -2:
-                loss = float(g[0])
-            elif r["idx"] == -1:
-                GA = g[: L * L].reshape(L, L)
+        grads = enc.mapInPandas(part_grad, "idx int, g array<double>")
+        summed = grads.groupBy("idx").agg(F.array(*[F.sum(F.get(F.col("g"), i)) for i in range(L)]).alias("g"))
+        G, loss = np.zeros((D + 1 + L, L)), 0.0
+        for r in summed.collect():  # one row a feature and label: the model's size
+            if r["idx"] == D:
+                loss = r["g"][0]
             else:
-                GW[r["idx"]] = g[:L]
-        GW += l2 * model.W
-        GA += l2 * model.A
-        loss += 0.5 * l2 * (float((model.W ** 2).sum()) + float((model.A ** 2).sum()))
-        gW += GW ** 2
-        gA += GA ** 2
-        model.W -= learning_rate * GW / (np.sqrt(gW) + 1e-8)
-        model.A -= learning_rate * GA / (np.sqrt(gA) + 1e-8)
+                G[r["idx"] if r["idx"] >= 0 else D - r["idx"]] = r["g"]
         bc.unpersist()
-        if history is not None:
-            history.append(loss)
+        grad = np.concatenate([G[:D].ravel(), G[D + 1:].ravel()]) + l2 * x
+        return loss + 0.5 * l2 * float(x @ x), grad
+
+    x = minimise(evaluate, np.zeros(D * L + L * L), tolerance, history=history)
+    model.W, model.A = x[:D * L].reshape(D, L).copy(), x[D * L:].reshape(L, L).copy()
     return model

@@ -17,20 +17,19 @@ from wordloom.operators import labels as L
 from wordloom.operators import sequence as SQ
 from wordloom.plans import q_clean as QC
 from wordloom.plans import q_labels as QL
+from wordloom.plans import q_sequence as QS
 from wordloom.plans.common import load
 
-FLAGSHIP_ITERATIONS = 8
-DIM = 1 << 16
 
-
-def flagship(spark, sf_dir, iterations: int = FLAGSHIP_ITERATIONS):
+def flagship(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select(
         "doc_id", F.col("source").alias("address"), F.col("lang").alias("category"),
         T.normalize("text").alias("description"), F.lit("").alias("unit"))
     cleaned = CL.preclean(docs, "doc_id", "description", CL.synonym_table(spark, QC.EXTRA_PHRASES),
                           QC.dictionary(spark, sf_dir), out="cleaned")
-    model = SQ.fit(SQ.training_sequences(QL.parsed_lines(spark, sf_dir)), dim=DIM, iterations=iterations)
-    lab = SQ.label_tokens(cleaned, "cleaned", model).drop("cleaned")
+    lex = QS.lexicon(spark)
+    model = SQ.fit(SQ.training_sequences(QL.parsed_lines(spark, sf_dir)), lexicon=lex)
+    lab = SQ.label_tokens(cleaned, "cleaned", model, lex).drop("cleaned")
     cols = L.with_label_columns(lab, "tokens", "labels")
     return cols.select("doc_id", "address", "category", "description", "unit",
                        *[("ent_description" if c == "description" else c) for c in fixed.LABELS], fixed.OBJECT2)

@@ -44,11 +44,12 @@ class PipelineConfig:
     word_vectors_format: str = "parquet"
     out_dir: str | None = None
     stages: list[str] = field(default_factory=lambda: list(DEFAULT_STAGES))
-    row_limit: int = fixed.FULL_ROW_LIMIT  # ORD-2; <= 0 means no limit
+    row_limit: int = 0                     # ORD-2; 0 means no limit
     cluster_types: list[str] = field(default_factory=list)  # ORD-3; [] = all
-    dim: int = SQ.DEFAULT_DIM
-    iterations: int = 40
-    max_distance: int = 1
+    lexicon: str | None = None             # Parquet (word, tag[, ord]) for the POS features
+    optional_features: list[str] = field(default_factory=list)  # FEA-9 names, see functions.shape
+    tolerance: float = 1e-3                # fitting ends when the loss falls by less than this share
+    max_distance: int = 2
     backfill: str = "next"
 
 
@@ -72,13 +73,20 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig, counters: dict | None
         done[name] = f"{out}/{name}"
         return done[name]
 
+    lexicon = spark.read.parquet(cfg.lexicon) if cfg.lexicon else None
     for stage in cfg.stages:
         if stage == "ingest":
             if cfg.raw_xml:
-                wo = R.raw_to_work_orders(R.read_spreadsheet_table(spark, cfg.raw_xml))
+                table = R.read_spreadsheet_table(spark, cfg.raw_xml)
+                counted(R.raw_rejects(table), "raw_rejects").write.mode("overwrite").parquet(p("raw_rejects"))
+                wo = R.raw_to_work_orders(table)
             else:
                 wo = R.read_work_orders(spark, cfg.work_orders_tsv)
             if cfg.synonyms_tsv or cfg.dictionary:
+                # row_id is numbered by the reader: fixed on disk before it is joined on
+                path = stage_path(spark, "work-orders-read")
+                wo.write.parquet(path)
+                wo = spark.read.parquet(path)
                 phrases = CL.synonym_table(spark, file_df=R.read_synonyms(spark, cfg.synonyms_tsv)
                                            if cfg.synonyms_tsv else None)
                 dic = spark.read.parquet(cfg.dictionary) if cfg.dictionary else None
@@ -97,14 +105,14 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig, counters: dict | None
             L.training_rejects(parsed).select("line_id", "line", "reason").write.mode("overwrite").parquet(p("rejects"))
             K.write_training_xml(parsed, p("training_xml"))
             K.write_gazetteers(L.training_pairs(parsed), p("gazetteers"))
-            model = SQ.fit(SQ.training_sequences(parsed), dim=cfg.dim, iterations=cfg.iterations)
+            model = SQ.fit(SQ.training_sequences(parsed), tolerance=cfg.tolerance, lexicon=lexicon, optional=cfg.optional_features)
             model.save(spark, p("model"))
         elif stage == "label":
             wo = spark.read.parquet(done.get("work_orders") or f"{out}/work_orders")
             if cfg.row_limit and cfg.row_limit > 0:
                 wo = wo.orderBy("row_id").limit(cfg.row_limit)
-            model = SQ.SequenceModel.load(spark, done.get("model") or f"{out}/model", dim=cfg.dim)
-            lab = SQ.label_tokens(wo, "description", model)
+            model = SQ.SequenceModel.load(spark, done.get("model") or f"{out}/model")
+            lab = SQ.label_tokens(wo, "description", model, lexicon)
             cols = L.with_label_columns(lab, "tokens", "labels")
             counted(cols, "labelled").write.mode("overwrite").parquet(p("labelled"))
             K.write_labelled(spark.read.parquet(done["labelled"]).drop("row_id"), p("labelled_tsv"))
@@ -113,7 +121,7 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig, counters: dict | None
             ents = R.labelled_entities(lab)
             idf = V.idf_by_type(ents, "type", "entity")
             first = L.first_seen(ents, "entity", ["row_id", "type_ord"], ["type"]) \
-                     .withColumn("id", F.monotonically_increasing_id())
+                     .withColumn("id", F.col("entity"))  # unique here, and the same in every run
             wv = R.read_word_vectors(spark, cfg.word_vectors, cfg.word_vectors_format)
             res = V.resolve_entities(first.select("id", "type", "entity"), wv, idf)
             # Q9: unresolved entities are counted (observed before the filter), not written

@@ -40,13 +40,13 @@ def q_synonym_map(spark, sf):
 def q_spell_candidates(spark, sf):
     """JOIN-5 / JOIN-7: correction of every unknown eligible document word."""
     words = TK.explode_with_pos(_docs(spark, sf), [], CL.spell_words("t"), "_p", "word")
-    c = CL.spell_candidates(words, dictionary(spark, sf), max_distance=1)
+    c = CL.spell_candidates(words, dictionary(spark, sf), max_distance=2)
     return c.select("word", "correction", "distance", F.col("freq").cast("bigint").alias("freq"))
 
 
 def q_spell_correct(spark, sf):
     """CLN-5: every document with its unknown words corrected."""
-    r = CL.spell_correct(_docs(spark, sf), "doc_id", "t", dictionary(spark, sf), max_distance=1)
+    r = CL.spell_correct(_docs(spark, sf), "doc_id", "t", dictionary(spark, sf), max_distance=2)
     return r.select("doc_id", F.md5("corrected").alias("text_md5"), F.col("n_words").cast("bigint").alias("n_words"),
                     F.col("n_corrected").cast("bigint").alias("n_corrected"))
 
@@ -73,13 +73,16 @@ def _synonym_sql() -> str:
         else:
             seen[key] = (i, t)
     rows = sorted(((-len(k), pos, k, t) for k, (pos, t) in seen.items()))
-    expr = "' ' || replace(t, ' ', '  ') || ' '"
-    for _, _, k, tgt in rows:
-        words = k.split(" ")
-        pat = " " + "[.,;:!?]*  ".join(_re2_escape(w) for w in words) + "([.,;:!?]*) "
-        enc = tgt.replace(" ", "\x01").replace("'", "''")
-        expr = f"regexp_replace({expr}, '{pat.replace(chr(39), chr(39) * 2)}', ' \x02{enc}\\1\x02 ', 'g')"
-    out = f"trim(regexp_replace(replace(replace({expr}, chr(2), ''), chr(1), ' '), '\\s+', ' ', 'g'))"
+    # Phrase by phrase, longest first; a replaced place becomes a mark that no phrase matches.  A word
+    # boundary is asked for only at an edge that is a word character.
+    expr, marks = "t", []
+    for i, (_, _, k, tgt) in enumerate(rows):
+        pat = ("\\b" if k[0].isalnum() else "") + _re2_escape(k) + ("\\b" if k[-1].isalnum() else "")
+        expr = f"regexp_replace({expr}, '{pat.replace(chr(39), chr(39) * 2)}', chr(2) || '{i}' || chr(3), 'g')"
+        marks.append((i, tgt.replace("'", "''")))
+    for i, tgt in marks:
+        expr = f"replace({expr}, chr(2) || '{i}' || chr(3), '{tgt}')"
+    out = f"trim(regexp_replace({expr}, '\\s+', ' ', 'g'))"
     return f"""
 SELECT doc_id, CAST(length(c) AS BIGINT) AS n_chars, md5(c) AS text_md5 FROM (
   SELECT doc_id, {out} AS c FROM (SELECT doc_id, {sql_normalize('text')} AS t FROM documents))"""
@@ -102,12 +105,14 @@ dwords AS (
 ),
 vocab AS (SELECT DISTINCT word FROM dwords WHERE regexp_matches(word, '\\w') AND NOT regexp_matches(word, '[0-9]')),
 unknown AS (SELECT word FROM vocab WHERE word NOT IN (SELECT cand FROM dict)),
-uk AS (SELECT word, unnest({_DELS.format(w='word')}) AS dkey FROM unknown),
-dk AS (SELECT cand, freq, unnest({_DELS.format(w='cand')}) AS dkey FROM dict),
+u1 AS (SELECT word, unnest({_DELS.format(w='word')}) AS d1 FROM unknown WHERE length(word) <= (SELECT max(length(cand)) + 2 FROM dict)),
+d1 AS (SELECT cand, freq, unnest({_DELS.format(w='cand')}) AS d1 FROM dict),
+uk AS (SELECT DISTINCT word, dkey FROM (SELECT word, unnest({_DELS.format(w='d1')}) AS dkey FROM u1)),
+dk AS (SELECT DISTINCT cand, freq, dkey FROM (SELECT cand, freq, unnest({_DELS.format(w='d1')}) AS dkey FROM d1)),
 pairs AS (SELECT DISTINCT uk.word, dk.cand, dk.freq FROM uk JOIN dk ON uk.dkey = dk.dkey),
 scored AS (
   SELECT word, cand, freq, damerau_levenshtein(word, cand) AS distance FROM pairs
-  WHERE damerau_levenshtein(word, cand) <= 1
+  WHERE damerau_levenshtein(word, cand) <= 2
 ),
 best AS (
   SELECT word, cand AS correction, CAST(distance AS INT) AS distance, CAST(freq AS BIGINT) AS freq

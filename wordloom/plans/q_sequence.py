@@ -17,16 +17,26 @@ from wordloom.operators import sequence as SQ
 from wordloom.plans import q_labels as QL
 from wordloom.plans.common import load
 
-FIT_ITERATIONS = 25
-SMALL_DIM = 1 << 16
+# Parameter of the queries: a small POS lexicon over the words of the order and conversation texts (word, tag, order).
+LEXICON = [("fix", "VB", 0), ("fix", "NN", 1), ("the", "DT", 0), ("of", "IN", 0), ("and", "CC", 0), ("is", "VBZ", 0), ("thing", "NN", 0),
+           ("almond", "NN", 0), ("antique", "JJ", 0), ("steel", "NN", 0), ("steel", "VB", 1), ("brass", "NN", 0), ("green", "JJ", 0),
+           ("polished", "VBN", 0), ("a", "DT", 0), ("to", "TO", 0), ("for", "IN", 0), ("with", "IN", 0), ("that", "WDT", 0), ("on", "IN", 0)]
+
+
+def lexicon(spark):
+    return spark.createDataFrame(LEXICON, "word string, tag string, ord int")
 
 
 def q_token_features(spark, sf):
     """FEA-10..12: every token of every conversation turn with its own and its neighbours' features."""
     c = load(spark, sf, "conversations").select("conv_id", "turn", T.tokenize(T.normalize("text")).alias("tokens"))
-    f = c.select("conv_id", "turn", FE.sequence_features("tokens").alias("features"))
+    c = FE.with_pos_array(c, "tokens", lexicon(spark))
+    f = c.select("conv_id", "turn", FE.sequence_features("tokens", "pos").alias("features"))
     e = FE.explode_features(f, ["conv_id", "turn"], "features")
     return e.select("conv_id", "turn", F.col("pos").cast("int").alias("pos"), "token",
+                    F.col("feat.nouns_count").alias("nouns_count"), F.col("feat.verbs_count").alias("verbs_count"),
+                    F.col("feat.nltk_tag").alias("nltk_tag"), F.col("feat.period").cast("int").alias("period"),
+                    F.col("feat.comma").cast("int").alias("comma"), F.col("feat.possessive").cast("int").alias("possessive"),
                     F.col("feat.length").alias("length"), F.col("feat.is_location").cast("int").alias("is_location"),
                     F.col("feat.is_object").cast("int").alias("is_object"),
                     F.col("feat.has_vowels").cast("int").alias("has_vowels"),
@@ -40,48 +50,41 @@ def q_token_features(spark, sf):
                     F.col("next.rawstring_end").cast("int").alias("next_end"))
 
 
-def fixed_model(dim: int = SMALL_DIM) -> SQ.SequenceModel:
-    """A small hand-set model: objects after descriptions, gazetteer words by kind."""
-    m = SQ.SequenceModel(dim=dim)
-    pos = {l: i for i, l in enumerate(m.labels)}
-    weights = [("bias", "noise", 0.5), ("is_object", "object", 2.0), ("is_location", "location", 2.0),
-               ("rawstring.end", "object", 1.5), ("next:rawstring.end", "description", 1.0),
-               ("prepositions", "conjunction", 1.5), ("length", "description", 0.1)]
-    idx = _hash_indices([w[0] for w in weights], dim)  # same hashing as the Spark feature encoder
-    for name, label, w in weights:
-        m.W[idx[name], pos[label]] += w
-    m.A[pos["description"], pos["object"]] = 1.0
-    m.A[pos["object"], pos["object"]] = 0.5
-    return m
+# A small hand-set model: objects after descriptions, gazetteer words by kind; and its transitions.
+FIXED_WEIGHTS = [("bias", "noise", 0.5), ("is_object", "object", 2.0), ("is_location", "location", 2.0),
+                 ("rawstring.end", "object", 1.5), ("next:rawstring.end", "description", 1.0),
+                 ("prepositions", "conjunction", 1.5), ("length", "description", 0.125), ("nltk_tag:JJ", "description", 0.75)]
+FIXED_TRANSITIONS = [("description", "object", 1.0), ("object", "object", 0.5)]
 
 
-def _hash_indices(names: list[str], dim: int) -> dict[str, int]:
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    df = spark.createDataFrame([(n,) for n in names], "name string")
-    rows = df.select("name", F.pmod(F.xxhash64("name"), F.lit(dim)).alias("i")).collect()  # one row per name
-    return {r["name"]: int(r["i"]) for r in rows}
+def fixed_model() -> SQ.SequenceModel:
+    m = SQ.SequenceModel(features=sorted({w[0] for w in FIXED_WEIGHTS}))
+    pos = {l: i for i, l in enumerate(m.labels)}
+    for name, label, w in FIXED_WEIGHTS:
+        m.W[m.features.index(name), pos[label]] += w
+    for a, b, w in FIXED_TRANSITIONS:
+        m.A[pos[a], pos[b]] = w
+    return m
 
 
 def q_viterbi_decode(spark, sf):
     """SEQ-2: best label path of every order sequence under a fixed model."""
     s = QL.order_sequences(spark, sf).select("o_orderkey", "tokens")
-    enc = SQ.with_features(s, "tokens", SMALL_DIM)
-    d = SQ.decode(enc, fixed_model())
+    model = fixed_model()
+    d = SQ.decode(SQ.with_features(s, "tokens", model.features, lexicon(spark)), model)
     return d.select("o_orderkey", F.array_join("labels", " ").alias("labels"))
 
 
 def fitted_model(spark, sf, history=None):
-    parsed = QL.parsed_lines(spark, sf)
-    train = SQ.training_sequences(parsed)
-    return SQ.fit(train, dim=SMALL_DIM, iterations=FIT_ITERATIONS, history=history)
+    train = SQ.training_sequences(QL.parsed_lines(spark, sf))
+    return SQ.fit(train, lexicon=lexicon(spark), history=history)
 
 
 def q_fit_sequence_model(spark, sf):
     """SEQ-1: fit on the training lines, report per-label accuracy on the silver order sequences."""
     model = fitted_model(spark, sf)
     s = QL.order_sequences(spark, sf)
-    d = SQ.decode(SQ.with_features(s, "tokens", SMALL_DIM), model, out="pred")
+    d = SQ.decode(SQ.with_features(s, "tokens", model.features, lexicon(spark)), model, out="pred")
     z = d.select(F.explode(F.arrays_zip(F.col("labels").alias("gold"), F.col("pred").alias("pred"))).alias("z"))
     return z.groupBy(F.col("z.gold").alias("label")).agg(
         F.count(F.lit(1)).alias("n_tokens"), F.sum((F.col("z.gold") == F.col("z.pred")).cast("int")).alias("n_correct"))
@@ -93,7 +96,7 @@ def q_label_dataset(spark, sf):
     d = load(spark, sf, "documents").select(
         "doc_id", F.col("source").alias("address"), F.col("lang").alias("category"),
         T.normalize("text").alias("description"), F.lit("").alias("unit"))
-    lab = SQ.label_tokens(d, "description", model)
+    lab = SQ.label_tokens(d, "description", model, lexicon(spark))
     cols = L.with_label_columns(lab, "tokens", "labels")
     out = [F.md5(F.col("ent_description" if c == "description" else c)).alias(c)
            for c in fixed.LABELS + [fixed.OBJECT2]]
@@ -116,9 +119,12 @@ def sql() -> dict[str, str]:
     clean = ("CASE WHEN token = '&' THEN token ELSE "
              "regexp_replace(lower(token), '^\\W*|[^.\\w]*$', '', 'g') END")
     abbrev = f"CASE WHEN token = '&' THEN token ELSE regexp_replace({clean}, '\\W', '', 'g') END"
+    lex = ", ".join(f"('{w}', '{t}', {o})" for w, t, o in LEXICON)
     return {
+        "viterbi_decode": _viterbi_sql(clean, abbrev, loc, obj, prep, lex),
         "token_features": f"""
-WITH s AS (SELECT conv_id, turn, {sql_tokens(sql_normalize('text'))} AS tk FROM conversations),
+WITH lex(word, tag, ord) AS (VALUES {lex}),
+s AS (SELECT conv_id, turn, {sql_tokens(sql_normalize('text'))} AS tk FROM conversations),
 t AS (SELECT conv_id, turn, len(tk) AS n, unnest(tk) AS token, unnest(range(len(tk))) AS pos FROM s),
 f AS (
   SELECT conv_id, turn, n, pos, token, CAST(length(token) AS INT) AS length,
@@ -128,12 +134,54 @@ f AS (
     CAST({abbrev} IN ({prep}) AS INT) AS prepositions,
     CAST(pos = 0 AND n > 1 AS INT) AS rawstring_start,
     CAST(pos = n - 1 AND n > 1 AS INT) AS rawstring_end,
-    CAST(n = 1 AS INT) AS singleton
+    CAST(n = 1 AS INT) AS singleton,
+    CAST(contains(token, '.') AS INT) AS period, CAST(token LIKE '%,' AS INT) AS comma, CAST({clean} LIKE '%''s' AS INT) AS possessive,
+    CAST(coalesce((SELECT count(*) FROM lex WHERE word = token AND tag LIKE 'NN%'), 0) AS INT) AS nouns_count,
+    CAST(coalesce((SELECT count(*) FROM lex WHERE word = token AND tag LIKE 'VB%'), 0) AS INT) AS verbs_count,
+    coalesce((SELECT max_by(tag, ord) FROM lex WHERE word = token), '') AS nltk_tag
   FROM t
 )
-SELECT conv_id, turn, CAST(pos AS INT) AS pos, token, length, is_location, is_object, has_vowels, prepositions,
+SELECT conv_id, turn, CAST(pos AS INT) AS pos, token, nouns_count, verbs_count, nltk_tag, period, comma, possessive, length, is_location, is_object, has_vowels, prepositions,
   rawstring_start, rawstring_end, singleton,
   lag(length) OVER w AS prev_length, lag(rawstring_start) OVER w AS prev_start,
   lead(length) OVER w AS next_length, lead(rawstring_end) OVER w AS next_end
 FROM f WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)""",
     }
+
+
+def _viterbi_sql(clean: str, abbrev: str, loc: str, obj: str, prep: str, lex: str) -> str:
+    """The best path as a recursive query over positions: the best score of each label and the label before it."""
+    number = {x: i for i, x in enumerate(fixed.MODEL_LABELS)}
+    value = {"bias": "1.0", "is_object": f"CAST(length(token) > 2 AND token IN ({obj}) AS DOUBLE)",
+             "is_location": f"CAST(length(token) > 2 AND token IN ({loc}) AS DOUBLE)", "rawstring.end": "CAST(pos = n - 1 AND n > 1 AS DOUBLE)",
+             "next:rawstring.end": "CAST(pos = n - 2 AND n > 1 AS DOUBLE)", "prepositions": f"CAST({abbrev} IN ({prep}) AS DOUBLE)",
+             "length": "CAST(length(token) AS DOUBLE)",
+             "nltk_tag:JJ": "CAST(coalesce((SELECT max_by(tag, ord) FROM lex WHERE word = token), '') = 'JJ' AS DOUBLE)"}
+    score = {x: " + ".join(f"{w} * ({value[f]})" for f, label, w in FIXED_WEIGHTS if label == x) or "0.0" for x in number}
+    emit = " UNION ALL ".join(f"SELECT o_orderkey, pos, n, {i} AS l, {score[x]} AS e FROM t" for x, i in number.items())
+    moves = ", ".join(f"({number[a]}, {number[b]}, {w})" for a, b, w in FIXED_TRANSITIONS)
+    names = ", ".join(f"'{x}'" for x in fixed.MODEL_LABELS)
+    return f"""
+WITH RECURSIVE lex(word, tag, ord) AS (VALUES {lex}), {QL._SEQ},
+seqs AS (SELECT okey AS o_orderkey, tokens FROM seq),
+t AS (SELECT o_orderkey, len(tokens) AS n, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM seqs),
+e AS ({emit}),
+a(p, l, w) AS (VALUES {moves}),
+-- score list by label, and the paths so far by label; ties to the smaller label
+em AS (SELECT o_orderkey, pos, n, list(e ORDER BY l) AS es FROM e GROUP BY ALL),
+trans AS (SELECT list(row_w ORDER BY l) AS m FROM (
+  SELECT l, list(coalesce(w, 0.0) ORDER BY p) AS row_w FROM (
+    SELECT p.i AS p, l.i AS l, a.w FROM range({len(number)}) p(i) CROSS JOIN range({len(number)}) l(i) LEFT JOIN a ON a.p = p.i AND a.l = l.i) GROUP BY l)),
+v AS (
+  SELECT o_orderkey, pos, n, es AS s, list_transform(range({len(number)}), lambda i: [i]) AS paths FROM em WHERE pos = 0
+  UNION ALL
+  SELECT v.o_orderkey, em.pos, v.n,
+    list_transform(range({len(number)}), lambda j: em.es[j + 1] + list_max(list_transform(range({len(number)}), lambda i: v.s[i + 1] + trans.m[j + 1][i + 1]))),
+    list_transform(range({len(number)}), lambda j: list_append(v.paths[list_position(
+      list_transform(range({len(number)}), lambda i: v.s[i + 1] + trans.m[j + 1][i + 1]),
+      list_max(list_transform(range({len(number)}), lambda i: v.s[i + 1] + trans.m[j + 1][i + 1])))], j))
+  FROM v JOIN em ON em.o_orderkey = v.o_orderkey AND em.pos = v.pos + 1, trans
+)
+SELECT o_orderkey, array_to_string(list_transform(paths[list_position(s, list_max(s))], lambda i: [{names}][i + 1]), ' ') AS labels
+FROM v WHERE pos = n - 1
+UNION ALL SELECT o_orderkey, '' FROM seqs WHERE len(tokens) = 0"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,11 +43,14 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it to a shared file system.  Only when it is unset (local
-    tests) a fresh local folder is created and registered.
+    A cluster sets it to a shared file system.  Only when it is unset and
+    the master is local (tests) a fresh local folder is created and
+    registered; on a cluster a missing setting is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="wordloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
@@ -60,18 +64,6 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back.
-
-    Survives executor loss (the data is on shared storage, not on executors)
-    and keeps later plans short.
-    """
-    spark = df.sparkSession
-    path = stage_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of ``df`` (no job runs); None if unavailable."""
     try:
@@ -82,14 +74,16 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                       max_bytes: int = 256 << 20) -> DataFrame:
-    """Broadcast-hint ``df`` only if it has at most ``max_rows`` rows.
+    """Broadcast-hint ``df`` only if it has at most ``max_rows`` rows and ``max_bytes`` bytes.
 
     A side whose planner estimate is far above ``max_bytes`` is returned
     unhinted at once (no job; AQE may still convert the join from real
-    sizes).  Otherwise the exact check reads at most ``max_rows + 1`` rows.
+    sizes).  Otherwise the exact check reads at most ``max_rows + 1`` rows;
+    their bytes are the lengths of their JSON text, which is not below what
+    a row of numbers and strings takes by more than a few times.
     """
     est = estimated_bytes(df)
     if est is not None and est > 8 * max_bytes:
         return df
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df

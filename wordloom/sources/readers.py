@@ -1,9 +1,11 @@
-"""Readers (SRC-1 .. SRC-8).  Every reader returns a DataFrame and reads in parallel.
-
-File order matters for some inputs (header row, later-duplicate-wins); it is
-taken from ``monotonically_increasing_id``, which increases with the file
-split and the position inside it, so no reader funnels a file through one
-task or the driver.
+"""Readers (SRC-1 .. SRC-8).  Every reader returns a DataFrame.
+
+Text, TSV and Parquet files are split over tasks; one spreadsheet workbook
+is read by one task (its rows have no line boundaries to split at), so large
+exports should come as many workbooks.  File order matters for some inputs
+(header row, later-duplicate-wins); it is taken from
+``monotonically_increasing_id``, which increases with the file split and the
+position inside it.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import types as T_
 
 from wordloom import fixed
 from wordloom.functions import text as T
+from wordloom.session import checked_broadcast
 
 WORK_ORDER_COLUMNS = ["address", "category", "description", "unit"]
 LABELLED_COLUMNS = WORK_ORDER_COLUMNS + [("ent_description" if c == "description" else c)
@@ -48,20 +51,24 @@ def read_spreadsheet_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_spreadsheet_table(spark: SparkSession, path: str) -> DataFrame:
-    """The first row of every file is its header; later rows become records named by it.
+    """The first row of every file is its header; later rows become records named by their own file's header.
 
     Header rows are found per file (smallest ``row_no`` of the file), so a
-    folder of part files written in parallel reads back correctly.
+    folder of part files written in parallel reads back correctly and files
+    may order their columns differently.  The columns are all names that
+    some header has; a name that a file lacks is null for its rows.
     """
     rows = read_spreadsheet_rows(spark, path)
-    firsts = rows.groupBy("file").agg(F.min("row_no").alias("_h"))
-    one = rows.join(F.broadcast(firsts), (rows.file == firsts.file) & (rows.row_no == firsts._h)).select("cells").first()
-    if one is None:
-        return spark.createDataFrame([], "row_no long")
-    header = {int(k): v for k, v in (one["cells"] or {}).items() if v is not None}
-    body = rows.join(F.broadcast(firsts), "file").where(F.col("row_no") > F.col("_h"))
-    cols = [F.col("cells").getItem(k).alias(str(name)) for k, name in sorted(header.items())]
-    return body.select("row_no", *cols)
+    heads = rows.groupBy("file").agg(F.min_by(F.struct("row_no", "cells"), "row_no").alias("h")) \
+                .select("file", F.col("h.row_no").alias("_h"), F.col("h.cells").alias("_names"))
+    names = [r["n"] for r in heads.select(F.explode(F.map_values("_names")).alias("n")).where("n is not null")
+             .distinct().orderBy("n").collect()]  # distinct column names
+    # name -> cell of the record, by the header of the record's file
+    body = rows.join(checked_broadcast(heads), "file").where(F.col("row_no") > F.col("_h"))
+    place = F.map_from_entries(F.transform(F.filter(F.map_entries("_names"), lambda e: e["value"].isNotNull()),
+                                           lambda e: T.nstruct(k=e["value"], v=e["key"])))
+    body = body.withColumn("_place", place)
+    return body.select("file", "row_no", *[F.try_element_at("cells", F.try_element_at("_place", F.lit(n))).alias(n) for n in names])
 
 
 def raw_to_work_orders(table: DataFrame, clean=None) -> DataFrame:
@@ -69,13 +76,26 @@ def raw_to_work_orders(table: DataFrame, clean=None) -> DataFrame:
 
     ``clean`` is an optional ``DataFrame -> DataFrame`` applied to the
     description (e.g. ``operators.clean.preclean``).  Missing fields are ''.
+    Rows without any of the fields are rejects (`raw_rejects`).
     """
     def field(name):
         return T.ascii_only(F.col(name)) if name in table.columns else F.lit("")
-    wo = table.select(F.col("row_no").alias("row_id"), *[field(c).alias(c) for c in WORK_ORDER_COLUMNS])
+    wo = table.where(~_is_reject(table)).select(F.col("row_no").alias("row_id"), *[field(c).alias(c) for c in WORK_ORDER_COLUMNS])
     return clean(wo) if clean is not None else wo
 
 
+def _is_reject(table: DataFrame):
+    """A raw row that holds none of the work-order fields."""
+    have = [F.col(c) for c in WORK_ORDER_COLUMNS if c in table.columns]
+    return F.coalesce(*have).isNull() if have else F.lit(True)
+
+
+def raw_rejects(table: DataFrame) -> DataFrame:
+    """SRC-2 side output: the raw rows that become no work order, with the reason."""
+    keep = [c for c in ("file", "row_no") if c in table.columns]
+    return table.where(_is_reject(table)).select(*keep, F.lit("no work-order field").alias("reason"))
+
+
 # ---------------------------------------------------------------------------
 # SRC-3 / SRC-6: TSV tables
 # ---------------------------------------------------------------------------
@@ -113,12 +133,15 @@ def read_training_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_synonyms(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-5: ``(line_no, phrase, target)``: last tab field is the target (``_`` -> blank), the rest the phrase."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"),
+    """SRC-5: ``(file, line_no, phrase, target)``: last tab field is the target (``_`` -> blank), the rest the phrase.
+
+    ``line_no`` grows with the place in the file, so ``(file, line_no)`` is the files' line order.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"),
                                          F.lower(F.col("value")).alias("v"))
     f = F.split("v", "\t")
     n = F.size(f)
-    return lines.select("line_no",
+    return lines.select("file", "line_no",
                         F.trim(F.array_join(F.slice(f, 1, F.greatest(n - 1, F.lit(0))), " ")).alias("phrase"),
                         F.replace(F.element_at(f, -1), F.lit("_"), F.lit(" ")).alias("target")) \
                 .where(F.col("phrase") != "")
