@@ -1,6 +1,7 @@
 """k-means per type: invariants, bucketed path, nearest centroid, report."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wordloom.operators import cluster as C
@@ -31,18 +32,34 @@ def test_small_types_exact_k(spark):
     assert len(ks["t0"]) == 12 // 5 and len(ks["t1"]) == 40 // 5
 
 
-def test_bucketed_path(spark):
-    df = points(spark, (200,))
-    a = check(C.kmeans_by_type(df, "type", "entity", "vec", max_bucket_rows=30), df)
-    k = len({r.cluster for r in a})
-    assert 30 <= k <= 50  # the buckets' shares of k = 40
-    assert sum(1 for _ in a) / k >= 4
+@pytest.mark.parametrize("size", [30, 100, 1000])
+def test_k_is_exact_at_every_bucket_size(spark, size):
+    df = points(spark, (200, 37, 1003))
+    a = check(C.kmeans_by_type(df, "type", "entity", "vec", max_bucket_rows=size), df)
+    clusters = {}
+    for r in a:
+        clusters.setdefault(r.type, set()).add(r.cluster)
+    assert {t: len(c) for t, c in clusters.items()} == {"t0": 40, "t1": 7, "t2": 200}
+    assert all(c == set(range(len(c))) for c in clusters.values())
 
 
-def test_identical_points_split(spark):
-    rows = [("t", f"e{i}", [1.0, 1.0]) for i in range(120)]
+def test_identical_points_share_a_cluster(spark):
+    rows = [("t", f"e{i}", [1.0, 1.0]) for i in range(120)] + [("t", f"f{i}", [float(i), 0.0]) for i in range(30)]
     df = spark.createDataFrame(rows, "type string, entity string, vec array<double>")
-    check(C.kmeans_by_type(df, "type", "entity", "vec", max_bucket_rows=25), df)
+    a = check(C.kmeans_by_type(df, "type", "entity", "vec", max_bucket_rows=8), df)
+    assert len({r.cluster for r in a if r.entity.startswith("e")}) == 1
+    assert len({r.cluster for r in a}) == 30
+
+
+def test_lloyd_ends_at_a_fixed_point():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    lab = C._kmeans_np(x, np.ones(300), 20, 3)
+    centers = np.stack([x[lab == j].mean(0) for j in range(20)])
+    assert (((x[:, None] - centers[None]) ** 2).sum(2).argmin(1) == lab).mean() > 0.99
+    near, dist = C._nearest(x, centers, block=7)
+    full = ((x[:, None] - centers[None]) ** 2).sum(2)
+    assert (near == full.argmin(1)).all() and np.allclose(dist, full.min(1))
 
 
 def test_nearest_centroid_and_members(spark):

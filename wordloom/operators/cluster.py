@@ -1,29 +1,26 @@
 """Per-type k-means with k = n / 5 (CLU-1..CLU-4) and the cluster report (AGG-8).
 
 k grows with n, so global Lloyd iterations cost O(n * k) per pass.  Each
-type is cut into buckets of at most ``max_bucket_rows`` vectors: a small
-type is one bucket (exact k-means, k = n // 5); a large one is split by a
-coarse distributed ``pyspark.ml`` KMeans, and buckets still too large are
-split again, so a dense region never lands whole in one task.  Every
-bucket is then finished by an Arrow-batched numpy k-means in
-``applyInPandas`` with its share of k.  Cluster ids stay unique per type.
+type is cut into buckets of at most ``max_bucket_rows`` distinct points: a
+small type is one bucket; a larger one is halved again and again at the mean
+of its widest dimension, one distributed pass a level.  Every bucket is
+finished by a numpy k-means in ``applyInPandas``; the buckets' shares of k
+are apportioned so that they add up to k = n // 5 at every size.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom import fixed
 from wordloom.functions import text as T
 from wordloom.operators.vectors import as_double
-from wordloom.session import ensure_checkpoint_dir
+from wordloom.session import checked_broadcast, ensure_checkpoint_dir
 
 
 def cluster_count(n, per_cluster: int = fixed.MEMBERS_PER_CLUSTER) -> Column:
@@ -56,31 +53,53 @@ def nearest_centroid(points: DataFrame, vec_col: str, centroids: list[tuple[int,
     return points.withColumn(out, T.let(v, best))
 
 
-def _kmeans_np(x: np.ndarray, k: int, seed: int, iters: int = 25) -> np.ndarray:
-    """k-means++ seeding and Lloyd iterations on one bucket (numpy)."""
-    n = x.shape[0]
+def _nearest(x: np.ndarray, centers: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of each point and the squared distance, a block of points at a time."""
+    label, dist = np.empty(len(x), np.int64), np.empty(len(x))
+    norm = (centers ** 2).sum(1)
+    for at in range(0, len(x), block):
+        part = x[at:at + block]
+        d = norm - 2 * part @ centers.T
+        label[at:at + block] = d.argmin(1)
+        dist[at:at + block] = d.min(1) + (part ** 2).sum(1)
+    return label, np.maximum(dist, 0)
+
+
+def _kmeans_np(x: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ seeding and Lloyd iterations until no label changes, on one bucket of distinct points.
+
+    Every one of the min(k, n) clusters keeps at least one point: an empty
+    one takes the point farthest from its centre among clusters of two and more.
+    """
+    n = len(x)
     k = max(1, min(k, n))
     rng = np.random.default_rng(seed)
-    centers = np.empty((k, x.shape[1]))
-    centers[0] = x[rng.integers(n)]
-    d2 = ((x - centers[0]) ** 2).sum(1)
-    for j in range(1, k):
-        tot = d2.sum()
-        idx = rng.integers(n) if tot <= 0 else rng.choice(n, p=d2 / tot)
-        centers[j] = x[idx]
-        d2 = np.minimum(d2, ((x - centers[j]) ** 2).sum(1))
-    labels = np.zeros(n, dtype=np.int64)
-    for _ in range(iters):
-        dist = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(2) if n * k <= 4_000_000 else None
-        if dist is None:
-            labels = np.array([int(((centers - row) ** 2).sum(1).argmin()) for row in x])
-        else:
-            labels = dist.argmin(1)
-        new = np.array([x[labels == j].mean(0) if (labels == j).any() else centers[j] for j in range(k)])
-        if np.allclose(new, centers):
-            break
-        centers = new
-    return labels
+    picks = [int(rng.choice(n, p=weight / weight.sum()))]
+    d2 = ((x - x[picks[0]]) ** 2).sum(1)
+    d2[picks[0]] = 0
+    while len(picks) < k:
+        p = weight * d2
+        free = np.setdiff1d(np.arange(n), picks) if p.sum() <= 0 else None
+        j = int(free[0]) if free is not None else int(rng.choice(n, p=p / p.sum()))
+        picks.append(j)
+        d2 = np.minimum(d2, ((x - x[j]) ** 2).sum(1))
+        d2[picks] = 0
+    centers = x[picks].copy()
+    labels, before = None, np.inf
+    while True:
+        new, dist = _nearest(x, centers)
+        count = np.bincount(new, minlength=k)
+        for j in np.flatnonzero(count == 0):
+            far = int(np.where(count[new] > 1, dist, -1).argmax())
+            count[new[far]] -= 1
+            new[far], dist[far], count[j] = j, 0, 1
+        cost = float((weight * dist).sum())
+        if labels is not None and ((new == labels).all() or cost >= before):
+            return labels
+        labels, before = new, cost
+        centers = np.zeros((k, x.shape[1]))
+        np.add.at(centers, labels, x * weight[:, None])
+        centers /= np.bincount(labels, weight, minlength=k)[:, None]
 
 
 def kmeans_by_type(df: DataFrame, type_col: str = "type", id_col: str = "entity", vec_col: str = "vec",
@@ -88,79 +107,68 @@ def kmeans_by_type(df: DataFrame, type_col: str = "type", id_col: str = "entity"
                    seed: int = 7, max_bucket_rows: int = 4096) -> DataFrame:
     """CLU-2/CLU-3: ``(type, id, cluster)`` with k = n // 5 per type (ORD-3 ``types`` filter, [] = all).
 
-    A type of at most ``max_bucket_rows`` vectors is one bucket and gets an
-    exact k-means with k = n // 5.  Larger types are split by a coarse
-    distributed KMeans (and split again while a bucket is too large); every
-    bucket then receives its share of k.  All buckets of all types are
-    finished in one ``applyInPandas`` job, so each task holds a bounded
-    group and the whole step is a single shuffle after the splits.
+    Identical vectors are one weighted point and always share a cluster; a
+    type with fewer distinct vectors than k gets one cluster for each.
     """
     src = df
     if types:
         src = src.where(F.col(type_col).isin(*types))
     src = src.where(F.col(vec_col).isNotNull()).select(
         F.col(type_col).alias("_type"), F.col(id_col).alias("_id"), as_double(vec_col).alias("_a"))
-    sizes = {r["_type"]: r["count"] for r in src.groupBy("_type").count().collect()}  # one row per type
-    small = [t for t, n in sizes.items() if n <= max_bucket_rows]
-    pieces = [src.where(F.col("_type").isin(*small)).withColumn("_bucket", F.lit("0"))] if small else []
-    for t in sorted((t for t, n in sizes.items() if n > max_bucket_rows), key=str):
-        sub = src.where(F.col("_type") == t).withColumn("_v", array_to_vector("_a"))
-        pieces.append(_split_buckets(sub, sizes[t], seed, max_bucket_rows).drop("_v"))
-    if not pieces:
-        return df.sparkSession.createDataFrame([], f"{type_col} string, {id_col} string, cluster int")
-    b = pieces[0]
-    for p in pieces[1:]:
-        b = b.unionByName(p)
-    counts = b.groupBy("_type", "_bucket").count()
-    tot = F.sum("count").over(Window.partitionBy("_type"))
-    kt = F.greatest(F.floor(tot / per_cluster), F.lit(1))
-    share = counts.withColumn("_kb", F.greatest(F.round(F.col("count") * kt / tot), F.lit(1)).cast("int"))
-    run = Window.partitionBy("_type").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    share = share.withColumn("_off", F.coalesce(F.sum("_kb").over(run), F.lit(0)).cast("int"))
-    # one row per bucket: bounded by n / max_bucket_rows, broadcast
-    b = b.join(F.broadcast(share.select("_type", "_bucket", "_kb", "_off")), ["_type", "_bucket"])
+    ensure_checkpoint_dir(df.sparkSession)
+    points = src.groupBy("_type", "_a").agg(F.count(F.lit(1)).alias("_w")).withColumn("_bucket", F.lit("0")).checkpoint()
+    points = _split_buckets(points, max_bucket_rows)
+    counts = points.groupBy("_type", "_bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("_w").alias("w"))
+    by_type = Window.partitionBy("_type")  # one row a bucket
+    # Largest remainders: every bucket has at least one cluster and no more than its points, the sum is k as far as that allows.
+    k = F.least(F.greatest(F.floor(F.sum("w").over(by_type) / per_cluster), F.count(F.lit(1)).over(by_type)), F.sum("m").over(by_type))
+    share = counts.withColumn("k", k).withColumn("exact", F.col("w") * F.col("k") / F.sum("w").over(by_type))
+    share = share.withColumn("_kb", F.least(F.greatest(F.floor("exact"), F.lit(1)), F.col("m")))
+    share = share.withColumn("open", F.col("k") - F.sum("_kb").over(by_type))
+    # Clusters still to give go where room is left, largest remainder first; if buckets of one took too many, the largest give back.
+    room = F.col("m") - F.col("_kb")
+    order = by_type.orderBy((F.floor("exact") - F.col("exact")), "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    back = by_type.orderBy(F.desc("_kb"), "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    one = F.when(room > 0, F.lit(1)).otherwise(F.lit(0))
+    share = share.withColumn("_first", F.when((F.col("open") > 0) & (one == 1) & (F.coalesce(F.sum(one).over(order), F.lit(0)) < F.col("open")), 1).otherwise(0)) \
+                 .withColumn("_kb", F.col("_kb") + F.col("_first")).withColumn("open", F.col("k") - F.sum("_kb").over(by_type))
+    share = share.withColumn("_more", F.greatest(F.lit(0), F.least(room, F.col("open") - F.coalesce(F.sum(room).over(order), F.lit(0))))) \
+                 .withColumn("_less", F.greatest(F.lit(0), F.least(F.col("_kb") - 1, -F.col("open") - F.coalesce(F.sum(F.col("_kb") - 1).over(back), F.lit(0))))) \
+                 .withColumn("_kb", F.col("_kb") + F.col("_more") - F.col("_less"))
+    run = by_type.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    share = share.withColumn("_off", F.coalesce(F.sum("_kb").over(run), F.lit(0)))
+    b = points.join(checked_broadcast(share.select("_type", "_bucket", "_kb", "_off")), ["_type", "_bucket"])
 
     def per_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["_a"].to_numpy())
-        lab = _kmeans_np(x, int(pdf["_kb"].iloc[0]), seed)
-        return pd.DataFrame({"_type": pdf["_type"], "_id": pdf["_id"],
-                             "cluster": (lab + int(pdf["_off"].iloc[0])).astype("int32")})
-
-    schema = (f"_type {src.schema['_type'].dataType.simpleString()}, "
-              f"_id {src.schema['_id'].dataType.simpleString()}, cluster int")
-    out = b.select("_type", "_id", "_a", "_kb", "_off", "_bucket").groupBy("_type", "_bucket") \
-           .applyInPandas(per_bucket, schema)
-    return out.select(F.col("_type").alias(type_col), F.col("_id").alias(id_col), "cluster")
-
-
-def _split_buckets(sub: DataFrame, n: int, seed: int, max_bucket_rows: int) -> DataFrame:
-    """Coarse distributed KMeans split, repeated on buckets that are still too large."""
-    ensure_checkpoint_dir(sub.sparkSession)
-    m = max(2, int(math.ceil(2 * n / max_bucket_rows)))
-    km = KMeans(k=m, seed=seed, featuresCol="_v", predictionCol="_b", maxIter=10)
-    b = km.fit(sub).transform(sub).withColumn("_bucket", F.col("_b").cast("string")).drop("_b").checkpoint()
-    for depth in range(8):
-        sizes = {r["_bucket"]: r["count"] for r in b.groupBy("_bucket").count().collect()}
-        big = [key for key, c in sizes.items() if c > max_bucket_rows]
-        if not big:
-            break
-        parts = [b.where(~F.col("_bucket").isin(*big))]
-        for key in big:
-            part = b.where(F.col("_bucket") == key)
-            mm = max(2, int(math.ceil(2 * sizes[key] / max_bucket_rows)))
-            split = KMeans(k=mm, seed=seed + depth + 1, featuresCol="_v", predictionCol="_b", maxIter=10) \
-                .fit(part).transform(part)
-            split = split.withColumn("_bucket", F.concat_ws(".", "_bucket", F.col("_b").cast("string"))).drop("_b")
-            if depth >= 2:
-                # identical points cannot be split by distance: spread them by id hash
-                split = split.withColumn("_bucket", F.concat_ws(
-                    ".", "_bucket", F.pmod(F.xxhash64("_id"), F.lit(mm)).cast("string")))
-            parts.append(split)
-        b = parts[0]
-        for p in parts[1:]:
-            b = b.unionByName(p)
-        b = b.checkpoint()
-    return b
+        order = np.lexsort(x.T[::-1])  # the same order of points in every run
+        lab = np.empty(len(x), np.int64)
+        lab[order] = _kmeans_np(x[order], pdf["_w"].to_numpy(float)[order], int(pdf["_kb"].iloc[0]), seed)
+        return pd.DataFrame({"_type": pdf["_type"], "_a": pdf["_a"], "cluster": (lab + int(pdf["_off"].iloc[0])).astype("int32")})
+
+    schema = f"_type {src.schema['_type'].dataType.simpleString()}, _a array<double>, cluster int"
+    out = b.select("_type", "_a", "_w", "_kb", "_off", "_bucket").groupBy("_type", "_bucket").applyInPandas(per_bucket, schema)
+    return src.join(out, ["_type", "_a"]).select(F.col("_type").alias(type_col), F.col("_id").alias(id_col), "cluster")
+
+
+def _split_buckets(points: DataFrame, max_bucket_rows: int) -> DataFrame:
+    """Halve every bucket of more than ``max_bucket_rows`` distinct points at the mean of its widest dimension, until none is left.
+
+    Distinct points always separate, so the loop ends; sizes and cuts stay in
+    a table with one row a large bucket.
+    """
+    while True:
+        big = points.groupBy("_type", "_bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > max_bucket_rows).select("_type", "_bucket")
+        if big.isEmpty():
+            return points
+        stats = points.join(big, ["_type", "_bucket"]).groupBy("_type", "_bucket").agg(
+            Summarizer.metrics("mean", "variance").summary(array_to_vector("_a")).alias("s"))
+        var, mean = vector_to_array("s.variance"), vector_to_array("s.mean")
+        cut = stats.select("_type", "_bucket", (F.array_position(var, F.array_max(var)) - 1).cast("int").alias("_dim"), mean.alias("_m")) \
+                   .select("_type", "_bucket", "_dim", F.get("_m", F.col("_dim")).alias("_at"))
+        side = F.when(F.col("_dim").isNull(), F.col("_bucket")).otherwise(
+            F.concat("_bucket", F.when(F.get("_a", F.col("_dim")) <= F.col("_at"), "0").otherwise("1")))
+        points = points.join(cut, ["_type", "_bucket"], "left").withColumn("_bucket", side).drop("_dim", "_at").checkpoint()
 
 
 def cluster_members(assign: DataFrame, type_col: str = "type", cluster_col: str = "cluster",

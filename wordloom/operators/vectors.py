@@ -99,7 +99,7 @@ def idf_by_type(df: DataFrame, type_col: str, text_col: str, max_n: int = fixed.
 
 
 def max_idf(idf: DataFrame) -> DataFrame:
-    """AGG-6: the default weight of a type (an unseen word is at least as rare as the rarest seen)."""
+    """AGG-6: the weight of a type's terms that it has no weight for: that of its rarest term."""
     return idf.groupBy("type").agg(F.max("idf").alias("max_idf"))
 
 
@@ -186,17 +186,17 @@ def outlier_words(df: DataFrame, id_col: str, text_col: str, vectors: DataFrame,
     Returns ``(id, outlier, n_known)``; ``outlier`` null when no word is known.
     Ties on similarity go to the smaller word.
     """
-    w = TK.explode_with_pos(df, id_col, T.space_split(F.col(text_col)), "pos", "word")
-    v = vectors.select(F.col(key_col).alias("word"), normalized(vec_col).alias("u"))
-    known = w.join(checked_broadcast(v), "word")
-    per = known.groupBy(id_col).agg(F.collect_list(F.struct("word", "u")).alias("_k"))
-    mean = vec_mean(F.transform("_k", lambda k: k["u"]))
-    per = per.select(id_col, "_k", mean.alias("_m"))
-    sims = F.transform("_k", lambda k: F.struct(
-        F.round(F.aggregate(F.zip_with(k["u"], F.col("_m"), lambda a, b: a * b), F.lit(0.0),
-                            lambda acc, x: acc + x), 9).alias("sim"), k["word"].alias("word")))
-    per = per.select(id_col, F.array_min(sims)["word"].alias("outlier"), F.size("_k").alias("n_known"))
-    return df.select(id_col).join(per, id_col, "left").select(
+    words = TK.explode_with_pos(df, id_col, T.space_split(F.col(text_col)), "pos", "word") \
+              .groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
+    v = vectors.select(F.col(key_col).alias("word"), array_to_vector(normalized(vec_col)).alias("u"))
+    known = words.join(checked_broadcast(v), "word")
+    # the mean of a text's known words (each as often as it occurs), then each word's similarity to it
+    mean = known.groupBy(id_col).agg(Summarizer.mean(F.col("u"), F.col("n").cast("double")).alias("m"), F.sum("n").alias("n_known"))
+    sim = F.round(F.aggregate(F.zip_with(vector_to_array("u"), vector_to_array("m"), lambda a, b: a * b), F.lit(0.0),
+                              lambda acc, x: acc + x), 9)
+    best = known.join(mean, id_col).select(id_col, "n_known", sim.alias("sim"), "word") \
+                .groupBy(id_col).agg(F.min(F.struct("sim", "word"))["word"].alias("outlier"), F.first("n_known").alias("n_known"))
+    return df.select(id_col).join(best, id_col, "left").select(
         id_col, "outlier", F.coalesce("n_known", F.lit(0)).alias("n_known"))
 
 
@@ -246,6 +246,9 @@ def resolve_entities(ents: DataFrame, vectors: DataFrame, idf: DataFrame | None
     direct / segment / reduced / none and ``vec`` null for none (Q9).
     """
     ensure_checkpoint_dir(ents.sparkSession)
+    # every round reads the weights and the vectors again: computed once, on shared storage
+    vectors = vectors.checkpoint()
+    idf = idf.checkpoint() if idf is not None else None
     # longest vector key in words: bounds how far a text without known words must shrink
     max_key_words = vectors.agg(F.max(F.size(F.split(F.col("term"), "_")))).first()[0] or 1
     cur = ents.select(F.col(id_col).alias("id"), F.col(type_col).alias("type"),

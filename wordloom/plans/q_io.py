@@ -48,19 +48,23 @@ def write_spreadsheet_xml(df, cols, path):
 
 
 def q_xml_work_orders(spark, sf):
-    """SRC-1 / SRC-2 / CLN-7: orders + customers + documents as a spreadsheet export, read back as work orders."""
+    """SRC-1 / SRC-2 / CLN-7: orders with customers and item names as a spreadsheet export, read back as work orders."""
     o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     c = load(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    d = load(spark, sf, "documents").select("doc_id", "text")
-    j = o.join(c, o.o_custkey == c.c_custkey, "left").join(d, o.o_orderkey == d.doc_id, "left")
+    items = QL.order_sequences(spark, sf).select("o_orderkey", F.array_join("tokens", " ").alias("items"))
+    j = o.join(c, o.o_custkey == c.c_custkey, "left").join(items, "o_orderkey", "left")
     src = j.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_date"),
                    F.col("o_custkey").alias("company_id"), F.col("o_orderkey").alias("job_order_number"),
                    F.col("c_mktsegment").alias("portfolio_name"), F.col("c_name").alias("address"),
                    F.col("o_orderstatus").alias("unit"), F.col("o_orderpriority").alias("category"),
-                   F.coalesce(F.col("text"), F.lit("")).alias("description"))
-    path = stage_path(spark, "xml")
-    write_spreadsheet_xml(src, HEADER, path)
-    table = R.read_spreadsheet_table(spark, path)
+                   F.coalesce(F.col("items"), F.lit("")).alias("description"))
+    # two workbooks with different column orders
+    paths = []
+    half = F.pmod(F.col("id"), F.lit(2)) == 0
+    for rows, cols in ((src.where(half), HEADER), (src.where(~half), HEADER[::-1])):
+        paths.append(stage_path(spark, "xml"))
+        write_spreadsheet_xml(rows, cols, paths[-1])
+    table = R.read_spreadsheet_table(spark, paths)
     wo = R.raw_to_work_orders(table)
     return wo.select("address", "category", F.md5("description").alias("description_md5"), "unit")
 
@@ -95,12 +99,13 @@ def q_entity_vector_text(spark, sf):
 
 
 def q_training_xml_file(spark, sf):
-    """SNK-1: training sequences written as XML part files and read back with the XML reader."""
+    """SNK-1 and its reader: training sequences written as XML part files and read back; how often each sequence occurs."""
     parsed = QL.parsed_lines(spark, sf)
     path = stage_path(spark, "trainxml")
     K.write_training_xml(parsed, path)
-    back = spark.read.format("xml").option("rowTag", "TokenSequence").load(path)
-    return back.select(F.size(F.array(*[F.col(c) for c in back.columns])).alias("n_fields"))
+    back = R.read_training_xml(spark, path)
+    text = F.array_join(F.transform("pairs", lambda p: F.concat_ws("=", p["label"], p["term"])), "|")
+    return back.groupBy(F.md5(text).alias("sequence_md5")).agg(F.count(F.lit(1)).alias("n"), F.first(F.size("pairs")).alias("n_pairs"))
 
 
 def q_limited_rows(spark, sf):
@@ -129,6 +134,19 @@ QUERIES = {
 def sql() -> dict[str, str]:
     from wordloom.plans.common import sql_normalize
     return {
+        "xml_work_orders": f"""WITH {QL._SEQ}
+SELECT c.c_name AS address, o.o_orderpriority AS category, md5(coalesce(array_to_string(seq.tokens, ' '), '')) AS description_md5,
+       o.o_orderstatus AS unit
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN seq ON seq.okey = o.o_orderkey""",
+        "tsv_round_trip": f"""WITH {QL._cols_sql()},
+ent AS ({QL._unpivot()})
+SELECT type, entity FROM ent""",
+        "entity_vector_text": """
+SELECT CAST(label AS VARCHAR) AS type, 'e' || vec_id AS entity, CAST(len(embedding) AS INT) AS dim,
+       round(list_sum(list_transform(embedding, lambda x: round(x::DOUBLE, 8))), 4) AS vec_sum FROM embeddings""",
+        "training_xml_file": f"""WITH {QL._lines_sql()},
+s AS (SELECT line_id, string_agg(label || '=' || term, '|' ORDER BY pos) AS t, count(*) AS k FROM pairs GROUP BY line_id)
+SELECT md5(t) AS sequence_md5, count(*) AS n, CAST(first(k) AS INT) AS n_pairs FROM s GROUP BY t""",
         "limited_rows": "SELECT doc_id, lang, CAST(n_chars AS BIGINT) AS n_chars FROM documents ORDER BY doc_id LIMIT 200",
         "type_filter": f"SELECT p_partkey, p_type AS type, {sql_normalize('p_name')} AS entity FROM part "
                        "WHERE p_type IN ('SMALL', 'LARGE')",

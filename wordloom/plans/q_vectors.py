@@ -196,6 +196,65 @@ idf AS (
 mx AS (SELECT type, max(idf) AS max_idf FROM idf GROUP BY type)"""
 
 
+_OUTLIER = """
+s AS (SELECT conv_id::VARCHAR || '_' || turn::VARCHAR AS sid, conv_id, turn FROM t),
+u AS (
+  SELECT term, list_transform(vec, lambda x: CASE WHEN n > 0 THEN x / n ELSE 0 END) AS u
+  FROM (SELECT term, vec, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS n FROM vt)
+),
+k AS (SELECT w.conv_id, w.turn, w.word, u.u FROM w JOIN u ON w.word = u.term),
+comp AS (
+  SELECT conv_id, turn, i, sum(u[i]) / count(*) AS m
+  FROM (SELECT conv_id, turn, u, unnest(range(1, len(u) + 1)) AS i FROM k) GROUP BY conv_id, turn, i
+),
+mean AS (SELECT conv_id, turn, list(m ORDER BY i) AS m FROM comp GROUP BY conv_id, turn),
+sim AS (
+  SELECT k.conv_id, k.turn, k.word,
+         round(list_sum(list_transform(range(1, len(k.u) + 1), lambda i: k.u[i] * mean.m[i])), 9) AS sim
+  FROM k JOIN mean ON k.conv_id = mean.conv_id AND k.turn = mean.turn
+),
+best AS (SELECT conv_id, turn, arg_min(word, (sim, word)) AS outlier, count(*) AS n_known FROM sim GROUP BY conv_id, turn)"""
+
+
+def _segment_sql() -> str:
+    """Longest-first cover of every turn, one span after the other in a recursive query."""
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in TK.english_stopwords())
+    return f"""
+WITH RECURSIVE t AS (
+  SELECT conv_id::VARCHAR || '_' || turn::VARCHAR AS sid, CASE WHEN t = '' THEN []::VARCHAR[] ELSE string_split(t, ' ') END AS ws
+  FROM (SELECT conv_id, turn, {sql_normalize('text')} AS t FROM conversations)
+),
+span AS (
+  SELECT sid, n, s, array_to_string(ws[s + 1:s + n], ' ') AS gram FROM (
+    SELECT sid, ws, n, unnest(range(0, greatest(len(ws) - n + 1, 0))) AS s FROM t, (SELECT unnest([1, 2, 3, 4]) AS n))
+),
+vt AS (
+  SELECT v.term, e.embedding::DOUBLE[] AS vec
+  FROM (SELECT DISTINCT replace(gram, ' ', '_') AS term FROM span) v JOIN embeddings e ON e.vec_id = {_BUCKET.format(t='v.term')}
+),
+hit AS (
+  SELECT sid, n, s, gram, row_number() OVER (PARTITION BY sid ORDER BY n DESC, s) AS i
+  FROM span SEMI JOIN vt ON vt.term = replace(span.gram, ' ', '_') WHERE NOT (n = 1 AND gram IN ({stop}))
+),
+cover AS (
+  SELECT sid, 0::BIGINT AS i, []::BIGINT[] AS used, []::VARCHAR[] AS grams FROM t
+  UNION ALL
+  SELECT c.sid, h.i,
+    CASE WHEN list_has_any(c.used, range(h.s, h.s + h.n)) THEN c.used ELSE list_concat(c.used, range(h.s, h.s + h.n)) END,
+    CASE WHEN list_has_any(c.used, range(h.s, h.s + h.n)) THEN c.grams ELSE list_append(c.grams, h.gram) END
+  FROM cover c JOIN hit h ON h.sid = c.sid AND h.i = c.i + 1
+),
+last AS (SELECT sid, arg_max(grams, i) AS grams FROM cover GROUP BY sid),
+g AS (SELECT sid, unnest(list_distinct(grams)) AS gram FROM last),
+comp AS (
+  SELECT sid, i, avg(vec[i]) AS a FROM (
+    SELECT g.sid, vt.vec, unnest(range(1, len(vt.vec) + 1)) AS i FROM g JOIN vt ON vt.term = replace(g.gram, ' ', '_')) GROUP BY sid, i
+),
+m AS (SELECT sid, round(sum(a), 6) AS vec_sum FROM comp GROUP BY sid)
+SELECT last.sid, CAST(len(grams) AS BIGINT) AS n_grams, md5(array_to_string(grams, '|')) AS grams_md5, m.vec_sum
+FROM last LEFT JOIN m ON last.sid = m.sid"""
+
+
 def _vsum(v):
     return f"round(list_sum({v}), 6)"
 
@@ -256,26 +315,18 @@ q AS (SELECT DISTINCT CASE WHEN role = 'user' THEN 'assistant' WHEN role = 'assi
                           ELSE 'nobody' END AS type, word FROM w)
 SELECT q.type, q.word, round(coalesce(idf.idf, mx.max_idf, 1.0), 6) AS weight
 FROM q LEFT JOIN idf ON idf.type = q.type AND idf.gram = q.word LEFT JOIN mx ON mx.type = q.type""",
-        "outlier_word": f"""WITH {_TURNS},
-s AS (SELECT conv_id::VARCHAR || '_' || turn::VARCHAR AS sid, conv_id, turn FROM t),
-u AS (
-  SELECT term, list_transform(vec, lambda x: CASE WHEN n > 0 THEN x / n ELSE 0 END) AS u
-  FROM (SELECT term, vec, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS n FROM vt)
-),
-k AS (SELECT w.conv_id, w.turn, w.word, u.u FROM w JOIN u ON w.word = u.term),
-comp AS (
-  SELECT conv_id, turn, i, sum(u[i]) / count(*) AS m
-  FROM (SELECT conv_id, turn, u, unnest(range(1, len(u) + 1)) AS i FROM k) GROUP BY conv_id, turn, i
-),
-mean AS (SELECT conv_id, turn, list(m ORDER BY i) AS m FROM comp GROUP BY conv_id, turn),
-sim AS (
-  SELECT k.conv_id, k.turn, k.word,
-         round(list_sum(list_transform(range(1, len(k.u) + 1), lambda i: k.u[i] * mean.m[i])), 9) AS sim
-  FROM k JOIN mean ON k.conv_id = mean.conv_id AND k.turn = mean.turn
-),
-best AS (SELECT conv_id, turn, arg_min(word, (sim, word)) AS outlier, count(*) AS n_known FROM sim GROUP BY conv_id, turn)
+        "outlier_word": f"""WITH {_TURNS}, {_OUTLIER}
 SELECT s.sid, best.outlier, CAST(coalesce(best.n_known, 0) AS BIGINT) AS n_known
 FROM s LEFT JOIN best ON s.conv_id = best.conv_id AND s.turn = best.turn""",
+        "entity_reduce": f"""WITH {_TURNS}, {_OUTLIER},
+r AS (
+  SELECT s.sid, CASE WHEN t.t = '' THEN []::VARCHAR[] ELSE regexp_split_to_array(t.t, '\\s+') END AS ws, best.outlier
+  FROM s JOIN t ON s.conv_id = t.conv_id AND s.turn = t.turn LEFT JOIN best ON s.conv_id = best.conv_id AND s.turn = best.turn
+)
+SELECT sid, md5(array_to_string(CASE WHEN len(ws) <= 1 THEN ws
+  WHEN outlier IS NOT NULL THEN list_concat(ws[1:list_position(ws, outlier) - 1], ws[list_position(ws, outlier) + 1:])
+  ELSE ws[1:len(ws) - 1] END, ' ')) AS reduced_md5 FROM r""",
+        "ngram_segment": _segment_sql(),
         "resolve_entity": f"""
 WITH p AS (SELECT p_partkey, p_type, {sql_normalize('p_name')} AS entity FROM part),
 pw AS (SELECT p_partkey, p_type, entity, string_split(entity, ' ') AS ws FROM p),

@@ -29,7 +29,7 @@ XML_CELL_SCHEMA = ("Cell array<struct<_Index: int, Data: struct<_VALUE: string,
 # SRC-1 / SRC-2: spreadsheet XML
 # ---------------------------------------------------------------------------
 
-def read_spreadsheet_rows(spark: SparkSession, path: str) -> DataFrame:
+def read_spreadsheet_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """SRC-1: one row per ``Row`` with ``row_no`` and ``cells map<int, string>`` (1-based columns).
 
     ``ss:Index`` gaps are honoured: a cell with an index jumps to that
@@ -50,7 +50,7 @@ def read_spreadsheet_rows(spark: SparkSession, path: str) -> DataFrame:
                       F.map_from_entries(placed).alias("cells"))
 
 
-def read_spreadsheet_table(spark: SparkSession, path: str) -> DataFrame:
+def read_spreadsheet_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The first row of every file is its header; later rows become records named by their own file's header.
 
     Header rows are found per file (smallest ``row_no`` of the file), so a
@@ -132,6 +132,20 @@ def read_training_lines(spark: SparkSession, path: str) -> DataFrame:
                                         F.col("value").alias("line"))
 
 
+def read_training_xml(spark: SparkSession, path: str) -> DataFrame:
+    """The training XML back as ``(pairs array<struct<term, label>>)``, one row a sequence.
+
+    Elements keep their order; a sequence is read as its text, so labels
+    that repeat and any order of labels come back as written.
+    """
+    raw = spark.read.option("lineSep", "</TokenSequence>").text(path).select(F.element_at(F.split("value", "<TokenSequence>"), -1).alias("v"),
+                                                                            F.contains("value", F.lit("<TokenSequence>")).alias("ok"))
+    items = F.regexp_extract_all("v", F.lit(r"<([^<>/]+)>([^<]*)</"), F.lit(0))
+    plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    return raw.where("ok").select(F.transform(items, lambda x: T.nstruct(
+        term=plain(F.regexp_extract(x, r">([^<]*)</", 1)), label=F.regexp_extract(x, r"<([^<>/]+)>", 1))).alias("pairs"))
+
+
 def read_synonyms(spark: SparkSession, path: str) -> DataFrame:
     """SRC-5: ``(file, line_no, phrase, target)``: last tab field is the target (``_`` -> blank), the rest the phrase.
 
