@@ -93,12 +93,12 @@ def length_code(t) -> Column:
 
 
 def full_bracketed(t) -> Column:
-    return T._c(t).rlike(r"""^["('][A-Za-z0-9_]+[")']""")
+    return _c(t).rlike(r"""^["('][A-Za-z0-9_]+[")']""")
 
 
 def bracketed(t) -> Column:
     """A bracket or quote at one side of the leading word only."""
-    return T._c(t).rlike(r"""^(["('][A-Za-z0-9_]+|[A-Za-z0-9_]+[")'])""") & ~full_bracketed(t)
+    return _c(t).rlike(r"""^(["('][A-Za-z0-9_]+|[A-Za-z0-9_]+[")'])""") & ~full_bracketed(t)
 
 
 def more_vowels(t) -> Column:
@@ -109,7 +109,7 @@ def more_vowels(t) -> Column:
 
 def ends_in_punctuation(t) -> Column:
     """The last character, if a character after the first is neither a word character nor a period; else ``false``."""
-    t = T._c(t)
+    t = _c(t)
     return F.when(t.rlike(r"^.+[^.A-Za-z0-9_]"), F.substring(t, -1, 1)).otherwise("false")
 
 

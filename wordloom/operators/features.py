@@ -90,22 +90,27 @@ def with_pos(df: DataFrame, token_col: str, lexicon: DataFrame | None, default_t
                             "nltk_tag": F.coalesce("nltk_tag", F.lit(default_tag))})
 
 
-def with_pos_array(df: DataFrame, tokens_col: str, lexicon: DataFrame, out: str = "pos", default_tag: str = "") -> DataFrame:
-    """JOIN-4 for whole texts: an array of POS structs beside the token array, in token order.
-
-    Each distinct token array is looked up once; the lexicon is broadcast
-    only below the checked size.
+def with_pos_array(df: DataFrame, tokens_col: str, lexicon: DataFrame | None = None, gazetteer: DataFrame | None = None,
+                   out: str = "pos", default_tag: str = "") -> DataFrame:
+    """JOIN-3 / JOIN-4 for whole texts: an array of lookup results beside the token array, in token order.
+
+    ``lexicon`` (word, tag[, ord]) gives the POS fields, ``gazetteer``
+    (kind, term) the location and object flags; without a gazetteer the
+    fixed lists do.  Each distinct token array is looked up once; tables are
+    broadcast only below the checked size.
     """
     from wordloom.operators.tokens import explode_with_pos
     distinct = df.select(F.col(tokens_col).alias("_tk")).where(F.col("_tk").isNotNull()).distinct()
     words = with_pos(explode_with_pos(distinct, "_tk", F.col("_tk"), "_i", "_word"), "_word", lexicon, default_tag)
-    per = words.groupBy("_tk").agg(F.array_sort(F.collect_list(F.struct("_i", "nouns_count", "verbs_count", "nltk_tag"))).alias("_ps"))
+    words = gazetteer_flags(words, "_word", gazetteer)
+    per = words.groupBy("_tk").agg(F.array_sort(F.collect_list(
+        F.struct("_i", "nouns_count", "verbs_count", "nltk_tag", "is_location", "is_object"))).alias("_ps"))  # the words of one text
     joined = df.join(per, F.col(tokens_col) == per["_tk"], "left").drop("_tk")
     return joined.withColumn(out, F.coalesce(F.col("_ps"), F.array().cast(per.schema["_ps"].dataType))).drop("_ps")
 
 
-def token_record(t, nouns=None, verbs=None, tag=None, optional=()) -> Column:
-    """FEA-10: one token's feature struct (POS fields from columns when given).
+def token_record(t, nouns=None, verbs=None, tag=None, location=None, object_=None, optional=()) -> Column:
+    """FEA-10: one token's feature struct (looked-up fields from columns when given).
 
     ``optional`` names features of ``shape.OPTIONAL_FEATURES`` to add (FEA-9).
 
@@ -119,8 +124,8 @@ def token_record(t, nouns=None, verbs=None, tag=None, optional=()) -> Column:
             nouns_count=(nouns if nouns is not None else F.lit(0)).cast("int"),
             verbs_count=(verbs if verbs is not None else F.lit(0)).cast("int"),
             nltk_tag=(tag if tag is not None else F.lit("")),
-            is_location=is_location(t),
-            is_object=is_object(t),
+            is_location=location if location is not None else is_location(t),
+            is_object=object_ if object_ is not None else is_object(t),
             length=S.token_length(t).cast("int"),
             has_vowels=F.substring(ab, 2, 1 << 30).rlike(f"[{fixed.VOWELS}]"),
             period=S.has_period(t),
@@ -141,14 +146,14 @@ def sequence_features(tokens, pos=None, optional=()) -> Column:
     singleton, previous, next>>`` where ``previous``/``next`` are the
     neighbours' feature structs including their own boundary flags, null at
     the edges.  ``pos`` (an array beside the tokens, see `with_pos_array`)
-    supplies the POS fields when given; ``optional`` adds FEA-9 features.
+    supplies the looked-up fields when given; ``optional`` adds FEA-9 features.
     """
     tk = T._c(tokens)
     n = F.size(tk)
 
     def base(x, i):
         own = F.get(T._c(pos), i) if pos is not None else None
-        rec = token_record(x, *([own[c] for c in ("nouns_count", "verbs_count", "nltk_tag")] if own is not None else [None] * 3),
+        rec = token_record(x, *([own[c] for c in ("nouns_count", "verbs_count", "nltk_tag", "is_location", "is_object")] if own is not None else []),
                            optional=optional)
         return T.nstruct(f=rec, rawstring_start=(i == 0) & (n > 1), rawstring_end=(i == n - 1) & (n > 1))
 

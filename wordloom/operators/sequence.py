@@ -74,16 +74,17 @@ def token_items(r: Column, optional=()) -> Column:
 
 
 def with_features(df: DataFrame, tokens_col: str = "tokens", names: list[str] | None = None, lexicon: DataFrame | None = None,
-                  optional=()) -> DataFrame:
+                  optional=(), gazetteer: DataFrame | None = None) -> DataFrame:
     """Add ``ntok``, ``ftok``, ``fval`` and ``fidx`` (or ``fkey``, the names, without an index) for the token array.
 
     Features that the index ``names`` does not have are left out, as they
-    have no weight.  ``lexicon`` (word, tag[, ord]) supplies the POS features.
+    have no weight.  ``lexicon`` (word, tag[, ord]) supplies the POS features, ``gazetteer``
+    (kind, term) the location and object flags instead of the fixed lists.
     """
     pos = None
     st = df
-    if lexicon is not None:
-        st, pos = FE.with_pos_array(df, tokens_col, lexicon, "_pos"), "_pos"
+    if lexicon is not None or gazetteer is not None:
+        st, pos = FE.with_pos_array(df, tokens_col, lexicon, gazetteer, "_pos"), "_pos"
     st = st.withColumn("_sf", FE.sequence_features(tokens_col, pos, optional))
     st = st.withColumn("_it", F.transform("_sf", lambda r: token_items(r, optional))).drop("_sf", *([pos] if pos else []))
     if names is not None:
@@ -292,7 +293,8 @@ def decode(df: DataFrame, model: SequenceModel, out: str = "labels") -> DataFram
     return df.mapInPandas(run, schema)
 
 
-def label_tokens(df: DataFrame, text_col: str, model: SequenceModel, lexicon: DataFrame | None = None) -> DataFrame:
+def label_tokens(df: DataFrame, text_col: str, model: SequenceModel, lexicon: DataFrame | None = None,
+                 gazetteer: DataFrame | None = None) -> DataFrame:
     """SEQ-2 on a text column: ``tokens`` (TOK-2 of the lower-cased text) and predicted ``labels``.
 
     Each distinct text is labelled once and its labels joined back (a stream
@@ -300,7 +302,7 @@ def label_tokens(df: DataFrame, text_col: str, model: SequenceModel, lexicon: Da
     """
     def labelled(texts: DataFrame) -> DataFrame:
         d = texts.withColumn("tokens", T.tokenize(F.lower(F.col(text_col))))
-        return decode(with_features(d, "tokens", model.features, lexicon, model.optional), model).drop("ntok", "ftok", "fidx", "fval")
+        return decode(with_features(d, "tokens", model.features, lexicon, model.optional, gazetteer), model).drop("ntok", "ftok", "fidx", "fval")
 
     if df.isStreaming:
         return labelled(df)
@@ -370,7 +372,7 @@ def minimise(evaluate, x: np.ndarray, tolerance: float, memory: int = 8, history
 
 
 def fit(train: DataFrame, labels=fixed.MODEL_LABELS, tolerance: float = 1e-3, l2: float = 0.01, tokens_col: str = "tokens", y_col: str = "y",
-        lexicon: DataFrame | None = None, optional=(), history: list | None = None) -> SequenceModel:
+        lexicon: DataFrame | None = None, optional=(), gazetteer: DataFrame | None = None, history: list | None = None) -> SequenceModel:
     """Fit a linear-chain CRF on ``(tokens, y)`` rows (y = label indices).
 
     Ends when an iteration lowers the loss by less than ``tolerance`` of it.
@@ -378,7 +380,7 @@ def fit(train: DataFrame, labels=fixed.MODEL_LABELS, tolerance: float = 1e-3, l2
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)
     L = len(labels)
-    named = with_features(train.select(tokens_col, y_col), tokens_col, None, lexicon, optional).select("ntok", "ftok", "fkey", "fval", y_col).checkpoint()
+    named = with_features(train.select(tokens_col, y_col), tokens_col, None, lexicon, optional, gazetteer).select("ntok", "ftok", "fkey", "fval", y_col).checkpoint()
     # The model's features: every name that occurs.
     names = [r[0] for r in named.select(F.explode(F.array_distinct("fkey")).alias("k")).distinct().orderBy("k").collect()]
     number = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]) if names else F.create_map().cast("map<string,int>")

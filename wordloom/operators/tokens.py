@@ -75,18 +75,18 @@ def explode_ngrams(df: DataFrame, id_cols, words_col: str, max_n: int = fixed.MA
 
 
 def english_stopwords() -> list[str]:
-    """Default English stopword list shipped with Spark ML (read from its jar; no JVM needed)."""
+    """Default English stopword list of Spark ML; without a running session it is read from Spark's jar."""
+    from pyspark import SparkContext
+    if SparkContext._active_spark_context is not None:
+        return list(StopWordsRemover.loadDefaultStopWords("english"))
     import glob
     import os
     import zipfile
 
     import pyspark
-    for jar in glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")):
-        with zipfile.ZipFile(jar) as z:
-            name = "org/apache/spark/ml/feature/stopwords/english.txt"
-            if name in z.namelist():
-                return [w for w in z.read(name).decode("utf-8").split("\n") if w]
-    return StopWordsRemover.loadDefaultStopWords("english")
+    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
+    with zipfile.ZipFile(jar) as z:
+        return [w for w in z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split("\n") if w]
 
 
 def remove_stopwords(df: DataFrame, words_col: str, out: str, stopwords: list[str] | None = None,

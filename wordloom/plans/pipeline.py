@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from wordloom import fixed
 from wordloom.operators import clean as CL
 from wordloom.operators import cluster as C
+from wordloom.operators import features as FE
 from wordloom.operators import labels as L
 from wordloom.operators import sequence as SQ
 from wordloom.operators import vectors as V
@@ -74,6 +75,13 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig, counters: dict | None
         return done[name]
 
     lexicon = spark.read.parquet(cfg.lexicon) if cfg.lexicon else None
+
+    def gazetteers():
+        """The fixed lists and the locations and objects mined from the training lines."""
+        mined = spark.read.parquet(done.get("gazetteers") or f"{out}/gazetteers")
+        mined = mined.where(F.col("label").isin("location", "object")).select(F.col("label").alias("kind"), "term")
+        return FE.gazetteer_table(spark).unionByName(mined).distinct()
+
     for stage in cfg.stages:
         if stage == "ingest":
             if cfg.raw_xml:
@@ -105,14 +113,14 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig, counters: dict | None
             L.training_rejects(parsed).select("line_id", "line", "reason").write.mode("overwrite").parquet(p("rejects"))
             K.write_training_xml(parsed, p("training_xml"))
             K.write_gazetteers(L.training_pairs(parsed), p("gazetteers"))
-            model = SQ.fit(SQ.training_sequences(parsed), tolerance=cfg.tolerance, lexicon=lexicon, optional=cfg.optional_features)
+            model = SQ.fit(SQ.training_sequences(parsed), tolerance=cfg.tolerance, lexicon=lexicon, optional=cfg.optional_features, gazetteer=gazetteers())
             model.save(spark, p("model"))
         elif stage == "label":
             wo = spark.read.parquet(done.get("work_orders") or f"{out}/work_orders")
             if cfg.row_limit and cfg.row_limit > 0:
                 wo = wo.orderBy("row_id").limit(cfg.row_limit)
             model = SQ.SequenceModel.load(spark, done.get("model") or f"{out}/model")
-            lab = SQ.label_tokens(wo, "description", model, lexicon)
+            lab = SQ.label_tokens(wo, "description", model, lexicon, gazetteers())
             cols = L.with_label_columns(lab, "tokens", "labels")
             counted(cols, "labelled").write.mode("overwrite").parquet(p("labelled"))
             K.write_labelled(spark.read.parquet(done["labelled"]).drop("row_id"), p("labelled_tsv"))

@@ -73,6 +73,8 @@ def q_token_shape(spark, sf):
         S.casing(t).alias("casing"),
         T.clean_token(t).alias("token_clean"),
         T.abbrev_token(t).alias("token_abbrev"),
+        *[f(t).cast("string").alias(name.replace(".", "_")) for name, f in S.OPTIONAL_FEATURES.items()
+          if name not in ("digits", "case", "trailing.zeros")],
     )
 
 
@@ -88,8 +90,8 @@ def q_gazetteer_flags(spark, sf):
 
 
 def q_stopword_filter(spark, sf):
-    """TOK-6: English documents, words left after stopword removal."""
-    d = load(spark, sf, "documents").where(F.col("lang") == "en")
+    """TOK-6: words of every document left after removal of English stopwords."""
+    d = load(spark, sf, "documents")
     w = d.select("doc_id", T.space_split(T.normalize("text")).alias("words"))
     k = TK.remove_stopwords(w, "words", "kept")
     return k.select("doc_id", F.size("words").cast("bigint").alias("n_words"),
@@ -213,7 +215,17 @@ SELECT token,
        WHEN regexp_matches(token, '^[^A-Za-z]*[A-Z][a-z]*([^A-Za-z]+[A-Z][a-z]*)*[^A-Za-z]*$') THEN 'title'
        WHEN regexp_matches(token, '^[A-Za-z]+$') THEN 'mixed' ELSE 'false' END AS casing,
   {clean} AS token_clean,
-  {abbrev} AS token_abbrev
+  {abbrev} AS token_abbrev,
+  CAST(strpos({clean}, '-') > 0 AS VARCHAR) AS hyphenated, CAST(strpos({clean}, '''') > 0 AS VARCHAR) AS contracted,
+  CAST(regexp_matches({abbrev}, '^[A-Za-z]+$') AS VARCHAR) AS just_letters, CAST(regexp_matches({abbrev}, '^[A-Za-z]$') AS VARCHAR) AS initial,
+  CAST(right({abbrev}, 1) IN ('a', 'e', 'i', 'o', 'u', 'y') AS VARCHAR) AS endswith_vowel,
+  CAST(trim({abbrev}, 'xvi') = '' AS VARCHAR) AS roman, CAST(ends_with({clean}, '.') AS VARCHAR) AS abbrev,
+  CASE WHEN regexp_matches({abbrev}, '^[0-9]+$') THEN 'd:' ELSE 'w:' END || length({abbrev}) AS "length_code",
+  CAST(regexp_matches(token, '^(["''(]\\w+|\\w+[")''])') AND NOT regexp_matches(token, '^["''(]\\w+[")'']') AS VARCHAR) AS bracketed,
+  CAST(regexp_matches(token, '^["''(]\\w+[")'']') AS VARCHAR) AS fullbracketed,
+  CAST(length(regexp_replace({abbrev}, '[^aeiouy]', '', 'g')) > length(regexp_replace({abbrev}, '[aeiouy]', '', 'g')) AS VARCHAR) AS more_vowels,
+  CASE WHEN regexp_matches(token, '^.+[^.\\w]') THEN right(token, 1) ELSE 'false' END AS endsinpunc,
+  CASE WHEN regexp_matches({abbrev}, '^[0-9]+$') THEN 'false' ELSE {abbrev} END AS word
 FROM (SELECT DISTINCT unnest({sql_tokens(sql_ascii('text'))}) AS token FROM documents)""",
         "gazetteer_flags": f"""
 SELECT token,
@@ -226,7 +238,7 @@ FROM (SELECT DISTINCT unnest(tk) AS token FROM (
         "stopword_filter": f"""
 WITH w AS (
   SELECT doc_id, CASE WHEN {nt} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({nt}, '\\s+') END AS w
-  FROM documents WHERE lang = 'en'
+  FROM documents
 ), k AS (
   SELECT doc_id, w, list_filter(w, lambda x: NOT list_contains({_stop_sql()}, x)) AS kept FROM w
 )
