@@ -217,10 +217,10 @@ best AS (SELECT conv_id, turn, arg_min(word, (sim, word)) AS outlier, count(*) A
 
 
 def _segment_sql() -> str:
-    """Longest-first cover of every turn, one span after the other in a recursive query."""
+    """Longest-first cover of every turn, folding one span after the other."""
     stop = ", ".join("'" + w.replace("'", "''") + "'" for w in TK.english_stopwords())
     return f"""
-WITH RECURSIVE t AS (
+WITH t AS (
   SELECT conv_id::VARCHAR || '_' || turn::VARCHAR AS sid, CASE WHEN t = '' THEN []::VARCHAR[] ELSE string_split(t, ' ') END AS ws
   FROM (SELECT conv_id, turn, {sql_normalize('text')} AS t FROM conversations)
 ),
@@ -236,15 +236,14 @@ hit AS (
   SELECT sid, n, s, gram, row_number() OVER (PARTITION BY sid ORDER BY n DESC, s) AS i
   FROM span SEMI JOIN vt ON vt.term = replace(span.gram, ' ', '_') WHERE NOT (n = 1 AND gram IN ({stop}))
 ),
-cover AS (
-  SELECT sid, 0::BIGINT AS i, []::BIGINT[] AS used, []::VARCHAR[] AS grams FROM t
-  UNION ALL
-  SELECT c.sid, h.i,
-    CASE WHEN list_has_any(c.used, range(h.s, h.s + h.n)) THEN c.used ELSE list_concat(c.used, range(h.s, h.s + h.n)) END,
-    CASE WHEN list_has_any(c.used, range(h.s, h.s + h.n)) THEN c.grams ELSE list_append(c.grams, h.gram) END
-  FROM cover c JOIN hit h ON h.sid = c.sid AND h.i = c.i + 1
+spans AS (
+  SELECT sid, list(struct_pack(used := range(s, s + n), grams := [gram]) ORDER BY i) AS xs FROM hit GROUP BY sid
+),
+last AS (
+  SELECT t.sid, coalesce(list_reduce(xs, lambda acc, x: CASE WHEN list_has_any(acc.used, x.used) THEN acc
+    ELSE struct_pack(used := list_concat(acc.used, x.used), grams := list_concat(acc.grams, x.grams)) END).grams, []) AS grams
+  FROM t LEFT JOIN spans ON t.sid = spans.sid
 ),
-last AS (SELECT sid, arg_max(grams, i) AS grams FROM cover GROUP BY sid),
 g AS (SELECT sid, unnest(list_distinct(grams)) AS gram FROM last),
 comp AS (
   SELECT sid, i, avg(vec[i]) AS a FROM (
