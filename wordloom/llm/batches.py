@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 # Bytes of text that one numpy step looks at; temporaries are about 60 bytes per byte of text.
 CHUNK = 1 << 20
 _U = np.uint64
 
 
-def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20):
+def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20):
     """Yield (first row, one past the last row) so that each slice has about ``max_bytes`` of text.
 
     A single longer text is a slice of its own.

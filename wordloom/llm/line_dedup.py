@@ -15,8 +15,8 @@ earlier line stays.
    sets that meet on a word pass the length filter, the positional filter
    and a parity signature (differing bits never exceed the words in which
    two sets differ) or go.
-4. A set needs only one earlier match, so it first offers a few best
-   candidates a word; sets that these don't settle offer all of theirs.  A
+4. A set needs only one earlier match, so it first offers its few best
+   candidates; sets that these don't settle offer all of theirs.  A
    group of thousands of similar lines so costs rows in proportion to its size.
 5. Offered pairs are verified on the whole sets, read from the documents.
 """
@@ -34,12 +34,14 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.batches import SPACE, WordHasher, as_long, text_slices, utf8_texts
 from wordloom.llm.graph import written
-from wordloom.llm.sieve import left_join_some, likely_in
+from wordloom.llm.sieve import bit_table, has_bit, left_join_some, likely_in
 
 SLOT_BITS = 22
 SLOT_RANGES = 64
-# Candidates a set offers for each of its prefix words before it is known whether one of them matches.
+# Candidates a set offers before it is known whether one of them matches.
 OFFERS = 2
+# Bits of the table of words that unsettled sets have in their prefixes.
+WORD_BITS = 24
 # Postings of a word beyond this number are split over several buckets.
 WORD_ROWS = 20_000
 BUCKET_ROWS = 150_000
@@ -96,7 +98,9 @@ def word_table(docs: DataFrame) -> np.ndarray:
         hasher, table = WordHasher(SPACE, lower=True), np.zeros(1 << SLOT_BITS, np.uint32)
         for b in batches:
             for first, last in text_slices(b, "text"):
-                np.add.at(table, _slots(hasher(utf8_texts(b.column("text").slice(first, last - first)))[0]), 1)
+                slot = np.sort(_slots(hasher(utf8_texts(b.column("text").slice(first, last - first)))[0]))
+                edge = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else slot
+                table[slot[edge]] += np.diff(np.concatenate([edge, [len(slot)]])).astype(np.uint32)
         table = np.minimum(table, 0xFFFF).astype("<u2")
         ranges = np.flatnonzero(table.reshape(SLOT_RANGES, width).any(1))
         for r in ranges:
@@ -144,8 +148,8 @@ def _line_rows(docs: DataFrame, table, num: int, den: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "doc long, line int, k1 long, k2 long, size int, sig long, pre array<int>")
 
 
-def _postings(sets: DataFrame, table, buckets: int) -> DataFrame:
-    """(bucket, rows): packed prefix postings of all sets.  Words beyond WORD_ROWS lines go to several buckets:
+def _postings(sets: DataFrame, table, buckets: int, only=None) -> DataFrame:
+    """(bucket, rows): packed prefix postings of all sets (with ``only``, a bit table, of likely those words).  Words beyond WORD_ROWS lines go to several buckets:
     each posting is an index row in one of them and a probe in all."""
     def run(batches):
         rare = table.value
@@ -161,6 +165,9 @@ def _postings(sets: DataFrame, table, buckets: int) -> DataFrame:
                 row[f] = np.repeat(x.view(np.uint64) if f == "sig" else x, n)
             row["place"] = np.arange(len(word)) - np.repeat(first[:-1] - first[0], n)
             row["probe"] = 2  # both index row and probe
+            if only is not None:
+                keep = has_bit(only.value, word.astype(np.int64))
+                row, word = row[keep], word[keep]
             # The slot's count is at least the word's count; the grade gives it to within a tenth.
             count = np.exp2((rare[word >> np.uint32(32 - SLOT_BITS)].astype(float) + 1) / 8)
             parts = np.minimum(np.ceil(count / WORD_ROWS), buckets).astype(np.int64)
@@ -184,81 +191,73 @@ def _postings(sets: DataFrame, table, buckets: int) -> DataFrame:
     return sets.select("doc", "line", "size", "sig", "pre").mapInArrow(run, "bucket long, rows binary")
 
 
-PAIR = "u_doc long, u_line int, v_doc long, v_line int, more boolean"
+PAIR = "u_doc long, u_line int, v_doc long, v_line int, far int, more boolean"
+# Pairs that one numpy step looks at.
+AREA = 1_000_000
 
 
-def _meet(postings: DataFrame, buckets: int, num: int, den: int, offers: int, only: DataFrame | None = None) -> DataFrame:
-    """Pairs (u, v earlier than u) that pass all filters; with ``offers``, so many of each u and word, nearest signatures first.
+def _meet(postings: DataFrame, num: int, den: int, offers: int) -> DataFrame:
+    """Pairs (u, v earlier than u) that pass all filters; with ``offers``, so many of each u and step, nearest signatures first.
 
-    ``more`` tells that u had others.  With ``only`` (bucket, rows of u) just those u probe.
+    ``far`` is the signatures' distance; ``more`` tells that u had others.
     """
-    def pairs(rows: np.ndarray, wanted: np.ndarray | None):
-        order = np.lexsort((rows["line"], rows["doc"], rows["word"]))
-        rows = rows[order]
-        edge = np.flatnonzero(np.concatenate([[True], rows["word"][1:] != rows["word"][:-1], [True]]))
-        sizes = np.diff(edge)
-        # u runs over all rows, v over the earlier rows of the same word: in blocks of bounded area.
-        start = np.repeat(edge[:-1], sizes)
-        before = np.arange(len(rows)) - start
-        u_rows = np.flatnonzero(before > 0)
-        if wanted is not None:
-            u_rows = u_rows[np.isin(_place(rows[u_rows]), wanted)]
-        area = np.cumsum(before[u_rows])
+    def block(rows, size, sig, i, above):
+        """Pairs of the rows i and the ``above`` rows behind each of them."""
+        x = np.repeat(i, above)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(above) - above, above) + x + 1
+        far = np.bitwise_count(sig[x] ^ sig[y]).astype(np.int32)
+        both = size[x] + size[y]
+        need = -(-num * both // (num + den))
+        near = np.flatnonzero(far <= both - 2 * need)
+        x, y, far, need = x[near], y[near], far[near], need[near]
+        a, b = rows[x], rows[y]
+        ok = np.minimum(a["size"] - a["place"], b["size"] - b["place"]) >= need
+        ok &= (a["probe"] == 2) | (b["probe"] == 2)
+        ok &= (a["doc"] != b["doc"]) | (a["line"] != b["line"])
+        a, b, x, y, far = a[ok], b[ok], x[ok], y[ok], far[ok]
+        later = (a["doc"] > b["doc"]) | ((a["doc"] == b["doc"]) & (a["line"] > b["line"]))
+        u, v = np.where(later, x, y), np.where(later, y, x)
+        more = np.zeros(len(u), bool)
+        if offers and len(u):
+            order = np.lexsort((v, far, u))
+            u, v, far = u[order], v[order], far[order]
+            head = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+            n = np.diff(np.concatenate([head, [len(u)]]))
+            keep = np.arange(len(u)) - np.repeat(head, n) < offers
+            u, v, far, more = u[keep], v[keep], far[keep], np.repeat(n > offers, n)[keep]
+        a, b = rows[u], rows[v]
+        return pa.RecordBatch.from_arrays([pa.array(a["doc"]), pa.array(a["line"]), pa.array(b["doc"]), pa.array(b["line"]), pa.array(far), pa.array(more)],
+                                          ["u_doc", "u_line", "v_doc", "v_line", "far", "more"])
+
+    def run(key: Tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.frombuffer(b"".join(x.as_py() for t in tables for x in t.column("rows")), POSTING)
+        rows = rows[np.lexsort((rows["line"], rows["doc"], rows["size"], rows["word"]))]
+        size, sig = rows["size"].copy(), rows["sig"].copy()
+        # By word and size: the partners of a row are the next rows up to the greatest size that fits.
+        word = np.cumsum(np.concatenate([[True], rows["word"][1:] != rows["word"][:-1]])).astype(np.int64) << 32 if len(rows) else size
+        above = np.searchsorted(word | size, word | size.astype(np.int64) * den // num, side="right") - np.arange(len(rows)) - 1
+        i = np.flatnonzero(above > 0)
+        total = np.cumsum(above[i])
         at = 0
-        while at < len(u_rows):
-            end = max(at + 1, int(np.searchsorted(area, (area[at - 1] if at else 0) + 400_000, side="right")))
-            yield from _block(rows, u_rows[at:end], start[u_rows[at:end]], before[u_rows[at:end]])
+        while at < len(i):
+            done = total[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(total, done + AREA, side="right")))
+            yield block(rows, size, sig, i[at:end], above[i[at:end]])
             at = end
 
-    def _block(rows, u, start, before):
-        step, held = 2_000_000, []
-        for off in range(0, int(before.max()), step):  # more than one pass only for a single u with very many v
-            n = np.clip(before - off, 0, step)
-            x = np.repeat(np.arange(len(u)), n)
-            v = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + start[x] + off
-            a, b = rows[u[x]], rows[v]
-            both = a["size"].astype(np.int64) + b["size"]
-            need = -(-num * both // (num + den))
-            ok = (a["probe"] > 0) & (b["probe"] == 2) & ((a["doc"] != b["doc"]) | (a["line"] != b["line"]))
-            ok &= np.minimum(a["size"] - a["place"], b["size"] - b["place"]) >= need
-            ok &= (b["size"].astype(np.int64) * den >= a["size"].astype(np.int64) * num) & (a["size"].astype(np.int64) * den >= b["size"].astype(np.int64) * num)
-            far = np.bitwise_count(a["sig"] ^ b["sig"]).astype(np.int64)
-            hit = np.flatnonzero(ok & (far <= both - 2 * need))
-            held.append((x[hit], v[hit], far[hit]))
-        x, v, far = (np.concatenate(c) for c in zip(*held))
-        if len(x):
-            more = np.zeros(len(x), bool)
-            if offers:
-                order = np.lexsort((v, far, x))
-                x, v = x[order], v[order]
-                head = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-                n = np.diff(np.concatenate([head, [len(x)]]))
-                rank = np.arange(len(x)) - np.repeat(head, n)
-                more = np.repeat(n > offers, n)
-                keep = rank < offers
-                x, v, more = x[keep], v[keep], more[keep]
-            a, b = rows[u[x]], rows[v]
-            yield pa.RecordBatch.from_arrays([pa.array(a["doc"]), pa.array(a["line"]), pa.array(b["doc"]), pa.array(b["line"]), pa.array(more)],
-                                             ["u_doc", "u_line", "v_doc", "v_line", "more"])
-
-    def _place(rows):
-        return rows["doc"].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + rows["line"].astype(np.uint64)
+    return postings.groupBy("bucket").applyInArrow(run, PAIR)
 
-    def run(key: Tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, wanted = [], []
-        for t in tables:
-            blobs += [x.as_py() for x in t.column("rows") if x.is_valid]
-            if some:
-                wanted += [np.array(x.as_py(), np.int64) for x in t.column("wanted") if x.is_valid]
-        rows = np.frombuffer(b"".join(blobs), POSTING)
-        if len(rows):
-            yield from pairs(rows, None if not some else np.concatenate([w.view(np.uint64) for w in wanted]) if wanted else np.zeros(0, np.uint64))
 
-    some = only is not None
-    if not some:
-        return postings.groupBy("bucket").applyInArrow(run, PAIR).distinct()
-    return postings.withColumn("wanted", F.lit(None).cast("array<long>")).unionByName(only.withColumn("rows", F.lit(None).cast("binary"))) \
-        .groupBy("bucket").applyInArrow(run, PAIR).distinct()
+def _offered(pairs: DataFrame, offers: int) -> DataFrame:
+    """Of each u's pairs the ``offers`` nearest; ``more`` tells that u has others.
+
+    A u has at most a few pairs from each of its prefix words.
+    """
+    near = F.slice(F.array_sort(F.collect_set(F.struct("far", "v_doc", "v_line"))), 1, offers)
+    per = pairs.groupBy("u_doc", "u_line").agg(
+        near.alias("near"), F.max("more").alias("more"), F.size(F.collect_set(F.struct("v_doc", "v_line"))).alias("n"))
+    return per.select("u_doc", "u_line", F.explode("near").alias("x"), (F.col("more") | (F.col("n") > offers)).alias("more")) \
+        .select("u_doc", "u_line", "x.v_doc", "x.v_line", "more")
 
 
 def _line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -309,16 +308,19 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = sets.agg(F.sum(F.size("pre"))).first()[0] or 0
     buckets = max(8, total // BUCKET_ROWS)
     postings = _postings(sets, table, buckets)
-    offered = written(_meet(postings, buckets, num, den, OFFERS), "line_pairs")
+    offered = written(_offered(_meet(postings, num, den, OFFERS), OFFERS), "line_pairs")
     found = written(_verified(offered, docs, num, den), "found_lines")
 
-    open_ = offered.where("more").select(F.col("u_doc").alias("doc"), F.col("u_line").alias("line")).distinct().join(found, ["doc", "line"], "left_anti")
-    open_ = written(open_, "open_lines")
+    # Sets with more candidates than they offered, none of which matched: now all of their pairs.
+    open_ = written(offered.where("more").select(F.col("u_doc").alias("doc"), F.col("u_line").alias("line")).distinct()
+                    .join(found, ["doc", "line"], "left_anti").join(sets, ["doc", "line"]).select("doc", "line", "pre"), "open_lines")
     if not open_.isEmpty():
-        one = sets.join(open_, ["doc", "line"], "left_semi")
-        probes = _probe_places(one, table, buckets)
-        rest = written(_meet(postings, buckets, num, den, 0, probes).join(offered, ["u_doc", "u_line", "v_doc", "v_line"], "left_anti"), "line_pairs")
-        found = found.unionByName(_verified(rest, docs, num, den))
+        words = open_.select(F.explode("pre").alias("w")).select(F.col("w").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("w"))
+        only = spark.sparkContext.broadcast(bit_table(words, "w", WORD_BITS))
+        u, pair = ["u_doc", "u_line"], ["u_doc", "u_line", "v_doc", "v_line"]
+        rest = _meet(_postings(sets, table, buckets, only), num, den, 0).select(*pair).distinct() \
+            .join(open_.select(F.col("doc").alias("u_doc"), F.col("line").alias("u_line")), u, "left_semi").join(offered, pair, "left_anti")
+        found = found.unionByName(_verified(written(rest, "line_pairs"), docs, num, den))
 
     # A set's later lines go, and its first line too if it was found.
     state = sets.select("k1", "k2", F.col("doc").alias("doc0"), F.col("line").alias("line0"))
@@ -327,18 +329,6 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.unionByName(extra).distinct()
 
 
-def _probe_places(sets: DataFrame, table, buckets: int) -> DataFrame:
-    """(bucket, wanted): which sets probe in each bucket, as hashes of their places."""
-    def run(batches):
-        for b in batches:
-            for bucket, raw in zip(b.column("bucket").to_pylist(), b.column("rows").to_pylist()):
-                rows = np.frombuffer(raw, POSTING)
-                place = np.unique(rows["doc"].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + rows["line"].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([place.view(np.int64)], pa.list_(pa.int64()))], ["bucket", "wanted"])
-
-    return _postings(sets, table, buckets).mapInArrow(run, "bucket long, wanted array<long>")
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """All rows and columns of ``docs``, the text without its repeated lines.
 
