@@ -35,7 +35,7 @@ from wordloom.llm.sieve import bit_table, has_bit, left_join_some
 from wordloom.llm.suffix_automaton import SuffixAutomaton
 
 ANCHOR = 8
-SHARD_WORDS = 150_000
+SHARD_WORDS = 80_000
 # Distinct segments of an anchor beyond which its windows are counted by a grouped sum.
 ANCHOR_SEGMENTS = 4_000
 TABLE_BITS = 26
