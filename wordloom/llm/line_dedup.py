@@ -46,7 +46,7 @@ WORD_BITS = 24
 WORD_ROWS = 20_000
 BUCKET_ROWS = 150_000
 _U = np.uint64
-POSTING = np.dtype([("word", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4"), ("sig", "<u8"), ("probe", "u1")])
+POSTING = np.dtype([("word", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4"), ("sig", "<u8", 2), ("probe", "u1")])
 
 
 def _split_lines(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -138,14 +138,16 @@ def _line_rows(docs: DataFrame, table, num: int, den: int) -> DataFrame:
                 scrambled = (word ^ _U(0xD6E8FEB86659FD93)) * _U(0xA0761D6478BD642F)
                 k1 = _per_line(word, first, np.add)
                 k2 = _per_line(scrambled ^ (scrambled >> _U(29)), first, np.add)
-                sig = _per_line(_U(1) << (scrambled >> _U(58)), first, np.bitwise_xor)
+                # 128 parity bits: a word flips one of them
+                bit, high = _U(1) << (scrambled >> _U(58)), (scrambled >> _U(57) & _U(1)).astype(bool)
+                sig = [_per_line(np.where(high == side, bit, _U(0)), first, np.bitwise_xor) for side in (False, True)]
                 ids = b.column("id").slice(a, z - a).to_numpy(zero_copy_only=False)
                 out = pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(number.astype(np.int32)), as_long(k1), as_long(k2),
-                                                  pa.array(size.astype(np.int32)), as_long(sig), pre], names)
+                                                  pa.array(size.astype(np.int32)), as_long(sig[0]), as_long(sig[1]), pre], names)
                 yield out.filter(pa.array(size > 0))
 
-    names = ["doc", "line", "k1", "k2", "size", "sig", "pre"]
-    return docs.select("id", "text").mapInArrow(run, "doc long, line int, k1 long, k2 long, size int, sig long, pre array<int>")
+    names = ["doc", "line", "k1", "k2", "size", "sig0", "sig1", "pre"]
+    return docs.select("id", "text").mapInArrow(run, "doc long, line int, k1 long, k2 long, size int, sig0 long, sig1 long, pre array<int>")
 
 
 def _postings(sets: DataFrame, table, buckets: int, only=None) -> DataFrame:
@@ -160,12 +162,15 @@ def _postings(sets: DataFrame, table, buckets: int, only=None) -> DataFrame:
             word = pre.values.to_numpy().view(np.uint32)[first[0]:first[-1]]
             row = np.zeros(len(word), POSTING)
             row["word"] = word
-            for f in ("doc", "line", "size", "sig"):
-                x = b.column(f).to_numpy()
-                row[f] = np.repeat(x.view(np.uint64) if f == "sig" else x, n)
+            for f in ("doc", "line", "size"):
+                row[f] = np.repeat(b.column(f).to_numpy(), n)
+            for i in (0, 1):
+                row["sig"][:, i] = np.repeat(b.column(f"sig{i}").to_numpy().view(np.uint64), n)
             row["place"] = np.arange(len(word)) - np.repeat(first[:-1] - first[0], n)
-            row["probe"] = 2  # both index row and probe
+            # 2: index row and probe, 1: probe only; 4 more for a set that is still open
+            row["probe"] = 2
             if only is not None:
+                row["probe"] += np.repeat(b.column("open").to_numpy(zero_copy_only=False).astype(np.uint8) * 4, n)
                 keep = has_bit(only.value, word.astype(np.int64))
                 row, word = row[keep], word[keep]
             # The slot's count is at least the word's count; the grade gives it to within a tenth.
@@ -178,7 +183,7 @@ def _postings(sets: DataFrame, table, buckets: int, only=None) -> DataFrame:
                 step = np.arange(len(spread)) - np.repeat(np.cumsum(parts[many]) - parts[many], parts[many])
                 own = (row["doc"][spread].astype(np.uint64) * _U(0xD6E8FEB86659FD93) + row["line"][spread].astype(np.uint64) * _U(0xA0761D6478BD642F) >> _U(33)) % parts[spread].astype(np.uint64)
                 more = row[spread]
-                more["probe"] = np.where(step.astype(np.uint64) == own, 2, 1)
+                more["probe"] -= (step.astype(np.uint64) != own).astype(np.uint8)
                 few = np.flatnonzero(parts == 1)
                 row = np.concatenate([row[few], more])
                 home = np.concatenate([home[few], (home[spread] + step.astype(np.uint64)) % _U(buckets)])
@@ -188,7 +193,7 @@ def _postings(sets: DataFrame, table, buckets: int, only=None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(home[edge[:-1]]), pa.array([row[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())],
                                              ["bucket", "rows"])
 
-    return sets.select("doc", "line", "size", "sig", "pre").mapInArrow(run, "bucket long, rows binary")
+    return sets.select("doc", "line", "size", "sig0", "sig1", "pre", *(["open"] if only is not None else [])).mapInArrow(run, "bucket long, rows binary")
 
 
 PAIR = "u_doc long, u_line int, v_doc long, v_line int, far int, more boolean"
@@ -199,24 +204,27 @@ AREA = 1_000_000
 def _meet(postings: DataFrame, num: int, den: int, offers: int) -> DataFrame:
     """Pairs (u, v earlier than u) that pass all filters; with ``offers``, so many of each u and step, nearest signatures first.
 
-    ``far`` is the signatures' distance; ``more`` tells that u had others.
+    ``far`` is the signatures' distance; ``more`` tells that u had others.  Without ``offers`` only open sets are a u.
     """
     def block(rows, size, sig, i, above):
         """Pairs of the rows i and the ``above`` rows behind each of them."""
         x = np.repeat(i, above)
         y = np.arange(len(x)) - np.repeat(np.cumsum(above) - above, above) + x + 1
-        far = np.bitwise_count(sig[x] ^ sig[y]).astype(np.int32)
+        far = np.bitwise_count(sig[0][x] ^ sig[0][y]).astype(np.int32) + np.bitwise_count(sig[1][x] ^ sig[1][y])
         both = size[x] + size[y]
         need = -(-num * both // (num + den))
         near = np.flatnonzero(far <= both - 2 * need)
         x, y, far, need = x[near], y[near], far[near], need[near]
         a, b = rows[x], rows[y]
         ok = np.minimum(a["size"] - a["place"], b["size"] - b["place"]) >= need
-        ok &= (a["probe"] == 2) | (b["probe"] == 2)
+        ok &= ((a["probe"] | b["probe"]) & 2) > 0
         ok &= (a["doc"] != b["doc"]) | (a["line"] != b["line"])
         a, b, x, y, far = a[ok], b[ok], x[ok], y[ok], far[ok]
         later = (a["doc"] > b["doc"]) | ((a["doc"] == b["doc"]) & (a["line"] > b["line"]))
         u, v = np.where(later, x, y), np.where(later, y, x)
+        if not offers:  # only sets that are still open ask
+            still = rows["probe"][u] >= 4
+            u, v, far = u[still], v[still], far[still]
         more = np.zeros(len(u), bool)
         if offers and len(u):
             order = np.lexsort((v, far, u))
@@ -232,7 +240,7 @@ def _meet(postings: DataFrame, num: int, den: int, offers: int) -> DataFrame:
     def run(key: Tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.frombuffer(b"".join(x.as_py() for t in tables for x in t.column("rows")), POSTING)
         rows = rows[np.lexsort((rows["line"], rows["doc"], rows["size"], rows["word"]))]
-        size, sig = rows["size"].copy(), rows["sig"].copy()
+        size, sig = rows["size"].copy(), rows["sig"].T.copy()
         # By word and size: the partners of a row are the next rows up to the greatest size that fits.
         word = np.cumsum(np.concatenate([[True], rows["word"][1:] != rows["word"][:-1]])).astype(np.int64) << 32 if len(rows) else size
         above = np.searchsorted(word | size, word | size.astype(np.int64) * den // num, side="right") - np.arange(len(rows)) - 1
@@ -304,7 +312,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = written(_line_rows(docs, table, num, den), "lines")
 
     # One row a set: its first line.
-    sets = written(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "size", "sig", "pre")).alias("x")).select("k1", "k2", "x.*"), "line_set_table")
+    sets = written(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "size", "sig0", "sig1", "pre")).alias("x")).select("k1", "k2", "x.*"), "line_set_table")
     total = sets.agg(F.sum(F.size("pre"))).first()[0] or 0
     buckets = max(8, total // BUCKET_ROWS)
     postings = _postings(sets, table, buckets)
@@ -317,9 +325,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not open_.isEmpty():
         words = open_.select(F.explode("pre").alias("w")).select(F.col("w").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("w"))
         only = spark.sparkContext.broadcast(bit_table(words, "w", WORD_BITS))
-        u, pair = ["u_doc", "u_line"], ["u_doc", "u_line", "v_doc", "v_line"]
-        rest = _meet(_postings(sets, table, buckets, only), num, den, 0).select(*pair).distinct() \
-            .join(open_.select(F.col("doc").alias("u_doc"), F.col("line").alias("u_line")), u, "left_semi").join(offered, pair, "left_anti")
+        pair = ["u_doc", "u_line", "v_doc", "v_line"]
+        flagged = sets.join(open_.select("doc", "line", F.lit(True).alias("open")), ["doc", "line"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        rest = _meet(_postings(flagged, table, buckets, only), num, den, 0).select(*pair).distinct().join(offered, pair, "left_anti")
         found = found.unionByName(_verified(written(rest, "line_pairs"), docs, num, den))
 
     # A set's later lines go, and its first line too if it was found.

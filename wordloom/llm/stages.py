@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import line_dedup, packing, secrets, simhash, toxicity
+from wordloom.llm.graph import written
+from wordloom.llm.sieve import left_join_some
 
 # What stands where a secret stood.
 REDACTED = "[SECRET]"
@@ -25,8 +27,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component the document with the smallest id; rows with a null id stay."""
-    found = simhash.simhash_components(docs, shingle=3, radius=3).where("id <> component").select(F.col("id").alias("_id"))
-    return docs.join(found.distinct(), docs["doc_id"] == F.col("_id"), "left_anti")
+    found = simhash.simhash_components(docs, shingle=3, radius=3).where("id <> component")
+    gone = written(found.select("id", F.lit(True).alias("gone")).distinct(), "near_copies")
+    rows = left_join_some(docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row")), gone, "id")
+    return rows.where("gone is null").select("row.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
