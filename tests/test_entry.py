@@ -20,4 +20,14 @@ def test_contract(spark):
     assert len(q) >= 50
     df = m.entry(spark)
     assert "ent_description" in df.columns and "object2" in df.columns
-    assert df.count() >= 0
+    rows = df.collect()
+    assert len(rows) == spark.read.parquet(f"{m.SMOKE_DIR}/documents.parquet").count()
+    assert any(r["object"] for r in rows) and len({r["doc_id"] for r in rows}) == len(rows)
+
+
+def test_works_without_the_optional_parts(spark, monkeypatch):
+    import sys
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # an import of it fails
+    m = load_entry()
+    assert "pipeline" not in m.queries() and not [n for n in m.queries() if n.startswith("op1_")]
+    assert set(m.oracle_sql()) <= set(m.queries()) and "tokenize" in m.queries()

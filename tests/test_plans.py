@@ -45,3 +45,39 @@ def test_let_binds_once(spark):
     arr = F.split(F.upper("t"), " ")
     c = T.let(arr, lambda a: F.transform(a, lambda x, i: F.concat(x, F.get(a, i))))
     assert df.select(c.alias("v")).first()["v"] == ["AA", "BB", "CC"]
+
+
+def test_registered_plans_read_only_their_columns(spark):
+    from wordloom.plans.registry import queries
+    q = queries()
+    for name, columns in (("tokenize", {"doc_id", "text"}), ("type_filter", {"p_partkey", "p_name", "p_type"}),
+                          ("stopword_filter", {"doc_id", "text"}), ("cluster_sizes_k", {"label"})):
+        plan = q[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        read = plan.split("ReadSchema: struct<", 1)[1].split(">", 1)[0]
+        assert {c.split(":")[0] for c in read.split(",")} <= columns, (name, read)
+    plan = q["type_filter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(p_type" in plan
+
+
+def test_no_row_limit_by_default():
+    from wordloom.plans.pipeline import PipelineConfig
+    assert PipelineConfig().row_limit == 0
+
+
+def test_checkpoint_folder_must_be_named_off_local_mode():
+    import pytest
+
+    from wordloom.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
