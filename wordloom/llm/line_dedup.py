@@ -40,11 +40,12 @@ SLOT_BITS = 22
 SLOT_RANGES = 64
 # Candidates a set offers before it is known whether one of them matches.
 OFFERS = 2
-# Bits of the table of words that unsettled sets have in their prefixes.
-WORD_BITS = 24
+# Bits of the table of words (with the binary magnitude of the set's size) that unsettled sets have in their prefixes.
+WORD_BITS = 26
 # Postings of a word beyond this number are split over several buckets.
 WORD_ROWS = 20_000
 BUCKET_ROWS = 150_000
+SPREAD = 0x9E3779B1
 _U = np.uint64
 POSTING = np.dtype([("word", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4"), ("sig", "<u8", 2), ("probe", "u1")])
 
@@ -171,7 +172,8 @@ def _postings(sets: DataFrame, table, buckets: int, only=None) -> DataFrame:
             row["probe"] = 2
             if only is not None:
                 row["probe"] += np.repeat(b.column("open").to_numpy(zero_copy_only=False).astype(np.uint8) * 4, n)
-                keep = has_bit(only.value, word.astype(np.int64))
+                magnitude = np.frexp(row["size"].astype(np.float64))[1].astype(np.int64)
+                keep = has_bit(only.value, word.astype(np.int64) + magnitude * SPREAD)
                 row, word = row[keep], word[keep]
             # The slot's count is at least the word's count; the grade gives it to within a tenth.
             count = np.exp2((rare[word >> np.uint32(32 - SLOT_BITS)].astype(float) + 1) / 8)
@@ -198,7 +200,7 @@ def _postings(sets: DataFrame, table, buckets: int, only=None) -> DataFrame:
 
 PAIR = "u_doc long, u_line int, v_doc long, v_line int, far int, more boolean"
 # Pairs that one numpy step looks at.
-AREA = 1_000_000
+AREA = 200_000
 
 
 def _meet(postings: DataFrame, num: int, den: int, offers: int) -> DataFrame:
@@ -306,6 +308,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words, null and empty texts repeat nothing and are never repeated.  Rows
     that share an id must share their text.
     """
+    if 2 * threshold[0] < threshold[1]:
+        raise ValueError("the threshold must be at least one half")
     spark, (num, den) = docs.sparkSession, threshold
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     table = spark.sparkContext.broadcast(word_table(docs))
@@ -321,9 +325,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Sets with more candidates than they offered, none of which matched: now all of their pairs.
     open_ = written(offered.where("more").select(F.col("u_doc").alias("doc"), F.col("u_line").alias("line")).distinct()
-                    .join(found, ["doc", "line"], "left_anti").join(sets, ["doc", "line"]).select("doc", "line", "pre"), "open_lines")
+                    .join(found, ["doc", "line"], "left_anti").join(sets, ["doc", "line"]).select("doc", "line", "size", "pre"), "open_lines")
     if not open_.isEmpty():
-        words = open_.select(F.explode("pre").alias("w")).select(F.col("w").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("w"))
+        # Similar sets differ by less than a factor of two in size (the threshold is above one half): magnitudes next to each other.
+        words = open_.select(F.explode("pre").alias("w"), F.length(F.bin("size")).alias("b")) \
+            .select(F.col("w").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("w"), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b")) \
+            .select((F.col("w") + F.col("b") * F.lit(SPREAD)).alias("w"))
         only = spark.sparkContext.broadcast(bit_table(words, "w", WORD_BITS))
         pair = ["u_doc", "u_line", "v_doc", "v_line"]
         flagged = sets.join(open_.select("doc", "line", F.lit(True).alias("open")), ["doc", "line"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
