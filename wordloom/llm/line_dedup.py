@@ -353,20 +353,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = repeated_lines(docs, id_col, text_col, threshold).groupBy(F.col("doc").alias("id")).agg(F.collect_list("line").alias("gone"))
     gone = written(gone, "gone_lines")
 
-    @F.pandas_udf("string")
-    def cut(text, lines):
-        import pandas as pd
-        out = []
-        for t, g in zip(text, lines):
-            drop = set(g.tolist()) if g is not None else ()
-            out.append(t if t is None or not drop else "\n".join([x for i, x in enumerate(t.split("\n")) if i not in drop]))
-        return pd.Series(out, dtype=object)
-
-    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.struct("*").alias("row"))
-    joined = left_join_some(packed, gone, "id")
-    text = cut(F.col("row")[text_col].cast("string"), F.col("gone"))
-    return joined.select(*[(F.when(F.col("gone").isNull(), F.col("row")[c]).otherwise(text) if c == text_col else F.col("row")[c]).alias(c)
-                           for c in docs.columns])
+    names, place = docs.columns, docs.columns.index(text_col)
+
+    def cut(batches):
+        for b in batches:
+            row = b.column("row").flatten()
+            whole = pa.RecordBatch.from_arrays([*row, b.column("gone")], [*names, "_gone"] if "_gone" not in names else [str(i) for i in range(len(names) + 1)])
+            texts = pa.RecordBatch.from_arrays([row[place]], ["text"])
+            for first, last in text_slices(texts, "text"):
+                part = whole.slice(first, last - first)
+                out = []
+                for text, drop in zip(part.column(place).to_pylist(), part.column(len(names)).to_pylist()):
+                    drop = set(drop or ())
+                    out.append(text if text is None or not drop else "\n".join([x for i, x in enumerate(text.split("\n")) if i not in drop]))
+                columns = [part.column(i) for i in range(len(names))]
+                columns[place] = pa.array(out, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    # Only documents that a bit table of the changed ones lets through are shuffled and rewritten.
+    likely = likely_in(gone, "id")
+    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.struct("*").alias("row")).withColumn("likely", likely(F.col("id")))
+    changed = packed.where("likely").join(gone, "id", "left").select("row", "gone").mapInArrow(cut, docs.schema)
+    return packed.where("not likely").select("row.*").unionByName(changed)
 
 
 def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
