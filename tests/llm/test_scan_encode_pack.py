@@ -167,6 +167,33 @@ def test_host_consensus_beats_a_page_of_its_own(spark):
     assert got[9] == "brief"
 
 
+LONG = "many words of the story " * 9
+
+
+def main_text(source):
+    page = html_text.Page(source)
+    return page.text([page.paths[page.best()[0]]])
+
+
+@pytest.mark.parametrize("source, want", [
+    ("<article><h1>T</h1><p>intro</p><div class=body><p>%s</p></div></article>", "T\nintro\n%s"),
+    ("<article><section class=a><p>%s</p></section><section class=b><p>half</p></section></article>", "%s\nhalf"),
+    ("<article><p>one</p><ul><li>%s</li></ul><blockquote>quoted</blockquote><p>two</p></article>", "one\n%s\nquoted\ntwo"),
+    ("<div class=post><h1>T</h1><div><div><div class=body><p>%s</p></div></div></div></div><div class=more>other</div>", "T\n%s"),
+    ("<div><blockquote>%s</blockquote><p>said</p></div>", "%s\nsaid"),
+    ("<article><p>%s</p><nav>menu</nav><ul><li><a href=x>link</a></li></ul></article><div>beside</div>", "%s\nlink"),
+])
+def test_main_text_is_the_whole_article(source, want):
+    assert main_text(source % LONG.strip()) == want % LONG.strip()
+
+
+def test_main_text_is_whole_on_every_page_of_a_host(spark):
+    page = "<body><article><h1>T%d</h1><p>intro</p><div class=body><p>%s</p></div></article></body>"
+    rows = [(i, "http://a.b/", page % (i, LONG)) for i in range(4)]
+    got = {r.id: r.text for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T{i}\nintro\n{LONG.strip()}" for i in range(4)}
+
+
 def test_empty_tables(docs, spark):
     none = docs(["x"]).limit(0)
     assert secrets.scan_secrets(none).count() == 0

@@ -4,7 +4,9 @@ A page's containers are scored by the text of their blocks outside links,
 and the page votes for its best container's generalised path (tags with
 classes, digits as #).  Votes are counted per host in Spark; every page is
 then extracted again from the containers at its host's winning path (the
-next best that the page has, its own best container if it has none of them).
+next best that the page has, its own best container if it has none of them)
+and what belongs to them around: the rest of their article, or the ancestors
+that add text.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from wordloom.session import checked_broadcast
 SKIPPED = set("nav header footer aside form button select menu dialog figcaption label input".split())
 CONTAINERS = set("html body main article section div td th tr tbody thead table center blockquote figure details fieldset ul ol dl".split()) | SKIPPED
 BLOCKS = set("p h1 h2 h3 h4 h5 h6 li dt dd pre address summary caption hr".split())
+# Containers that structure a text; a `div` may hold anything.
+STRUCTURE = set("section blockquote figure details ul ol dl table tbody thead tr td th".split())
 RAW = "script|style|noscript|template|iframe|svg|textarea|select|object|canvas|math|title|head"
 # Words of class and id values that mark an element as no main text.
 BOILERPLATE = re.compile(
@@ -31,7 +35,7 @@ BOILERPLATE = re.compile(
     r"popup|modal|widget\w*|toolbar|pagination|pager|login|signup|search)(?:$|[^a-z])")
 ATTRIBUTES = r"""(?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])({ATTRIBUTES})>.*?(?:</\1\s*>|\Z)"
     rf"|<(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})>|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+>|<[!?][^>]*+>", re.S | re.I)
 MARKS = re.compile(r"""(?:^|\s)(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # Levels of a path that are kept, from the container upwards.
@@ -41,21 +45,23 @@ PATH_DEPTH = 6
 class Page:
     """Containers of a page and its blocks of text in page order.
 
-    ``paths[i]``, ``parents[i]`` and ``spans[i]`` (first block, one past the
-    last) belong to container i; a block is (container, text, characters in links).
+    ``paths[i]``, ``tags[i]``, ``parents[i]`` and ``spans[i]`` (first block,
+    one past the last) belong to container i, ``guards[i]`` is the innermost
+    container at or above it that is marked as no main text (-1 without
+    one); a block is (container, text, characters in links, is an element).
     """
 
     def __init__(self, source: str):
-        self.paths, self.parents, self.spans, self.blocks = ["body"], [-1], [[0, None]], []
+        self.paths, self.tags, self.parents, self.spans, self.blocks = ["body"], ["body"], [-1], [[0, None]], []
         stack = [("body", 0, False, ["body"])]  # tag, container, skipped, path
-        text, linked, in_link, at = [], 0, 0, 0
+        text, linked, in_link, at, element = [], 0, 0, 0, False
 
         def flush():
             nonlocal linked
             if text:
                 joined = " ".join(html.unescape("".join(text)).split())
                 if joined and not stack[-1][2]:
-                    self.blocks.append((stack[-1][1], joined, min(linked, len(joined))))
+                    self.blocks.append((stack[-1][1], joined, min(linked, len(joined)), element))
                 text.clear()
                 linked = 0
 
@@ -66,22 +72,24 @@ class Page:
                 if in_link:
                     linked += len(piece)
             at = m.end()
-            if m[3]:
-                closing, tag, attributes = m[2], m[3].lower(), m[4]
-            elif m[6]:
-                closing, tag, attributes = m[5], m[6].lower(), ""
+            if m[4]:
+                closing, tag, attributes = m[3], m[4].lower(), m[5]
+            elif m[7]:
+                closing, tag, attributes = m[6], m[7].lower(), ""
             else:
                 continue
             if tag in CONTAINERS:
                 flush()
+                element = False
                 if tag in ("html", "body"):
                     continue
                 if closing:
                     self._close(stack, tag)
-                elif not attributes.endswith("/") or tag not in ("input",):
+                else:
                     self._open(stack, tag, attributes)
             elif tag in BLOCKS:
                 flush()
+                element = not closing and tag != "hr"
             elif tag == "br":
                 text.append(" ")
             elif tag == "a":
@@ -91,6 +99,7 @@ class Page:
         flush()
         for span in self.spans:
             span[1] = len(self.blocks) if span[1] is None else span[1]
+        self._judge()
 
     def _open(self, stack, tag, attributes):
         if tag == "input":
@@ -101,6 +110,7 @@ class Page:
         name = tag + "".join("." + c for c in re.sub(r"[0-9]+", "#", value.get("class", "")).split())
         path = [*stack[-1][3][1 - PATH_DEPTH:], name]
         self.paths.append(">".join(path))
+        self.tags.append(tag)
         self.parents.append(stack[-1][1])
         self.spans.append([len(self.blocks), None])
         stack.append((tag, len(self.paths) - 1, skipped, path))
@@ -113,11 +123,19 @@ class Page:
                 del stack[i:]
                 return
 
+    def _judge(self):
+        """Text outside links, of each block and summed up."""
+        self.worth = [max(0, len(text) - 2 * linked) for _, text, linked, _ in self.blocks]
+        self.total = [0]
+        for w in self.worth:
+            self.total.append(self.total[-1] + w)
+        self.guards = [-1] * len(self.paths)
+
     def best(self) -> tuple[int, float]:
         """The container with the highest score: text outside links, in full for a block's own container, half and a quarter above it."""
         score = [0.0] * len(self.paths)
-        for c, text, linked in self.blocks:
-            worth = float(max(0, len(text) - 2 * linked))
+        for (c, _, _, _), worth in zip(self.blocks, self.worth):
+            worth = float(worth)
             for _ in range(3):
                 if c < 0:
                     break
@@ -136,11 +154,51 @@ class Page:
         top, score = self.best()
         return self._join([top]) if score > 0 else ""
 
+    def _kept(self, c: int, first: int | None = None, last: int | None = None) -> list[int]:
+        """The blocks of container c (from ``first`` to ``last``) that lie in no marked container below it."""
+        a, z = self.spans[c]
+        guard = self.guards[c]
+        return [i for i in range(a if first is None else first, z if last is None else last) if self.guards[self.blocks[i][0]] == guard]
+
+    def _whole(self, c: int) -> int:
+        """The container that holds the rest of c's text: within an article or main element any text outside links
+        is the rest, elsewhere text in elements of the parent, in lists, sections and quotes, and large containers beside c."""
+        enclosing, i = -1, c
+        while i >= 0 and self.guards[i] == self.guards[c]:
+            if self.tags[i] in ("article", "main"):
+                enclosing = i
+            i = self.parents[i]
+        if enclosing >= 0:
+            return enclosing
+        p = self.parents[c]
+        while p >= 0 and self.guards[p] == self.guards[c]:
+            (first, last), (a, z) = self.spans[c], self.spans[p]
+            beside = [i for i in self._kept(p, a, first) + self._kept(p, last, z) if self.worth[i]]
+            if beside and not self._belongs(c, p, beside):
+                break
+            if beside or p:
+                c = p
+            p = self.parents[p]
+        return c
+
+    def _belongs(self, c: int, p: int, beside: list[int]) -> bool:
+        large = 0
+        for i in beside:
+            x, child = self.blocks[i][0], -1
+            while x != p:
+                x, child = self.parents[x], x
+            if self.blocks[i][3] if child < 0 else self.tags[child] in STRUCTURE:
+                return True
+            large += self.worth[i] if p else 0  # beside a container of the body stands anything
+        return large * 10 >= self.total[self.spans[c][1]] - self.total[self.spans[c][0]] and large > 0
+
     def _join(self, containers: list[int]) -> str:
+        if not any(self._kept(c) for c in containers):
+            return ""
         out, until = [], 0
-        for c in containers:
+        for c in sorted({self._whole(c) for c in containers}, key=lambda c: (self.spans[c][0], -self.spans[c][1])):
             first, last = self.spans[c]
-            out += [t for _, t, _ in self.blocks[max(first, until):last]]
+            out += [self.blocks[i][1] for i in self._kept(c, max(first, until))]
             until = max(until, last)
         return "\n".join(out)
 
