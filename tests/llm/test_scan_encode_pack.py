@@ -194,6 +194,20 @@ def test_main_text_is_whole_on_every_page_of_a_host(spark):
     assert got == {i: f"T{i}\nintro\n{LONG.strip()}" for i in range(4)}
 
 
+@pytest.mark.parametrize("source", [
+    "<html><head><title>x</title><body><p>%s</p></body></html>",
+    "<html><head><title>x</title><meta charset=utf-8><p>%s</p>",
+    "<head><title>x</head><body><p>%s</p></body>",
+    "<p><svg class='i'/><math/>%s</p><p><svg><path d='M0'/></svg></p>",
+    "<svg viewBox='0 0 1 1'><path d='M0'><p>%s</p><svg><title>icon</title></svg>",
+    "<noscript><iframe src=x><p>%s</p>",
+    "<p>%s</p><script>var t = '<p>no';",
+    "<p>%s</p><style>p{}</style ><textarea>no <p>no",
+])
+def test_elements_without_text_end_where_html_ends_them(source):
+    assert main_text(source % LONG.strip()) == LONG.strip()
+
+
 def test_empty_tables(docs, spark):
     none = docs(["x"]).limit(0)
     assert secrets.scan_secrets(none).count() == 0

@@ -27,7 +27,13 @@ CONTAINERS = set("html body main article section div td th tr tbody thead table
 BLOCKS = set("p h1 h2 h3 h4 h5 h6 li dt dd pre address summary caption hr".split())
 # Containers that structure a text; a `div` may hold anything.
 STRUCTURE = set("section blockquote figure details ul ol dl table tbody thead tr td th".split())
-RAW = "script|style|noscript|template|iframe|svg|textarea|select|object|canvas|math|title|head"
+# Elements that are left out with their content.  HTML reads the first group as raw text, to the end of the page if nothing closes them.
+RAW_TEXT = set("script style textarea title".split())
+RAW = "script|style|noscript|template|iframe|svg|textarea|select|object|canvas|math|title"
+ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW.split("|")}
+# Where a title that nothing closes ends, and where HTML ends an svg or math element that nothing closes before.
+HEAD_END = re.compile(r"</head(?=[\s>])|<body(?=[\s/>])", re.I)
+BREAKOUT = re.compile(r"<(?:(/?)(?:svg|math)|(foreignobject|annotation-xml|desc|title)|body|div|p|h[1-6]|ul|ol|dl|li|table|blockquote|pre|center|hr|br)(?=[\s/>])", re.I)
 # Words of class and id values that mark an element as no main text.
 BOILERPLATE = re.compile(
     r"(?:^|[^a-z])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|notice\w*|sidebar\w*|menu\w*|nav|navbar\w*|navigation|"
@@ -35,13 +41,44 @@ BOILERPLATE = re.compile(
     r"popup|modal|widget\w*|toolbar|pagination|pager|login|signup|search)(?:$|[^a-z])")
 ATTRIBUTES = r"""(?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])({ATTRIBUTES})>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])({ATTRIBUTES})>"
     rf"|<(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})>|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+>|<[!?][^>]*+>", re.S | re.I)
 MARKS = re.compile(r"""(?:^|\s)(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # Levels of a path that are kept, from the container upwards.
 PATH_DEPTH = 6
 
 
+class _Raw:
+    """Ends of the elements that are left out with their content; what isn't found behind one place isn't searched again."""
+
+    def __init__(self, source: str):
+        self.source, self.without = source, {}
+
+    def _find(self, pattern: re.Pattern, at: int):
+        if self.without.get(pattern, len(self.source) + 1) <= at:
+            return None
+        m = pattern.search(self.source, at)
+        if m is None:
+            self.without[pattern] = at
+        return m
+
+    def end(self, tag: str, attributes: str, at: int) -> int:
+        """Where the element ends whose opening tag ends at ``at``; ``at`` itself for an empty one and one that nothing closes."""
+        if tag not in RAW_TEXT and attributes.endswith("/"):
+            return at
+        if tag in ("svg", "math"):
+            stop = BREAKOUT.search(self.source, at)
+            if stop and stop[1] is None and stop[2] is None:
+                return stop.start()
+        m = self._find(ENDS[tag], at)
+        if m:
+            return m.end()
+        if tag == "title":
+            m = self._find(HEAD_END, at)
+            return m.start() if m else len(self.source)
+        return len(self.source) if tag in RAW_TEXT else at
+
+
 class Page:
     """Containers of a page and its blocks of text in page order.
 
@@ -65,35 +102,44 @@ class Page:
                 text.clear()
                 linked = 0
 
-        for m in TOKEN.finditer(source):
-            piece = source[at:m.start()]
-            if piece:
-                text.append(piece)
-                if in_link:
-                    linked += len(piece)
-            at = m.end()
-            if m[4]:
-                closing, tag, attributes = m[3], m[4].lower(), m[5]
-            elif m[7]:
-                closing, tag, attributes = m[6], m[7].lower(), ""
-            else:
-                continue
-            if tag in CONTAINERS:
-                flush()
-                element = False
-                if tag in ("html", "body"):
+        raw, going = _Raw(source), True
+        while going:
+            going = False
+            for m in TOKEN.finditer(source, at):
+                piece = source[at:m.start()]
+                if piece:
+                    text.append(piece)
+                    if in_link:
+                        linked += len(piece)
+                at = m.end()
+                if m[1]:
+                    end = raw.end(m[1].lower(), m[2], at)
+                    if end > at:
+                        at, going = end, True
+                        break
                     continue
-                if closing:
-                    self._close(stack, tag)
+                if m[4]:
+                    closing, tag, attributes = m[3], m[4].lower(), m[5]
+                elif m[7]:
+                    closing, tag, attributes = m[6], m[7].lower(), ""
                 else:
-                    self._open(stack, tag, attributes)
-            elif tag in BLOCKS:
-                flush()
-                element = not closing and tag != "hr"
-            elif tag == "br":
-                text.append(" ")
-            elif tag == "a":
-                in_link = 0 if closing else 1
+                    continue
+                if tag in CONTAINERS:
+                    flush()
+                    element = False
+                    if tag in ("html", "body"):
+                        continue
+                    if closing:
+                        self._close(stack, tag)
+                    else:
+                        self._open(stack, tag, attributes)
+                elif tag in BLOCKS:
+                    flush()
+                    element = not closing and tag != "hr"
+                elif tag == "br":
+                    text.append(" ")
+                elif tag == "a":
+                    in_link = 0 if closing else 1
         if source[at:]:
             text.append(source[at:])
         flush()
