@@ -208,6 +208,26 @@ def test_elements_without_text_end_where_html_ends_them(source):
     assert main_text(source % LONG.strip()) == LONG.strip()
 
 
+@pytest.mark.parametrize("source", [
+    '<div class="layout has-sidebar"><article><p>%s</p></article><div class="sidebar">no</div></div>',
+    '<main class="no-sidebar"><p>%s</p></main>',
+    '<article class="post has-comments"><p>%s</p></article>',
+    '<article class="comments"><p>%s</p></article>',
+    '<div id="search-results"><p>%s</p></div><div class="ad">no</div>',
+    '<form id="main"><p>%s</p><input name=q></form>',
+    '<form><nav>no</nav><article><p>%s</p></article></form>',
+    '<article><div class="widget-text"><p>%s</p></div><div class="related">no</div></article>',
+    '<article><p>%s</p><div class="share">no</div></article><div class="comments"><article class="comment"><p>no</p></article></div>',
+])
+def test_marked_containers_with_the_article_stay(source):
+    assert main_text(source % LONG.strip()) == LONG.strip()
+
+
+def test_captions_and_labels_of_the_article_stay():
+    source = "<article><p>%s</p><figure><img src=x><figcaption>caption</figcaption></figure><p><label>label</label> text</p></article>"
+    assert main_text(source % LONG) == f"{LONG.strip()}\ncaption\nlabel text"
+
+
 def test_empty_tables(docs, spark):
     none = docs(["x"]).limit(0)
     assert secrets.scan_secrets(none).count() == 0

@@ -6,7 +6,8 @@ classes, digits as #).  Votes are counted per host in Spark; every page is
 then extracted again from the containers at its host's winning path (the
 next best that the page has, its own best container if it has none of them)
 and what belongs to them around: the rest of their article, or the ancestors
-that add text.
+that add text.  Containers marked by class or id words are left out unless
+they hold the article or most of the text.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from wordloom.llm.batches import text_slices
 from wordloom.session import checked_broadcast
 
 # Elements without main text, elements that contain blocks, and elements that are blocks themselves.
-SKIPPED = set("nav header footer aside form button select menu dialog figcaption label input".split())
-CONTAINERS = set("html body main article section div td th tr tbody thead table center blockquote figure details fieldset ul ol dl".split()) | SKIPPED
-BLOCKS = set("p h1 h2 h3 h4 h5 h6 li dt dd pre address summary caption hr".split())
+SKIPPED = set("nav header footer aside button select menu dialog input".split())
+CONTAINERS = set("html body main article section div td th tr tbody thead table center blockquote figure details fieldset form ul ol dl".split()) | SKIPPED
+BLOCKS = set("p h1 h2 h3 h4 h5 h6 li dt dd pre address summary caption figcaption hr".split())
 # Containers that structure a text; a `div` may hold anything.
 STRUCTURE = set("section blockquote figure details ul ol dl table tbody thead tr td th".split())
 # Elements that are left out with their content.  HTML reads the first group as raw text, to the end of the page if nothing closes them.
@@ -34,11 +35,14 @@ ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW.split
 # Where a title that nothing closes ends, and where HTML ends an svg or math element that nothing closes before.
 HEAD_END = re.compile(r"</head(?=[\s>])|<body(?=[\s/>])", re.I)
 BREAKOUT = re.compile(r"<(?:(/?)(?:svg|math)|(foreignobject|annotation-xml|desc|title)|body|div|p|h[1-6]|ul|ol|dl|li|table|blockquote|pre|center|hr|br)(?=[\s/>])", re.I)
-# Words of class and id values that mark an element as no main text.
+# Words of class and id values that mark an element as no main text, and how others say that an element has or lacks one.
 BOILERPLATE = re.compile(
     r"(?:^|[^a-z])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|notice\w*|sidebar\w*|menu\w*|nav|navbar\w*|navigation|"
     r"breadcrumb\w*|footer\w*|header|masthead|comment\w*|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe\w*|"
     r"popup|modal|widget\w*|toolbar|pagination|pager|login|signup|search)(?:$|[^a-z])")
+MODIFIED = re.compile(r"(?:^|(?<=[^a-z]))(?:has|no|with|without)[-_]+[a-z]+")
+# What text in marked containers counts in the score.
+MARKED_WORTH = 0.25
 ATTRIBUTES = r"""(?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+"""
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])({ATTRIBUTES})>"
@@ -90,6 +94,7 @@ class Page:
 
     def __init__(self, source: str):
         self.paths, self.tags, self.parents, self.spans, self.blocks = ["body"], ["body"], [-1], [[0, None]], []
+        self.marked = [False]
         stack = [("body", 0, False, ["body"])]  # tag, container, skipped, path
         text, linked, in_link, at, element = [], 0, 0, 0, False
 
@@ -152,13 +157,14 @@ class Page:
             return
         marks = [(k.lower(), next(v for v in values if v or v == "")) for k, *values in MARKS.findall(attributes)] if "=" in attributes else []
         value = {k: " ".join(sorted(v.lower().split())) for k, v in marks}
-        skipped = stack[-1][2] or tag in SKIPPED or any(BOILERPLATE.search(v) for v in value.values())
+        skipped = stack[-1][2] or tag in SKIPPED
         name = tag + "".join("." + c for c in re.sub(r"[0-9]+", "#", value.get("class", "")).split())
         path = [*stack[-1][3][1 - PATH_DEPTH:], name]
         self.paths.append(">".join(path))
         self.tags.append(tag)
         self.parents.append(stack[-1][1])
         self.spans.append([len(self.blocks), None])
+        self.marked.append(tag == "form" or any(BOILERPLATE.search(MODIFIED.sub("", v)) for v in value.values()))
         stack.append((tag, len(self.paths) - 1, skipped, path))
 
     def _close(self, stack, tag):
@@ -170,18 +176,41 @@ class Page:
                 return
 
     def _judge(self):
-        """Text outside links, of each block and summed up."""
-        self.worth = [max(0, len(text) - 2 * linked) for _, text, linked, _ in self.blocks]
-        self.total = [0]
-        for w in self.worth:
-            self.total.append(self.total[-1] + w)
-        self.guards = [-1] * len(self.paths)
+        """Settle which marked containers are boilerplate: none that is or holds the main element or the largest article, and none that holds most of the text, unless it lies beside those."""
+        worth = [max(0, len(text) - 2 * linked) for _, text, linked, _ in self.blocks]
+        total = [0]
+        for w in worth:
+            total.append(total[-1] + w)
+        self.worth, self.total = worth, total
+        if any(self.marked):
+            inside = [total[last] - total[first] for first, last in self.spans]
+            candidates = [i for i, tag in enumerate(self.tags) if tag in ("main", "article") and inside[i]]
+            kept = [i for i in candidates if self.tags[i] == "main"]
+            articles = [i for i in candidates if self.tags[i] == "article"]
+            if articles:
+                kept.append(max(articles, key=lambda i: (inside[i] * (MARKED_WORTH if self.marked[i] else 1), -i)))
+            for i in kept:
+                while i >= 0:
+                    self.marked[i] = False
+                    i = self.parents[i]
+            held = set(kept)
+            for i, p in enumerate(self.parents):  # parents come first
+                if p in held:
+                    held.add(i)
+            for i, w in enumerate(inside):
+                if 2 * w > total[-1] and (not kept or i in held):
+                    self.marked[i] = False
+        self.guards = [-1]
+        for i in range(1, len(self.paths)):
+            self.guards.append(i if self.marked[i] else self.guards[self.parents[i]])
 
     def best(self) -> tuple[int, float]:
         """The container with the highest score: text outside links, in full for a block's own container, half and a quarter above it."""
         score = [0.0] * len(self.paths)
         for (c, _, _, _), worth in zip(self.blocks, self.worth):
             worth = float(worth)
+            if self.guards[c] >= 0:
+                worth *= MARKED_WORTH
             for _ in range(3):
                 if c < 0:
                     break
