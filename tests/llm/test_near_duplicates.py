@@ -124,6 +124,25 @@ def test_line_texts_are_rebuilt(docs):
     assert line_dedup.dedup_lines(docs(["x"]).limit(0)).count() == 0
 
 
+def test_groups_of_a_hot_word_are_bounded(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "WORD_ROWS", 20)
+    monkeypatch.setattr(line_dedup, "BUCKET_ROWS", 100)
+    seen, meet = [], line_dedup._meet
+
+    def watch(postings, *rest):
+        size = line_dedup.POSTING.itemsize
+        seen.extend(r.n // size for r in postings.selectExpr("bucket", "length(rows) as n").groupBy("bucket").agg({"n": "sum"}).toDF("bucket", "n").collect())
+        return meet(postings, *rest)
+
+    monkeypatch.setattr(line_dedup, "_meet", watch)
+    rng = random.Random(5)
+    # a family of near copies: every line has the same ten words and two of its own among few
+    texts = [" ".join([f"w{k}" for k in range(10)] + [f"x{rng.randrange(40)}", f"y{rng.randrange(40)}"]) for _ in range(300)]
+    got = {(r.doc, r.line) for r in line_dedup.repeated_lines(docs(texts)).collect()}
+    assert got == repeated(texts)
+    assert max(seen) <= 150, sorted(seen)[-5:]
+
+
 def removed(texts, window):
     words = [(t or "").encode().split() for t in texts]
     count = {}

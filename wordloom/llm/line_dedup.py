@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.batches import SPACE, WordHasher, as_long, text_slices, utf8_texts
+from wordloom.llm.batches import SPACE, WordHasher, as_long, mix, text_slices, utf8_texts
 from wordloom.llm.graph import written
 from wordloom.llm.sieve import bit_table, has_bit, left_join_some, likely_in
 
@@ -42,12 +42,12 @@ SLOT_RANGES = 64
 OFFERS = 2
 # Bits of the table of words (with the binary magnitude of the set's size) that unsettled sets have in their prefixes.
 WORD_BITS = 26
-# Postings of a word beyond this number are split over several buckets.
+# Postings of a word beyond this number are split into parts, pairs of parts are groups of their own.
 WORD_ROWS = 20_000
 BUCKET_ROWS = 150_000
 SPREAD = 0x9E3779B1
 _U = np.uint64
-POSTING = np.dtype([("word", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4"), ("sig", "<u8", 2), ("probe", "u1")])
+POSTING = np.dtype([("word", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4"), ("sig", "<u8", 2), ("side", "u1")])
 
 
 def _split_lines(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -152,8 +152,8 @@ def _line_rows(docs: DataFrame, table, num: int, den: int) -> DataFrame:
 
 
 def _postings(sets: DataFrame, table, buckets: int, only=None) -> DataFrame:
-    """(bucket, rows): packed prefix postings of all sets (with ``only``, a bit table, of likely those words).  Words beyond WORD_ROWS lines go to several buckets:
-    each posting is an index row in one of them and a probe in all."""
+    """(bucket, rows): packed prefix postings of all sets (with ``only``, a bit table, of likely those words).  Words beyond WORD_ROWS lines are split into parts: each
+    posting has one part and goes to the groups of all pairs of parts with it, so a group has at most about 2 * WORD_ROWS rows of the word."""
     def run(batches):
         rare = table.value
         for b in batches:
@@ -168,29 +168,34 @@ def _postings(sets: DataFrame, table, buckets: int, only=None) -> DataFrame:
             for i in (0, 1):
                 row["sig"][:, i] = np.repeat(b.column(f"sig{i}").to_numpy().view(np.uint64), n)
             row["place"] = np.arange(len(word)) - np.repeat(first[:-1] - first[0], n)
-            # 2: index row and probe, 1: probe only; 4 more for a set that is still open
-            row["probe"] = 2
+            # 2: meets all rows of its word in the group, 0 and 1: the rows of the other part; 4 more for a set that is still open
+            row["side"] = 2
             if only is not None:
-                row["probe"] += np.repeat(b.column("open").to_numpy(zero_copy_only=False).astype(np.uint8) * 4, n)
+                row["side"] += np.repeat(b.column("open").to_numpy(zero_copy_only=False).astype(np.uint8) * 4, n)
                 magnitude = np.frexp(row["size"].astype(np.float64))[1].astype(np.int64)
                 keep = has_bit(only.value, word.astype(np.int64) + magnitude * SPREAD)
                 row, word = row[keep], word[keep]
             # The slot's count is at least the word's count; the grade gives it to within a tenth.
             count = np.exp2((rare[word >> np.uint32(32 - SLOT_BITS)].astype(float) + 1) / 8)
-            parts = np.minimum(np.ceil(count / WORD_ROWS), buckets).astype(np.int64)
+            parts = np.ceil(count / WORD_ROWS).astype(np.int64)
             home = (word.astype(np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(20)) % _U(buckets)
+            home = home.astype(np.int64)
             many = np.flatnonzero(parts > 1)
             if len(many):
                 spread = np.repeat(many, parts[many])
                 step = np.arange(len(spread)) - np.repeat(np.cumsum(parts[many]) - parts[many], parts[many])
                 own = (row["doc"][spread].astype(np.uint64) * _U(0xD6E8FEB86659FD93) + row["line"][spread].astype(np.uint64) * _U(0xA0761D6478BD642F) >> _U(33)) % parts[spread].astype(np.uint64)
-                more = row[spread]
-                more["probe"] -= (step.astype(np.uint64) != own).astype(np.uint8)
+                own, more = own.astype(np.int64), row[spread]
+                low, high = np.minimum(own, step), np.maximum(own, step)
+                more["side"] = (more["side"] & 4) + np.where(low == high, 2, own == high).astype(np.uint8)
+                # A pair of parts has a number of its own below 0.
+                pair = mix(mix(more["word"].astype(np.uint64) << _U(32) | low.astype(np.uint64)) ^ high.astype(np.uint64))
+                pair = -1 - (pair >> _U(2)).astype(np.int64)
                 few = np.flatnonzero(parts == 1)
                 row = np.concatenate([row[few], more])
-                home = np.concatenate([home[few], (home[spread] + step.astype(np.uint64)) % _U(buckets)])
+                home = np.concatenate([home[few], pair])
             order = np.argsort(home, kind="stable")
-            row, home = row[order], home[order].astype(np.int64)
+            row, home = row[order], home[order]
             edge = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]])) if len(home) else np.zeros(1, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(home[edge[:-1]]), pa.array([row[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())],
                                              ["bucket", "rows"])
@@ -208,10 +213,10 @@ def _meet(postings: DataFrame, num: int, den: int, offers: int) -> DataFrame:
 
     ``far`` is the signatures' distance; ``more`` tells that u had others.  Without ``offers`` only open sets are a u.
     """
-    def block(rows, size, sig, i, above):
-        """Pairs of the rows i and the ``above`` rows behind each of them."""
+    def block(rows, size, sig, i, start, above):
+        """Pairs of the rows i and the ``above`` rows from each one's ``start``."""
         x = np.repeat(i, above)
-        y = np.arange(len(x)) - np.repeat(np.cumsum(above) - above, above) + x + 1
+        y = np.arange(len(x)) - np.repeat(np.cumsum(above) - above - start, above)
         far = np.bitwise_count(sig[0][x] ^ sig[0][y]).astype(np.int32) + np.bitwise_count(sig[1][x] ^ sig[1][y])
         both = size[x] + size[y]
         need = -(-num * both // (num + den))
@@ -219,13 +224,12 @@ def _meet(postings: DataFrame, num: int, den: int, offers: int) -> DataFrame:
         x, y, far, need = x[near], y[near], far[near], need[near]
         a, b = rows[x], rows[y]
         ok = np.minimum(a["size"] - a["place"], b["size"] - b["place"]) >= need
-        ok &= ((a["probe"] | b["probe"]) & 2) > 0
         ok &= (a["doc"] != b["doc"]) | (a["line"] != b["line"])
         a, b, x, y, far = a[ok], b[ok], x[ok], y[ok], far[ok]
         later = (a["doc"] > b["doc"]) | ((a["doc"] == b["doc"]) & (a["line"] > b["line"]))
         u, v = np.where(later, x, y), np.where(later, y, x)
         if not offers:  # only sets that are still open ask
-            still = rows["probe"][u] >= 4
+            still = rows["side"][u] >= 4
             u, v, far = u[still], v[still], far[still]
         more = np.zeros(len(u), bool)
         if offers and len(u):
@@ -241,18 +245,21 @@ def _meet(postings: DataFrame, num: int, den: int, offers: int) -> DataFrame:
 
     def run(key: Tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.frombuffer(b"".join(x.as_py() for t in tables for x in t.column("rows")), POSTING)
-        rows = rows[np.lexsort((rows["line"], rows["doc"], rows["size"], rows["word"]))]
-        size, sig = rows["size"].copy(), rows["sig"].T.copy()
-        # By word and size: the partners of a row are the next rows up to the greatest size that fits.
-        word = np.cumsum(np.concatenate([[True], rows["word"][1:] != rows["word"][:-1]])).astype(np.int64) << 32 if len(rows) else size
-        above = np.searchsorted(word | size, word | size.astype(np.int64) * den // num, side="right") - np.arange(len(rows)) - 1
+        rows = rows[np.lexsort((rows["line"], rows["doc"], rows["size"], rows["side"] & 3, rows["word"]))]
+        size, sig, side = rows["size"].astype(np.int64), rows["sig"].T.copy(), (rows["side"] & 3).astype(np.int64)
+        # By word, side and size: the partners of a row are the rows from its size to the greatest that fits, behind it or on the other side
+        # (on side 0 those of equal size are the partners, not on side 1).
+        word = np.cumsum(np.concatenate([[True], rows["word"][1:] != rows["word"][:-1]])).astype(np.int64) << 34 if len(rows) else size
+        key, other = word | side << 32 | size, word | np.array([1, 0, 2])[side] << 32
+        start = np.where(side == 2, np.arange(len(rows)) + 1, np.searchsorted(key, (other | size) + (side == 1), side="left"))
+        above = np.searchsorted(key, other | np.minimum(size * den // num, 0x7FFFFFFF), side="right") - start
         i = np.flatnonzero(above > 0)
         total = np.cumsum(above[i])
         at = 0
         while at < len(i):
             done = total[at - 1] if at else 0
             end = max(at + 1, int(np.searchsorted(total, done + AREA, side="right")))
-            yield block(rows, size, sig, i[at:end], above[i[at:end]])
+            yield block(rows, size, sig, i[at:end], start[i[at:end]], above[i[at:end]])
             at = end
 
     return postings.groupBy("bucket").applyInArrow(run, PAIR)
