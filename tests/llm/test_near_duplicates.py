@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from wordloom.llm import line_dedup, simhash, substring_dedup, topk_search, vector_near_dup
+from wordloom.llm import line_dedup, simhash, stages, substring_dedup, topk_search, vector_near_dup
 from wordloom.llm.batches import SPACE, WordHasher
 from wordloom.llm.graph import connected_components
 from wordloom.llm.suffix_automaton import SuffixAutomaton
@@ -179,6 +179,26 @@ def test_substrings(docs, limit, monkeypatch):
     assert got == dict(enumerate(removed(texts, 35)))
 
 
+def test_rows_that_share_an_id(docs, spark):
+    passage, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "pq")
+    rows = [(1, f"{passage} tail"), (1, "short"), (1, f"own {other}"), (2, f"{other} end"), (2, f"{other} end"), (3, passage), (None, passage)]
+    got = sorted((r.id or 0, r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(docs(rows)).collect())
+    assert got == [(0, 40, 0), (1, 1, 0), (1, 41, 40), (1, 41, 40), (2, 41, 41), (2, 41, 41), (3, 40, 40)]
+
+    rows = [(1, "a b c d e\nf g h i j"), (1, "k l m n o"), (2, "u v w x y\n\nz z1 z2 z3"), (2, "u v w x y\n\nz z1 z2 z3"), (2, "u v w x y\n\nz z1 z2 z3"),
+            (3, "k l m n o\nnew one here"), (4, None), (4, None), (None, "k l m n o"), (None, "k l m n o")]
+    df = docs(rows, extra=True)
+    want = sorted([(1, rows[0][1]), (1, rows[1][1]), (2, rows[2][1]), (2, ""), (2, ""), (3, "new one here"), (4, "-"), (4, "-"), (0, "k l m n o"), (0, "k l m n o")])
+    assert sorted((r.doc_id or 0, "-" if r.text is None else r.text) for r in line_dedup.dedup_lines(df).collect()) == want
+    digest = sorted((r.doc_id or 0, r.n_lines, r.n_removed) for r in line_dedup.line_digest(df).collect())
+    assert digest == [(0, 1, 0), (0, 1, 0), (1, 1, 0), (1, 2, 0), (2, 3, 0), (2, 3, 2), (2, 3, 2), (3, 2, 1), (4, 1, 0), (4, 1, 0)]
+
+    text = " ".join(f"s{k}" for k in range(60))
+    rows = [(1, text), (1, text), (1, "another text with words of its own that nothing else has"), (2, text), (None, text), (None, text)]
+    kept = stages.simhash_stage(spark, docs(rows), "")
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, text), (0, text), (1, rows[2][1]), (1, text)])
+
+
 def test_suffix_automaton():
     rng = random.Random(3)
     for _ in range(300):

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.batches import SPACE, WordHasher, as_long, mix, text_slices, utf8_texts
 from wordloom.llm.graph import written
+from wordloom.llm.row_keys import with_row_keys
 from wordloom.llm.sieve import bit_table, has_bit, left_join_some, likely_in
 
 SLOT_BITS = 22
@@ -47,7 +48,7 @@ WORD_ROWS = 20_000
 BUCKET_ROWS = 150_000
 SPREAD = 0x9E3779B1
 _U = np.uint64
-POSTING = np.dtype([("word", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4"), ("sig", "<u8", 2), ("side", "u1")])
+POSTING = np.dtype([("word", "<u4"), ("doc", "<i8"), ("version", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4"), ("sig", "<u8", 2), ("side", "u1")])
 
 
 def _split_lines(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -142,13 +143,13 @@ def _line_rows(docs: DataFrame, table, num: int, den: int) -> DataFrame:
                 # 128 parity bits: a word flips one of them
                 bit, high = _U(1) << (scrambled >> _U(58)), (scrambled >> _U(57) & _U(1)).astype(bool)
                 sig = [_per_line(np.where(high == side, bit, _U(0)), first, np.bitwise_xor) for side in (False, True)]
-                ids = b.column("id").slice(a, z - a).to_numpy(zero_copy_only=False)
-                out = pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(number.astype(np.int32)), as_long(k1), as_long(k2),
+                ids, versions = (b.column(c).slice(a, z - a).to_numpy(zero_copy_only=False) for c in ("id", "version"))
+                out = pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(versions[owner]), pa.array(number.astype(np.int32)), as_long(k1), as_long(k2),
                                                   pa.array(size.astype(np.int32)), as_long(sig[0]), as_long(sig[1]), pre], names)
                 yield out.filter(pa.array(size > 0))
 
-    names = ["doc", "line", "k1", "k2", "size", "sig0", "sig1", "pre"]
-    return docs.select("id", "text").mapInArrow(run, "doc long, line int, k1 long, k2 long, size int, sig0 long, sig1 long, pre array<int>")
+    names = ["doc", "version", "line", "k1", "k2", "size", "sig0", "sig1", "pre"]
+    return docs.select("id", "version", "text").mapInArrow(run, "doc long, version long, line int, k1 long, k2 long, size int, sig0 long, sig1 long, pre array<int>")
 
 
 def _postings(sets: DataFrame, table, buckets: int, only=None) -> DataFrame:
@@ -163,7 +164,7 @@ def _postings(sets: DataFrame, table, buckets: int, only=None) -> DataFrame:
             word = pre.values.to_numpy().view(np.uint32)[first[0]:first[-1]]
             row = np.zeros(len(word), POSTING)
             row["word"] = word
-            for f in ("doc", "line", "size"):
+            for f in ("doc", "version", "line", "size"):
                 row[f] = np.repeat(b.column(f).to_numpy(), n)
             for i in (0, 1):
                 row["sig"][:, i] = np.repeat(b.column(f"sig{i}").to_numpy().view(np.uint64), n)
@@ -184,7 +185,7 @@ def _postings(sets: DataFrame, table, buckets: int, only=None) -> DataFrame:
             if len(many):
                 spread = np.repeat(many, parts[many])
                 step = np.arange(len(spread)) - np.repeat(np.cumsum(parts[many]) - parts[many], parts[many])
-                own = (row["doc"][spread].astype(np.uint64) * _U(0xD6E8FEB86659FD93) + row["line"][spread].astype(np.uint64) * _U(0xA0761D6478BD642F) >> _U(33)) % parts[spread].astype(np.uint64)
+                own = (row["doc"][spread].astype(np.uint64) * _U(0xD6E8FEB86659FD93) + row["version"][spread].astype(np.uint64) + row["line"][spread].astype(np.uint64) * _U(0xA0761D6478BD642F) >> _U(33)) % parts[spread].astype(np.uint64)
                 own, more = own.astype(np.int64), row[spread]
                 low, high = np.minimum(own, step), np.maximum(own, step)
                 more["side"] = (more["side"] & 4) + np.where(low == high, 2, own == high).astype(np.uint8)
@@ -200,10 +201,11 @@ def _postings(sets: DataFrame, table, buckets: int, only=None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(home[edge[:-1]]), pa.array([row[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())],
                                              ["bucket", "rows"])
 
-    return sets.select("doc", "line", "size", "sig0", "sig1", "pre", *(["open"] if only is not None else [])).mapInArrow(run, "bucket long, rows binary")
+    return sets.select("doc", "version", "line", "size", "sig0", "sig1", "pre", *(["open"] if only is not None else [])).mapInArrow(run, "bucket long, rows binary")
 
 
-PAIR = "u_doc long, u_line int, v_doc long, v_line int, far int, more boolean"
+PLACE = ["doc", "version", "line"]
+PAIR = "u_doc long, u_version long, u_line int, v_doc long, v_version long, v_line int, far int, more boolean"
 # Pairs that one numpy step looks at.
 AREA = 200_000
 
@@ -224,9 +226,10 @@ def _meet(postings: DataFrame, num: int, den: int, offers: int) -> DataFrame:
         x, y, far, need = x[near], y[near], far[near], need[near]
         a, b = rows[x], rows[y]
         ok = np.minimum(a["size"] - a["place"], b["size"] - b["place"]) >= need
-        ok &= (a["doc"] != b["doc"]) | (a["line"] != b["line"])
+        ok &= (a["doc"] != b["doc"]) | (a["version"] != b["version"]) | (a["line"] != b["line"])
         a, b, x, y, far = a[ok], b[ok], x[ok], y[ok], far[ok]
-        later = (a["doc"] > b["doc"]) | ((a["doc"] == b["doc"]) & (a["line"] > b["line"]))
+        later = (a["version"] > b["version"]) | ((a["version"] == b["version"]) & (a["line"] > b["line"]))
+        later = (a["doc"] > b["doc"]) | ((a["doc"] == b["doc"]) & later)
         u, v = np.where(later, x, y), np.where(later, y, x)
         if not offers:  # only sets that are still open ask
             still = rows["side"][u] >= 4
@@ -240,12 +243,12 @@ def _meet(postings: DataFrame, num: int, den: int, offers: int) -> DataFrame:
             keep = np.arange(len(u)) - np.repeat(head, n) < offers
             u, v, far, more = u[keep], v[keep], far[keep], np.repeat(n > offers, n)[keep]
         a, b = rows[u], rows[v]
-        return pa.RecordBatch.from_arrays([pa.array(a["doc"]), pa.array(a["line"]), pa.array(b["doc"]), pa.array(b["line"]), pa.array(far), pa.array(more)],
-                                          ["u_doc", "u_line", "v_doc", "v_line", "far", "more"])
+        return pa.RecordBatch.from_arrays([*(pa.array(x[f]) for x in (a, b) for f in ("doc", "version", "line")), pa.array(far), pa.array(more)],
+                                          ["u_doc", "u_version", "u_line", "v_doc", "v_version", "v_line", "far", "more"])
 
     def run(key: Tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.frombuffer(b"".join(x.as_py() for t in tables for x in t.column("rows")), POSTING)
-        rows = rows[np.lexsort((rows["line"], rows["doc"], rows["size"], rows["side"] & 3, rows["word"]))]
+        rows = rows[np.lexsort((rows["line"], rows["version"], rows["doc"], rows["size"], rows["side"] & 3, rows["word"]))]
         size, sig, side = rows["size"].astype(np.int64), rows["sig"].T.copy(), (rows["side"] & 3).astype(np.int64)
         # By word, side and size: the partners of a row are the rows from its size to the greatest that fits, behind it or on the other side
         # (on side 0 those of equal size are the partners, not on side 1).
@@ -270,60 +273,68 @@ def _offered(pairs: DataFrame, offers: int) -> DataFrame:
 
     A u has at most a few pairs from each of its prefix words.
     """
-    near = F.slice(F.array_sort(F.collect_set(F.struct("far", "v_doc", "v_line"))), 1, offers)
-    per = pairs.groupBy("u_doc", "u_line").agg(
-        near.alias("near"), F.max("more").alias("more"), F.size(F.collect_set(F.struct("v_doc", "v_line"))).alias("n"))
-    return per.select("u_doc", "u_line", F.explode("near").alias("x"), (F.col("more") | (F.col("n") > offers)).alias("more")) \
-        .select("u_doc", "u_line", "x.v_doc", "x.v_line", "more")
+    near = F.slice(F.array_sort(F.collect_set(F.struct("far", "v_doc", "v_version", "v_line"))), 1, offers)
+    per = pairs.groupBy("u_doc", "u_version", "u_line").agg(
+        near.alias("near"), F.max("more").alias("more"), F.size(F.collect_set(F.struct("v_doc", "v_version", "v_line"))).alias("n"))
+    return per.select("u_doc", "u_version", "u_line", F.explode("near").alias("x"), (F.col("more") | (F.col("n") > offers)).alias("more")) \
+        .select("u_doc", "u_version", "u_line", "x.v_doc", "x.v_version", "x.v_line", "more")
 
 
 def _line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, line, words) of the wanted lines, from their documents; a document's lines come together."""
+    """(doc, version, line, words) of the wanted lines, from their documents; a document's lines come together."""
     def run(batches):
         hasher = WordHasher(SPACE, lower=True)
         for b in batches:
             for a, z in text_slices(b, "text"):
                 lines, texts = b.column("lines").slice(a, z - a).to_pylist(), utf8_texts(b.column("text").slice(a, z - a))
-                ids = b.column("doc").slice(a, z - a).to_pylist()
+                ids = zip(*(b.column(c).slice(a, z - a).to_pylist() for c in ("doc", "version")))
                 picked = [(d, i, every[i]) for d, picks, every in zip(ids, lines, (t.split(b"\n") for t in texts)) for i in picks]
                 word, first = _ordered_sets(*hasher([x[2] for x in picked]), None)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in picked], pa.int64()), pa.array([x[1] for x in picked], pa.int32()),
-                                                  pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), as_long(word))], ["doc", "line", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in picked], pa.int64()), pa.array([x[0][1] for x in picked], pa.int64()), pa.array([x[1] for x in picked], pa.int32()),
+                                                  pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), as_long(word))], ["doc", "version", "line", "words"])
 
-    picks = wanted.groupBy("doc").agg(F.collect_set("line").alias("lines"))  # the lines of one document
+    picks = wanted.groupBy("doc", "version").agg(F.collect_set("line").alias("lines"))  # the lines of one text
     picks = written(picks, "picked_lines")
-    likely = docs.where(likely_in(picks, "doc")(F.col("id")))
-    return likely.join(picks, likely["id"] == picks["doc"]).select("doc", "text", "lines").mapInArrow(run, "doc long, line int, words array<long>")
+    likely = docs.withColumnRenamed("id", "doc").where(likely_in(picks, "doc", "version")(F.col("doc"), F.col("version")))
+    return likely.join(picks, ["doc", "version"]).select("doc", "version", "text", "lines").mapInArrow(run, "doc long, version long, line int, words array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """(doc, line) of each u that has a similar enough v among the pairs, by their whole sets."""
-    u, v = F.struct(F.col("u_doc").alias("doc"), F.col("u_line").alias("line")), F.struct(F.col("v_doc").alias("doc"), F.col("v_line").alias("line"))
-    wanted = written(pairs.select(F.explode(F.array(u, v)).alias("x")).select("x.doc", "x.line").distinct(), "wanted_lines")
+    """(doc, version, line) of each u that has a similar enough v among the pairs, by their whole sets."""
+    u, v = (F.struct(*(F.col(f"{s}_{c}").alias(c) for c in PLACE)) for s in "uv")
+    wanted = written(pairs.select(F.explode(F.array(u, v)).alias("x")).select("x.*").distinct(), "wanted_lines")
     words = written(_line_sets(docs, wanted), "line_sets")
-    side = lambda s: words.select(F.col("doc").alias(f"{s}_doc"), F.col("line").alias(f"{s}_line"), F.col("words").alias(f"{s}_words"))
-    both = pairs.join(side("u"), ["u_doc", "u_line"]).join(side("v"), ["v_doc", "v_line"])
+    side = lambda s: words.select(*(F.col(c).alias(f"{s}_{c}") for c in PLACE), F.col("words").alias(f"{s}_words"))
+    both = pairs.join(side("u"), [f"u_{c}" for c in PLACE]).join(side("v"), [f"v_{c}" for c in PLACE])
     common = F.size(F.array_intersect("u_words", "v_words"))
     return both.where(common * den >= (F.size("u_words") + F.size("v_words") - common) * num) \
-        .select(F.col("u_doc").alias("doc"), F.col("u_line").alias("line")).distinct()
+        .select(*(F.col(f"u_{c}").alias(c) for c in PLACE)).distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
-    """(doc, line): the lines that an earlier line repeats; lines count from 0.
+    """(doc, version, line): the lines that an earlier line repeats; lines count from 0.
 
     ``threshold`` is a fraction (numerator, denominator).  Lines without
-    words, null and empty texts repeat nothing and are never repeated.  Rows
-    that share an id must share their text.
+    words, null and empty texts repeat nothing and are never repeated.  Texts
+    that share an id come in the order of their hashes (``version``, see `with_row_keys`);
+    of rows that share both the result names the lines of the first, all lines
+    of the others are repeated.
     """
+    docs = with_row_keys(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), F.col("text"))
+    return _repeated(docs, threshold)
+
+
+def _repeated(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The same of rows (id, version, again, text)."""
     if 2 * threshold[0] < threshold[1]:
         raise ValueError("the threshold must be at least one half")
     spark, (num, den) = docs.sparkSession, threshold
-    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.where("id is not null and not again").select("id", "version", "text")
     table = spark.sparkContext.broadcast(word_table(docs))
     lines = written(_line_rows(docs, table, num, den), "lines")
 
     # One row a set: its first line.
-    sets = written(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "size", "sig0", "sig1", "pre")).alias("x")).select("k1", "k2", "x.*"), "line_set_table")
+    sets = written(lines.groupBy("k1", "k2").agg(F.min(F.struct(*PLACE, "size", "sig0", "sig1", "pre")).alias("x")).select("k1", "k2", "x.*"), "line_set_table")
     total = sets.agg(F.sum(F.size("pre"))).first()[0] or 0
     buckets = max(8, total // BUCKET_ROWS)
     postings = _postings(sets, table, buckets)
@@ -331,76 +342,84 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = written(_verified(offered, docs, num, den), "found_lines")
 
     # Sets with more candidates than they offered, none of which matched: now all of their pairs.
-    open_ = written(offered.where("more").select(F.col("u_doc").alias("doc"), F.col("u_line").alias("line")).distinct()
-                    .join(found, ["doc", "line"], "left_anti").join(sets, ["doc", "line"]).select("doc", "line", "size", "pre"), "open_lines")
+    open_ = written(offered.where("more").select(*(F.col(f"u_{c}").alias(c) for c in PLACE)).distinct()
+                    .join(found, PLACE, "left_anti").join(sets, PLACE).select(*PLACE, "size", "pre"), "open_lines")
     if not open_.isEmpty():
         # Similar sets differ by less than a factor of two in size (the threshold is above one half): magnitudes next to each other.
         words = open_.select(F.explode("pre").alias("w"), F.length(F.bin("size")).alias("b")) \
             .select(F.col("w").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("w"), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b")) \
             .select((F.col("w") + F.col("b") * F.lit(SPREAD)).alias("w"))
         only = spark.sparkContext.broadcast(bit_table(words, "w", WORD_BITS))
-        pair = ["u_doc", "u_line", "v_doc", "v_line"]
-        flagged = sets.join(open_.select("doc", "line", F.lit(True).alias("open")), ["doc", "line"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        pair = [f"{s}_{c}" for s in "uv" for c in PLACE]
+        flagged = sets.join(open_.select(*PLACE, F.lit(True).alias("open")), PLACE, "left").withColumn("open", F.coalesce("open", F.lit(False)))
         rest = _meet(_postings(flagged, table, buckets, only), num, den, 0).select(*pair).distinct().join(offered, pair, "left_anti")
         found = found.unionByName(_verified(written(rest, "line_pairs"), docs, num, den))
 
     # A set's later lines go, and its first line too if it was found.
-    state = sets.select("k1", "k2", F.col("doc").alias("doc0"), F.col("line").alias("line0"))
-    gone = lines.select("k1", "k2", "doc", "line").join(state, ["k1", "k2"]).where("doc <> doc0 or line <> line0").select("doc", "line")
-    extra = lines.select("doc", "line", "k1", "k2").join(found, ["doc", "line"], "left_semi").select("doc", "line")
+    state = sets.select("k1", "k2", F.struct(*PLACE).alias("first"))
+    gone = lines.select("k1", "k2", *PLACE).join(state, ["k1", "k2"]).where("doc <> first.doc or version <> first.version or line <> first.line").select(*PLACE)
+    extra = lines.select(*PLACE, "k1", "k2").join(found, PLACE, "left_semi").select(*PLACE)
     return gone.unionByName(extra).distinct()
 
 
+def _gone(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(id, version, gone): numbers of the repeated lines of a text."""
+    gone = _repeated(rows, threshold).groupBy(F.col("doc").alias("id"), "version").agg(F.collect_list("line").alias("gone"))
+    return written(gone, "gone_lines")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """All rows and columns of ``docs``, the text without its repeated lines.
 
     Null texts stay null; a text all of whose lines go becomes empty.  Rows
     with a null id keep their text.
     """
-    gone = repeated_lines(docs, id_col, text_col, threshold).groupBy(F.col("doc").alias("id")).agg(F.collect_list("line").alias("gone"))
-    gone = written(gone, "gone_lines")
+    packed = with_row_keys(docs.select(F.col(id_col).cast("long").alias("id"), F.struct("*").alias("row")), F.col("row")[text_col])
+    gone = _gone(packed.select("id", "version", "again", F.col("row")[text_col].cast("string").alias("text")), threshold)
 
     names, place = docs.columns, docs.columns.index(text_col)
 
     def cut(batches):
         for b in batches:
             row = b.column("row").flatten()
-            whole = pa.RecordBatch.from_arrays([*row, b.column("gone")], [*names, "_gone"] if "_gone" not in names else [str(i) for i in range(len(names) + 1)])
+            whole = pa.RecordBatch.from_arrays([*row, b.column("gone"), b.column("again")], [str(i) for i in range(len(names) + 2)])
             texts = pa.RecordBatch.from_arrays([row[place]], ["text"])
             for first, last in text_slices(texts, "text"):
                 part = whole.slice(first, last - first)
                 out = []
-                for text, drop in zip(part.column(place).to_pylist(), part.column(len(names)).to_pylist()):
-                    drop = set(drop or ())
+                for text, drop, again in zip(*(part.column(i).to_pylist() for i in (place, len(names), len(names) + 1))):
+                    drop = set(drop or ()) if not again else {i for i, x in enumerate((text or "").split("\n")) if x.strip(" \t\n\v\f\r")}
                     out.append(text if text is None or not drop else "\n".join([x for i, x in enumerate(text.split("\n")) if i not in drop]))
                 columns = [part.column(i) for i in range(len(names))]
                 columns[place] = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     # Only documents that a bit table of the changed ones lets through are shuffled and rewritten.
-    likely = likely_in(gone, "id")
-    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.struct("*").alias("row")).withColumn("likely", likely(F.col("id")))
-    changed = packed.where("likely").join(gone, "id", "left").select("row", "gone").mapInArrow(cut, docs.schema)
-    return packed.where("not likely").select("row.*").unionByName(changed)
+    likely = likely_in(gone, "id", "version")
+    packed = packed.withColumn("likely", likely(F.col("id"), F.col("version")))
+    changed = packed.where("likely and not again").join(gone, ["id", "version"], "left") \
+        .unionByName(packed.where("again").withColumn("gone", F.lit(None).cast("array<int>"))).select("row", "gone", "again").mapInArrow(cut, docs.schema)
+    return packed.where("not likely and not again").select("row.*").unionByName(changed)
 
 
 def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the kept lines joined by newlines) for every row; null texts count as empty."""
-    gone = repeated_lines(docs, id_col, text_col, threshold).groupBy(F.col("doc").alias("id")).agg(F.collect_list("line").alias("gone"))
-    gone = written(gone, "gone_lines")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = with_row_keys(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), F.col("text"))
+    gone = _gone(rows, threshold)
 
     def run(batches):
         for b in batches:
-            ids, drops = b.column("id").to_pylist(), b.column("gone").to_pylist()
+            ids, drops, again = (b.column(c).to_pylist() for c in ("id", "gone", "again"))
             for a, z in text_slices(b, "text"):
                 out = []
                 for i, text in enumerate(utf8_texts(b.column("text").slice(a, z - a)), a):
-                    lines, drop = text.split(b"\n"), set(drops[i] or ())
+                    lines = text.split(b"\n")
+                    drop = {k for k, x in enumerate(lines) if x.split()} if again[i] else set(drops[i] or ())
                     kept = b"\n".join([x for k, x in enumerate(lines) if k not in drop])
                     out.append((ids[i], len(lines), len(drop), hashlib.sha256(kept).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names)
 
     names = ["doc_id", "n_lines", "n_removed", "kept_sha256"]
     schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
-    return left_join_some(rows, gone, "id").select("id", "text", "gone").mapInArrow(run, schema)
+    copies = rows.where("again").withColumn("gone", F.lit(None).cast("array<int>"))
+    return left_join_some(rows.where("not again"), gone, "id", "version").unionByName(copies).select("id", "text", "gone", "again").mapInArrow(run, schema)

@@ -39,24 +39,24 @@ def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def likely_in(keys: DataFrame, column: str, bits: int = 24):
-    """A column function: whether a long value is likely among ``keys`` (true for all that are, and for few others)."""
-    shared = keys.sparkSession.sparkContext.broadcast(bit_table(keys.select(F.xxhash64(column).alias("h")), "h", bits))
+def likely_in(keys: DataFrame, *columns: str, bits: int = 24):
+    """A column function: whether a value (one of each column) is likely among ``keys`` (true for all that are, and for few others)."""
+    shared = keys.sparkSession.sparkContext.broadcast(bit_table(keys.select(F.xxhash64(*columns).alias("h")), "h", bits))
 
     @F.pandas_udf("boolean")
     def likely(h):
         import pandas as pd
         return pd.Series(has_bit(shared.value, h.to_numpy()))
 
-    return lambda value: likely(F.xxhash64(value))
+    return lambda *values: likely(F.xxhash64(*values))
 
 
-def left_join_some(rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
+def left_join_some(rows: DataFrame, some: DataFrame, *key: str) -> DataFrame:
     """``rows`` left-joined with ``some`` (few keys, one row each); only rows that are likely to match are shuffled."""
-    likely = likely_in(some, key)
-    flagged = rows.withColumn("_likely", likely(rows[key]))
+    likely = likely_in(some, *key)
+    flagged = rows.withColumn("_likely", likely(*(rows[k] for k in key)))
     rest = flagged.where("not _likely").drop("_likely")
     for f in some.schema.fields:
-        if f.name != key:
+        if f.name not in key:
             rest = rest.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return flagged.where("_likely").drop("_likely").join(some, key, "left").unionByName(rest)
+    return flagged.where("_likely").drop("_likely").join(some, list(key), "left").unionByName(rest)

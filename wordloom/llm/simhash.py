@@ -29,8 +29,8 @@ from wordloom.llm.graph import connected_components, written
 HALF = 32
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp long): the fingerprint of every whole text; 0 for a null text or one without words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp long, long columns ``keep``): the fingerprint of every whole text; 0 for a null text or one without words."""
     lower = LOWER.tobytes()
 
     def one(text: bytes) -> int:
@@ -53,10 +53,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             for first, last in text_slices(b, "text"):
                 fp = [one(t) for t in utf8_texts(b.column("text").slice(first, last - first))]
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(first, last - first), pa.array(fp, pa.int64())], ["id", "fp"])
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(first, last - first), pa.array(fp, pa.int64()), *(b.column(c).slice(first, last - first) for c in keep)], ["id", "fp", *keep])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *keep) \
+        .mapInArrow(run, "id long, fp long" + "".join(f", {c} long" for c in keep))
 
 
 def _ball(bits: range, within: int) -> list[int]:
@@ -147,3 +147,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = first.join(named.join(least, "component").select("fp", "least"), "fp", "left") \
         .select("fp", F.coalesce("least", "first").alias("component"))
     return fp.join(best, "fp").select("id", "fp", "component")
+
+
+def near_copies(rows: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """(id, version): of ``rows`` (id, version, text) those that are not the least of their component, by id and then version."""
+    fp = written(fingerprints(rows.where(F.col("id").isNotNull()), "id", "text", shingle, ("version",)), "fingerprints")
+    first = written(fp.groupBy("fp").agg(F.min(F.struct("id", "version")).alias("first")), "distinct")
+    parts = connected_components(fingerprint_links(first.select("fp"), radius)).withColumnRenamed("node", "fp")
+    named = parts.join(first, "fp")
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    best = first.join(named.join(least, "component").select("fp", "least"), "fp", "left") \
+        .select("fp", F.coalesce("least", "first").alias("best"))
+    return fp.join(best, "fp").where("id <> best.id or version <> best.version").select("id", "version").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm import line_dedup, packing, secrets, simhash, toxicity
 from wordloom.llm.graph import written
+from wordloom.llm.row_keys import with_row_keys
 from wordloom.llm.sieve import left_join_some
 
 # What stands where a secret stood.
@@ -26,11 +27,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id; rows with a null id stay."""
-    found = simhash.simhash_components(docs, shingle=3, radius=3).where("id <> component")
-    gone = written(found.select("id", F.lit(True).alias("gone")).distinct(), "near_copies")
-    rows = left_join_some(docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row")), gone, "id")
-    return rows.where("gone is null").select("row.*")
+    """Of each SimHash component one row, of the document with the smallest id; rows with a null id stay."""
+    rows = with_row_keys(docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row")), F.col("row.text")).where("not again").drop("again")
+    found = simhash.near_copies(rows.select("id", "version", F.col("row.text").cast("string").alias("text")), shingle=3, radius=3)
+    gone = written(found.withColumn("gone", F.lit(True)), "near_copies")
+    return left_join_some(rows, gone, "id", "version").where("gone is null").select("row.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

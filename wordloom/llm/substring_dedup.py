@@ -122,7 +122,7 @@ def _count_segments(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _repeated_segments(docs: DataFrame, repeated, mixed, window: int) -> DataFrame:
-    """(a, e, id, start, windows, words): segments with a likely repeated anchor; words (once a slice) where the anchor is likely mixed."""
+    """(a, e, id, version, start, windows, words): segments with a likely repeated anchor; words (once a slice) where the anchor is likely mixed."""
     def run(batches):
         hasher, powers = WordHasher(SPACE), _Powers()
         for b in batches:
@@ -135,12 +135,12 @@ def _repeated_segments(docs: DataFrame, repeated, mixed, window: int) -> DataFra
                 show[np.unique(content, return_index=True)[1]] = True
                 show &= has_bit(mixed.value, anchor)
                 words = pa.array([word[i:j].tobytes() if s else None for i, j, s in zip(begin.tolist(), end.tolist(), show.tolist())], pa.binary())
-                ids = b.column("id").slice(x, z - x).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([as_long(anchor), as_long(content), pa.array(ids[text].astype(np.int64)), pa.array(begin - first[text]),
+                ids, versions = (b.column(c).slice(x, z - x).to_numpy(zero_copy_only=False) for c in ("id", "version"))
+                yield pa.RecordBatch.from_arrays([as_long(anchor), as_long(content), pa.array(ids[text].astype(np.int64)), pa.array(versions[text].astype(np.int64)), pa.array(begin - first[text]),
                                                   pa.array((end - begin - window + 1).astype(np.int32)), words], names)
 
-    names = ["a", "e", "id", "start", "windows", "words"]
-    return docs.select("id", "text").mapInArrow(run, "a long, e long, id long, start long, windows int, words binary")
+    names = ["a", "e", "id", "version", "start", "windows", "words"]
+    return docs.select("id", "version", "text").mapInArrow(run, "a long, e long, id long, version long, start long, windows int, words binary")
 
 
 def _shard_masks(reference: DataFrame, shards: int, window: int) -> DataFrame:
@@ -179,15 +179,17 @@ def _window_masks(reference: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
-    """(id, starts array<long>, masks array<long>): bit i of a mask tells that the window at start + i is repeated.
+    """(id, version, starts array<long>, masks array<long>): bit i of a mask tells that the window at start + i is repeated.
 
     Only documents with repeated windows have a row.  Null texts have no
-    words.  Windows of repeated rows (the same id twice) repeat each other.
+    words.  ``version`` is a hash of the text: texts with the same id have a
+    row each, windows of repeated rows (the same id and text) repeat each other.
     """
     if not ANCHOR < window < ANCHOR + 63:
         raise ValueError("the window must be longer than an anchor, and a segment's windows must fit in 63 bits")
     spark = docs.sparkSession
-    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
+        .withColumn("version", F.xxhash64("text"))
     counts = _count_segments(docs, window).groupBy("a", "e").agg(F.sum("n").alias("n"))
     kinds = written(counts, "segment_counts")
     anchors = written(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).where("total >= 2"), "anchors")
@@ -206,10 +208,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Segments of equal content are repeated throughout: all their windows count.
     whole = known.where("n >= 2").select("a", "e", F.lit(-1).cast("long").alias("mask"))
     masks = written(masks.where("mask <> 0").unionByName(whole).groupBy("a", "e").agg(F.expr("bit_or(mask)").alias("mask")), "masks")
-    hits = seen.select("a", "e", "id", "start", "windows").join(masks, ["a", "e"]) \
-        .select("id", "start", F.col("mask").bitwiseAND(F.expr("shiftleft(cast(1 as bigint), windows) - 1")).alias("mask"))
-    return hits.groupBy("id").agg(F.collect_list(F.struct("start", "mask")).alias("x")).select("id", "x.start", "x.mask") \
-        .withColumnRenamed("start", "starts").withColumnRenamed("mask", "masks")  # the segments of one document
+    hits = seen.select("a", "e", "id", "version", "start", "windows").join(masks, ["a", "e"]) \
+        .select("id", "version", "start", F.col("mask").bitwiseAND(F.expr("shiftleft(cast(1 as bigint), windows) - 1")).alias("mask"))
+    return hits.groupBy("id", "version").agg(F.collect_set(F.struct("start", "mask")).alias("x")).select("id", "version", "x.start", "x.mask") \
+        .withColumnRenamed("start", "starts").withColumnRenamed("mask", "masks")  # the segments of one text
 
 
 def _removed(n: int, starts, masks, window: int) -> np.ndarray:
@@ -231,7 +233,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null and empty texts have no words; rows with a null id lose none.
     """
     spans = written(repeated_spans(docs, id_col, text_col, window), "spans")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
+        .withColumn("version", F.xxhash64("text"))
 
     def run(batches):
         for b in batches:
@@ -252,5 +255,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
-    return left_join_some(rows, spans, "id").select("id", "text", "starts", "masks") \
+    return left_join_some(rows, spans, "id", "version").select("id", "text", "starts", "masks") \
         .mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
