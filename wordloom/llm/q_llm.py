@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, html_text, line_dedup, packing, secrets, simhash, substring_dedup, topk_search, toxicity, vector_near_dup
+from wordloom.llm import (
+    bpe, conversation_repair, html_text, line_dedup, packing, secrets, simhash, substring_dedup, topk_search, toxicity, vector_near_dup)
 from wordloom.session import ensure_checkpoint_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -69,9 +70,14 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.line_digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_conversations(conversation_repair.damaged(turns), ids=turns)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_topk_search, op2_secret_scan, op3_simhash, op4_embedding_dedup, op5_bpe, op6_best_fit_packing, op7_toxicity, op8_substring_dedup,
-    op9_html_text, op10_line_dedup)}
+    op9_html_text, op10_line_dedup, op13_conversation_repair)}
 
 
 def sql() -> dict[str, str]:
