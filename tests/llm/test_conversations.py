@@ -8,7 +8,10 @@ import zlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from wordloom.llm import conversation_repair as cr
+from wordloom.llm import hot_join, prefix_trie
 
 SHAPE = re.compile(r"(s?(ua)+)?")
 TURNS = "conv_id long, turn long, role string, text string"
@@ -144,3 +147,66 @@ def test_repair(spark):
 def test_repair_of_nothing(spark):
     df = spark.createDataFrame([], TURNS)
     assert cr.repair_conversations(cr.damaged(df), ids=df).count() == 0
+
+
+def trie(rows):
+    """The contract's rows from whole prefixes."""
+    own = {}
+    for c, t, r, x in sorted((r for r in rows if r[0] is not None), key=lambda z: (z[1] is not None, z[1] or 0)):
+        own.setdefault(c, []).append((r or "", x or ""))
+    full = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 4
+        full[c] = tuple(own.get(c - (c % 20 if c >= 0 else -(-c % 20)), [])[:h] + own[c][h:])
+    nodes = {}
+    for c, turns in full.items():
+        for d in range(len(turns) + 1):
+            nodes.setdefault(turns[:d], []).append(c)
+    own_saved = {p: (len(m) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) if p else 0 for p, m in nodes.items()}
+    kids, leaves, saved = ({p: 0 for p in nodes} for _ in range(3))
+    for p in nodes:
+        if p:
+            kids[p[:-1]] += 1
+    for p in nodes:
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not kids[p]
+            saved[p[:d]] += own_saved[p]
+    sha = lambda p, m: hashlib.sha256(",".join(str(c) for c in sorted(m) if len(full[c]) == len(p)).encode()).hexdigest()
+    return sorted((min(m), len(p), min(nodes[p[:-1]]) if p else None, len(m), kids[p], leaves[p], saved[p], sha(p, m)) for p, m in nodes.items())
+
+
+def test_prefix_trie(spark):
+    rng = random.Random(11)
+    rows = conversations(rng, 70)
+    # many that share turns, long ones that part late, turnless ones
+    rows += [(c, t, "user", f"common {t}") for c in range(1000, 1060) for t in range(rng.randrange(1, 7))]
+    rows += [(c, t, "user", f"common {t if t < 60 else c}") for c in (2000, 2003, 2020) for t in range(90 + c % 7)]
+    rows += [(c, 0, None, "x y  z") for c in (-45, -5, 3001, 3002, 3003)]
+    df = spark.createDataFrame(rows, TURNS).selectExpr("*", "'x' as k1", "1 as node", "'y' as part").repartition(5)
+    got = prefix_trie.prefix_trie(*prefix_trie.rebuilt(prefix_trie.turn_keys(df))).collect()
+    assert sorted(map(tuple, got), key=lambda r: (r[0], r[1])) == trie(rows)
+    empty = spark.createDataFrame([], TURNS)
+    assert prefix_trie.prefix_trie(*prefix_trie.rebuilt(prefix_trie.turn_keys(empty))).count() == 0
+
+
+def test_subtree_sums(spark):
+    rng = random.Random(4)
+    parent = {0: None, **{i: i - 1 for i in range(1, 40)}, **{i: rng.randrange(i) for i in range(40, 150)}, **{i: rng.randrange(20) for i in range(150, 200)}, 200: None}
+    depth = {}
+    for i in parent:
+        depth[i] = 0 if parent[i] is None else depth[parent[i]] + 1
+    sums = {i: i for i in parent}
+    for i in sorted(parent, key=lambda i: -depth[i]):
+        if parent[i] is not None:
+            sums[parent[i]] += sums[i]
+    df = spark.createDataFrame([(i, p, depth[i], i) for i, p in parent.items()], "node long, parent long, depth long, v long")
+    assert {r.node: r.v for r in prefix_trie.subtree_sums(df, ["v"]).collect()} == sums
+
+
+def test_pieces_and_hot_keys(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 3, i) for i in range(-30_000, 30_000)] + [(7, 1)], "k long, v long")
+    want = {k: hashlib.sha256(",".join(str(i) for i in range(-30_000, 30_000) if i % 3 == k).encode()).hexdigest() for k in range(3)}
+    assert {r.k: r.sha256 for r in prefix_trie.sorted_digests(df, ["k"], "v").collect()} == want | {7: hashlib.sha256(b"1").hexdigest()}
+    side = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c"), (9, "d")], "k long, w string")
+    got = {(r.k, r.w): r.n for r in hot_join.split_join(df, side, ["k"], "left").groupBy("k", "w").agg(F.count("v").alias("n")).collect()}
+    assert got == {(0, "a"): 20_000, (1, "b"): 20_000, (2, None): 20_000, (7, "c"): 1}
