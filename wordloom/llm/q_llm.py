@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import (
-    bpe, conversation_repair, html_text, line_dedup, packing, prefix_trie, secrets, simhash, substring_dedup, topk_search, toxicity, vector_near_dup)
+    bpe, conversation_repair, html_text, line_dedup, packing, prefix_trie, secrets, simhash, substring_dedup, suffix_dedup, topk_search, toxicity, vector_near_dup)
 from wordloom.session import ensure_checkpoint_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -74,6 +74,10 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_trie(*prefix_trie.rebuilt(prefix_trie.turn_keys(_table(spark, sf_dir, "conversations"))))
 
 
+def op12_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup_bytes(_table(spark, sf_dir, "documents"), window=200, keep_text=False).withColumnRenamed("id", "doc_id")
+
+
 def op13_conversation_repair(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations")
     return conversation_repair.repair_conversations(conversation_repair.damaged(turns), ids=turns)
@@ -81,7 +85,7 @@ def op13_conversation_repair(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_topk_search, op2_secret_scan, op3_simhash, op4_embedding_dedup, op5_bpe, op6_best_fit_packing, op7_toxicity, op8_substring_dedup,
-    op9_html_text, op10_line_dedup, op11_prefix_trie, op13_conversation_repair)}
+    op9_html_text, op10_line_dedup, op11_prefix_trie, op12_suffix_dedup, op13_conversation_repair)}
 
 
 def sql() -> dict[str, str]:
