@@ -3,11 +3,14 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
+import pytest
 
+from wordloom.operators import features as FE
+from wordloom.operators import labels as L
+from wordloom.operators import lookup
 from wordloom.operators import sequence as SQ
 from wordloom.plans.pipeline import PipelineConfig, run_pipeline
-from wordloom.streaming.labelling import start_labelling
+from wordloom.streaming.labelling import WORK_ORDER_SCHEMA, start_labelling
 
 
 def write(path, text):
@@ -46,7 +49,39 @@ def test_pipeline_and_stream(spark):
     src = os.path.join(d, "stream_in")
     spark.read.parquet(done["work_orders"]).drop("row_id").write.parquet(src)
     model = SQ.SequenceModel.load(spark, done["model"])
-    q = start_labelling(spark, src, model, os.path.join(d, "stream_out"), os.path.join(d, "stream_ckpt"))
+    mined = spark.read.parquet(done["gazetteers"]).where("label in ('location', 'object')").selectExpr("label as kind", "term")
+    gazetteer = FE.gazetteer_table(spark).unionByName(mined).distinct()
+    q = start_labelling(spark, src, model, os.path.join(d, "stream_out"), os.path.join(d, "stream_ckpt"), gazetteer=gazetteer)
     q.awaitTermination(120)
     got = spark.read.parquet(os.path.join(d, "stream_out"))
-    assert got.count() == 3 and "object2" in got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, spark.read.parquet(done["labelled"]).select(*got.columns).collect()))
+
+
+LEXICON = [("antique", "JJ", 0), ("fine", "JJ", 0), ("sink", "NN", 0), ("fix", "VB", 0), ("fix", "NN", 1)]
+
+
+def pos_model():
+    m = SQ.SequenceModel(features=["bias", "is_object", "nltk_tag:JJ", "nouns_count", "previous:verbs_count"])
+    for name, label, w in (("bias", "noise", .5), ("nltk_tag:JJ", "description", 1.), ("nouns_count", "object", 1.), ("is_object", "object", 1.), ("previous:verbs_count", "location", .75)):
+        m.W[m.features.index(name), m.labels.index(label)] = w
+    return m
+
+
+def test_stream_and_batch_give_the_same_labels(spark):
+    d = tempfile.mkdtemp()
+    lexicon = spark.createDataFrame(LEXICON, "word string, tag string, ord int")
+    gazetteer = spark.createDataFrame([("object", "antique"), ("object", "it"), ("location", "attic")], "kind string, term string")
+    orders = spark.createDataFrame([("a", "c", t, "") for t in ("fine antique", "fix the sink", "", None, "FIX Attic antique it")], WORK_ORDER_SCHEMA)
+    orders.write.parquet(os.path.join(d, "in"))
+    for lex, gaz in ((lexicon, None), (lexicon, gazetteer), (None, gazetteer), (None, None)):
+        batch = L.with_label_columns(SQ.label_tokens(orders.na.fill(""), "description", pos_model(), lex, gaz), "tokens", "labels")
+        out = tempfile.mkdtemp()
+        start_labelling(spark, os.path.join(d, "in"), pos_model(), os.path.join(out, "o"), os.path.join(out, "c"), lexicon=lex, gazetteer=gaz).awaitTermination(120)
+        got = spark.read.parquet(os.path.join(out, "o"))
+        want = {tuple(r) for r in batch.select(*got.columns).collect()}
+        assert {tuple(r) for r in got.collect()} == want
+        assert len({r[got.columns.index("ent_description")] for r in want}) == (2 if lex else 1)
+    big = spark.range(lookup.DEFAULT_BROADCAST_ROWS + 1).selectExpr("concat('w', id) as word", "'NN' as tag")
+    stream = spark.readStream.schema(WORK_ORDER_SCHEMA).parquet(os.path.join(d, "in"))
+    with pytest.raises(ValueError, match="stream"):
+        SQ.label_tokens(stream, "description", pos_model(), big)

@@ -3,8 +3,8 @@
 import itertools
 
 import numpy as np
-from pyspark.sql import functions as F
-
+from wordloom.operators import features as FE
+from wordloom.operators import lookup
 from wordloom.operators import sequence as SQ
 
 
@@ -52,10 +52,60 @@ def test_fit_and_decode(spark):
     hist = []
     model = SQ.fit(train, history=hist)
     assert hist[-1] < hist[0] * 0.5
-    enc = SQ.with_features(train, "tokens", model.features)
-    out = SQ.decode(enc, model).select("tokens", "labels").collect()
+    out = SQ.decode(train, model).select("tokens", "labels").collect()
     labels = model.labels
     for r, row in zip(out, rows):
         assert r.labels == [labels[k] for k in row[2]]
     empty = spark.createDataFrame([(1, [])], "id long, tokens array<string>")
-    assert SQ.decode(SQ.with_features(empty, "tokens", model.features), model).first()["labels"] == []
+    assert SQ.decode(empty, model).first()["labels"] == []
+
+
+def test_decode_in_the_plan_is_the_numpy_path(spark):
+    rng = np.random.default_rng(5)
+    words = ["sink", "door", "a", "the", "of", "lobby", "x1", "it's"]
+    rows = [(i, [str(w) for w in rng.choice(words, n)]) for i, n in enumerate([0, 1, 2, 3, 127, 128, 129, 300, 5, 7, 9])]
+    df = spark.createDataFrame([*rows, (99, None)], "id long, tokens array<string>")
+    lexicon = spark.createDataFrame([("sink", "NN"), ("a", "DT"), ("of", "IN")], "word string, tag string")
+    enc = {r.id: r for r in SQ.with_features(df.where("tokens is not null"), "tokens", lexicon).collect()}
+    model = SQ.SequenceModel(features=sorted({k for r in enc.values() for k in r.fkey})[:-3])
+    # whole numbers: sums are exact, and ties are frequent
+    model.W, model.A = rng.integers(-2, 3, model.W.shape).astype(float), rng.integers(-1, 2, model.A.shape).astype(float)
+    number = {k: i for i, k in enumerate(model.features)}
+    decoded = SQ.decode(df, model, "tokens", lexicon)
+    plan = decoded._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "Exchange" not in plan
+    for r in decoded.collect():
+        if r.tokens is None:
+            assert r.labels == []
+            continue
+        e = enc[r.id]
+        some = [(t, number[k], v) for t, k, v in zip(e.ftok, e.fkey, e.fval) if k in number]
+        E = SQ.emissions(model.W, e.ntok, *(list(x) for x in zip(*some))) if some else np.zeros((e.ntok, 8))
+        assert r.labels == [model.labels[i] for i in SQ.viterbi(E, model.A)]
+
+
+def test_large_dictionaries_are_joined(spark, monkeypatch):
+    """Beyond the bound: the same features, labels and fit, no literal, and no text beside exploded words."""
+    rows = [(i, ["fix", "the", f"sink{i % 7}"] if i % 2 else ["replace", "kitchen", "door"], [4, 0, 2] if i % 2 else [4, 1, 2]) for i in range(40)]
+    df = spark.createDataFrame([*rows, (50, [], [])], "id long, tokens array<string>, y array<int>")
+    lexicon = spark.createDataFrame([("sink1", "NN"), ("fix", "VB"), ("door", "NN"), ("the", "DT")], "word string, tag string")
+    gazetteer = spark.createDataFrame([("object", "door"), ("location", "kitchen")], "kind string, term string")
+    optional = ("word", "hyphenated")
+
+    def all_of():
+        hist = []
+        train = df.where("size(tokens) > 0")
+        model = SQ.fit(train, lexicon=lexicon, gazetteer=gazetteer, optional=optional, history=hist)
+        labels = {r.id: r.labels for r in SQ.decode(df, model, "tokens", lexicon, gazetteer).collect()}
+        pos = {r.id: r.pos for r in FE.with_pos_array(df, "tokens", lexicon, gazetteer).collect()}
+        return model.features, hist, labels, pos
+
+    small = all_of()
+    bounded = lookup.literal_maps
+    monkeypatch.setattr(lookup, "literal_maps", lambda table, *_: bounded(table, max_rows=2))
+    large = all_of()
+    assert small[0] == large[0] and small[2:] == large[2:]
+    assert np.allclose(small[1], large[1], rtol=1e-9)
+    plan = FE.with_pos_array(df, "tokens", lexicon)._jdf.queryExecution().optimizedPlan().toString()
+    aggregates = [line for line in plan.splitlines() if "Aggregate [_k1" in line]
+    assert aggregates and not any("tokens#" in line or "y#" in line.replace("key#", "") for line in aggregates) and "from_json" not in plan

@@ -3,7 +3,9 @@
 Tokens stay one array per text while features are built, so the whole
 feature step is a projection: no explode, no shuffle.  Lookups against the
 fixed gazetteers compile to hash-set membership tests (``InSet``); a
-caller-supplied lexicon is joined on the distinct vocabulary only.
+caller's lexicon or gazetteer is looked up within the row while it has a
+bounded size, and joined with the texts' distinct words beyond it (see
+`lookup`).
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from wordloom import fixed
 from wordloom.functions import shape as S
 from wordloom.functions import text as T
+from wordloom.operators.lookup import with_lookup
 from wordloom.session import checked_broadcast
 
 
@@ -90,23 +93,44 @@ def with_pos(df: DataFrame, token_col: str, lexicon: DataFrame | None, default_t
                             "nltk_tag": F.coalesce("nltk_tag", F.lit(default_tag))})
 
 
+def word_table(lexicon: DataFrame | None, gazetteer: DataFrame | None) -> DataFrame:
+    """(key, value struct<nouns, verbs, tag, location, object>): what the lexicon and the gazetteer say of a word, null where they don't."""
+    parts = []
+    if lexicon is not None:
+        parts.append(pos_lookup(lexicon).select(F.col("word").alias("key"), F.col("nouns_count").cast("int").alias("nouns"), F.col("verbs_count").cast("int").alias("verbs"),
+                                                F.col("nltk_tag").alias("tag"), F.lit(None).cast("boolean").alias("location"), F.lit(None).cast("boolean").alias("object")))
+    if gazetteer is not None:
+        long = F.length("term") >= fixed.GAZETTEER_MIN_LENGTH
+        parts.append(gazetteer.where(F.col("kind").isin("location", "object")).groupBy(F.col("term").alias("key")).agg(
+            F.lit(None).cast("int").alias("nouns"), F.lit(None).cast("int").alias("verbs"), F.lit(None).cast("string").alias("tag"),
+            F.max(long & (F.col("kind") == "location")).alias("location"), F.max(long & (F.col("kind") == "object")).alias("object")))
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    fields = ["nouns", "verbs", "tag", "location", "object"]
+    return both.where("key is not null").groupBy("key").agg(*[F.max(f).alias(f) for f in fields]).select("key", F.struct(*fields).alias("value"))
+
+
 def with_pos_array(df: DataFrame, tokens_col: str, lexicon: DataFrame | None = None, gazetteer: DataFrame | None = None,
                    out: str = "pos", default_tag: str = "") -> DataFrame:
     """JOIN-3 / JOIN-4 for whole texts: an array of lookup results beside the token array, in token order.
 
     ``lexicon`` (word, tag[, ord]) gives the POS fields, ``gazetteer``
     (kind, term) the location and object flags; without a gazetteer the
-    fixed lists do.  Each distinct token array is looked up once; tables are
-    broadcast only below the checked size.
+    fixed lists do.  The words are looked up within the row (see
+    `lookup.with_lookup`), so tables of bounded size work on a stream too.
     """
-    from wordloom.operators.tokens import explode_with_pos
-    distinct = df.select(F.col(tokens_col).alias("_tk")).where(F.col("_tk").isNotNull()).distinct()
-    words = with_pos(explode_with_pos(distinct, "_tk", F.col("_tk"), "_i", "_word"), "_word", lexicon, default_tag)
-    words = gazetteer_flags(words, "_word", gazetteer)
-    per = words.groupBy("_tk").agg(F.array_sort(F.collect_list(
-        F.struct("_i", "nouns_count", "verbs_count", "nltk_tag", "is_location", "is_object"))).alias("_ps"))  # the words of one text
-    joined = df.join(per, F.col(tokens_col) == per["_tk"], "left").drop("_tk")
-    return joined.withColumn(out, F.coalesce(F.col("_ps"), F.array().cast(per.schema["_ps"].dataType))).drop("_ps")
+    tk = F.col(tokens_col)
+
+    def entry(t, found):
+        return T.nstruct(nouns_count=F.coalesce(found["nouns"], F.lit(0)), verbs_count=F.coalesce(found["verbs"], F.lit(0)),
+                         nltk_tag=F.coalesce(found["tag"], F.lit(default_tag)),
+                         is_location=F.coalesce(found["location"], F.lit(False)) if gazetteer is not None else is_location(t),
+                         is_object=F.coalesce(found["object"], F.lit(False)) if gazetteer is not None else is_object(t))
+
+    if lexicon is None and gazetteer is None:
+        nothing = F.lit(None).cast("struct<nouns:int,verbs:int,tag:string,location:boolean,object:boolean>")
+        return df.withColumn(out, F.transform(F.coalesce(tk, F.array().cast("array<string>")), lambda t: entry(t, nothing)))
+    return with_lookup(df, tk, word_table(lexicon, gazetteer), lambda find: F.transform(
+        F.coalesce(tk, F.array().cast("array<string>")), lambda t: T.let(find(t), lambda found: entry(t, found))), out)
 
 
 def token_record(t, nouns=None, verbs=None, tag=None, location=None, object_=None, optional=()) -> Column:

@@ -1,40 +1,48 @@
 """Linear-chain sequence labelling (SEQ-1 fit, SEQ-2 decode, SEQ-3 label a dataset).
 
-Features are built in Spark (JVM expressions over the token array, no
-explode) and flattened per text into three arrays: ``ftok`` (token
-position), ``fidx`` (the feature's number in the model's index, exact: every
-name has its own) and ``fval`` (value).  The model is ``W[features, L]``
-emission weights plus ``A[L, L]`` transition weights.  Its features are the
-names that the training texts have; with the base features these are a few
-dozen names and one for each POS tag.
-
-* decode: Arrow batches, numpy Viterbi per text, each distinct text once.
-* fit: conditional log-likelihood with L2, minimised by L-BFGS until the loss
-  no longer falls.  Each evaluation is one distributed pass: ``mapInPandas``
-  runs forward-backward per text and emits one gradient row per touched
-  feature; a ``groupBy(idx)`` sums them (map-side partial sums), and only the
-  summed gradient (bounded by the model's size) reaches the driver.
+Features are (name, value) items, built by JVM expressions over the token
+array.  The model is ``W[features, L]`` emission weights plus ``A[L, L]``
+transition weights.  Its features are the names that the training texts
+have, every name with a number of its own; with the base features these are
+a few dozen names and one for each POS tag, with optional word forms as many
+as there are words.
+
+* decode: a projection.  A token's emissions are a fold over its items, whose
+  weights are looked up within the row (see `lookup`); the best path is two
+  folds over the emissions.  No Python, no shuffle, the same on a stream.
+* fit: the items are flattened per text into three arrays, ``ftok`` (token
+  position), ``fidx`` (the feature's number) and ``fval`` (value).  Conditional
+  log-likelihood with L2, minimised by L-BFGS until the loss no longer falls.
+  Each evaluation is one distributed pass: ``mapInPandas`` runs
+  forward-backward per text and adds up the gradient in blocks of features; a
+  grouped sum adds the touched blocks of all tasks, and only that sum (bounded
+  by the model's size) reaches the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import Tuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
 
 from wordloom import fixed
 from wordloom.functions import text as T
 from wordloom.operators import features as FE
+from wordloom.operators.lookup import with_lookup
 from wordloom.session import ensure_checkpoint_dir
 
 # ---------------------------------------------------------------------------
 # feature encoding
 # ---------------------------------------------------------------------------
 
+# Features whose gradients travel as one row.
+FEATURE_BLOCK = 2048
 _NUMERIC = ["nouns_count", "verbs_count", "length"]
 _BOOL = [("is_location", "is_location"), ("is_object", "is_object"), ("has_vowels", "has.vowels"),
          ("period", "period"), ("comma", "comma"), ("prepositions", "prepositions"),
@@ -73,12 +81,10 @@ def token_items(r: Column, optional=()) -> Column:
     return F.filter(items, lambda e: e["v"] != 0)
 
 
-def with_features(df: DataFrame, tokens_col: str = "tokens", names: list[str] | None = None, lexicon: DataFrame | None = None,
-                  optional=(), gazetteer: DataFrame | None = None) -> DataFrame:
-    """Add ``ntok``, ``ftok``, ``fval`` and ``fidx`` (or ``fkey``, the names, without an index) for the token array.
+def with_items(df: DataFrame, tokens_col: str, lexicon: DataFrame | None = None, optional=(), gazetteer: DataFrame | None = None, out: str = "_it") -> DataFrame:
+    """Add ``out``: for each token its array of (feature, value) items.
 
-    Features that the index ``names`` does not have are left out, as they
-    have no weight.  ``lexicon`` (word, tag[, ord]) supplies the POS features, ``gazetteer``
+    ``lexicon`` (word, tag[, ord]) supplies the POS features, ``gazetteer``
     (kind, term) the location and object flags instead of the fixed lists.
     """
     pos = None
@@ -86,14 +92,15 @@ def with_features(df: DataFrame, tokens_col: str = "tokens", names: list[str] |
     if lexicon is not None or gazetteer is not None:
         st, pos = FE.with_pos_array(df, tokens_col, lexicon, gazetteer, "_pos"), "_pos"
     st = st.withColumn("_sf", FE.sequence_features(tokens_col, pos, optional))
-    st = st.withColumn("_it", F.transform("_sf", lambda r: token_items(r, optional))).drop("_sf", *([pos] if pos else []))
-    if names is not None:
-        number = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]) if names else F.create_map().cast("map<string,int>")
-        st = st.withColumn("_it", T.let(number, lambda m: F.transform("_it", lambda it: F.filter(
-            F.transform(it, lambda e: T.nstruct(k=F.try_element_at(m, e["k"]), v=e["v"])), lambda e: e["k"].isNotNull()))))
+    return st.withColumn(out, F.transform("_sf", lambda r: token_items(r, optional))).drop("_sf", *([pos] if pos else []))
+
+
+def with_features(df: DataFrame, tokens_col: str = "tokens", lexicon: DataFrame | None = None, optional=(), gazetteer: DataFrame | None = None) -> DataFrame:
+    """Add ``ntok``, ``ftok``, ``fkey`` (the features' names) and ``fval`` for the token array; see `with_items`."""
+    st = with_items(df, tokens_col, lexicon, optional, gazetteer)
     st = st.withColumn("ntok", F.size(tokens_col))
     st = st.withColumn("ftok", F.flatten(F.transform("_it", lambda it, t: F.transform(it, lambda e: t))))
-    st = st.withColumn("fkey" if names is None else "fidx", F.flatten(F.transform("_it", lambda it: F.transform(it, lambda e: e["k"]))))
+    st = st.withColumn("fkey", F.flatten(F.transform("_it", lambda it: F.transform(it, lambda e: e["k"]))))
     st = st.withColumn("fval", F.flatten(F.transform("_it", lambda it: F.transform(it, lambda e: e["v"]))))
     return st.drop("_it")
 
@@ -117,6 +124,12 @@ class SequenceModel:
         if self.A is None:
             self.A = np.zeros((L, L))
 
+    def weights_table(self, spark) -> DataFrame:
+        """``(key, value array<double>)``: a feature's weights by label."""
+        rows = pa.table({"key": pa.array(self.features, pa.string()), "value": pa.FixedSizeListArray.from_arrays(
+            pa.array(self.W.ravel(), pa.float64()), len(self.labels)).cast(pa.list_(pa.float64()))})
+        return spark.createDataFrame(rows)
+
     def weights_frame(self, spark) -> DataFrame:
         """``(kind, name, label, w)``: feature weights, transitions (from, to) and the optional features' names."""
         rows = [("feature", n, self.labels[j], float(self.W[i, j])) for i, n in enumerate(self.features) for j in range(len(self.labels))]
@@ -271,44 +284,74 @@ def sequence_nll(E: np.ndarray, A: np.ndarray, y: np.ndarray) -> float:
 # SEQ-2 / SEQ-3: decode
 # ---------------------------------------------------------------------------
 
-def decode(df: DataFrame, model: SequenceModel, out: str = "labels") -> DataFrame:
-    """Best label sequence for every row with encoded features (empty text -> []).
+# Entries that a growing array gets before it is put away whole: appending copies an array.
+GROW = 128
+
+
+def _grown(state: Column, x: Column) -> dict[str, Column]:
+    """``tail`` and ``done`` of a fold's state with one more entry (all of them: flatten(done) and then tail)."""
+    tail = F.array_append(state["tail"], x)
+    full = F.size(state["tail"]) >= GROW - 1
+    return {"tail": F.when(full, F.slice(state["tail"], 1, 0)).otherwise(tail),
+            "done": F.when(full, F.array_append(state["done"], tail)).otherwise(state["done"])}
+
+
+def _all(state: Column) -> Column:
+    return F.flatten(F.array_append(state["done"], state["tail"]))
+
+
+def emission_column(items: Column, find, n_labels: int) -> Column:
+    """A token's score for every label: the sum of value * weight over its items; ``find`` gives a name's weights."""
+    zero = F.array(*[F.lit(0.0)] * n_labels)
+    return F.aggregate(items, zero, lambda acc, e: T.let(find(e["k"]), lambda w: F.when(w.isNull(), acc).otherwise(
+        F.zip_with(acc, w, lambda a, b: a + e["v"] * b))))
 
-    Runs as ``mapInPandas`` (its own plan node, Arrow batches, every other
-    column passed through); the model travels as one broadcast.
+
+def viterbi_column(scores: Column, A: np.ndarray) -> Column:
+    """Label numbers of the best path over ``scores`` (array<array<double>>); ties go to the smaller number.
+
+    The first fold keeps the labels' best scores and, for each token, the label before; the second walks these back.
     """
-    bc = df.sparkSession.sparkContext.broadcast((model.W, model.A, list(model.labels)))
-    schema = T_.StructType(df.schema.fields + [T_.StructField(out, T_.ArrayType(T_.StringType()))])
+    into = F.array(*[F.array(*[F.lit(float(a)) for a in A[:, j]]) for j in range(A.shape[1])])
+    first_best = lambda s: F.array_position(s, F.array_max(s)).cast("int") - 1
+    none = lambda kind: F.array().cast(kind)
 
-    def run(batches):
-        W, A, labels = bc.value
-        for pdf in batches:
-            res = []
-            for n, a, b, c in zip(pdf["ntok"], pdf["ftok"], pdf["fidx"], pdf["fval"]):
-                path = viterbi(emissions(W, int(n), a, b, c), A)
-                res.append([labels[i] for i in path])
-            pdf[out] = res
-            yield pdf
+    def path(e, ways):
+        def forward(acc, x):
+            best = F.transform(ways, lambda a: T.let(F.zip_with(acc["s"], a, lambda p, q: p + q), lambda c: T.nstruct(m=F.array_max(c), i=first_best(c))))
+            return T.let(best, lambda b: T.nstruct(s=F.zip_with(b, x, lambda p, q: p["m"] + q), **_grown(acc, F.transform(b, lambda p: p["i"]))))
 
-    return df.mapInPandas(run, schema)
+        def backward(acc, back):
+            return T.let(F.get(back, acc["at"]), lambda at: T.nstruct(at=at, **_grown(acc, at)))
 
+        start = T.nstruct(s=F.get(e, 0), tail=none("array<array<int>>"), done=none("array<array<array<int>>>"))
+        ahead = F.aggregate(F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))), start, forward)
+        return T.let(ahead, lambda v: T.let(first_best(v["s"]), lambda last: F.aggregate(
+            F.reverse(_all(v)), T.nstruct(at=last, tail=F.array(last), done=none("array<array<int>>")), backward, lambda acc: F.reverse(_all(acc)))))
+
+    return F.when(F.size(scores) == 0, none("array<int>")).otherwise(T.let(scores, lambda e: T.let(into, lambda ways: path(e, ways))))
 
-def label_tokens(df: DataFrame, text_col: str, model: SequenceModel, lexicon: DataFrame | None = None,
-                 gazetteer: DataFrame | None = None) -> DataFrame:
-    """SEQ-2 on a text column: ``tokens`` (TOK-2 of the lower-cased text) and predicted ``labels``.
 
-    Each distinct text is labelled once and its labels joined back (a stream
-    labels its rows as they come).
+def decode(df: DataFrame, model: SequenceModel, tokens_col: str = "tokens", lexicon: DataFrame | None = None, gazetteer: DataFrame | None = None,
+           out: str = "labels") -> DataFrame:
+    """Best label sequence of every row's tokens (no tokens -> []), as column ``out``.
+
+    Features without a weight count nothing.  A model of bounded size is part
+    of the plan; the weights of a larger one are joined with the texts'
+    distinct feature names.
     """
-    def labelled(texts: DataFrame) -> DataFrame:
-        d = texts.withColumn("tokens", T.tokenize(F.lower(F.col(text_col))))
-        return decode(with_features(d, "tokens", model.features, lexicon, model.optional, gazetteer), model).drop("ntok", "ftok", "fidx", "fval")
+    st = with_items(df, tokens_col, lexicon, model.optional, gazetteer)
+    names = F.flatten(F.transform("_it", lambda it: F.transform(it, lambda e: e["k"])))
+    label = F.array(*[F.lit(x) for x in model.labels])
+    st = with_lookup(st, names, model.weights_table(df.sparkSession), lambda find: F.transform("_it", lambda it: emission_column(it, find, len(model.labels))), "_e")
+    return st.withColumn(out, T.let(label, lambda ls: F.transform(viterbi_column(F.coalesce("_e", F.array().cast("array<array<double>>")), model.A), lambda i: F.get(ls, i)))) \
+        .drop("_it", "_e")
+
 
-    if df.isStreaming:
-        return labelled(df)
-    done = labelled(df.select(text_col).where(F.col(text_col).isNotNull()).distinct())
-    out = df.join(done.withColumnRenamed(text_col, "_text"), df[text_col] == F.col("_text"), "left").drop("_text")
-    return out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("tokens", "labels")})
+def label_tokens(df: DataFrame, text_col: str, model: SequenceModel, lexicon: DataFrame | None = None,
+                 gazetteer: DataFrame | None = None) -> DataFrame:
+    """SEQ-2 on a text column: ``tokens`` (TOK-2 of the lower-cased text) and predicted ``labels``, the same on a stream."""
+    return decode(df.withColumn("tokens", T.tokenize(F.lower(F.col(text_col)))), model, "tokens", lexicon, gazetteer)
 
 
 # ---------------------------------------------------------------------------
@@ -380,12 +423,13 @@ def fit(train: DataFrame, labels=fixed.MODEL_LABELS, tolerance: float = 1e-3, l2
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)
     L = len(labels)
-    named = with_features(train.select(tokens_col, y_col), tokens_col, None, lexicon, optional, gazetteer).select("ntok", "ftok", "fkey", "fval", y_col).checkpoint()
+    named = with_features(train.select(tokens_col, y_col), tokens_col, lexicon, optional, gazetteer).select("ntok", "ftok", "fkey", "fval", y_col).checkpoint()
     # The model's features: every name that occurs.
-    names = [r[0] for r in named.select(F.explode(F.array_distinct("fkey")).alias("k")).distinct().orderBy("k").collect()]
-    number = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]) if names else F.create_map().cast("map<string,int>")
+    table = named.select(F.explode(F.array_distinct("fkey")).alias("k")).distinct().orderBy("k").toArrow()  # the model's size
+    names = table.column("k").to_pylist()
+    index = spark.createDataFrame(pd.DataFrame({"key": names, "value": np.arange(len(names), dtype=np.int32)}), "key string, value int")
+    enc = with_lookup(named, F.col("fkey"), index, lambda find: F.transform("fkey", find), "fidx").select("ntok", "ftok", "fidx", "fval", y_col)
     # spread the texts over all cores once, then cut lineage on shared storage (reused in every pass)
-    enc = named.select("ntok", "ftok", T.let(number, lambda m: F.transform("fkey", lambda k: F.element_at(m, k))).alias("fidx"), "fval", y_col)
     enc = enc.repartition(spark.sparkContext.defaultParallelism).checkpoint()
     model = SequenceModel(features=names, labels=list(labels), optional=tuple(optional))
     D = len(names)
@@ -397,27 +441,37 @@ def fit(train: DataFrame, labels=fixed.MODEL_LABELS, tolerance: float = 1e-3, l2
 
         def part_grad(it, bc=bc):
             W, A = bc.value
-            G, GA, loss = np.zeros_like(W), np.zeros_like(A), 0.0
+            G, GA, loss, touched = {}, np.zeros_like(A), 0.0, np.zeros(0, np.int64)
             for pdf in it:
-                ls, g, ga = batch_gradient(W, A, pdf["ntok"], pdf["ftok"], pdf["fidx"], pdf["fval"], pdf[y_col])
+                # only the batch's own features take part in its step
+                sizes = [len(x) for x in pdf["fidx"]]
+                own, at = np.unique(np.concatenate([np.asarray(x, np.int64) for x in pdf["fidx"]]), return_inverse=True) if sum(sizes) else (touched, touched)
+                ls, g, ga = batch_gradient(W[own], A, pdf["ntok"], pdf["ftok"], np.split(at, np.cumsum(sizes)[:-1]), pdf["fval"], pdf[y_col])
                 loss += ls
-                G += g
                 GA += ga
-            rows = [(int(k), G[k].tolist()) for k in np.flatnonzero(np.abs(G).sum(1) > 0)]
-            rows += [(-1 - a, GA[a].tolist()) for a in range(L)]
-            rows.append((D, [loss] + [0.0] * (L - 1)))
-            yield pd.DataFrame(rows, columns=["idx", "g"])
-
-        grads = enc.mapInPandas(part_grad, "idx int, g array<double>")
-        summed = grads.groupBy("idx").agg(F.array(*[F.sum(F.get(F.col("g"), i)) for i in range(L)]).alias("g"))
-        G, loss = np.zeros((D + 1 + L, L)), 0.0
-        for r in summed.collect():  # one row a feature and label: the model's size
-            if r["idx"] == D:
-                loss = r["g"][0]
+                for b in np.unique(own // FEATURE_BLOCK).tolist():
+                    mine = own // FEATURE_BLOCK == b
+                    G.setdefault(b, np.zeros((FEATURE_BLOCK, L)))[own[mine] % FEATURE_BLOCK] += g[mine]
+            rows = [(b, g.tobytes()) for b, g in G.items()]
+            yield pd.DataFrame([*rows, (-1, np.concatenate([[loss], GA.ravel()]).tobytes())], columns=["block", "g"])
+
+        def added(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0
+            for b in batches:
+                for g in b.column("g").to_pylist():
+                    total = total + np.frombuffer(g)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["block", "g"])
+
+        grads = enc.mapInPandas(part_grad, "block long, g binary")
+        G, GA, loss = np.zeros((-(-D // FEATURE_BLOCK) * FEATURE_BLOCK, L)), np.zeros((L, L)), 0.0
+        for r in grads.groupBy("block").applyInArrow(added, "block long, g binary").collect():  # the model's size
+            g = np.frombuffer(r["g"])
+            if r["block"] < 0:
+                loss, GA = float(g[0]), g[1:].reshape(L, L)
             else:
-                G[r["idx"] if r["idx"] >= 0 else D - r["idx"]] = r["g"]
+                G[r["block"] * FEATURE_BLOCK:(r["block"] + 1) * FEATURE_BLOCK] = g.reshape(FEATURE_BLOCK, L)
         bc.unpersist()
-        grad = np.concatenate([G[:D].ravel(), G[D + 1:].ravel()]) + l2 * x
+        grad = np.concatenate([G[:D].ravel(), GA.ravel()]) + l2 * x
         return loss + 0.5 * l2 * float(x @ x), grad
 
     x = minimise(evaluate, np.zeros(D * L + L * L), tolerance, history=history)

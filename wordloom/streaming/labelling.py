@@ -2,9 +2,10 @@
 
 Every step from cleaning to the entity columns is per row (no state), so
 the same transforms run under ``readStream``: new work-order files are
-tokenised, labelled with a fitted model (``mapInPandas``, model broadcast)
-and pivoted to the 13-column table, micro-batch by micro-batch, with
-exactly-once file output through the checkpoint location.
+tokenised, labelled with a fitted model and pivoted to the 13-column table,
+micro-batch by micro-batch, with exactly-once file output through the
+checkpoint location.  Lexicon, gazetteers and model are looked up within the
+row (see `operators.lookup`), so a stream and a batch run give the same rows.
 """
 
 from __future__ import annotations
@@ -21,13 +22,18 @@ WORK_ORDER_SCHEMA = ", ".join(f"{c} string" for c in WORK_ORDER_COLUMNS)
 
 
 def labelled_stream(spark: SparkSession, source: str, model: SQ.SequenceModel, fmt: str = "parquet",
-                    schema: str = WORK_ORDER_SCHEMA, options: dict | None = None) -> DataFrame:
-    """Streaming DataFrame of labelled work orders read from a folder of new files."""
+                    schema: str = WORK_ORDER_SCHEMA, options: dict | None = None,
+                    lexicon: DataFrame | None = None, gazetteer: DataFrame | None = None) -> DataFrame:
+    """Streaming DataFrame of labelled work orders read from a folder of new files.
+
+    ``lexicon`` and ``gazetteer`` must be the ones that the model was fitted
+    with; they are read when the query starts and must be of bounded size.
+    """
     reader = spark.readStream.schema(schema).format(fmt)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
     src = reader.load(source).na.fill("")
-    lab = SQ.label_tokens(src, "description", model)
+    lab = SQ.label_tokens(src, "description", model, lexicon, gazetteer)
     return L.with_label_columns(lab, "tokens", "labels")
 
 
