@@ -1,5 +1,7 @@
 """Phrase substitution and spelling correction cases."""
 
+from pyspark.sql import functions as F
+
 from wordloom.operators import clean as CL
 
 
@@ -89,3 +91,29 @@ def test_edit_distance_brute_force(spark):
     df = spark.createDataFrame(rows, "a string, b string, d int")
     bad = df.where(~CL.edit_distance("a", "b", 2).eqNullSafe(df["d"])).collect()
     assert not bad, bad[:5]
+
+
+def test_deletion_keys_miss_no_candidate(spark):
+    """Words within two edits share a key, whatever the words' lengths."""
+    import random
+    rng = random.Random(6)
+    rows = []
+    for n in [1, 2, 3, 5, 6, 7, 8, 9, 12, 20] * 40:
+        a = "".join(rng.choice("ab") for _ in range(n))
+        b = a
+        for _ in range(2):
+            i = rng.randrange(len(b) + 1)
+            kind = rng.randrange(4)
+            b = [b[:i] + rng.choice("abc") + b[i:], b[:i] + b[i + 1:], b[:i] + rng.choice("abc") + b[i + 1:], b[:i] + b[i + 1:i + 2] + b[i:i + 1] + b[i + 2:]][kind]
+        rows.append((a, b))
+    df = spark.createDataFrame([r for r in rows if r[1]], "a string, b string")
+    assert df.where(CL.edit_distance("a", "b", 2).isNull()).count() == 0
+    assert df.where(~F.arrays_overlap(CL.deletion_keys("a", 2), CL.deletion_keys("b", 2))).count() == 0
+    assert df.select(F.max(F.size(CL.deletion_keys("a", 2)))).first()[0] <= 29
+
+
+def test_spelling_of_rows_that_share_an_id(spark):
+    dic = spark.createDataFrame([("leak", 10), ("sink", 7)], "word string, freq long")
+    df = spark.createDataFrame([(1, "laek here"), (1, "laek snik"), (2, None), (None, "snik")], "id long, t string")
+    got = sorted((r.id or 0, r.corrected, r.n_words, r.n_corrected) for r in CL.spell_correct(df, "id", "t", dic).collect())
+    assert got == [(0, "sink", 1, 1), (1, "leak here", 2, 1), (1, "leak sink", 2, 2), (2, "", 0, 0)]

@@ -80,7 +80,7 @@ def test_stream_and_batch_give_the_same_labels(spark):
         got = spark.read.parquet(os.path.join(out, "o"))
         want = {tuple(r) for r in batch.select(*got.columns).collect()}
         assert {tuple(r) for r in got.collect()} == want
-        assert len({r[got.columns.index("ent_description")] for r in want}) == (2 if lex else 1)
+        assert (len({r[got.columns.index("ent_description")] for r in want}) > 1) == (lex is not None)
     big = spark.range(lookup.DEFAULT_BROADCAST_ROWS + 1).selectExpr("concat('w', id) as word", "'NN' as tag")
     stream = spark.readStream.schema(WORK_ORDER_SCHEMA).parquet(os.path.join(d, "in"))
     with pytest.raises(ValueError, match="stream"):

@@ -7,9 +7,9 @@ Both are joins, not per-row dictionaries:
   resolved by a greedy longest-first cover and the text is rebuilt in-row.
 * spelling - only the *distinct vocabulary* is corrected: unknown words are
   found with an anti-join, candidates come from an equi-join on shared
-  deletion keys (symmetric-delete neighbourhood), are verified by edit
-  distance and ranked by (distance, frequency).  The per-word corrections
-  are then joined back to the word positions.
+  deletion keys of the words' first letters, are verified by edit distance
+  and ranked by (distance, frequency).  The corrections are then looked up
+  within the rows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from wordloom import fixed
 from wordloom.functions import text as T
 from wordloom.operators import tokens as TK
 from wordloom.operators.cover import greedy_cover
-from wordloom.session import checked_broadcast
+from wordloom.operators.lookup import with_lookup
+from wordloom.session import checked_broadcast, stage_path
 
 # units of a text for phrase matching: runs of word characters, and every other character by itself
 UNITS = r"\w+|\W"
@@ -149,6 +150,23 @@ def deletes(word, d: int) -> Column:
     return F.array_distinct(out)
 
 
+# Letters of a word from which candidates' letters are deleted.
+SPELL_PREFIX = 7
+
+
+def deletion_keys(word, max_distance: int, prefix: int = SPELL_PREFIX) -> Column:
+    """Hashes of the word's first ``prefix`` letters with up to ``max_distance`` of them deleted.
+
+    Words within the distance share a key: delete on either side the letters
+    that the edits touch within the prefix, and from the end of the longer
+    rest until both have one length.  That takes no more deletions than there
+    are edits, so the keys of a word are bounded, however long it is.
+    """
+    if prefix <= max_distance:
+        raise ValueError("the prefix must be longer than the distance")
+    return F.array_distinct(F.transform(deletes(F.substring(T._c(word), 1, prefix), max_distance), lambda k: F.xxhash64(k)))
+
+
 def single_swap(a, b) -> Column:
     """True when ``b`` is ``a`` with exactly one pair of adjacent characters swapped."""
     a, b = T._c(a), T._c(b)
@@ -167,8 +185,9 @@ def edit_distance(a, b, max_d: int) -> Column:
     if max_d > 2:
         raise ValueError("distances above 2 are not supported")
     a, b = T._c(a), T._c(b)
-    lev = F.levenshtein(a, b, max_d)
-    d = F.when((lev == 0) | (lev == 1), lev).when(single_swap(a, b), F.lit(1))
+    # a swap counts two there, so pairs beyond twice the distance are out at once
+    lev = F.levenshtein(a, b, 2 * max_d)
+    d = F.when(lev == -1, F.lit(None)).when(lev <= 1, lev).when((lev == 2) & single_swap(a, b), F.lit(1))
     if max_d > 1:
         # Two edits of which one is a swap: it comes first (a swap of a) or last (a swap of b).
         places = lambda w: F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1)))
@@ -194,13 +213,11 @@ def spell_candidates(words: DataFrame, dictionary: DataFrame, max_distance: int
     """
     vocab = words.select(F.col(word_col).alias("word")).where(eligible("word")).distinct()
     dic = dictionary.select(F.col("word").alias("cand"), F.col("freq").cast("long").alias("freq"))
-    # a word longer than the longest dictionary word by more than the distance has no candidate
-    longest = dictionary.agg(F.max(F.length("word"))).scalar()
-    unknown = vocab.where(F.length("word") <= longest + max_distance) \
-                   .join(dic.select(F.col("cand").alias("word")), "word", "left_anti")  # JOIN-7
-    uk = TK.explode_with_pos(unknown, "word", deletes("word", max_distance), "_p", "dkey")
-    dk = TK.explode_with_pos(dic, ["cand", "freq"], deletes("cand", max_distance), "_p", "dkey")
-    pairs = uk.join(dk, "dkey").select("word", "cand", "freq").distinct()
+    unknown = vocab.join(dic.select(F.col("cand").alias("word")), "word", "left_anti")  # JOIN-7
+    uk = TK.explode_with_pos(unknown, "word", deletion_keys("word", max_distance), "_p", "dkey")
+    dk = TK.explode_with_pos(dic, ["cand", "freq"], deletion_keys("cand", max_distance), "_p", "dkey")
+    near = F.abs(F.length("word") - F.length("cand")) <= max_distance
+    pairs = uk.drop("_p").join(checked_broadcast(dk.drop("_p")), "dkey").where(near).select("word", "cand", "freq").distinct()
     from wordloom.operators.labels import keep_rows
     scored = keep_rows(pairs.withColumn("distance", edit_distance("word", "cand", max_distance)),
                        F.col("distance").isNotNull())
@@ -213,21 +230,23 @@ def spell_correct(df: DataFrame, id_col: str, text_col: str, dictionary: DataFra
                   out: str = "corrected") -> DataFrame:
     """CLN-5: correct every eligible unknown word of every text; other words pass through.
 
-    Returns ``(id, out, n_words, n_corrected)``.  Each distinct word is
-    corrected once.  Only the distinct words of a text go to the join with
-    the corrections, and only texts with corrections are changed.
+    Returns ``(id, out, n_words, n_corrected)``, a row for every row.  Each
+    distinct word is corrected once; the corrections are looked up within the
+    row (see `lookup`).
     """
     base = df.select(id_col, spell_words(text_col).alias("_w"))
-    words = TK.explode_with_pos(base, id_col, F.filter(F.array_distinct("_w"), eligible), "_p", "word").select(id_col, "word")
-    corr = spell_candidates(words.select("word").distinct(), dictionary, max_distance).select("word", "correction")
-    per = words.join(corr, "word").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "correction"))).alias("_m"))
-    done = base.join(per, id_col, "left")
-    new = F.when(F.col("_m").isNull(), F.col("_w")).otherwise(
-        F.transform("_w", lambda w: F.coalesce(F.try_element_at(F.col("_m"), w), w)))
-    changed = F.when(F.col("_m").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter("_w", lambda w: F.try_element_at(F.col("_m"), w).isNotNull())))
-    return done.select(id_col, F.coalesce(F.array_join(new, " "), F.lit("")).alias(out),
-                       F.coalesce(F.size("_w"), F.lit(0)).cast("long").alias("n_words"), changed.cast("long").alias("n_corrected"))
+    words = TK.explode_with_pos(base, [], F.filter(F.array_distinct("_w"), eligible), "_p", "word").select("word").distinct()
+    path = stage_path(df.sparkSession, "corrections")
+    spell_candidates(words, dictionary, max_distance).select(F.col("word").alias("key"), F.col("correction").alias("value")).write.parquet(path)
+    corr = df.sparkSession.read.parquet(path)
+
+    def corrected(find):
+        return F.transform("_w", lambda w: T.let(find(w), lambda c: T.nstruct(w=F.coalesce(c, w), changed=c.isNotNull())))
+
+    done = with_lookup(base, F.filter("_w", eligible), corr, corrected, "_c")
+    return done.select(id_col, F.coalesce(F.array_join(F.transform("_c", lambda c: c["w"]), " "), F.lit("")).alias(out),
+                       F.coalesce(F.size("_w"), F.lit(0)).cast("long").alias("n_words"),
+                       F.coalesce(F.size(F.filter("_c", lambda c: c["changed"])), F.lit(0)).cast("long").alias("n_corrected"))
 
 
 def preclean(df: DataFrame, id_col: str, text_col: str, phrases: DataFrame, dictionary: DataFrame,

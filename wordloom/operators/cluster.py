@@ -4,8 +4,13 @@ k grows with n, so global Lloyd iterations cost O(n * k) per pass.  Each
 type is cut into buckets of at most ``max_bucket_rows`` distinct points: a
 small type is one bucket; a larger one is halved again and again at the mean
 of its widest dimension, one distributed pass a level.  Every bucket is
-finished by a numpy k-means in ``applyInPandas``; the buckets' shares of k
+clustered by a numpy k-means in ``applyInPandas``; the buckets' shares of k
 are apportioned so that they add up to k = n // 5 at every size.
+
+For a type of several buckets that is the start: distributed Lloyd passes
+over the whole type follow, in which every point moves to its nearest centre
+wherever that lies (`nearest.assign_nearest`, pruned by the triangle
+inequality), until the cost falls by less than a tolerance.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from pyspark.sql import functions as F
 
 from wordloom import fixed
 from wordloom.functions import text as T
+from wordloom.operators.nearest import assign_nearest
 from wordloom.operators.vectors import as_double
 from wordloom.session import checked_broadcast, ensure_checkpoint_dir
 
@@ -36,9 +42,9 @@ def nearest_centroid(points: DataFrame, vec_col: str, centroids: list[tuple[int,
                      out: str = "cluster") -> DataFrame:
     """CLU-4: index of the nearest centroid (squared Euclidean; ties to the smaller id).
 
-    ``centroids`` is a bounded driver-side list (as inside a fitted k-means
-    model); it becomes one literal array, so assignment is a projection
-    with no join.
+    ``centroids`` is a short driver-side list; it becomes one literal array,
+    so assignment is a projection with no join.  For more centroids than fit
+    in a plan see `nearest.assign_nearest`.
     """
     lit = F.array(*[F.struct(F.lit(int(c)).alias("id"), F.array(*[F.lit(float(x)) for x in v]).alias("c"))
                     for c, v in centroids])
@@ -104,11 +110,13 @@ def _kmeans_np(x: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarr
 
 def kmeans_by_type(df: DataFrame, type_col: str = "type", id_col: str = "entity", vec_col: str = "vec",
                    per_cluster: int = fixed.MEMBERS_PER_CLUSTER, types: list[str] | None = None,
-                   seed: int = 7, max_bucket_rows: int = 4096) -> DataFrame:
+                   seed: int = 7, max_bucket_rows: int = 4096, tolerance: float = 1e-3, costs: list | None = None) -> DataFrame:
     """CLU-2/CLU-3: ``(type, id, cluster)`` with k = n // 5 per type (ORD-3 ``types`` filter, [] = all).
 
     Identical vectors are one weighted point and always share a cluster; a
-    type with fewer distinct vectors than k gets one cluster for each.
+    type with fewer distinct vectors than k gets one cluster for each.  Types
+    of several buckets are refined until a pass lowers their cost by less than
+    ``tolerance`` of it; ``costs``, when given, gets the cost of every pass.
     """
     src = df
     if types:
@@ -116,7 +124,8 @@ def kmeans_by_type(df: DataFrame, type_col: str = "type", id_col: str = "entity"
     src = src.where(F.col(vec_col).isNotNull()).select(
         F.col(type_col).alias("_type"), F.col(id_col).alias("_id"), as_double(vec_col).alias("_a"))
     ensure_checkpoint_dir(df.sparkSession)
-    points = src.groupBy("_type", "_a").agg(F.count(F.lit(1)).alias("_w")).withColumn("_bucket", F.lit("0")).checkpoint()
+    points = src.groupBy("_type", "_a").agg(F.count(F.lit(1)).alias("_w")) \
+        .withColumn("_bucket", F.lit("0")).withColumn("_p", F.monotonically_increasing_id()).checkpoint()
     points = _split_buckets(points, max_bucket_rows)
     counts = points.groupBy("_type", "_bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("_w").alias("w"))
     by_type = Window.partitionBy("_type")  # one row a bucket
@@ -144,11 +153,45 @@ def kmeans_by_type(df: DataFrame, type_col: str = "type", id_col: str = "entity"
         order = np.lexsort(x.T[::-1])  # the same order of points in every run
         lab = np.empty(len(x), np.int64)
         lab[order] = _kmeans_np(x[order], pdf["_w"].to_numpy(float)[order], int(pdf["_kb"].iloc[0]), seed)
-        return pd.DataFrame({"_type": pdf["_type"], "_a": pdf["_a"], "cluster": (lab + int(pdf["_off"].iloc[0])).astype("int32")})
+        return pd.DataFrame({"_type": pdf["_type"], "_p": pdf["_p"], "cluster": (lab + int(pdf["_off"].iloc[0])).astype("int32")})
+
+    schema = f"_type {src.schema['_type'].dataType.simpleString()}, _p long, cluster int"
+    out = b.select("_type", "_a", "_p", "_w", "_kb", "_off", "_bucket").groupBy("_type", "_bucket").applyInPandas(per_bucket, schema)
+    cut = [r["_type"] for r in counts.groupBy("_type").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_type").collect()]  # one row a type
+    if cut:
+        out = out.checkpoint()
+        large = F.col("_type").isin(*cut)
+        out = out.where(~large).unionByName(_refined(points.where(large).select("_type", "_p", "_a", "_w"), out.where(large), tolerance, costs))
+    named = points.select("_type", "_p", "_a").join(out, ["_type", "_p"])
+    return src.join(named, ["_type", "_a"]).select(F.col("_type").alias(type_col), F.col("_id").alias(id_col), "cluster")
+
+
+def _refined(points: DataFrame, labels: DataFrame, tolerance: float, costs: list | None) -> DataFrame:
+    """(_type, _p, cluster) after Lloyd passes over whole types, starting from ``labels``.
 
-    schema = f"_type {src.schema['_type'].dataType.simpleString()}, _a array<double>, cluster int"
-    out = b.select("_type", "_a", "_w", "_kb", "_off", "_bucket").groupBy("_type", "_bucket").applyInPandas(per_bucket, schema)
-    return src.join(out, ["_type", "_a"]).select(F.col("_type").alias(type_col), F.col("_id").alias(id_col), "cluster")
+    The point nearest to its own cluster's centre stays there, so no cluster
+    empties; every other point goes to the nearest centre of its type.
+    """
+    square = F.aggregate(F.zip_with("_a", "_c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
+    before = None
+    while True:
+        state = points.join(labels, ["_type", "_p"]).checkpoint()
+        centres = state.groupBy("_type", "cluster").agg(Summarizer.mean(array_to_vector("_a"), F.col("_w").cast("double")).alias("m")) \
+            .select("_type", "cluster", vector_to_array("m").alias("_c")).checkpoint()
+        own = state.join(centres, ["_type", "cluster"]).select("_type", "_p", "_w", "cluster", square.alias("d"))
+        keeps = own.groupBy("_type", "cluster").agg(F.min(F.struct("d", "_p")).alias("k")).select("_type", F.col("k._p").alias("_p"), F.lit(True).alias("keeps"))
+        found = assign_nearest(points, centres.withColumnRenamed("_c", "_a"), "_type", "_p", "_a").withColumnRenamed("cluster", "new")
+        moved = own.join(found, ["_type", "_p"]).join(keeps, ["_type", "_p"], "left")
+        stays = F.coalesce("keeps", F.lit(False)) | (F.col("d") <= F.col("distance") * F.col("distance"))
+        moved = moved.select("_type", "_p", F.when(stays, F.col("cluster")).otherwise(F.col("new")).cast("int").alias("cluster"),
+                             (F.col("_w") * F.when(stays, F.col("d")).otherwise(F.col("distance") * F.col("distance"))).alias("cost")).checkpoint()
+        cost = moved.agg(F.sum("cost")).first()[0]
+        if costs is not None:
+            costs.append(cost)
+        labels = moved.drop("cost")
+        if before is not None and before - cost <= tolerance * before:
+            return labels
+        before = cost
 
 
 def _split_buckets(points: DataFrame, max_bucket_rows: int) -> DataFrame:

@@ -103,7 +103,15 @@ def q_label_dataset(spark, sf):
     return cols.select("doc_id", "address", "category", *out)
 
 
+def q_label_turns(spark, sf):
+    """SEQ-3 under the fixed model: every conversation turn labelled and pivoted to entity columns."""
+    d = load(spark, sf, "conversations").select("conv_id", "turn", T.normalize("text").alias("description"))
+    cols = L.with_label_columns(SQ.label_tokens(d, "description", fixed_model(), lexicon(spark)), "tokens", "labels", keep=["conv_id", "turn"])
+    return cols.select("conv_id", "turn", *[F.md5(F.col(c)).alias(c) for c in fixed.LABELS + [fixed.OBJECT2]])
+
+
 QUERIES = {
+    "label_turns": q_label_turns,
     "token_features": q_token_features,
     "viterbi_decode": q_viterbi_decode,
     "fit_sequence_model": q_fit_sequence_model,
@@ -121,7 +129,10 @@ def sql() -> dict[str, str]:
     abbrev = f"CASE WHEN token = '&' THEN token ELSE regexp_replace({clean}, '\\W', '', 'g') END"
     lex = ", ".join(f"('{w}', '{t}', {o})" for w, t, o in LEXICON)
     return {
-        "viterbi_decode": _viterbi_sql(clean, abbrev, loc, obj, prep, lex),
+        "viterbi_decode": f"""{_viterbi_sql(clean, abbrev, loc, obj, prep, lex, QL._SEQ + ", seqs AS (SELECT okey AS o_orderkey, tokens FROM seq)")}
+SELECT o_orderkey, array_to_string(labels, ' ') AS labels FROM best UNION ALL SELECT o_orderkey, '' FROM seqs WHERE len(tokens) = 0""",
+        "label_turns": _label_turns_sql(_viterbi_sql(clean, abbrev, loc, obj, prep, lex, "seqs AS (SELECT {'c': conv_id, 't': turn} AS o_orderkey, "
+                                                     + sql_tokens(sql_normalize("text")) + " AS tokens FROM conversations)")),
         "token_features": f"""
 WITH lex(word, tag, ord) AS (VALUES {lex}),
 s AS (SELECT conv_id, turn, {sql_tokens(sql_normalize('text'))} AS tk FROM conversations),
@@ -149,8 +160,19 @@ FROM f WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)""",
     }
 
 
-def _viterbi_sql(clean: str, abbrev: str, loc: str, obj: str, prep: str, lex: str) -> str:
-    """The best path as a recursive query over positions: the best score of each label and the label before it."""
+def _label_turns_sql(decoded: str) -> str:
+    columns = fixed.LABELS + [fixed.OBJECT2]
+    runs = QL._RUNS[len(QL._SEQ):].replace("{cols}", ", ".join(f"coalesce(string_agg(CASE WHEN label = '{c}' THEN term END, ' ' ORDER BY pos), '') AS \"{c}\"" for c in columns))
+    return f"""{decoded},
+tok AS (SELECT okey, i - 1 AS pos, tokens[i] AS token, labels[i] AS label FROM (
+  SELECT seqs.o_orderkey AS okey, tokens, labels, unnest(range(1, len(tokens) + 1)) AS i FROM seqs JOIN best ON seqs.o_orderkey = best.o_orderkey))
+{runs}
+SELECT seqs.o_orderkey.c AS conv_id, seqs.o_orderkey.t AS turn, {", ".join(f"md5(coalesce(cols.{c}, '')) AS {c}" for c in columns)}
+FROM seqs LEFT JOIN cols ON cols.o_orderkey = seqs.o_orderkey"""
+
+
+def _viterbi_sql(clean: str, abbrev: str, loc: str, obj: str, prep: str, lex: str, seqs: str) -> str:
+    """best(o_orderkey, labels) of the sequences ``seqs`` as a recursive query over positions: the best score of each label and the label before it."""
     number = {x: i for i, x in enumerate(fixed.MODEL_LABELS)}
     value = {"bias": "1.0", "is_object": f"CAST(length(token) > 2 AND token IN ({obj}) AS DOUBLE)",
              "is_location": f"CAST(length(token) > 2 AND token IN ({loc}) AS DOUBLE)", "rawstring.end": "CAST(pos = n - 1 AND n > 1 AS DOUBLE)",
@@ -162,8 +184,7 @@ def _viterbi_sql(clean: str, abbrev: str, loc: str, obj: str, prep: str, lex: st
     moves = ", ".join(f"({number[a]}, {number[b]}, {w})" for a, b, w in FIXED_TRANSITIONS)
     names = ", ".join(f"'{x}'" for x in fixed.MODEL_LABELS)
     return f"""
-WITH RECURSIVE lex(word, tag, ord) AS (VALUES {lex}), {QL._SEQ},
-seqs AS (SELECT okey AS o_orderkey, tokens FROM seq),
+WITH RECURSIVE lex(word, tag, ord) AS (VALUES {lex}), {seqs},
 t AS (SELECT o_orderkey, len(tokens) AS n, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM seqs),
 e AS ({emit}),
 a(p, l, w) AS (VALUES {moves}),
@@ -181,7 +202,5 @@ v AS (
       list_transform(range({len(number)}), lambda i: v.s[i + 1] + trans.m[j + 1][i + 1]),
       list_max(list_transform(range({len(number)}), lambda i: v.s[i + 1] + trans.m[j + 1][i + 1])))], j))
   FROM v JOIN em ON em.o_orderkey = v.o_orderkey AND em.pos = v.pos + 1, trans
-)
-SELECT o_orderkey, array_to_string(list_transform(paths[list_position(s, list_max(s))], lambda i: [{names}][i + 1]), ' ') AS labels
-FROM v WHERE pos = n - 1
-UNION ALL SELECT o_orderkey, '' FROM seqs WHERE len(tokens) = 0"""
+),
+best AS (SELECT o_orderkey, list_transform(paths[list_position(s, list_max(s))], lambda i: [{names}][i + 1]) AS labels FROM v WHERE pos = n - 1)"""
