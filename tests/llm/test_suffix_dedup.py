@@ -65,6 +65,8 @@ def test_dedup_bytes(docs, monkeypatch, few):
     if few:  # every size of group on its other way
         monkeypatch.setattr(suffix_dedup, "ANCHOR_SEGMENTS", 2)
         monkeypatch.setattr(suffix_dedup, "SHARD", 2000)
+        monkeypatch.setattr(suffix_dedup, "PACK", 3)
+        monkeypatch.setattr(suffix_dedup, "RANGE_WINDOWS", 1000)
         monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
     texts = sample(random.Random(8))
     want = brute([(t or "").encode() for t in texts], 200)

@@ -16,7 +16,7 @@ that covers it also starts anywhere else.
    shard, a text of about `SHARD` bytes.  There the windows are sorted as
    suffixes, blockwise with a difference cover (see `suffix_array`), and
    neighbours compared byte by byte.  Anchors with very many distinct segments
-   don't go to one shard: their windows are counted by a grouped sum.
+   don't go to one shard: their windows are counted by hash ranges.
 4. Each block gets the repeated segments and window masks that it holds and
    removes the bytes they cover.
 
@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Tuple
 
 import numpy as np
@@ -46,8 +47,11 @@ GRAM = 24
 BLOCK = 1 << 20
 BLOCK_TEXTS = 4096
 SHARD = 1 << 20
-# Distinct segments of an anchor beyond which its windows are counted by a grouped sum.
+# Distinct segments of an anchor beyond which its windows are counted by their hashes.
 ANCHOR_SEGMENTS = 2_000
+# Segments of a pack and windows of a range of hashes on that way.
+PACK = 256
+RANGE_WINDOWS = 1 << 21
 # Places that one numpy step looks at; their numbers take the low bits of the values that are compared.
 STEP_BITS = 20
 _U = np.uint64
@@ -84,17 +88,28 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spark.table(name)
 
 
+@lru_cache(8)
+def _power_table(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    tables = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        t = np.full(1 << bits, b, np.uint64)
+        t[0] = 1
+        tables.append(np.multiply.accumulate(t))
+    return tables[0], tables[1]
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of ``base`` and of its inverse."""
+    up, down = _power_table(base, max(10, (n - 1).bit_length()))
+    return up[:n], down[:n]
+
+
 def segments(data: np.ndarray, sizes: np.ndarray, window: int):
     """Segments of a block's texts, step by step: (begin, end, anchor, content) as arrays."""
     grams = window - GRAM + 1
     step = (1 << STEP_BITS) - 2 * window
     ends = np.cumsum(sizes)
-    up = np.full(1 << STEP_BITS, _BASE, np.uint64)
-    up[0] = 1
-    np.multiply.accumulate(up, out=up)
-    down = np.full(1 << STEP_BITS, pow(_BASE, -1, 1 << 64), np.uint64)
-    down[0] = 1
-    np.multiply.accumulate(down, out=down)
+    up, down = _powers(_BASE, 1 << STEP_BITS)
     for at in range(0, max(0, len(data) - window + 1), step):
         part = np.concatenate([data[at:at + step + window - 1], np.zeros(8, np.uint8)])
         n = len(part) - 8 - GRAM + 1
@@ -193,30 +208,85 @@ def _shard_masks(reference: DataFrame, shards: int, window: int) -> DataFrame:
 
 
 def _window_masks(reference: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with very many segments: windows as rows, counted by their hash (and anchor)."""
-    def rows(batches):
-        up = np.full(1 << 16, _BASE, np.uint64)
-        up[0] = 1
-        np.multiply.accumulate(up, out=up)
+    """The same for anchors with very many segments: windows are counted by 128-bit hashes.
+
+    Segments travel in packs.  A pack's distinct windows go, as arrays, to
+    ranges of hashes of bounded size, which send back a bit for each of them.
+    """
+    def pack(batches):
+        part, n = TaskContext.get().partitionId() << 32, 0
         for b in batches:
-            for a, e, n, raw in zip(*(b.column(c).to_pylist() for c in ("a", "e", "n", "bytes"))):
-                body = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8).astype(np.uint64) + _U(1), window)
-                h = mix((body * up[:window]).sum(1, dtype=np.uint64))
-                full = np.ones(len(h), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(full * a), pa.array(full * e), pa.array(full * n), pa.array(np.arange(len(h), dtype=np.int32)), as_long(h)], ["a", "e", "n", "i", "h"])
+            for at in range(0, b.num_rows, PACK):
+                some = b.slice(at, PACK)
+                raw = some.column("bytes").to_pylist()
+                lists = [pa.array([some.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("a", "e", "n")]
+                yield pa.RecordBatch.from_arrays([pa.array([part + n]), *lists, pa.array([[len(x) for x in raw]], pa.list_(pa.int64())), pa.array([b"".join(raw)], pa.binary()),
+                                                  pa.array([sum(len(x) - window + 1 for x in raw)])], ["pack", "a", "e", "n", "sizes", "data", "windows"])
+                n += 1
+
+    packs = written(reference.mapInArrow(pack, "pack long, a array<long>, e array<long>, n array<long>, sizes array<long>, data binary, windows long"), "hot_packs")
+    ranges = max(1, -(-(packs.agg(F.sum("windows")).first()[0] or 0) // RANGE_WINDOWS))
+
+    def hashed(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys sorted by range, a key's range, each window's key, each window's segment) of a pack."""
+        sizes = np.array(row["sizes"].as_py(), np.int64)
+        data = np.frombuffer(row["data"].as_buffer(), np.uint8).astype(np.uint64) + _U(1)
+        count = sizes - window + 1
+        owner = np.repeat(np.arange(len(sizes)), count)
+        start = np.arange(count.sum()) + owner * (window - 1)
+        h = np.empty((len(start), 2), np.uint64)
+        for k, base in enumerate((_BASE, 0xD6E8FEB86659FD93)):
+            up, down = _powers(base, len(data))
+            sums = np.concatenate([[_U(0)], np.cumsum(data * up)])
+            h[:, k] = mix((sums[start + window] - sums[start]) * down[start])
+        at = (h[:, 0] % _U(ranges)).astype(np.int64)
+        order = np.lexsort((h[:, 1], h[:, 0], at))
+        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]).any(1)])
+        key = np.empty(len(order), np.int64)
+        key[order] = np.cumsum(new) - 1
+        first = order[new]
+        return h[first], at[first], key, owner
+
+    def each(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                yield {c: b.column(c)[i] for c in b.schema.names}
+
+    def send(batches):
+        for row in each(batches):
+            keys, at, key, owner = hashed(row)
+            n = np.bincount(key, weights=np.array(row["n"].as_py(), float)[owner]).astype(np.int64)
+            for r in np.unique(at).tolist():
+                mine = at == r
+                yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([row["pack"].as_py()]), pa.array([keys[mine].tobytes()], pa.binary()), pa.array([n[mine].tobytes()], pa.binary())],
+                                                 ["range", "pack", "keys", "n"])
+
+    def count(key: Tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(p, np.frombuffer(k, np.uint64).reshape(-1, 2), np.frombuffer(n, np.int64)) for b in rows for p, k, n in zip(*(b.column(c).to_pylist() for c in ("pack", "keys", "n")))]
+        keys = np.concatenate([k for _, k, _ in held])
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]).any(1)])
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        often = np.bincount(group, weights=np.concatenate([n for _, _, n in held])) >= 2
+        edge = np.cumsum([0, *(len(k) for _, k, _ in held)])
+        for (p, _, _), x, z in zip(held, edge[:-1].tolist(), edge[1:].tolist()):
+            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(often[group[x:z]]).tobytes()], pa.binary())], ["pack", "range", "bits"])
 
     def masks(batches):
-        for b in batches:
-            out = []
-            for some in b.column("some").to_pylist():
-                bits = np.zeros(window, bool)  # a segment has fewer windows than a window has bytes
-                bits[some] = True
-                out.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("e"), pa.array(out, pa.binary())], ["a", "e", "mask"])
-
-    each = written(reference.mapInArrow(rows, "a long, e long, n long, i int, h long"), "hot_windows")
-    often = each.groupBy("a", "h").agg(F.sum("n").alias("total")).where("total >= 2").select("a", "h")
-    return split_join(each, often, ["a", "h"]).groupBy("a", "e").agg(F.collect_set("i").alias("some")).mapInArrow(masks, "a long, e long, mask binary")
+        for row in each(batches):
+            keys, at, key, owner = hashed(row)
+            often = np.zeros(len(keys), bool)
+            for x in row["answers"].as_py():
+                mine = np.flatnonzero(at == x["range"])
+                often[mine] = np.unpackbits(np.frombuffer(x["bits"], np.uint8))[:len(mine)]
+            hit = np.split(often[key], np.flatnonzero(np.diff(owner)) + 1)
+            keep = [i for i, h in enumerate(hit) if h.any()]
+            yield pa.RecordBatch.from_arrays([row[c].values.take(pa.array(keep, pa.int64())) for c in ("a", "e")] + [pa.array([np.packbits(hit[i]).tobytes() for i in keep], pa.binary())], ["a", "e", "mask"])
+
+    answers = packs.select("pack", "n", "sizes", "data").mapInArrow(send, "range long, pack long, keys binary, n binary").groupBy("range").applyInArrow(count, "pack long, range long, bits binary") \
+        .groupBy("pack").agg(F.collect_list(F.struct("range", "bits")).alias("answers"))  # a bit for each window of one pack
+    return packs.select("pack", "a", "e", "sizes", "data").join(answers, "pack").mapInArrow(masks, "a long, e long, mask binary")
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, keep_text: bool = True) -> DataFrame:
