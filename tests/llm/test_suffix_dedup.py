@@ -10,7 +10,7 @@ from wordloom.llm import suffix_array, suffix_dedup
 
 
 def test_difference_cover():
-    assert {(a - b) % 13 for a in suffix_array.COVER for b in suffix_array.COVER} == set(range(13))
+    assert {(a - b) % suffix_array.PERIOD for a in suffix_array.COVER for b in suffix_array.COVER} == set(range(suffix_array.PERIOD))
 
 
 @pytest.mark.parametrize("alphabet", [1, 2, 26])

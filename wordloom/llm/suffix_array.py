@@ -1,9 +1,9 @@
 """Blockwise suffix sorting with a difference cover, of a text that fits in a task.
 
 Only the suffixes asked for are sorted, a bucket of them at a time, so beside
-the text a task holds the ranks of the cover sample (4 of 13 places) and one
-bucket.  A bucket is sorted by its suffixes' first 13 bytes.  Two suffixes
-that tie have an offset below 13 at which both stand on sample places (that
+the text a task holds the ranks of the cover sample (3 of 7 places) and one
+bucket.  A bucket is sorted by its suffixes' first 7 bytes.  Two suffixes
+that tie have an offset below 7 at which both stand on sample places (that
 is what a difference cover gives), and the ranks there decide.
 """
 
@@ -13,8 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-# A perfect difference set: every difference mod 13 is one of two members, once.
-PERIOD, COVER = 13, (0, 1, 3, 9)
+# A perfect difference set: every difference mod 7 is one of two members, once.
+PERIOD, COVER = 7, (0, 1, 3)
 BUCKET = 1 << 16
 PAD = 512
 _PLACE = np.full(PERIOD, -1)
@@ -28,12 +28,16 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
 
 
-def _dense(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+def _first_bytes(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The first `PERIOD` bytes from each place, as they compare."""
+    return words[places].astype(np.uint64) >> np.uint64(64 - 8 * PERIOD)
+
+
+def _dense(order: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Ranks from 1, equal for equal keys, given the order of the keys."""
     new = np.zeros(len(order), bool)
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
+    key = key[order]
+    new[1:] = key[1:] != key[:-1]
     out = np.empty(len(order), np.int64)
     out[order] = np.cumsum(new) + 1
     return out
@@ -43,8 +47,8 @@ def cover_ranks(words: np.ndarray, size: int, depth: int) -> np.ndarray:
     """Ranks of the sample places below ``size`` by their next ``depth`` bytes at least, by doubling; 0 behind the last."""
     per = len(COVER)
     place = (np.arange(-(-size // PERIOD))[:, None] * PERIOD + np.array(COVER)).ravel()
-    head, tail = words[place].astype(np.uint64), words[place + 8].astype(np.uint64) >> np.uint64(24)
-    rank = _dense(np.lexsort((tail, head)), head, tail)
+    head = _first_bytes(words, place)
+    rank = _dense(np.argsort(head, kind="stable"), head)
     seen = PERIOD
     while seen < depth and rank.max(initial=0) < len(rank):
         ahead = np.zeros(len(rank), np.int64)
@@ -72,10 +76,10 @@ def sorted_buckets(data: np.ndarray, starts: np.ndarray, depth: int) -> Iterator
 
 
 def _sorted_bucket(words: np.ndarray, rank: np.ndarray, places: np.ndarray) -> np.ndarray:
-    head, tail = words[places].astype(np.uint64), words[places + 8].astype(np.uint64) >> np.uint64(24)
-    order = np.lexsort((tail, head))
-    places, head, tail = places[order], head[order], tail[order]
-    same = (head[1:] == head[:-1]) & (tail[1:] == tail[:-1])
+    head = _first_bytes(words, places)
+    order = np.argsort(head, kind="stable")
+    places, head = places[order], head[order]
+    same = head[1:] == head[:-1]
     group = np.concatenate([[0], np.cumsum(~same)])
     tied = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
     if not len(tied):
