@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.sources import readers as R
 from wordloom.sources import sinks as K
+from wordloom.session import first_rows
 
 NS = "urn:schemas-microsoft-com:office:spreadsheet"
 
@@ -77,3 +78,55 @@ def test_malformed_bytes_do_not_fail(spark):
     from wordloom.functions import text as T
     df = spark.createDataFrame([(bytearray(b"caf\xc3\xa9 \xff x"),)], "b binary")
     assert df.select(T.decode_utf8("b").alias("t")).first()["t"] == "caf\u00e9 \ufffd x"
+
+
+def test_one_workbook_in_many_tasks(spark):
+    """A file is cut at its rows; entities, gaps, prefixes, blank rows and rich text survive."""
+    d = tempfile.mkdtemp()
+    cell = lambda v, more="": f'<Cell{more}><Data ss:Type="String">{v}</Data></Cell>'
+    rows = ['<Row ss:AutoFitHeight="0">' + "".join(map(cell, ("id", "address", "category", "description"))) + "</Row>"]
+    for i in range(3000):
+        if i % 100 == 7:
+            rows.append('<Row ss:Height="3"/>')
+        if i % 100 == 50:
+            rows.append(f"<Row>\n {cell(i)}{cell('gap &#233; &amp;', ' ss:Index=&quot;4&quot;'.replace('&quot;', chr(34)))}</Row>")
+        else:
+            rows.append(f'<Row x:y="1">{cell(i)}{cell(f"{i} &lt;Main&gt; St", chr(32) + "ss:StyleID=" + chr(34) + "s1" + chr(34))}{cell("Heat")}{cell("no heat")}</Row>')
+    write(os.path.join(d, "a.xml"), f'<?xml version="1.0"?><Workbook xmlns="{NS}" xmlns:ss="{NS}" xmlns:x="u"><Styles/><Worksheet><Table>\n' + "\n".join(rows) + "</Table></Worksheet></Workbook>\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        table = R.read_spreadsheet_table(spark, d)
+        assert R.read_spreadsheet_rows(spark, d).rdd.getNumPartitions() > 5
+        got = sorted((int(r.id), r.address, r.category, r.description) for r in table.where("id is not null").collect())
+        assert R.raw_rejects(table).count() == 30
+        order = [r.id for r in table.where("id is not null").orderBy("offset", "row_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(i, None, None, "gap é &") if i % 100 == 50 else (i, f"{i} <Main> St", "Heat", "no heat") for i in range(3000)]
+    assert order == [str(i) for i in range(3000)]
+
+
+def test_cluster_report_lines_cross_batches(spark):
+    rows = [("a", 0, f"member {i:05}") for i in range(12_000)] + [("a", 3, "x"), ("a", 3, "w"), ("b b", 1, "one"), ("b b", 1, None)]
+    df = spark.createDataFrame(rows, "type string, cluster int, entity string").repartition(7)
+    assert max(len(r.value) for r in K.cluster_report_pieces(df).collect()) < 2 * K.REPORT_PIECE
+    path = os.path.join(tempfile.mkdtemp(), "report")
+    K.write_cluster_report(df, path)
+    lines = sorted((r.type, r.value) for r in spark.read.text(path).collect() if r.value.strip())
+    assert lines == [("a", "Cluster 0: [" + ", ".join(f"member {i:05}" for i in range(12_000)) + "]"), ("a", "Cluster 3: [w, x]"), ("b b", "Cluster 1: [one]")]
+
+
+def test_first_rows_without_a_sort(spark):
+    values = [5, -3, 9_000_000_000, 7, 7, 7, None, 0, 12, -9_000_000_000]
+    df = spark.createDataFrame([(v, "x") for v in values], "k long, t string").repartition(3)
+    known = sorted(v for v in values if v is not None)
+    for n in range(13):
+        for ranges in (2, 1024):
+            cut = first_rows(df, "k", n, ranges)
+            assert sorted((r.k for r in cut.collect()), key=lambda v: (v is None, v)) == (known + [None])[:n]
+    plan = first_rows(df, "k", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Sort" not in plan
+    assert first_rows(df.where("k is null"), "k", 5).count() == 1 and first_rows(df.limit(0), "k", 5).count() == 0

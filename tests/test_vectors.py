@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -106,3 +107,47 @@ def test_norm_and_mean(spark):
     assert n[0].n == 5.0 and n[0].u == [0.6, 0.8] and n[2].u == [0.0, 0.0]
     m = {r.g: r.vec for r in V.mean_vectors(df, "g", "vec").collect()}
     assert m[1] == [2.0, 2.0]
+
+
+def resolve_by_rounds(entity, known, stop, max_n=4):
+    """(method, text) of one entity, one reduction after the other, as the original does it."""
+    unit = {k: np.array(v) / (np.linalg.norm(v) or 1) for k, v in known.items()}
+
+    def hit(words):
+        if "_".join(words) in known:
+            return "direct"
+        low = [w.lower() for w in words]
+        grams = {"_".join(low[i:i + n]) for n in range(1, max_n + 1) for i in range(len(low) - n + 1)} - stop
+        return "segment" if grams & known.keys() else None
+
+    words, rounds = entity.split(), 0
+    while True:
+        how = hit(words)
+        if how:
+            return (how if not rounds else "reduced"), " ".join(words)
+        if len(words) <= 1:
+            return "none", " ".join(words)
+        have = [w for w in words if w in known]
+        if have:
+            mean = sum(unit[w] for w in have) / len(have)
+            _, out = min((round(float(unit[w] @ mean), 9), w) for w in set(have))
+            words.remove(out)
+        else:
+            words.pop()
+        rounds += 1
+
+
+def test_resolution_is_that_of_single_rounds(spark):
+    """Known words that segmentation doesn't see (stopwords, capitals) are removed first, then the last words."""
+    rng = random.Random(9)
+    stop = {"the", "of", "is"}
+    vec = lambda: [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)]
+    known = {k: vec() for k in ["the", "of", "is", "Big", "Small", "a_b", "c_the_d", "A_B_C_D_E", "X_Y", "q_r_s_t_u_v", "The_end", "e_of", "b_c_d"]}
+    alphabet = ["the", "of", "is", "Big", "Small", "A", "B", "C", "D", "E", "X", "Y", "q", "r", "s", "t", "u", "v", "The", "end", "c", "d", "b"]
+    ents = ["", "the", "Big", "the of", "Big Small", "A B C D E the F", "the A of B C D E", "q r s t u v w x"]
+    ents += [" ".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 9))) for _ in range(150)] + ["the Big " * 40 + "X Y the"]
+    df = spark.createDataFrame([(i, "t", e) for i, e in enumerate(ents)], "id long, type string, entity string")
+    got = {r.id: (r.method, r.resolved_text, r.vec is None) for r in V.resolve_entities(df, vecs(spark, known), stopwords=sorted(stop)).collect()}
+    want = {i: resolve_by_rounds(e, known, stop) for i, e in enumerate(ents)}
+    assert got == {i: (m, t, m == "none") for i, (m, t) in want.items()}
+    assert {m for m, _ in want.values()} == {"direct", "segment", "reduced", "none"}

@@ -10,6 +10,8 @@ the only shuffles are the lookups and the corpus-wide document frequencies.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -231,58 +233,101 @@ def reduce_entities(df: DataFrame, id_col: str, text_col: str, vectors: DataFram
 # VEC-1 / VEC-6: resolve entities to vectors
 # ---------------------------------------------------------------------------
 
+def _attempt(texts: DataFrame, vectors: DataFrame, idf: DataFrame | None, max_n: int, stopwords, drop_stopwords: bool) -> DataFrame:
+    """``texts`` (id, type, text, ...) with ``direct`` (weighted vector of the whole text) and ``mean`` (of its segmentation), null where there is none."""
+    d = with_weights(lookup_vectors(texts, "text", vectors, out="_dvec"), "type", "text", idf)
+    d = d.withColumn("direct", F.when(F.col("_dvec").isNotNull(), scaled("_dvec", "weight"))).drop("_dvec", "weight")
+    seg = segment(texts.select("id", "text"), "id", "text", vectors, max_n=max_n, stopwords=stopwords, drop_stopwords=drop_stopwords)
+    return d.join(seg.select("id", F.col("vec").alias("mean")), "id", "left")
+
+
+def reduction_steps(words: list[str], known: dict[str, np.ndarray], max_n: int, max_key_words: int) -> tuple[list[int], list[tuple[int, str, str]]]:
+    """(places of the words removed as outliers, in order; the vector keys to try as (step, kind, key)) for one text.
+
+    Step s is the text after s reductions.  Known words go first, each time
+    the one least like the mean of those left (VEC-2, VEC-3); then the last
+    word goes, step by step.  A step's key is the whole text, if it isn't
+    longer than any key (kind ``direct``), and the lower-cased n-grams that
+    the removal has made (kind ``segment``; all others were tried before).
+    """
+    left = list(range(len(words)))
+    removed: list[int] = []
+    keys: list[tuple[int, str, str]] = []
+    names = sorted(set(words) & known.keys())
+    if names:
+        u = np.stack([known[w] for w in names])
+        places = {w: [i for i in left if words[i] == w] for w in names}
+        while len(left) > 1 and any(places.values()):
+            n = np.array([len(places[w]) for w in names], float)
+            sim = np.round(u @ (n @ u / n.sum()), 9)
+            at = min((s, w) for s, w, k in zip(sim, names, n) if k)[1]
+            cut = left.index(places[at][0])
+            removed.append(places[at].pop(0))
+            del left[cut]
+            step = len(removed)
+            if len(left) <= max_key_words:
+                keys.append((step, "direct", "_".join(words[i] for i in left)))
+            for size in range(2, max_n + 1):
+                for start in range(max(0, cut - size + 1), min(cut, len(left) - size + 1)):
+                    keys.append((step, "segment", "_".join(words[i].lower() for i in left[start:start + size])))
+    for size in range(min(len(left) - 1, max_key_words), 0, -1):
+        keys.append((len(removed) + len(left) - size, "direct", "_".join(words[i] for i in left[:size])))
+    return removed, keys
+
+
 def resolve_entities(ents: DataFrame, vectors: DataFrame, idf: DataFrame | None = None,
                      id_col: str = "id", type_col: str = "type", text_col: str = "entity",
-                     max_n: int = fixed.MAX_NGRAM, stopwords: list[str] | None = None,
-                     max_rounds: int | None = None, drop_stopwords: bool = True) -> DataFrame:
+                     max_n: int = fixed.MAX_NGRAM, stopwords: list[str] | None = None, drop_stopwords: bool = True) -> DataFrame:
     """Entity -> vector in the original order of attempts.
 
     (a) direct hit of the whole entity (case kept) times its type weight;
     (b) mean of the segmentation of the lower-cased entity;
     (c) reduce the entity by one word (VEC-2) and retry, until one word is
-    left.  Each round of (c) is one distributed pass over the still
-    unresolved entities; lineage is cut every round.  Returns
+    left.  All reduced texts of (c) are known at once (`reduction_steps`):
+    their keys are looked up in one join and the first step that hits wins,
+    so the number of jobs doesn't grow with the texts.  Returns
     ``(id, type, entity, resolved_text, method, vec)`` with ``method`` in
     direct / segment / reduced / none and ``vec`` null for none (Q9).
     """
     ensure_checkpoint_dir(ents.sparkSession)
-    # every round reads the weights and the vectors again: computed once, on shared storage
+    # the steps read the weights and the vectors several times: computed once, on shared storage
     vectors = vectors.checkpoint()
     idf = idf.checkpoint() if idf is not None else None
-    # longest vector key in words: bounds how far a text without known words must shrink
-    max_key_words = vectors.agg(F.max(F.size(F.split(F.col("term"), "_")))).first()[0] or 1
-    cur = ents.select(F.col(id_col).alias("id"), F.col(type_col).alias("type"),
-                      F.col(text_col).alias("entity"), F.col(text_col).alias("text"),
-                      F.lit(0).alias("round"))
-    done = None
-    rnd = 0
-    while True:
-        d = lookup_vectors(cur, "text", vectors, out="_dvec")
-        d = with_weights(d, "type", "text", idf)
-        d = d.withColumn("_dvec", F.when(F.col("_dvec").isNotNull(), scaled("_dvec", "weight")))
-        seg = segment(cur.select("id", "text"), "id", "text", vectors, max_n=max_n, stopwords=stopwords,
-                      drop_stopwords=drop_stopwords)
-        r = d.join(seg.select("id", F.col("vec").alias("_svec")), "id", "left")
-        method = (F.when(F.col("_dvec").isNotNull(), F.when(F.col("round") == 0, "direct").otherwise("reduced"))
-                   .when(F.col("_svec").isNotNull(), F.when(F.col("round") == 0, "segment").otherwise("reduced")))
-        r = r.select("id", "type", "entity", "text", "round", method.alias("method"),
-                     F.coalesce("_dvec", "_svec").alias("vec")).checkpoint()
-        hit = r.where(F.col("method").isNotNull()).select("id", "type", "entity", F.col("text").alias("resolved_text"),
-                                                        "method", "vec")
-        miss = r.where(F.col("method").isNull())
-        multi = miss.where(F.size(T.space_split("text")) > 1)
-        single = miss.where(F.size(T.space_split("text")) <= 1).select(
-            "id", "type", "entity", F.col("text").alias("resolved_text"), F.lit("none").alias("method"),
-            F.lit(None).cast("array<double>").alias("vec"))
-        done = hit.unionByName(single) if done is None else done.unionByName(hit).unionByName(single)
-        rnd += 1
-        if (max_rounds is not None and rnd > max_rounds) or multi.isEmpty():
-            if max_rounds is not None and not multi.isEmpty():
-                done = done.unionByName(multi.select(
-                    "id", "type", "entity", F.col("text").alias("resolved_text"), F.lit("none").alias("method"),
-                    F.lit(None).cast("array<double>").alias("vec")))
-            break
-        red = reduce_entities(multi.select("id", "type", "entity", "text"), "id", "text", vectors,
-                              max_key_words=int(max_key_words))
-        cur = red.select("id", "type", "entity", F.col("reduced").alias("text"), F.lit(rnd).alias("round")).checkpoint()
-    return done
+    max_key_words = int(vectors.agg(F.max(F.size(F.split(F.col("term"), "_")))).first()[0] or 1)
+    rows = ents.select(F.monotonically_increasing_id().alias("id"), F.col(id_col).alias("_own"), F.col(type_col).alias("type"),
+                       F.col(text_col).alias("entity"), F.col(text_col).alias("text")).checkpoint()
+    first = _attempt(rows, vectors, idf, max_n, stopwords, drop_stopwords).checkpoint()
+    found = F.col("direct").isNotNull() | F.col("mean").isNotNull()
+
+    # (c): the words of the texts without a hit, with the vectors of those that are known as they stand
+    rest = first.where(~found).select("id", "_own", "type", "entity", T.space_split("text").alias("words"))
+    units = vectors.select(F.col("term").alias("word"), normalized("vec").alias("u"))
+    known = TK.explode_with_pos(rest, "id", F.array_distinct("words"), "_p", "word").join(checked_broadcast(units), "word") \
+        .groupBy("id").agg(F.collect_list(F.struct("word", "u")).alias("known"))  # words of one text
+
+    def steps(batches):
+        for pdf in batches:
+            done = [reduction_steps(list(w), {k["word"]: np.asarray(k["u"]) for k in (known if known is not None else [])}, max_n, max_key_words)
+                    for w, known in zip(pdf["words"], pdf["known"])]
+            yield pd.DataFrame({"id": pdf["id"], "words": pdf["words"], "removed": [r for r, _ in done],
+                                "keys": [[{"step": s, "kind": k, "key": x} for s, k, x in keys] for _, keys in done]})
+
+    tried = rest.join(known, "id", "left").select("id", F.coalesce("words", F.array().cast("array<string>")).alias("words"), "known").mapInPandas(
+        steps, "id long, words array<string>, removed array<int>, keys array<struct<step:int,kind:string,key:string>>").checkpoint()
+    keys = TK.explode_with_pos(tried, "id", "keys", "_p", "k").select("id", "k.step", F.col("k.key").alias("_vkey"))
+    best = keys.join(checked_broadcast(vectors.select(F.col("term").alias("_vkey"))), "_vkey", "left_semi").groupBy("id").agg(F.min("step").alias("step"))
+    left = F.filter("words", lambda w, i: ~F.array_contains(F.slice("removed", 1, F.least("step", F.size("removed"))), i))
+    over = F.greatest(F.col("step") - F.size("removed"), F.lit(0))
+    last = F.greatest(F.size("words") - 1, F.lit(0))  # nothing hits: the text is reduced to one word
+    texts = tried.join(best, "id", "left").withColumns({"hit": F.col("step").isNotNull(), "step": F.coalesce("step", last)}) \
+        .select("id", "hit", T.let(left, lambda w: F.array_join(F.slice(w, 1, F.greatest(F.size(w) - over, F.lit(0))), " ")).alias("text"))
+    texts = first.where(~found).select("id", "_own", "type", "entity").join(texts, "id").checkpoint()
+    again = _attempt(texts.where("hit"), vectors, idf, max_n, stopwords, drop_stopwords)
+
+    def named(df: DataFrame, method) -> DataFrame:
+        return df.select(F.col("_own").alias("id"), "type", "entity", F.col("text").alias("resolved_text"), method.alias("method"), F.coalesce("direct", "mean").alias("vec"))
+
+    none = F.lit(None).cast("array<double>")
+    return named(first.where(found), F.when(F.col("direct").isNotNull(), "direct").otherwise("segment")) \
+        .unionByName(named(again, F.lit("reduced"))) \
+        .unionByName(named(texts.where("not hit").withColumns({"direct": none, "mean": none}), F.lit("none")))

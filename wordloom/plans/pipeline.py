@@ -27,7 +27,7 @@ from wordloom.operators import features as FE
 from wordloom.operators import labels as L
 from wordloom.operators import sequence as SQ
 from wordloom.operators import vectors as V
-from wordloom.session import stage_path
+from wordloom.session import first_rows, stage_path
 from wordloom.sources import readers as R
 from wordloom.sources import sinks as K
 
@@ -118,7 +118,7 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig, counters: dict | None
         elif stage == "label":
             wo = spark.read.parquet(done.get("work_orders") or f"{out}/work_orders")
             if cfg.row_limit and cfg.row_limit > 0:
-                wo = wo.orderBy("row_id").limit(cfg.row_limit)
+                wo = first_rows(wo, "row_id", cfg.row_limit)
             model = SQ.SequenceModel.load(spark, done.get("model") or f"{out}/model")
             lab = SQ.label_tokens(wo, "description", model, lexicon, gazetteers())
             cols = L.with_label_columns(lab, "tokens", "labels")

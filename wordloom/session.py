@@ -87,3 +87,30 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
         return df
     n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct("*"))))).first()
     return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
+
+
+def first_rows(df: DataFrame, order_col: str, n: int, ranges: int = 1024) -> DataFrame:
+    """ORD-2: the ``n`` rows with the least ``order_col`` (an integer column; null last), without sorting.
+
+    Rows are counted by equal ranges of the values, and again within the
+    range that holds the n-th row, until that range is one value.  These
+    passes read only the column; the result is a filter.  Of rows that share
+    the last value as many are taken as are missing.
+    """
+    if n <= 0:
+        return df.limit(0)
+    key = F.col(order_col).cast("long")
+    low, high, total = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    if total < n:  # all of them, then nulls
+        rest = df.where(F.col(order_col).isNull()).limit(n - total)
+        return df.where(F.col(order_col).isNotNull()).unionByName(rest)
+    before = 0  # rows below the range [low, high]
+    while low < high:
+        width = -(-(high - low + 1) // ranges)
+        counts = df.where(key.between(low, high)).groupBy(F.floor((key.cast("decimal(20,0)") - low) / width).cast("long").alias("r")).agg(F.count(F.lit(1)).alias("k"))
+        for r, k in sorted(map(tuple, counts.collect())):  # at most ``ranges`` rows
+            if before + k >= n:
+                low, high = low + r * width, min(high, low + (r + 1) * width - 1)
+                break
+            before += k
+    return df.where(key < low).unionByName(df.where(key == low).limit(n - before))

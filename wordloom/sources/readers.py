@@ -1,11 +1,10 @@
 """Readers (SRC-1 .. SRC-8).  Every reader returns a DataFrame.
 
-Text, TSV and Parquet files are split over tasks; one spreadsheet workbook
-is read by one task (its rows have no line boundaries to split at), so large
-exports should come as many workbooks.  File order matters for some inputs
-(header row, later-duplicate-wins); it is taken from
-``monotonically_increasing_id``, which increases with the file split and the
-position inside it.
+All files are split over tasks, spreadsheet workbooks too (at the end of
+their rows).  File order matters for some inputs (header row,
+later-duplicate-wins); it is taken from the split's offset in the file and
+from ``monotonically_increasing_id``, which increases with the file split and
+the position inside it.
 """
 
 from __future__ import annotations
@@ -30,13 +29,24 @@ XML_CELL_SCHEMA = ("Cell array<struct<_Index: int, Data: struct<_VALUE: string,
 # ---------------------------------------------------------------------------
 
 def read_spreadsheet_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """SRC-1: one row per ``Row`` with ``row_no`` and ``cells map<int, string>`` (1-based columns).
-
-    ``ss:Index`` gaps are honoured: a cell with an index jumps to that
-    column, the next cells follow it.
+    """SRC-1: one row per ``Row`` with ``file``, ``offset``, ``row_no`` and ``cells map<int, string>`` (1-based columns).
+
+    Workbooks (UTF-8) are cut behind every ``</Row>``, so one file is read by
+    many tasks; each record is parsed as XML by itself, with the name-space
+    prefixes that it uses declared.  ``offset`` is where the split begins;
+    (offset, row_no) is the order within a file.  ``ss:Index`` gaps are
+    honoured: a cell with an index jumps to that column, the next cells
+    follow it.  A record that is no XML has no cells.
     """
-    raw = (spark.read.format("xml").option("rowTag", "Row").option("ignoreNamespace", "true")
-           .schema(XML_CELL_SCHEMA).load(path))
+    text = spark.read.option("lineSep", "</Row>").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"), F.split("value", r"<Row(?=[\s/>])").alias("v"))
+    # in front of a row's own text there may be rows without content (<Row/>)
+    each = text.select("file", "offset", F.explode(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0)))).alias("v"))
+    prefixes = F.array_distinct(F.regexp_extract_all("v", F.lit(r"[<\s]([A-Za-z_][\w.-]*):[A-Za-z_]"), F.lit(1)))
+    names = F.array_join(F.transform(F.filter(prefixes, lambda x: ~x.isin("xmlns", "xml")), lambda x: F.concat(F.lit(" xmlns:"), x, F.lit('="ns"'))), "")
+    body = F.when(F.col("v").rlike(r"^[^>]*/>"), F.lit("<Row/>")).otherwise(F.concat(F.lit("<Row"), names, F.col("v"), F.lit("</Row>")))
+    raw = each.select("file", "offset", F.monotonically_increasing_id().alias("row_no"),
+                      F.from_xml(body, XML_CELL_SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("r")).withColumn("Cell", F.col("r.Cell"))
     cells = F.coalesce(F.col("Cell"), F.array().cast(raw.schema["Cell"].dataType))
     init = F.named_struct(F.lit("last"), F.lit(0), F.lit("out"),
                           F.array().cast("array<struct<pos:int,value:string>>"))
@@ -45,30 +55,28 @@ def read_spreadsheet_rows(spark: SparkSession, path: str | list[str]) -> DataFra
         F.lit("out"), F.concat(acc["out"], F.array(F.named_struct(
             F.lit("pos"), F.coalesce(c["_Index"], acc["last"] + 1), F.lit("value"), c["Data"]["_VALUE"])))),
         lambda acc: acc["out"])
-    return raw.select(F.monotonically_increasing_id().alias("row_no"),
-                      F.col("_metadata.file_path").alias("file"),
-                      F.map_from_entries(placed).alias("cells"))
+    return raw.select("file", "offset", "row_no", F.map_from_entries(placed).alias("cells"))
 
 
 def read_spreadsheet_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The first row of every file is its header; later rows become records named by their own file's header.
 
-    Header rows are found per file (smallest ``row_no`` of the file), so a
+    Header rows are found per file (the least offset, then ``row_no``), so a
     folder of part files written in parallel reads back correctly and files
     may order their columns differently.  The columns are all names that
     some header has; a name that a file lacks is null for its rows.
     """
     rows = read_spreadsheet_rows(spark, path)
-    heads = rows.groupBy("file").agg(F.min_by(F.struct("row_no", "cells"), "row_no").alias("h")) \
-                .select("file", F.col("h.row_no").alias("_h"), F.col("h.cells").alias("_names"))
+    heads = rows.groupBy("file").agg(F.min_by(F.struct("offset", "row_no", "cells"), F.struct("offset", "row_no")).alias("h")) \
+                .select("file", F.struct("h.offset", "h.row_no").alias("_h"), F.col("h.cells").alias("_names"))
     names = [r["n"] for r in heads.select(F.explode(F.map_values("_names")).alias("n")).where("n is not null")
              .distinct().orderBy("n").collect()]  # distinct column names
     # name -> cell of the record, by the header of the record's file
-    body = rows.join(checked_broadcast(heads), "file").where(F.col("row_no") > F.col("_h"))
+    body = rows.join(checked_broadcast(heads), "file").where(F.struct("offset", "row_no") > F.col("_h"))
     place = F.map_from_entries(F.transform(F.filter(F.map_entries("_names"), lambda e: e["value"].isNotNull()),
                                            lambda e: T.nstruct(k=e["value"], v=e["key"])))
     body = body.withColumn("_place", place)
-    return body.select("file", "row_no", *[F.try_element_at("cells", F.try_element_at("_place", F.lit(n))).alias(n) for n in names])
+    return body.select("file", "offset", "row_no", *[F.try_element_at("cells", F.try_element_at("_place", F.lit(n))).alias(n) for n in names])
 
 
 def raw_to_work_orders(table: DataFrame, clean=None) -> DataFrame:
@@ -92,7 +100,7 @@ def _is_reject(table: DataFrame):
 
 def raw_rejects(table: DataFrame) -> DataFrame:
     """SRC-2 side output: the raw rows that become no work order, with the reason."""
-    keep = [c for c in ("file", "row_no") if c in table.columns]
+    keep = [c for c in ("file", "offset", "row_no") if c in table.columns]
     return table.where(_is_reject(table)).select(*keep, F.lit("no work-order field").alias("reason"))
 
 

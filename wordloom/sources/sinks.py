@@ -45,21 +45,46 @@ def write_entity_vectors(df: DataFrame, path: str, mode: str = "overwrite") -> N
     df.select("type", "entity", "vec").write.mode(mode).partitionBy("type").parquet(path)
 
 
-def cluster_report(members: DataFrame, type_col: str = "type", cluster_col: str = "cluster",
-                   member_col: str = "entity") -> DataFrame:
-    """SNK-5 body: one ``Cluster k: [members]`` line per cluster (members sorted)."""
-    g = members.groupBy(type_col, cluster_col).agg(F.array_sort(F.collect_list(F.col(member_col).cast("string"))).alias("m"))
-    return g.select(type_col, cluster_col, F.concat(F.lit("Cluster "), F.col(cluster_col).cast("string"), F.lit(": ["),
-                                                    F.array_join("m", ", "), F.lit("]")).alias("value"))
+# Text of a line that travels as one row of the report's writer.
+REPORT_PIECE = 1 << 16
+
+
+def cluster_report_pieces(members: DataFrame, type_col: str = "type", cluster_col: str = "cluster", member_col: str = "entity") -> DataFrame:
+    """SNK-5 body: ``(type, value)`` rows whose values, joined by blanks, are the lines ``Cluster k: [a, b, c]`` of every type.
+
+    Members are dealt by ranges of (type, cluster), sorted and streamed, so a
+    line of any length is written piece by piece and no cluster is gathered.
+    """
+    def write(batches):
+        here, piece, size, rows = None, [], 0, []
+        for pdf in batches:
+            for t, c, m in zip(pdf["t"], pdf["c"], pdf["m"]):
+                if (t, c) != here:
+                    # the blank behind a line's first word is the one that the writer puts between two rows
+                    same = here is not None and here[0] == t
+                    if here is not None:
+                        rows.append((here[0], ", ".join(piece) + ("]\nCluster" if same else "]\n")))
+                    here, piece, size = (t, c), [f"{'' if same else 'Cluster '}{c}: [{m}"], 0
+                elif size > REPORT_PIECE:
+                    rows.append((t, ", ".join(piece) + ","))
+                    piece, size = [m], 0
+                else:
+                    piece.append(m)
+                size += len(m) + 2
+            if rows:
+                yield pd.DataFrame(rows, columns=["t", "value"])
+                rows = []
+        if here is not None:
+            yield pd.DataFrame([(here[0], ", ".join(piece) + "]\n")], columns=["t", "value"])
+
+    m = members.select(F.col(type_col).alias("t"), F.col(cluster_col).cast("long").alias("c"), F.col(member_col).cast("string").alias("m")).where(F.col("m").isNotNull())
+    kind = m.schema["t"].dataType.simpleString()
+    return m.repartitionByRange("t", "c").sortWithinPartitions("t", "c", "m").mapInPandas(write, f"t {kind}, value string").withColumnRenamed("t", type_col)
 
 
 def write_cluster_report(members: DataFrame, path: str, mode: str = "overwrite", **kw) -> None:
-    """SNK-5: one folder per type, part files by ranges of clusters, lines sorted by cluster."""
-    rep = cluster_report(members, **kw)
-    type_col = kw.get("type_col", "type")
-    cluster_col = kw.get("cluster_col", "cluster")
-    rep.repartitionByRange(type_col, cluster_col).sortWithinPartitions(type_col, cluster_col) \
-       .select(type_col, "value").write.mode(mode).partitionBy(type_col).text(path)
+    """SNK-5: one folder per type, part files by ranges of clusters, lines sorted by cluster (a file ends with a blank)."""
+    cluster_report_pieces(members, **kw).write.mode(mode).option("lineSep", " ").partitionBy(kw.get("type_col", "type")).text(path)
 
 
 def write_gazetteers(pairs: DataFrame, path: str, mode: str = "overwrite") -> None:
