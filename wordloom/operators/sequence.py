@@ -414,39 +414,46 @@ def minimise(evaluate, x: np.ndarray, tolerance: float, memory: int = 8, history
             return x
 
 
-def fit(train: DataFrame, labels=fixed.MODEL_LABELS, tolerance: float = 1e-3, l2: float = 0.01, tokens_col: str = "tokens", y_col: str = "y",
-        lexicon: DataFrame | None = None, optional=(), gazetteer: DataFrame | None = None, history: list | None = None) -> SequenceModel:
-    """Fit a linear-chain CRF on ``(tokens, y)`` rows (y = label indices).
+class Objective:
+    """The CRF's regularised loss and gradient over a training table, as one distributed pass a call.
 
-    Ends when an iteration lowers the loss by less than ``tolerance`` of it.
+    ``train`` has token arrays and label indices.  Its features are every
+    name that occurs (`features`, sorted); a point is the features' weights by
+    label, then the transitions, as one vector.
     """
-    spark = train.sparkSession
-    ensure_checkpoint_dir(spark)
-    L = len(labels)
-    named = with_features(train.select(tokens_col, y_col), tokens_col, lexicon, optional, gazetteer).select("ntok", "ftok", "fkey", "fval", y_col).checkpoint()
-    # The model's features: every name that occurs.
-    table = named.select(F.explode(F.array_distinct("fkey")).alias("k")).distinct().orderBy("k").toArrow()  # the model's size
-    names = table.column("k").to_pylist()
-    index = spark.createDataFrame(pd.DataFrame({"key": names, "value": np.arange(len(names), dtype=np.int32)}), "key string, value int")
-    enc = with_lookup(named, F.col("fkey"), index, lambda find: F.transform("fkey", find), "fidx").select("ntok", "ftok", "fidx", "fval", y_col)
-    # spread the texts over all cores once, then cut lineage on shared storage (reused in every pass)
-    enc = enc.repartition(spark.sparkContext.defaultParallelism).checkpoint()
-    model = SequenceModel(features=names, labels=list(labels), optional=tuple(optional))
-    D = len(names)
-
-    def evaluate(x: np.ndarray):
-        """Loss and gradient over all texts: one distributed pass."""
-        W, A = x[:D * L].reshape(D, L), x[D * L:].reshape(L, L)
-        bc = spark.sparkContext.broadcast((W, A))
+
+    def __init__(self, train: DataFrame, labels=fixed.MODEL_LABELS, l2: float = 0.01, tokens_col: str = "tokens", y_col: str = "y",
+                 lexicon: DataFrame | None = None, optional=(), gazetteer: DataFrame | None = None):
+        spark = train.sparkSession
+        ensure_checkpoint_dir(spark)
+        named = with_features(train.select(tokens_col, y_col), tokens_col, lexicon, optional, gazetteer) \
+            .select("ntok", "ftok", "fkey", "fval", F.col(y_col).alias("y")).checkpoint()
+        table = named.select(F.explode(F.array_distinct("fkey")).alias("k")).distinct().orderBy("k").toArrow()  # the model's size
+        self.features = table.column("k").to_pylist()
+        index = spark.createDataFrame(pd.DataFrame({"key": self.features, "value": np.arange(len(self.features), dtype=np.int32)}), "key string, value int")
+        enc = with_lookup(named, F.col("fkey"), index, lambda find: F.transform("fkey", find), "fidx").select("ntok", "ftok", "fidx", "fval", "y")
+        # spread the texts over all cores once, then cut lineage on shared storage (reused in every pass)
+        self.enc = enc.repartition(spark.sparkContext.defaultParallelism).checkpoint()
+        self.spark, self.labels, self.l2 = spark, list(labels), l2
+        self.size = len(self.features) * len(self.labels) + len(self.labels) ** 2
+
+    def split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features' weights and the transitions of a point."""
+        L = len(self.labels)
+        return x[:-L * L].reshape(-1, L), x[-L * L:].reshape(L, L)
+
+    def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        L, D = len(self.labels), len(self.features)
+        bc = self.spark.sparkContext.broadcast(self.split(x))
 
         def part_grad(it, bc=bc):
             W, A = bc.value
-            G, GA, loss, touched = {}, np.zeros_like(A), 0.0, np.zeros(0, np.int64)
+            G, GA, loss, none = {}, np.zeros_like(A), 0.0, np.zeros(0, np.int64)
             for pdf in it:
                 # only the batch's own features take part in its step
                 sizes = [len(x) for x in pdf["fidx"]]
-                own, at = np.unique(np.concatenate([np.asarray(x, np.int64) for x in pdf["fidx"]]), return_inverse=True) if sum(sizes) else (touched, touched)
-                ls, g, ga = batch_gradient(W[own], A, pdf["ntok"], pdf["ftok"], np.split(at, np.cumsum(sizes)[:-1]), pdf["fval"], pdf[y_col])
+                own, at = np.unique(np.concatenate([np.asarray(x, np.int64) for x in pdf["fidx"]]), return_inverse=True) if sum(sizes) else (none, none)
+                ls, g, ga = batch_gradient(W[own], A, pdf["ntok"], pdf["ftok"], np.split(at, np.cumsum(sizes)[:-1]), pdf["fval"], pdf["y"])
                 loss += ls
                 GA += ga
                 for b in np.unique(own // FEATURE_BLOCK).tolist():
@@ -462,7 +469,7 @@ def fit(train: DataFrame, labels=fixed.MODEL_LABELS, tolerance: float = 1e-3, l2
                     total = total + np.frombuffer(g)
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["block", "g"])
 
-        grads = enc.mapInPandas(part_grad, "block long, g binary")
+        grads = self.enc.mapInPandas(part_grad, "block long, g binary")
         G, GA, loss = np.zeros((-(-D // FEATURE_BLOCK) * FEATURE_BLOCK, L)), np.zeros((L, L)), 0.0
         for r in grads.groupBy("block").applyInArrow(added, "block long, g binary").collect():  # the model's size
             g = np.frombuffer(r["g"])
@@ -471,9 +478,15 @@ def fit(train: DataFrame, labels=fixed.MODEL_LABELS, tolerance: float = 1e-3, l2
             else:
                 G[r["block"] * FEATURE_BLOCK:(r["block"] + 1) * FEATURE_BLOCK] = g.reshape(FEATURE_BLOCK, L)
         bc.unpersist()
-        grad = np.concatenate([G[:D].ravel(), GA.ravel()]) + l2 * x
-        return loss + 0.5 * l2 * float(x @ x), grad
+        return loss + 0.5 * self.l2 * float(x @ x), np.concatenate([G[:D].ravel(), GA.ravel()]) + self.l2 * x
 
-    x = minimise(evaluate, np.zeros(D * L + L * L), tolerance, history=history)
-    model.W, model.A = x[:D * L].reshape(D, L).copy(), x[D * L:].reshape(L, L).copy()
-    return model
+
+def fit(train: DataFrame, labels=fixed.MODEL_LABELS, tolerance: float = 1e-3, l2: float = 0.01, tokens_col: str = "tokens", y_col: str = "y",
+        lexicon: DataFrame | None = None, optional=(), gazetteer: DataFrame | None = None, history: list | None = None) -> SequenceModel:
+    """Fit a linear-chain CRF on ``(tokens, y)`` rows (y = label indices).
+
+    Ends when an iteration lowers the loss by less than ``tolerance`` of it.
+    """
+    objective = Objective(train, labels, l2, tokens_col, y_col, lexicon, optional, gazetteer)
+    W, A = objective.split(minimise(objective, np.zeros(objective.size), tolerance, history=history))
+    return SequenceModel(features=objective.features, labels=list(labels), optional=tuple(optional), W=W.copy(), A=A.copy())

@@ -36,7 +36,7 @@ DEFAULT_STAGES = ["ingest", "train", "label"]
 
 @dataclass
 class PipelineConfig:
-    raw_xml: str | None = None
+    raw_xml: str | list[str] | None = None
     work_orders_tsv: str | None = None
     training_csv: str | None = None
     synonyms_tsv: str | None = None

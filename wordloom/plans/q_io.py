@@ -13,7 +13,8 @@ from wordloom.functions import text as T
 from wordloom.operators import labels as L
 from wordloom.plans import q_labels as QL
 from wordloom.plans.common import load
-from wordloom.session import stage_path
+from wordloom.plans.pipeline import PipelineConfig, run_pipeline
+from wordloom.session import first_rows, stage_path
 from wordloom.sources import readers as R
 from wordloom.sources import sinks as K
 
@@ -27,14 +28,14 @@ def _xml_escape(c):
                      F.lit(">"), F.lit("&gt;"))
 
 
-def _cell(c, typ="String"):
-    return F.concat(F.lit(f'<Cell><Data ss:Type="{typ}">'), _xml_escape(c.cast("string")), F.lit("</Data></Cell>"))
+def _cell(c, index):
+    """A cell with its column's index; none for a null."""
+    return F.coalesce(F.concat(F.lit(f'<Cell ss:Index="{index}"><Data ss:Type="String">'), _xml_escape(c.cast("string")), F.lit("</Data></Cell>")), F.lit(""))
 
 
 def write_spreadsheet_xml(df, cols, path):
     """Rows as SpreadsheetML; every part file is a workbook with its own header row."""
-    row = F.concat(F.lit("<Row>"), *[_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cols],
-                   F.lit("</Row>"))
+    row = F.concat(F.lit("<Row>"), *[_cell(F.col(c), i) for i, c in enumerate(cols, 1)], F.lit("</Row>"))
     head = "<Row>" + "".join(f'<Cell><Data ss:Type="String">{h}</Data></Cell>' for h in cols) + "</Row>"
     top = f'<?xml version="1.0"?><Workbook xmlns="{NS}" xmlns:ss="{NS}"><Worksheet ss:Name="s"><Table>'
 
@@ -47,28 +48,49 @@ def write_spreadsheet_xml(df, cols, path):
     df.select(row.alias("value")).mapInPandas(wrap, "value string").write.mode("overwrite").text(path)
 
 
-def q_xml_work_orders(spark, sf):
-    """SRC-1 / SRC-2 / CLN-7: orders with customers and item names as a spreadsheet export, read back as work orders."""
+def _export(spark, sf):
+    """Orders with customers and item names, written as two folders of workbooks with different column orders; their paths.
+
+    Open orders that are urgent have none of the work-order fields.
+    """
     o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     c = load(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
     items = QL.order_sequences(spark, sf).select("o_orderkey", F.array_join("tokens", " ").alias("items"))
     j = o.join(c, o.o_custkey == c.c_custkey, "left").join(items, "o_orderkey", "left")
+    full = ~((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT"))
     src = j.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_date"),
                    F.col("o_custkey").alias("company_id"), F.col("o_orderkey").alias("job_order_number"),
-                   F.col("c_mktsegment").alias("portfolio_name"), F.col("c_name").alias("address"),
-                   F.col("o_orderstatus").alias("unit"), F.col("o_orderpriority").alias("category"),
-                   F.coalesce(F.col("items"), F.lit("")).alias("description"))
-    # two workbooks with different column orders
+                   F.col("c_mktsegment").alias("portfolio_name"), F.when(full, F.col("c_name")).alias("address"),
+                   F.when(full, F.col("o_orderstatus")).alias("unit"), F.when(full, F.col("o_orderpriority")).alias("category"),
+                   F.when(full, F.col("items")).alias("description"))
     paths = []
     half = F.pmod(F.col("id"), F.lit(2)) == 0
     for rows, cols in ((src.where(half), HEADER), (src.where(~half), HEADER[::-1])):
         paths.append(stage_path(spark, "xml"))
         write_spreadsheet_xml(rows, cols, paths[-1])
-    table = R.read_spreadsheet_table(spark, paths)
-    wo = R.raw_to_work_orders(table)
+    return paths
+
+
+def q_xml_work_orders(spark, sf):
+    """SRC-1 / SRC-2 / CLN-7: orders with customers and item names as a spreadsheet export, read back as work orders."""
+    wo = R.raw_to_work_orders(R.read_spreadsheet_table(spark, _export(spark, sf)))
     return wo.select("address", "category", F.md5("description").alias("description_md5"), "unit")
 
 
+def q_xml_rejects(spark, sf):
+    """SRC-2: the export's rows that hold no work-order field, by their id."""
+    table = R.read_spreadsheet_table(spark, _export(spark, sf))
+    bad = R.raw_rejects(table).join(table.select("file", "offset", "row_no", "id"), ["file", "offset", "row_no"])
+    return bad.select(F.col("id").cast("bigint").alias("o_orderkey"), "reason")
+
+
+def q_ingest_counters(spark, sf):
+    """AGG-9: the row counts that the ingest stage observes while it writes."""
+    counters = {}
+    run_pipeline(spark, PipelineConfig(raw_xml=_export(spark, sf), stages=["ingest"]), counters)
+    return spark.createDataFrame(sorted(counters.items()), "counter string, n long")
+
+
 def q_tsv_round_trip(spark, sf):
     """SNK-2 / SRC-6: labelled orders written as the 13-column TSV, read back and melted to entities."""
     cols = QL.labelled_columns(spark, sf)
@@ -109,9 +131,9 @@ def q_training_xml_file(spark, sf):
 
 
 def q_limited_rows(spark, sf):
-    """ORD-2: the first 200 documents by id (the row limit is the feature)."""
-    d = load(spark, sf, "documents")
-    return d.orderBy("doc_id").limit(200).select("doc_id", "lang", F.col("n_chars").cast("bigint").alias("n_chars"))
+    """ORD-2: the first 200 documents by id (the row limit is the feature), by counting instead of sorting."""
+    d = first_rows(load(spark, sf, "documents"), "doc_id", 200)
+    return d.select("doc_id", "lang", F.col("n_chars").cast("bigint").alias("n_chars"))
 
 
 def q_type_filter(spark, sf):
@@ -123,6 +145,8 @@ def q_type_filter(spark, sf):
 
 QUERIES = {
     "xml_work_orders": q_xml_work_orders,
+    "xml_rejects": q_xml_rejects,
+    "ingest_counters": q_ingest_counters,
     "tsv_round_trip": q_tsv_round_trip,
     "entity_vector_text": q_entity_vector_text,
     "training_xml_file": q_training_xml_file,
@@ -137,7 +161,12 @@ def sql() -> dict[str, str]:
         "xml_work_orders": f"""WITH {QL._SEQ}
 SELECT c.c_name AS address, o.o_orderpriority AS category, md5(coalesce(array_to_string(seq.tokens, ' '), '')) AS description_md5,
        o.o_orderstatus AS unit
-FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN seq ON seq.okey = o.o_orderkey""",
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN seq ON seq.okey = o.o_orderkey
+WHERE NOT (o.o_orderstatus = 'O' AND o.o_orderpriority = '1-URGENT')""",
+        "xml_rejects": "SELECT o_orderkey, 'no work-order field' AS reason FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'",
+        "ingest_counters": """
+SELECT CASE WHEN bad THEN 'raw_rejects' ELSE 'work_orders' END AS counter, count(*) AS n
+FROM (SELECT o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' AS bad FROM orders) GROUP BY bad""",
         "tsv_round_trip": f"""WITH {QL._cols_sql()},
 ent AS ({QL._unpivot()})
 SELECT type, entity FROM ent""",

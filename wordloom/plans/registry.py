@@ -8,7 +8,7 @@ from wordloom.session import ensure_checkpoint_dir
 
 MODULES = ["wordloom.plans.q_text", "wordloom.plans.q_labels", "wordloom.plans.q_vectors",
            "wordloom.plans.q_cluster", "wordloom.plans.q_clean",
-           "wordloom.plans.q_sequence", "wordloom.plans.q_io",
+           "wordloom.plans.q_sequence", "wordloom.plans.q_io", "wordloom.plans.q_files",
            "wordloom.plans.flagship"]
 
 
