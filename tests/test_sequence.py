@@ -93,19 +93,21 @@ def test_large_dictionaries_are_joined(spark, monkeypatch):
     optional = ("word", "hyphenated")
 
     def all_of():
-        hist = []
-        train = df.where("size(tokens) > 0")
-        model = SQ.fit(train, lexicon=lexicon, gazetteer=gazetteer, optional=optional, history=hist)
+        """Features, loss and gradient at one point, labels under these weights, looked-up fields."""
+        objective = SQ.Objective(df.where("size(tokens) > 0"), lexicon=lexicon, gazetteer=gazetteer, optional=optional)
+        x = np.random.default_rng(1).integers(-3, 4, objective.size) / 4
+        W, A = objective.split(x)
+        model = SQ.SequenceModel(features=objective.features, optional=optional, W=W, A=A)
         labels = {r.id: r.labels for r in SQ.decode(df, model, "tokens", lexicon, gazetteer).collect()}
         pos = {r.id: r.pos for r in FE.with_pos_array(df, "tokens", lexicon, gazetteer).collect()}
-        return model.features, hist, labels, pos
+        return objective.features, objective(x), labels, pos
 
     small = all_of()
     bounded = lookup.literal_maps
     monkeypatch.setattr(lookup, "literal_maps", lambda table, *_: bounded(table, max_rows=2))
     large = all_of()
     assert small[0] == large[0] and small[2:] == large[2:]
-    assert np.allclose(small[1], large[1], rtol=1e-9)
+    assert np.isclose(small[1][0], large[1][0]) and np.allclose(small[1][1], large[1][1])
     plan = FE.with_pos_array(df, "tokens", lexicon)._jdf.queryExecution().optimizedPlan().toString()
     aggregates = [line for line in plan.splitlines() if "Aggregate [_k1" in line]
     assert aggregates and not any("tokens#" in line or "y#" in line.replace("key#", "") for line in aggregates) and "from_json" not in plan

@@ -163,6 +163,21 @@ def token_record(t, nouns=None, verbs=None, tag=None, location=None, object_=Non
         F.when(t.isin("&"), t).otherwise(F.regexp_replace(cl, r"\W", "")), lambda ab: build(cl, ab)))
 
 
+def token_records(tokens, pos=None, optional=()) -> Column:
+    """FEA-10 for a token array: ``array<struct<f, rawstring_start, rawstring_end>>`` (arguments as in `sequence_features`)."""
+    tk = T._c(tokens)
+    n = F.size(tk)
+
+    def base(x, i, found=None):
+        own = F.get(found, i) if found is not None else None
+        rec = token_record(x, *([own[c] for c in ("nouns_count", "verbs_count", "nltk_tag", "is_location", "is_object")] if own is not None else []),
+                           optional=optional)
+        return T.nstruct(f=rec, rawstring_start=(i == 0) & (n > 1), rawstring_end=(i == n - 1) & (n > 1))
+
+    # the lookups are bound once a row: within the lambda they would be made again for every token
+    return F.transform(tk, lambda x, i: base(x, i)) if pos is None else T.let(pos, lambda found: F.transform(tk, lambda x, i: base(x, i, found)))
+
+
 def sequence_features(tokens, pos=None, optional=()) -> Column:
     """FEA-10..12 over a token array, in place (no explode).
 
@@ -173,16 +188,7 @@ def sequence_features(tokens, pos=None, optional=()) -> Column:
     supplies the looked-up fields when given; ``optional`` adds FEA-9 features.
     """
     tk = T._c(tokens)
-    n = F.size(tk)
-
-    def base(x, i):
-        own = F.get(T._c(pos), i) if pos is not None else None
-        rec = token_record(x, *([own[c] for c in ("nouns_count", "verbs_count", "nltk_tag", "is_location", "is_object")] if own is not None else []),
-                           optional=optional)
-        return T.nstruct(f=rec, rawstring_start=(i == 0) & (n > 1), rawstring_end=(i == n - 1) & (n > 1))
-
-    recs = F.transform(tk, base)
-    return T.let(recs, lambda rs: F.transform(rs, lambda r, i: T.nstruct(
+    return T.let(token_records(tokens, pos, optional), lambda rs: F.transform(rs, lambda r, i: T.nstruct(
         token=F.get(tk, i),
         feat=r["f"],
         rawstring_start=r["rawstring_start"],

@@ -7,9 +7,10 @@ have, every name with a number of its own; with the base features these are
 a few dozen names and one for each POS tag, with optional word forms as many
 as there are words.
 
-* decode: a projection.  A token's emissions are a fold over its items, whose
-  weights are looked up within the row (see `lookup`); the best path is two
-  folds over the emissions.  No Python, no shuffle, the same on a stream.
+* decode: a projection.  A token's scores are sums of products with literal
+  weights, those of ``name:value`` features are looked up within the row (see
+  `lookup`); the best path is two folds over the scores.  No Python, no
+  shuffle, the same on a stream.
 * fit: the items are flattened per text into three arrays, ``ftok`` (token
   position), ``fidx`` (the feature's number) and ``fval`` (value).  Conditional
   log-likelihood with L2, minimised by L-BFGS until the loss no longer falls.
@@ -124,11 +125,17 @@ class SequenceModel:
         if self.A is None:
             self.A = np.zeros((L, L))
 
-    def weights_table(self, spark) -> DataFrame:
-        """``(key, value array<double>)``: a feature's weights by label."""
-        rows = pa.table({"key": pa.array(self.features, pa.string()), "value": pa.FixedSizeListArray.from_arrays(
-            pa.array(self.W.ravel(), pa.float64()), len(self.labels)).cast(pa.list_(pa.float64()))})
-        return spark.createDataFrame(rows)
+    def by_role(self) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        """Weights by the feature's name without its prefix, as one vector for the token itself, the previous and the next
+        token's record: (features with a number or a truth value, ``name:value`` features)."""
+        L, plain, text = len(self.labels), {}, {}
+        fixed_names = {*_NUMERIC, *(name for _, name in _BOOL), "rawstring.start", "rawstring.end", "singleton", "bias"}
+        for i, name in enumerate(self.features):
+            # the token before sees this one as its next, the token behind as its previous
+            role, own = next(((k, name[len(p):]) for k, p in ((1, "previous:"), (2, "next:")) if name.startswith(p)), (0, name))
+            part = plain if own in fixed_names else text
+            part.setdefault(own, np.zeros(3 * L))[role * L:(role + 1) * L] = self.W[i]
+        return plain, text
 
     def weights_frame(self, spark) -> DataFrame:
         """``(kind, name, label, w)``: feature weights, transitions (from, to) and the optional features' names."""
@@ -300,11 +307,44 @@ def _all(state: Column) -> Column:
     return F.flatten(F.array_append(state["done"], state["tail"]))
 
 
-def emission_column(items: Column, find, n_labels: int) -> Column:
-    """A token's score for every label: the sum of value * weight over its items; ``find`` gives a name's weights."""
-    zero = F.array(*[F.lit(0.0)] * n_labels)
-    return F.aggregate(items, zero, lambda acc, e: T.let(find(e["k"]), lambda w: F.when(w.isNull(), acc).otherwise(
-        F.zip_with(acc, w, lambda a, b: a + e["v"] * b))))
+def score_column(records: Column, model: SequenceModel, find) -> Column:
+    """Every token's score for every label, from the tokens' records (`features.token_records`); ``find`` gives the weights of a
+    ``name:value`` feature as `SequenceModel.by_role` has them.
+
+    A record's share is worked out once, for the token itself and for both neighbours, as sums of products with literal weights.
+    """
+    L = len(model.labels)
+    plain, _ = model.by_role()
+    values = [(n, lambda r, n=n: r["f"][n]) for n in _NUMERIC] + [(name, lambda r, f=f: r["f"][f]) for f, name in _BOOL]
+    values += [("rawstring.start", lambda r: r["rawstring_start"]), ("rawstring.end", lambda r: r["rawstring_end"])]
+    values = [(plain[n], get) for n, get in values if n in plain and plain[n].any()]
+    always = plain.get("bias", np.zeros(3 * L))
+    alone = plain.get("singleton", np.zeros(3 * L))
+
+    def total(parts, start: float):
+        parts = ([F.lit(float(start))] if start else []) + parts
+        out = parts[0] if parts else F.lit(0.0)
+        for x in parts[1:]:
+            out = out + x
+        return out
+
+    def share(r, n):
+        def sums(x, found):
+            return F.array(*[total([F.lit(float(w[k])) * F.get(x, i) for i, (w, _) in enumerate(values) if w[k]]
+                                   + ([F.when(n == 1, float(alone[k])).otherwise(0.0)] if alone[k] else [])
+                                   + [F.coalesce(F.get(F.get(found, s), k), F.lit(0.0)) for s in range(1 + len(model.optional))], always[k] if k < L else 0.0)
+                             for k in range(3 * L)])
+
+        keys = [F.concat(F.lit("nltk_tag:"), r["f"]["nltk_tag"])] + [F.concat(F.lit(f"{o}:"), r["f"][o.replace(".", "_")].cast("string")) for o in model.optional]
+        x = F.array(*[get(r).cast("double") for _, get in values]) if values else F.array(F.lit(0.0))
+        return T.let(x, lambda v: T.let(F.array(*[find(k) for k in keys]), lambda found: sums(v, found)))
+
+    def joined(c):
+        near = lambda v, k: F.coalesce(F.get(v, k), F.lit(0.0))
+        return F.transform(c, lambda v, t: T.let(F.get(c, t - 1), lambda p: T.let(F.get(c, t + 1), lambda q: F.array(
+            *[F.get(v, j) + near(p, L + j) + near(q, 2 * L + j) for j in range(L)]))))
+
+    return T.let(F.size(records), lambda n: T.let(F.transform(records, lambda r: share(r, n)), joined))
 
 
 def viterbi_column(scores: Column, A: np.ndarray) -> Column:
@@ -312,40 +352,62 @@ def viterbi_column(scores: Column, A: np.ndarray) -> Column:
 
     The first fold keeps the labels' best scores and, for each token, the label before; the second walks these back.
     """
-    into = F.array(*[F.array(*[F.lit(float(a)) for a in A[:, j]]) for j in range(A.shape[1])])
-    first_best = lambda s: F.array_position(s, F.array_max(s)).cast("int") - 1
+    L = len(A)
     none = lambda kind: F.array().cast(kind)
 
-    def path(e, ways):
+    def first_of(value, best):
+        """The first i whose ``value(i)`` is the best."""
+        out = F.lit(L - 1)
+        for i in reversed(range(L - 1)):
+            out = F.when(value(i) >= best, F.lit(i)).otherwise(out)
+        return out
+
+    def path(e):
+        # `let` copies what it returns, so the growing arrays stay outside of it: a step puts away the labels of the step before.
         def forward(acc, x):
-            best = F.transform(ways, lambda a: T.let(F.zip_with(acc["s"], a, lambda p, q: p + q), lambda c: T.nstruct(m=F.array_max(c), i=first_best(c))))
-            return T.let(best, lambda b: T.nstruct(s=F.zip_with(b, x, lambda p, q: p["m"] + q), **_grown(acc, F.transform(b, lambda p: p["i"]))))
+            come = lambda i, j: F.get(acc["m"]["s"], i) + F.lit(float(A[i, j])) if A[i, j] else F.get(acc["m"]["s"], i)
+            best = F.array(*[F.greatest(*[come(i, j) for i in range(L)]) if L > 1 else come(0, j) for j in range(L)])
+            m = T.let(best, lambda b: T.nstruct(s=F.array(*[F.get(b, j) + F.get(x, j) for j in range(L)]),
+                                                back=F.array(*[first_of(lambda i, j=j: come(i, j), F.get(b, j)) for j in range(L)])))
+            return T.nstruct(m=m, **_grown(acc, acc["m"]["back"]))
 
         def backward(acc, back):
-            return T.let(F.get(back, acc["at"]), lambda at: T.nstruct(at=at, **_grown(acc, at)))
+            at = F.get(back, acc["at"])
+            return T.nstruct(at=at, **_grown(acc, at))
 
-        start = T.nstruct(s=F.get(e, 0), tail=none("array<array<int>>"), done=none("array<array<array<int>>>"))
-        ahead = F.aggregate(F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))), start, forward)
-        return T.let(ahead, lambda v: T.let(first_best(v["s"]), lambda last: F.aggregate(
-            F.reverse(_all(v)), T.nstruct(at=last, tail=F.array(last), done=none("array<array<int>>")), backward, lambda acc: F.reverse(_all(acc)))))
+        start = T.nstruct(m=T.nstruct(s=F.get(e, 0), back=none("array<int>")), tail=none("array<array<int>>"), done=none("array<array<array<int>>>"))
+        ahead = F.aggregate(F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))), start, forward,
+                            lambda acc: T.nstruct(s=acc["m"]["s"], back=F.array_append(_all(acc), acc["m"]["back"])))
+        last_of = lambda v: F.array_position(v["s"], F.array_max(v["s"])).cast("int") - 1
+        # the first token has no label before it
+        return T.let(ahead, lambda v: T.let(last_of(v), lambda last: F.aggregate(
+            F.reverse(F.slice(v["back"], 2, F.size(v["back"]) - 1)), T.nstruct(at=last, tail=F.array(last), done=none("array<array<int>>")), backward,
+            lambda acc: F.reverse(_all(acc)))))
 
-    return F.when(F.size(scores) == 0, none("array<int>")).otherwise(T.let(scores, lambda e: T.let(into, lambda ways: path(e, ways))))
+    return F.when(F.size(scores) == 0, none("array<int>")).otherwise(T.let(scores, path))
 
 
 def decode(df: DataFrame, model: SequenceModel, tokens_col: str = "tokens", lexicon: DataFrame | None = None, gazetteer: DataFrame | None = None,
            out: str = "labels") -> DataFrame:
     """Best label sequence of every row's tokens (no tokens -> []), as column ``out``.
 
-    Features without a weight count nothing.  A model of bounded size is part
-    of the plan; the weights of a larger one are joined with the texts'
-    distinct feature names.
+    Features without a weight count nothing.  The weights of numbers and
+    truth values are literals; those of ``name:value`` features are looked up
+    within the row while they have a bounded size, and joined with the texts'
+    distinct features beyond it.
     """
-    st = with_items(df, tokens_col, lexicon, model.optional, gazetteer)
-    names = F.flatten(F.transform("_it", lambda it: F.transform(it, lambda e: e["k"])))
+    pos, st = None, df
+    if lexicon is not None or gazetteer is not None:
+        st, pos = FE.with_pos_array(df, tokens_col, lexicon, gazetteer, "_pos"), "_pos"
+    st = st.withColumn("_r", F.coalesce(FE.token_records(tokens_col, pos, model.optional), F.array()))
+    text = model.by_role()[1]
+    table = pa.table({"key": pa.array(text, pa.string()), "value": pa.array([v.tolist() for v in text.values()], pa.list_(pa.float64()))})
+    names = F.flatten(F.transform("_r", lambda r: F.array(F.concat(F.lit("nltk_tag:"), r["f"]["nltk_tag"]), *[
+        F.concat(F.lit(f"{o}:"), r["f"][o.replace(".", "_")].cast("string")) for o in model.optional])))
+    st = with_lookup(st, names, df.sparkSession.createDataFrame(table), lambda find: score_column(F.col("_r"), model, find), "_e")
     label = F.array(*[F.lit(x) for x in model.labels])
-    st = with_lookup(st, names, model.weights_table(df.sparkSession), lambda find: F.transform("_it", lambda it: emission_column(it, find, len(model.labels))), "_e")
-    return st.withColumn(out, T.let(label, lambda ls: F.transform(viterbi_column(F.coalesce("_e", F.array().cast("array<array<double>>")), model.A), lambda i: F.get(ls, i)))) \
-        .drop("_it", "_e")
+    return st.withColumn(out, T.let(label, lambda ls: F.transform(viterbi_column(F.col("_e"), model.A), lambda i: F.get(ls, i)))) \
+        .drop("_r", "_e", *([pos] if pos else []))
 
 
 def label_tokens(df: DataFrame, text_col: str, model: SequenceModel, lexicon: DataFrame | None = None,
