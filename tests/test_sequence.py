@@ -72,6 +72,7 @@ def test_decode_in_the_plan_is_the_numpy_path(spark):
     model.W, model.A = rng.integers(-2, 3, model.W.shape).astype(float), rng.integers(-1, 2, model.A.shape).astype(float)
     number = {k: i for i, k in enumerate(model.features)}
     decoded = SQ.decode(df, model, "tokens", lexicon)
+    assert "split(" not in decoded._jdf.queryExecution().optimizedPlan().toString()  # dictionaries are literals, not built for every row
     plan = decoded._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InPandas" not in plan and "Exchange" not in plan
     for r in decoded.collect():
@@ -103,8 +104,8 @@ def test_large_dictionaries_are_joined(spark, monkeypatch):
         return objective.features, objective(x), labels, pos
 
     small = all_of()
-    bounded = lookup.literal_maps
-    monkeypatch.setattr(lookup, "literal_maps", lambda table, *_: bounded(table, max_rows=2))
+    bounded = lookup.literal_dictionary
+    monkeypatch.setattr(lookup, "literal_dictionary", lambda table, *_: bounded(table, max_rows=2))
     large = all_of()
     assert small[0] == large[0] and small[2:] == large[2:]
     assert np.isclose(small[1][0], large[1][0]) and np.allclose(small[1][1], large[1][1])

@@ -180,14 +180,21 @@ def single_swap(a, b) -> Column:
                  & (F.substr(a, F.get(df_, 1), one) == F.substr(b, F.get(df_, 0), one)))
 
 
-def edit_distance(a, b, max_d: int) -> Column:
-    """Edit distance up to ``max_d`` <= 2 (null above) where swapping two adjacent characters is one edit."""
+def letters(word) -> Column:
+    """The word's characters in order, as one string: a swap doesn't change it."""
+    return F.array_join(F.array_sort(F.split(T._c(word), "")), "")
+
+
+def edit_distance(a, b, max_d: int, letters_a=None, letters_b=None) -> Column:
+    """Edit distance up to ``max_d`` <= 2 (null above) where swapping two adjacent characters is one edit.
+
+    ``letters_a`` and ``letters_b`` are `letters` of the words where they are known already.
+    """
     if max_d > 2:
         raise ValueError("distances above 2 are not supported")
     a, b = T._c(a), T._c(b)
-    # a swap counts two there, so pairs beyond twice the distance are out at once
-    lev = F.levenshtein(a, b, 2 * max_d)
-    d = F.when(lev == -1, F.lit(None)).when(lev <= 1, lev).when((lev == 2) & single_swap(a, b), F.lit(1))
+    lev = F.levenshtein(a, b, 2)
+    d = F.when((lev == 0) | (lev == 1), lev).when((lev == 2) & single_swap(a, b), F.lit(1))
     if max_d > 1:
         # Two edits of which one is a swap: it comes first (a swap of a) or last (a swap of b).
         places = lambda w: F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1)))
@@ -199,7 +206,9 @@ def edit_distance(a, b, max_d: int) -> Column:
         near = lambda x, y: F.levenshtein(x, y, 1) >= 0
         with_swap = F.exists(places(a), lambda i: near(swapped(a, i), b) | single_swap(swapped(a, i), b)) \
             | F.exists(places(b), lambda i: near(a, swapped(b, i)))
-        d = d.when(lev == 2, lev).when((F.abs(F.length(a) - F.length(b)) <= 1) & with_swap, F.lit(2))
+        # a swap and an edit leave the same letters but for that edit's
+        alike = F.levenshtein(letters(a) if letters_a is None else T._c(letters_a), letters(b) if letters_b is None else T._c(letters_b), 2) >= 0
+        d = d.when(lev == 2, lev).when((F.abs(F.length(a) - F.length(b)) <= 1) & alike & with_swap, F.lit(2))
     return d
 
 
@@ -214,12 +223,13 @@ def spell_candidates(words: DataFrame, dictionary: DataFrame, max_distance: int
     vocab = words.select(F.col(word_col).alias("word")).where(eligible("word")).distinct()
     dic = dictionary.select(F.col("word").alias("cand"), F.col("freq").cast("long").alias("freq"))
     unknown = vocab.join(dic.select(F.col("cand").alias("word")), "word", "left_anti")  # JOIN-7
-    uk = TK.explode_with_pos(unknown, "word", deletion_keys("word", max_distance), "_p", "dkey")
-    dk = TK.explode_with_pos(dic, ["cand", "freq"], deletion_keys("cand", max_distance), "_p", "dkey")
-    near = F.abs(F.length("word") - F.length("cand")) <= max_distance
-    pairs = uk.drop("_p").join(checked_broadcast(dk.drop("_p")), "dkey").where(near).select("word", "cand", "freq").distinct()
+    uk = TK.explode_with_pos(unknown.withColumn("_lw", letters("word")), ["word", "_lw"], deletion_keys("word", max_distance), "_p", "dkey")
+    dk = TK.explode_with_pos(dic.withColumn("_lc", letters("cand")), ["cand", "freq", "_lc"], deletion_keys("cand", max_distance), "_p", "dkey")
+    # letters in common decide most pairs before they are shuffled
+    near = (F.abs(F.length("word") - F.length("cand")) <= max_distance) & (F.levenshtein("_lw", "_lc", 2 * max_distance) >= 0)
+    pairs = uk.drop("_p").join(checked_broadcast(dk.drop("_p")), "dkey").where(near).select("word", "cand", "freq", "_lw", "_lc").distinct()
     from wordloom.operators.labels import keep_rows
-    scored = keep_rows(pairs.withColumn("distance", edit_distance("word", "cand", max_distance)),
+    scored = keep_rows(pairs.withColumn("distance", edit_distance("word", "cand", max_distance, "_lw", "_lc")),
                        F.col("distance").isNotNull())
     best = scored.groupBy("word").agg(F.min(F.struct("distance", (-F.col("freq")).alias("nf"), "cand")).alias("b"))
     return best.select("word", F.col("b.cand").alias("correction"), F.col("b.distance").cast("int").alias("distance"),

@@ -1,12 +1,12 @@
 """Dictionary lookups for arrays of words, without exploding the rows they stand in.
 
-A dictionary of bounded size becomes part of the expression: an array of
-small maps, picked by the word's hash, as one literal.  A lookup then is a
-projection (no join, no shuffle, also on a stream).
+A dictionary of bounded size becomes part of the expression: lists of words
+and values, in the order of the words' hashes, as one literal.  A lookup then
+is a projection (no join, no shuffle, also on a stream).
 
 A larger dictionary is joined with the texts' distinct words: a text stands
-there as a 128-bit hash, and gets back the same kind of array of maps, of its
-own known words only.  The rows are joined with these maps by the hash.
+there as a 128-bit hash, and gets back an array of small maps, picked by the
+word's hash, of its own known words only.  The rows are joined with these maps by the hash.
 """
 
 from __future__ import annotations
@@ -26,23 +26,71 @@ LITERAL_BYTES = 16 << 20
 TEXT_MAPS = 64
 
 
+# Stands between the entries of a literal list; words that hold it are not found.
+MARK = "\x01"
+
+
 def _find(maps: Column, n: int, word: Column) -> Column:
     return F.try_element_at(F.get(maps, F.pmod(F.xxhash64(word), F.lit(n)).cast("int")), word)
 
 
-def literal_maps(table: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = LITERAL_BYTES) -> tuple[Column, int] | None:
-    """(array of maps as a literal, how many) of a table (key string, value), or None beyond the bounds."""
+def _literal_list(values: list, kind: T_.DataType) -> Column:
+    """A list as one literal: the optimizer folds the split and the cast of a text."""
+    text = MARK.join("" if v is None else ("true" if v else "false") if isinstance(v, bool) else repr(v) if isinstance(v, float) else str(v) for v in values)
+    parts = F.split(F.lit(text), MARK, -1)
+    return parts if isinstance(kind, T_.StringType) else parts.try_cast(f"array<{kind.simpleString()}>")
+
+
+def literal_dictionary(table: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = LITERAL_BYTES) -> tuple[Column, Callable[[Column, Column], Column]] | None:
+    """(the dictionary as a literal, a function of it and a word that gives the word's value) of a table (key string, value), or None beyond the bounds.
+
+    Words lie in the order of their hashes' remainders, with a list of where
+    each remainder begins, so a lookup compares the few words that share one.
+    Values are strings, numbers, truth values, structs of these, or arrays of
+    doubles of one length; an empty string in a struct counts as null.
+    """
     line = F.to_json(F.struct("key", "value"))
     n, size = table.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(F.length(line))).first()
     if n > max_rows or (size or 0) > max_bytes:
         return None
-    maps = max(1, n)
-    buckets: list[dict] = [{} for _ in range(maps)]
-    for at, text in table.where("key is not null").select(F.pmod(F.xxhash64("key"), F.lit(maps)), line).collect():  # checked above
-        row = json.loads(text)
-        buckets[at][row["key"]] = row.get("value")
-    kind = T_.ArrayType(T_.MapType(T_.StringType(), table.schema["value"].dataType))
-    return F.from_json(F.lit(json.dumps(buckets)), kind), maps
+    n = max(1, n)
+    rows = sorted((r[0], r[1], r[2]) for r in table.where("key is not null").select(F.pmod(F.xxhash64("key"), F.lit(n)), "key", F.to_json(F.struct("value"))).collect())  # checked above
+    rows = [(b, k, json.loads(v).get("value")) for b, k, v in rows if MARK not in k and MARK.encode("unicode_escape").decode() not in v]
+    starts, at = [], 0
+    for bucket in range(n + 1):
+        while at < len(rows) and rows[at][0] < bucket:
+            at += 1
+        starts.append(at)
+    kind = table.schema["value"].dataType
+    values = [v for _, _, v in rows]
+    if isinstance(kind, T_.StructType):
+        lists = [_literal_list([(v or {}).get(f.name) for v in values], f.dataType) for f in kind.fields]
+    elif isinstance(kind, T_.ArrayType):
+        width = len(values[0]) if values else 0
+        lists = [_literal_list([float(x) for v in values for x in v], T_.DoubleType())]
+    else:
+        lists = [_literal_list(values, kind)]
+    names = [f"v{i}" for i in range(len(lists))]
+    d = F.struct(_literal_list(starts, T_.IntegerType()).alias("starts"), _literal_list([k for _, k, _ in rows], T_.StringType()).alias("keys"),
+                 *[x.alias(c) for x, c in zip(lists, names)])
+
+    def find(d: Column, word: Column) -> Column:
+        bucket = F.pmod(F.xxhash64(word), F.lit(n)).cast("int")
+        first, last = F.get(d["starts"], bucket), F.get(d["starts"], bucket + 1)
+        place = F.array_position(F.slice(d["keys"], first + 1, last - first), word).cast("int")
+
+        def value(at):
+            if isinstance(kind, T_.StructType):
+                one = F.named_struct(*[x for f, c in zip(kind.fields, names) for x in (F.lit(f.name), F.nullif(F.get(d[c], at), F.lit("")) if isinstance(f.dataType, T_.StringType) else F.get(d[c], at))])
+            elif isinstance(kind, T_.ArrayType):
+                one = F.slice(d["v0"], at * width + 1, F.lit(width))
+            else:
+                one = F.get(d["v0"], at)
+            return F.when(at.isNotNull(), one)
+
+        return F.get(F.transform(F.array(F.when(place > 0, first + place - 1)), value), 0)
+
+    return d, find
 
 
 def with_lookup(df: DataFrame, words: Column, table: DataFrame, use: Callable[[Callable[[Column], Column]], Column], out: str,
@@ -52,10 +100,10 @@ def with_lookup(df: DataFrame, words: Column, table: DataFrame, use: Callable[[C
     ``words`` is the array of all words that ``use`` may ask for.  On a
     stream the dictionary must be within the bounds.
     """
-    found = literal_maps(table, max_rows, max_bytes)
+    found = literal_dictionary(table, max_rows, max_bytes)
     if found is not None:
-        maps, n = found
-        return df.withColumn(out, F.get(F.transform(F.array(maps), lambda m: use(lambda w: _find(m, n, w))), 0))
+        d, find = found
+        return df.withColumn(out, F.get(F.transform(F.array(d), lambda x: use(lambda w: find(x, w))), 0))
     if df.isStreaming:
         raise ValueError(f"a stream's dictionary may have {max_rows} rows and {max_bytes} bytes; label larger ones batch by batch (foreachBatch)")
     keyed = df.withColumns({"_k1": F.xxhash64(F.lit(1), words), "_k2": F.xxhash64(F.lit(2), words)})
