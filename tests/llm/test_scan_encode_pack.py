@@ -48,7 +48,7 @@ def test_secrets_against_regular_expressions(docs):
 def test_redaction(docs):
     texts = ["my password=hunter22 and token: abcdefgh.", "clean é text", None, ""]
     df = docs(texts)
-    got = {r.doc_id: r.t for r in df.select("doc_id", secrets.redact_column(df["text"], "[X]").alias("t")).collect()}
+    got = {r.doc_id: r.t for r in secrets.redact(df, "[X]").withColumnRenamed("text", "t").collect()}
     assert got == {0: "my [X] and [X]", 1: "clean é text", 2: None, 3: ""}
 
 

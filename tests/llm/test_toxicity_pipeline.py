@@ -37,7 +37,7 @@ def test_scores_on_held_out_rows(spark, docs):
     held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(got[i] >= 0.5) == y for i, y in held]) >= 0.95
     assert got[1000] == got[1001] == got[1003] < 0.5 <= got[1002]
-    by_column = {r.doc_id: r.s for r in df.select("doc_id", toxicity.score_column(df["text"], model, spark).alias("s")).collect()}
+    by_column = {r.doc_id: r.s for r in toxicity.with_score(df, model, "s").collect()}
     assert all(abs(by_column[i] - s) < 1e-6 for i, s in got.items())
 
 

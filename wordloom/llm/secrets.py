@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.automaton import Dfa, ignore_case, parse, reverse
@@ -140,27 +140,37 @@ def scan_secrets(docs: DataFrame, rules: list[Rule] | None = None, id_col: str =
         .mapInArrow(run, "id long, findings array<struct<kind:string,start:long,end:long>>")
 
 
-def redact_column(text: Column, mark: str, rules: list[Rule] | None = None) -> Column:
-    """The text with each stretch of overlapping findings replaced by ``mark``; null stays null."""
+def redactor(mark: str, rules: list[Rule] | None = None):
+    """A function of a text's bytes that replaces each stretch of overlapping findings by ``mark``."""
     scanner = Scanner(list(rules if rules is not None else BASE_RULES + MORE_RULES))
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        import pandas as pd
-        out = []
-        for t in texts:
-            found = scanner.find(t.encode()) if t else []
-            if found:
-                data, parts, at = t.encode(), [], 0
-                for start, end, _ in found:
-                    if start >= at:
-                        parts += [data[at:start], mark.encode()]
-                    at = max(at, end)
-                t = b"".join([*parts, data[at:]]).decode()
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    return clean(text)
+    def clean(data: bytes) -> bytes:
+        found = scanner.find(data)
+        if not found:
+            return data
+        parts, at = [], 0
+        for start, end, _ in found:
+            if start >= at:
+                parts += [data[at:start], mark.encode()]
+            at = max(at, end)
+        return b"".join([*parts, data[at:]])
+
+    return clean
+
+
+def redact(docs: DataFrame, mark: str, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
+    """``docs`` with its secrets replaced in ``text_col``, slice by slice; null stays null, all other columns pass through."""
+    clean = redactor(mark, rules)
+
+    def run(batches):
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            for first, last in text_slices(b, text_col):
+                part = b.slice(first, last - first)
+                texts = [None if t is None else clean(t).decode() for t in part.column(at).cast(pa.binary()).to_pylist()]
+                yield part.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def secret_digest(found: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose score lies below their language's cut; the model learns from the `labels` table beside them."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     model = toxicity.train(docs, labels)
-    return docs.where(toxicity.score_column(F.col("text").cast("string"), model, spark) < toxicity.cut_column(F.col("lang"), model))
+    return toxicity.with_score(docs, model, "_toxicity").where(F.col("_toxicity") < toxicity.cut_column(F.col("lang"), model)).drop("_toxicity")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +36,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret replaced; documents without secrets are untouched."""
-    marked = docs.select(F.struct("*").alias("row"))
-    clean = secrets.redact_column(F.col("row.text"), REDACTED)
-    kept = marked.select(*[F.col("row")[c].alias(c) if c != "text" else clean.alias(c) for c in docs.columns])
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return secrets.redact(docs, REDACTED).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
