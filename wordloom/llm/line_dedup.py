@@ -12,9 +12,10 @@ earlier line stays.
 2. Equal sets are merged to their first line before anything is paired.
 3. Prefix filter: of sets ordered by rarity, two similar ones share a word
    among their first few.  These prefix words are shuffled as packed rows;
-   sets that meet on a word pass the length filter, the positional filter
-   and a parity signature (differing bits never exceed the words in which
-   two sets differ) or go.
+   a word that very many sets have there gives way to its pairs with the
+   words behind it.  Sets that meet pass the length filter, the positional
+   filter and a parity signature (differing bits never exceed the words in
+   which two sets differ) or go.
 4. A set needs only one earlier match, so it first offers its few best
    candidates; sets that these don't settle offer all of theirs.  A
    group of thousands of similar lines so costs rows in proportion to its size.
@@ -43,8 +44,11 @@ SLOT_RANGES = 64
 OFFERS = 2
 # Bits of the table of words (with the binary magnitude of the set's size) that unsettled sets have in their prefixes.
 WORD_BITS = 26
-# Postings of a word beyond this number are split into parts, pairs of parts are groups of their own.
+# A word that more sets have in their prefixes is hot.  Postings of a unit beyond this number are split into parts, pairs of parts are groups of their own.
 WORD_ROWS = 20_000
+# Sets of more words meet on hot words, not on pairs with them.
+LONG_SET = 64
+STEP_ROWS = 100_000
 BUCKET_ROWS = 150_000
 SPREAD = 0x9E3779B1
 _U = np.uint64
@@ -92,40 +96,59 @@ def _slots(word: np.ndarray) -> np.ndarray:
     return (word >> _U(64 - SLOT_BITS)).astype(np.int64)
 
 
-def word_table(docs: DataFrame) -> np.ndarray:
-    """Grade of rarity (0 to 255, by the logarithm of the count) of every hashed word slot, over all documents."""
+def _slot_table(rows: DataFrame, slots) -> tuple[np.ndarray, int]:
+    """Grades (0 to 255, eight to a doubling of the count) of all slots, and the sum of the counts; ``slots`` turns a task's batches into arrays of slots.
+
+    A task sends the slots it has seen with their counts, which are added up slot range by slot range.
+    """
     width = (1 << SLOT_BITS) // SLOT_RANGES
 
     def count(batches):
-        hasher, table = WordHasher(SPACE, lower=True), np.zeros(1 << SLOT_BITS, np.uint32)
-        for b in batches:
-            for first, last in text_slices(b, "text"):
-                slot = np.sort(_slots(hasher(utf8_texts(b.column("text").slice(first, last - first)))[0]))
-                edge = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else slot
-                table[slot[edge]] += np.diff(np.concatenate([edge, [len(slot)]])).astype(np.uint32)
-        table = np.minimum(table, 0xFFFF).astype("<u2")
-        ranges = np.flatnonzero(table.reshape(SLOT_RANGES, width).any(1))
-        for r in ranges:
-            yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([table[r * width:(r + 1) * width].tobytes()], pa.binary())], names)
+        table = np.zeros(1 << SLOT_BITS, np.uint32)
+        for slot in slots(batches):
+            slot, n = np.unique(slot, return_counts=True)
+            table[slot] += n.astype(np.uint32)
+        seen = np.flatnonzero(table)
+        edge = np.searchsorted(seen, np.arange(SLOT_RANGES + 1) * width)
+        for r in np.flatnonzero(np.diff(edge)):
+            part = seen[edge[r]:edge[r + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([(part % width).astype("<u4").tobytes()], pa.binary()), pa.array([table[part].tobytes()], pa.binary())],
+                                             ["range", "slots", "counts"])
 
     def add(key: Tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.uint64)
         for t in tables:
-            for raw in t.column("counts"):
-                total += np.frombuffer(raw.as_py(), "<u2")
+            for slot, n in zip(t.column("slots"), t.column("counts")):
+                total[np.frombuffer(slot.as_py(), "<u4")] += np.frombuffer(n.as_py(), "<u4")
         grade = np.minimum(255, np.log2(total + 1.0) * 8).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([grade.tobytes()], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([grade.tobytes()], pa.binary()), pa.array([int(total.sum())])], ["range", "grades", "total"])
 
-    names = ["range", "counts"]
-    parts = docs.select("text").mapInArrow(count, "range long, counts binary").groupBy("range").applyInArrow(add, "range long, counts binary")
-    table = np.zeros(1 << SLOT_BITS, np.uint8)
+    parts = rows.mapInArrow(count, "range long, slots binary, counts binary").groupBy("range").applyInArrow(add, "range long, grades binary, total long")
+    table, total = np.zeros(1 << SLOT_BITS, np.uint8), 0
     for r in parts.toLocalIterator():  # a table of fixed size, 4 MB
-        table[r["range"] * width:(r["range"] + 1) * width] = np.frombuffer(r["counts"], np.uint8)
-    return table
+        table[r["range"] * width:(r["range"] + 1) * width] = np.frombuffer(r["grades"], np.uint8)
+        total += r["total"]
+    return table, total
+
+
+def _at_most(grade: np.ndarray) -> np.ndarray:
+    """The greatest count that has the grade; it is within a tenth of the least."""
+    return np.exp2((grade.astype(float) + 1) / 8)
+
+
+def word_table(docs: DataFrame) -> np.ndarray:
+    """Grade of rarity (by the logarithm of the count) of every hashed word slot, over all documents."""
+    def slots(batches):
+        hasher = WordHasher(SPACE, lower=True)
+        for b in batches:
+            for first, last in text_slices(b, "text"):
+                yield _slots(hasher(utf8_texts(b.column("text").slice(first, last - first)))[0])
+
+    return _slot_table(docs.select("text"), slots)[0]
 
 
 def _line_rows(docs: DataFrame, table, num: int, den: int) -> DataFrame:
-    """A row for each line that has words: its place, its set's key, size and signature, and its prefix words."""
+    """A row for each line that has words: its place, its set's key, size and signature, and the words of its prefix and one more."""
     def run(batches):
         hasher, rare = WordHasher(SPACE, lower=True), table.value
         for b in batches:
@@ -134,7 +157,7 @@ def _line_rows(docs: DataFrame, table, num: int, den: int) -> DataFrame:
                 word, first = _ordered_sets(*hasher(lines), rare)
                 size = np.diff(first)
                 place = np.arange(len(word)) - np.repeat(first[:-1], size)
-                send = place <= np.repeat(size - -(-num * size // den), size)
+                send = place <= np.repeat(size - -(-num * size // den) + 1, size)
                 at = np.concatenate([[0], np.cumsum(send)])[first].astype(np.int32)
                 pre = pa.ListArray.from_arrays(pa.array(at), pa.array((word[send] >> _U(32)).astype(np.uint32).view(np.int32)))
                 scrambled = (word ^ _U(0xD6E8FEB86659FD93)) * _U(0xA0761D6478BD642F)
@@ -152,58 +175,120 @@ def _line_rows(docs: DataFrame, table, num: int, den: int) -> DataFrame:
     return docs.select("id", "version", "text").mapInArrow(run, "doc long, version long, line int, k1 long, k2 long, size int, sig0 long, sig1 long, pre array<int>")
 
 
-def _postings(sets: DataFrame, table, buckets: int, only=None) -> DataFrame:
-    """(bucket, rows): packed prefix postings of all sets (with ``only``, a bit table, of likely those words).  Words beyond WORD_ROWS lines are split into parts: each
-    posting has one part and goes to the groups of all pairs of parts with it, so a group has at most about 2 * WORD_ROWS rows of the word."""
+def _units(b: pa.RecordBatch, num: int, den: int, hot: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, unit, place) of what the sets of a batch meet others on: words of the prefix, and pairs of words instead of hot ones.
+
+    Two similar sets that differ share two words or more when the threshold is
+    above one half, and their first two shared words lie among the prefix and
+    one more word.  So a hot word of the prefix may be replaced by its pairs
+    with the words behind it.  Sets longer than LONG_SET keep the hot word,
+    and those that may be similar to shorter ones send both.  ``hot`` flags
+    the slots of hot words.
+    """
+    pre, size = b.column("pre"), b.column("size").to_numpy().astype(np.int64)
+    first = pre.offsets.to_numpy().astype(np.int64)
+    n = np.diff(first)
+    word = pre.values.to_numpy().view(np.uint32)[first[0]:first[-1]]
+    owner = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(word)) - np.repeat(first[:-1] - first[0], n)
+    # A set that is too short to be similar to any other than itself meets none.
+    last = np.where(size * den >= num * (size + 1), size - -(-num * size // den), -1)
+    inside = place <= last[owner]
+    if hot is None:
+        return owner[inside], word[inside], place[inside]
+    warm = inside & hot[word >> np.uint32(32 - SLOT_BITS)]
+    single = np.flatnonzero(inside & (~warm | (size[owner] > LONG_SET)))
+    lead = np.flatnonzero(warm & (size[owner] <= LONG_SET * den // num))
+    behind = n[owner[lead]] - 1 - place[lead]
+    one = np.repeat(lead, behind)
+    two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(behind) - behind, behind)
+    pair = (mix(word[one].astype(np.uint64) << _U(32) | word[two].astype(np.uint64)) >> _U(32)).astype(np.uint32)
+    # Of the shared words one lies before the second word, so the place of the word before it bounds what is shared.
+    return np.concatenate([owner[single], owner[one]]), np.concatenate([word[single], pair]), np.concatenate([place[single], place[two] - 1])
+
+
+def _unit_table(sets: DataFrame, num: int, den: int) -> tuple[np.ndarray, np.ndarray | None, int]:
+    """(grades of the units' slots by the sets that have them, slots of hot words or None, number of all units)."""
+    def counted(hot):
+        def slots(batches):
+            for b in batches:
+                yield (_units(b, num, den, None if hot is None else hot.value)[1] >> np.uint32(32 - SLOT_BITS)).astype(np.int64)
+        return _slot_table(sets.select("size", "pre"), slots)
+
+    grades, total = counted(None)
+    hot = _at_most(grades) > WORD_ROWS
+    if 2 * num == den or not hot.any():
+        return grades, None, total
+    grades, total = counted(sets.sparkSession.sparkContext.broadcast(hot))
+    return grades, hot, total
+
+
+def _postings(sets: DataFrame, units, num: int, den: int, buckets: int, only=None) -> DataFrame:
+    """(bucket, rows): packed postings of all sets (with ``only``, a bit table, of likely those units).  Units beyond WORD_ROWS sets are split into parts: each
+    posting has one part and goes to the groups of all pairs of parts with it, so a group has at most about 2 * WORD_ROWS rows of the unit."""
     def run(batches):
-        rare = table.value
+        grades, hot = units.value
         for b in batches:
-            pre = b.column("pre")
-            first = pre.offsets.to_numpy().astype(np.int64)
-            n = np.diff(first)
-            word = pre.values.to_numpy().view(np.uint32)[first[0]:first[-1]]
-            row = np.zeros(len(word), POSTING)
-            row["word"] = word
-            for f in ("doc", "version", "line", "size"):
-                row[f] = np.repeat(b.column(f).to_numpy(), n)
-            for i in (0, 1):
-                row["sig"][:, i] = np.repeat(b.column(f"sig{i}").to_numpy().view(np.uint64), n)
-            row["place"] = np.arange(len(word)) - np.repeat(first[:-1] - first[0], n)
-            # 2: meets all rows of its word in the group, 0 and 1: the rows of the other part; 4 more for a set that is still open
-            row["side"] = 2
+            owner, unit, place = _units(b, num, den, hot)
             if only is not None:
-                row["side"] += np.repeat(b.column("open").to_numpy(zero_copy_only=False).astype(np.uint8) * 4, n)
-                magnitude = np.frexp(row["size"].astype(np.float64))[1].astype(np.int64)
-                keep = has_bit(only.value, word.astype(np.int64) + magnitude * SPREAD)
-                row, word = row[keep], word[keep]
-            # The slot's count is at least the word's count; the grade gives it to within a tenth.
-            count = np.exp2((rare[word >> np.uint32(32 - SLOT_BITS)].astype(float) + 1) / 8)
-            parts = np.ceil(count / WORD_ROWS).astype(np.int64)
-            home = (word.astype(np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(20)) % _U(buckets)
-            home = home.astype(np.int64)
-            many = np.flatnonzero(parts > 1)
-            if len(many):
-                spread = np.repeat(many, parts[many])
-                step = np.arange(len(spread)) - np.repeat(np.cumsum(parts[many]) - parts[many], parts[many])
-                own = (row["doc"][spread].astype(np.uint64) * _U(0xD6E8FEB86659FD93) + row["version"][spread].astype(np.uint64) + row["line"][spread].astype(np.uint64) * _U(0xA0761D6478BD642F) >> _U(33)) % parts[spread].astype(np.uint64)
-                own, more = own.astype(np.int64), row[spread]
-                low, high = np.minimum(own, step), np.maximum(own, step)
-                more["side"] = (more["side"] & 4) + np.where(low == high, 2, own == high).astype(np.uint8)
-                # A pair of parts has a number of its own below 0.
-                pair = mix(mix(more["word"].astype(np.uint64) << _U(32) | low.astype(np.uint64)) ^ high.astype(np.uint64))
-                pair = -1 - (pair >> _U(2)).astype(np.int64)
-                few = np.flatnonzero(parts == 1)
-                row = np.concatenate([row[few], more])
-                home = np.concatenate([home[few], pair])
-            order = np.argsort(home, kind="stable")
-            row, home = row[order], home[order]
-            edge = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]])) if len(home) else np.zeros(1, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(home[edge[:-1]]), pa.array([row[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())],
-                                             ["bucket", "rows"])
+                magnitude = np.frexp(b.column("size").to_numpy().astype(np.float64))[1].astype(np.int64)
+                keep = has_bit(only.value, unit.astype(np.int64) + magnitude[owner] * SPREAD)
+                owner, unit, place = owner[keep], unit[keep], place[keep]
+            parts = np.ceil(_at_most(grades[unit >> np.uint32(32 - SLOT_BITS)]) / WORD_ROWS).astype(np.int64)
+            # A step makes about STEP_ROWS rows, copies for the parts counted.
+            rows_out = np.cumsum(parts)
+            at = 0
+            while at < len(owner):
+                end = max(at + 1, int(np.searchsorted(rows_out, (rows_out[at - 1] if at else 0) + STEP_ROWS, side="right")))
+                yield packed(b, owner[at:end], unit[at:end], place[at:end], parts[at:end])
+                at = end
+
+    def packed(b, owner, unit, place, parts):
+        row = np.zeros(len(unit), POSTING)
+        row["word"], row["place"] = unit, place
+        for f in ("doc", "version", "line", "size"):
+            row[f] = b.column(f).to_numpy()[owner]
+        for i in (0, 1):
+            row["sig"][:, i] = b.column(f"sig{i}").to_numpy().view(np.uint64)[owner]
+        # 2: meets all rows of its unit in the group, 0 and 1: the rows of the other part; 4 more for a set that is still open
+        row["side"] = 2
+        if only is not None:
+            row["side"] += b.column("open").to_numpy(zero_copy_only=False).astype(np.uint8)[owner] * 4
+        home = ((unit.astype(np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(20)) % _U(buckets)).astype(np.int64)
+        many = np.flatnonzero(parts > 1)
+        if len(many):
+            spread = np.repeat(many, parts[many])
+            step = np.arange(len(spread)) - np.repeat(np.cumsum(parts[many]) - parts[many], parts[many])
+            own = (row["doc"][spread].astype(np.uint64) * _U(0xD6E8FEB86659FD93) + row["version"][spread].astype(np.uint64) + row["line"][spread].astype(np.uint64) * _U(0xA0761D6478BD642F) >> _U(33)) % parts[spread].astype(np.uint64)
+            own, more = own.astype(np.int64), row[spread]
+            low, high = np.minimum(own, step), np.maximum(own, step)
+            more["side"] = (more["side"] & 4) + np.where(low == high, 2, own == high).astype(np.uint8)
+            # A pair of parts has a number of its own below 0.
+            pair = mix(mix(more["word"].astype(np.uint64) << _U(32) | low.astype(np.uint64)) ^ high.astype(np.uint64))
+            pair = -1 - (pair >> _U(2)).astype(np.int64)
+            few = np.flatnonzero(parts == 1)
+            row = np.concatenate([row[few], more])
+            home = np.concatenate([home[few], pair])
+        order = np.argsort(home, kind="stable")
+        row, home = row[order], home[order]
+        edge = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]]))
+        return pa.RecordBatch.from_arrays([pa.array(home[edge[:-1]]), pa.array([row[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())], ["bucket", "rows"])
 
     return sets.select("doc", "version", "line", "size", "sig0", "sig1", "pre", *(["open"] if only is not None else [])).mapInArrow(run, "bucket long, rows binary")
 
 
+def _open_units(sets: DataFrame, units, num: int, den: int) -> DataFrame:
+    """(w): keys of the units of ``sets`` with each magnitude of size that a similar set may have."""
+    def run(batches):
+        for b in batches:
+            owner, unit, _ = _units(b, num, den, units.value[1])
+            # Similar sets differ by less than a factor of two in size: magnitudes next to each other.
+            magnitude = np.frexp(b.column("size").to_numpy().astype(np.float64))[1].astype(np.int64)[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([unit.astype(np.int64) + (magnitude + d) * SPREAD for d in (-1, 0, 1)])))], ["w"])
+
+    return sets.select("size", "pre").mapInArrow(run, "w long")
+
+
 PLACE = ["doc", "version", "line"]
 PAIR = "u_doc long, u_version long, u_line int, v_doc long, v_version long, v_line int, far int, more boolean"
 # Pairs that one numpy step looks at.
@@ -335,9 +420,10 @@ def _repeated(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 
     # One row a set: its first line.
     sets = written(lines.groupBy("k1", "k2").agg(F.min(F.struct(*PLACE, "size", "sig0", "sig1", "pre")).alias("x")).select("k1", "k2", "x.*"), "line_set_table")
-    total = sets.agg(F.sum(F.size("pre"))).first()[0] or 0
+    grades, hot, total = _unit_table(sets, num, den)
+    units = spark.sparkContext.broadcast((grades, hot))
     buckets = max(8, total // BUCKET_ROWS)
-    postings = _postings(sets, table, buckets)
+    postings = _postings(sets, units, num, den, buckets)
     offered = written(_offered(_meet(postings, num, den, OFFERS), OFFERS), "line_pairs")
     found = written(_verified(offered, docs, num, den), "found_lines")
 
@@ -345,14 +431,10 @@ def _repeated(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     open_ = written(offered.where("more").select(*(F.col(f"u_{c}").alias(c) for c in PLACE)).distinct()
                     .join(found, PLACE, "left_anti").join(sets, PLACE).select(*PLACE, "size", "pre"), "open_lines")
     if not open_.isEmpty():
-        # Similar sets differ by less than a factor of two in size (the threshold is above one half): magnitudes next to each other.
-        words = open_.select(F.explode("pre").alias("w"), F.length(F.bin("size")).alias("b")) \
-            .select(F.col("w").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("w"), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b")) \
-            .select((F.col("w") + F.col("b") * F.lit(SPREAD)).alias("w"))
-        only = spark.sparkContext.broadcast(bit_table(words, "w", WORD_BITS))
+        only = spark.sparkContext.broadcast(bit_table(_open_units(open_, units, num, den), "w", WORD_BITS))
         pair = [f"{s}_{c}" for s in "uv" for c in PLACE]
         flagged = sets.join(open_.select(*PLACE, F.lit(True).alias("open")), PLACE, "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        rest = _meet(_postings(flagged, table, buckets, only), num, den, 0).select(*pair).distinct().join(offered, pair, "left_anti")
+        rest = _meet(_postings(flagged, units, num, den, buckets, only), num, den, 0).select(*pair).distinct().join(offered, pair, "left_anti")
         found = found.unionByName(_verified(written(rest, "line_pairs"), docs, num, den))
 
     # A set's later lines go, and its first line too if it was found.
