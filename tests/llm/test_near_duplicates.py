@@ -143,6 +143,20 @@ def test_groups_of_a_hot_word_are_bounded(docs, monkeypatch):
     assert max(seen) <= 150, sorted(seen)[-5:]
 
 
+def test_hot_words_meet_as_pairs(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "WORD_ROWS", 6)
+    monkeypatch.setattr(line_dedup, "LONG_SET", 8)  # sets on both sides, and those that send words and pairs
+    rng = random.Random(11)
+    texts = []
+    for _ in range(120):
+        words = [f"h{k}" for k in range(rng.randrange(3, 16))]
+        words[rng.randrange(len(words))] = f"z{rng.randrange(12)}"
+        texts.append(" ".join(words))
+    assert {(r.doc, r.line) for r in line_dedup.repeated_lines(docs(texts)).collect()} == repeated(texts)
+    half = ["a b", "a", "b c d", "b c", "e f g", "f e"]
+    assert {(r.doc, r.line) for r in line_dedup.repeated_lines(docs(half), threshold=(1, 2)).collect()} == {(1, 0), (3, 0), (5, 0)}
+
+
 def removed(texts, window):
     words = [(t or "").encode().split() for t in texts]
     count = {}
@@ -181,9 +195,9 @@ def test_substrings(docs, limit, monkeypatch):
 
 def test_rows_that_share_an_id(docs, spark):
     passage, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "pq")
-    rows = [(1, f"{passage} tail"), (1, "short"), (1, f"own {other}"), (2, f"{other} end"), (2, f"{other} end"), (3, passage), (None, passage)]
+    rows = [(1, f"{passage} tail"), (1, "short"), (1, f"own {other}"), (2, f"{other} end"), (2, f"{other} end"), (3, passage), (None, passage), (None, "solo"), (0, passage)]
     got = sorted((r.id or 0, r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(docs(rows)).collect())
-    assert got == [(0, 40, 0), (1, 1, 0), (1, 41, 40), (1, 41, 40), (2, 41, 41), (2, 41, 41), (3, 40, 40)]
+    assert got == [(0, 1, 0), (0, 40, 40), (0, 40, 40), (1, 1, 0), (1, 41, 40), (1, 41, 40), (2, 41, 41), (2, 41, 41), (3, 40, 40)]
 
     rows = [(1, "a b c d e\nf g h i j"), (1, "k l m n o"), (2, "u v w x y\n\nz z1 z2 z3"), (2, "u v w x y\n\nz z1 z2 z3"), (2, "u v w x y\n\nz z1 z2 z3"),
             (3, "k l m n o\nnew one here"), (4, None), (4, None), (None, "k l m n o"), (None, "k l m n o")]

@@ -178,18 +178,25 @@ def _window_masks(reference: DataFrame, window: int) -> DataFrame:
     return rows.join(often, ["a", "h"]).groupBy("a", "e").agg(F.expr("bit_or(shiftleft(cast(1 as bigint), i))").alias("mask"))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, id, version, text): the row's own id, and a key of it and its text; a null id is keyed by its text alone."""
+    text, own = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    version = F.when(own.isNull(), F.xxhash64(text, F.lit("null id"))).otherwise(F.xxhash64(text))
+    return docs.select(own.alias("doc"), F.coalesce(own, F.lit(0)).alias("id"), version.alias("version"), text.alias("text"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
     """(id, version, starts array<long>, masks array<long>): bit i of a mask tells that the window at start + i is repeated.
 
     Only documents with repeated windows have a row.  Null texts have no
     words.  ``version`` is a hash of the text: texts with the same id have a
     row each, windows of repeated rows (the same id and text) repeat each other.
+    Rows with a null id count like any other; their ``id`` is 0 here and their ``version`` another hash of the text.
     """
     if not ANCHOR < window < ANCHOR + 63:
         raise ValueError("the window must be longer than an anchor, and a segment's windows must fit in 63 bits")
     spark = docs.sparkSession
-    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
-        .withColumn("version", F.xxhash64("text"))
+    docs = _keyed(docs, id_col, text_col).drop("doc")
     counts = _count_segments(docs, window).groupBy("a", "e").agg(F.sum("n").alias("n"))
     kinds = written(counts, "segment_counts")
     anchors = written(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).where("total >= 2"), "anchors")
@@ -230,11 +237,10 @@ def _removed(n: int, starts, masks, window: int) -> np.ndarray:
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, keep_text: bool = True) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256[, kept]) for every row: its words without the repeated passages, joined by one space.
 
-    Null and empty texts have no words; rows with a null id lose none.
+    Null and empty texts have no words; rows with a null id lose theirs like any other.
     """
     spans = written(repeated_spans(docs, id_col, text_col, window), "spans")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
-        .withColumn("version", F.xxhash64("text"))
+    rows = _keyed(docs, id_col, text_col)
 
     def run(batches):
         for b in batches:
@@ -248,12 +254,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                         gone = _removed(n, starts, masks, window).tolist()
                         words = [w for w, g in zip(words, gone) if not g]
                     out.append((n, n - len(words), b" ".join(words)))
-                columns = [part.column("id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
+                columns = [part.column("doc"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
                            pa.array([hashlib.sha256(x[2]).hexdigest() for x in out], pa.string())]
                 if keep_text:
                     columns.append(pa.array([x[2].decode("utf-8", "replace") for x in out], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
-    return left_join_some(rows, spans, "id", "version").select("id", "text", "starts", "masks") \
+    return left_join_some(rows, spans, "id", "version").select("doc", "text", "starts", "masks") \
         .mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
