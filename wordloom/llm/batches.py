@@ -26,6 +26,39 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20):
         first = last
 
 
+def small_batches(spark) -> None:
+    """Let Spark send 1,000 rows at a time to Python, unless the session says otherwise than the default of 10,000.
+
+    Rows hold whole texts; every task has a few batches in memory at once, in Java and in Python.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
+def merged(batches, rows: int):
+    """The same rows in batches of about ``rows`` and more."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def planes(rows: np.ndarray) -> bytes:
+    """The first bytes of all rows, then all second bytes, and so on: equal high bytes stand together and compress well."""
+    rows = np.ascontiguousarray(rows)
+    return rows.view(np.uint8).reshape(len(rows), rows.dtype.itemsize).T.tobytes()
+
+
+def from_planes(raw: bytes, dtype: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, -1).T).view(dtype)[:, 0]
+
+
 def utf8_texts(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8 bytes, null as empty."""
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.batches import SPACE, WordHasher, as_long, mix, text_slices, utf8_texts
+from wordloom.llm.batches import SPACE, WordHasher, as_long, from_planes, merged, mix, planes, small_batches, text_slices, utf8_texts
 from wordloom.llm.graph import written
 from wordloom.llm.row_keys import with_row_keys
 from wordloom.llm.sieve import bit_table, has_bit, left_join_some, likely_in
@@ -49,6 +49,7 @@ WORD_ROWS = 20_000
 # Sets of more words meet on hot words, not on pairs with them.
 LONG_SET = 64
 STEP_ROWS = 100_000
+SET_ROWS = 10_000
 BUCKET_ROWS = 150_000
 SPREAD = 0x9E3779B1
 _U = np.uint64
@@ -112,14 +113,14 @@ def _slot_table(rows: DataFrame, slots) -> tuple[np.ndarray, int]:
         edge = np.searchsorted(seen, np.arange(SLOT_RANGES + 1) * width)
         for r in np.flatnonzero(np.diff(edge)):
             part = seen[edge[r]:edge[r + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([(part % width).astype("<u4").tobytes()], pa.binary()), pa.array([table[part].tobytes()], pa.binary())],
+            yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([(part % width).astype("<u2").tobytes()], pa.binary()), pa.array([planes(table[part])], pa.binary())],
                                              ["range", "slots", "counts"])
 
     def add(key: Tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.uint64)
         for t in tables:
             for slot, n in zip(t.column("slots"), t.column("counts")):
-                total[np.frombuffer(slot.as_py(), "<u4")] += np.frombuffer(n.as_py(), "<u4")
+                total[np.frombuffer(slot.as_py(), "<u2")] += from_planes(n.as_py(), np.dtype("<u4"))
         grade = np.minimum(255, np.log2(total + 1.0) * 8).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([grade.tobytes()], pa.binary()), pa.array([int(total.sum())])], ["range", "grades", "total"])
 
@@ -228,7 +229,7 @@ def _postings(sets: DataFrame, units, num: int, den: int, buckets: int, only=Non
     posting has one part and goes to the groups of all pairs of parts with it, so a group has at most about 2 * WORD_ROWS rows of the unit."""
     def run(batches):
         grades, hot = units.value
-        for b in batches:
+        for b in merged(batches, SET_ROWS):
             owner, unit, place = _units(b, num, den, hot)
             if only is not None:
                 magnitude = np.frexp(b.column("size").to_numpy().astype(np.float64))[1].astype(np.int64)
@@ -272,7 +273,7 @@ def _postings(sets: DataFrame, units, num: int, den: int, buckets: int, only=Non
         order = np.argsort(home, kind="stable")
         row, home = row[order], home[order]
         edge = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]]))
-        return pa.RecordBatch.from_arrays([pa.array(home[edge[:-1]]), pa.array([row[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())], ["bucket", "rows"])
+        return pa.RecordBatch.from_arrays([pa.array(home[edge[:-1]]), pa.array([planes(row[i:j]) for i, j in zip(edge[:-1], edge[1:])], pa.binary())], ["bucket", "rows"])
 
     return sets.select("doc", "version", "line", "size", "sig0", "sig1", "pre", *(["open"] if only is not None else [])).mapInArrow(run, "bucket long, rows binary")
 
@@ -300,10 +301,10 @@ def _meet(postings: DataFrame, num: int, den: int, offers: int) -> DataFrame:
 
     ``far`` is the signatures' distance; ``more`` tells that u had others.  Without ``offers`` only open sets are a u.
     """
-    def block(rows, size, sig, i, start, above):
-        """Pairs of the rows i and the ``above`` rows from each one's ``start``."""
+    def block(rows, size, sig, among, i, start, above):
+        """Pairs of the rows i and the ``above`` rows from each one's ``start`` in ``among``."""
         x = np.repeat(i, above)
-        y = np.arange(len(x)) - np.repeat(np.cumsum(above) - above - start, above)
+        y = among[np.arange(len(x)) - np.repeat(np.cumsum(above) - above - start, above)]
         far = np.bitwise_count(sig[0][x] ^ sig[0][y]).astype(np.int32) + np.bitwise_count(sig[1][x] ^ sig[1][y])
         both = size[x] + size[y]
         need = -(-num * both // (num + den))
@@ -332,7 +333,7 @@ def _meet(postings: DataFrame, num: int, den: int, offers: int) -> DataFrame:
                                           ["u_doc", "u_version", "u_line", "v_doc", "v_version", "v_line", "far", "more"])
 
     def run(key: Tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.frombuffer(b"".join(x.as_py() for t in tables for x in t.column("rows")), POSTING)
+        rows = np.concatenate([from_planes(x.as_py(), POSTING) for t in tables for x in t.column("rows")])
         rows = rows[np.lexsort((rows["line"], rows["version"], rows["doc"], rows["size"], rows["side"] & 3, rows["word"]))]
         size, sig, side = rows["size"].astype(np.int64), rows["sig"].T.copy(), (rows["side"] & 3).astype(np.int64)
         # By word, side and size: the partners of a row are the rows from its size to the greatest that fits, behind it or on the other side
@@ -341,14 +342,24 @@ def _meet(postings: DataFrame, num: int, den: int, offers: int) -> DataFrame:
         key, other = word | side << 32 | size, word | np.array([1, 0, 2])[side] << 32
         start = np.where(side == 2, np.arange(len(rows)) + 1, np.searchsorted(key, (other | size) + (side == 1), side="left"))
         above = np.searchsorted(key, other | np.minimum(size * den // num, 0x7FFFFFFF), side="right") - start
-        i = np.flatnonzero(above > 0)
-        total = np.cumsum(above[i])
-        at = 0
-        while at < len(i):
-            done = total[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(total, done + AREA, side="right")))
-            yield block(rows, size, sig, i[at:end], start[i[at:end]], above[i[at:end]])
-            at = end
+        every = np.arange(len(rows))
+        if offers:
+            asks = [(every, every, start, above)]
+        else:  # pairs with an open set: an open row meets all its partners, any other row its open partners
+            still = rows["side"] >= 4
+            askers, others, place = np.flatnonzero(still), np.flatnonzero(~still), np.concatenate([[0], np.cumsum(still)])
+            asks = [(every, askers, start[askers], above[askers]),
+                    (askers, others, place[start[others]], place[start[others] + np.maximum(above[others], 0)] - place[start[others]])]
+        for among, i, start, above in asks:
+            some = np.flatnonzero(above > 0)
+            i, start, above = i[some], start[some], above[some]
+            total = np.cumsum(above)
+            at = 0
+            while at < len(i):
+                done = total[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(total, done + AREA, side="right")))
+                yield block(rows, size, sig, among, i[at:end], start[at:end], above[at:end])
+                at = end
 
     return postings.groupBy("bucket").applyInArrow(run, PAIR)
 
@@ -414,6 +425,7 @@ def _repeated(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     if 2 * threshold[0] < threshold[1]:
         raise ValueError("the threshold must be at least one half")
     spark, (num, den) = docs.sparkSession, threshold
+    small_batches(spark)
     docs = docs.where("id is not null and not again").select("id", "version", "text")
     table = spark.sparkContext.broadcast(word_table(docs))
     lines = written(_line_rows(docs, table, num, den), "lines")
