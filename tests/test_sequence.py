@@ -112,3 +112,50 @@ def test_large_dictionaries_are_joined(spark, monkeypatch):
     plan = FE.with_pos_array(df, "tokens", lexicon)._jdf.queryExecution().optimizedPlan().toString()
     aggregates = [line for line in plan.splitlines() if "Aggregate [_k1" in line]
     assert aggregates and not any("tokens#" in line or "y#" in line.replace("key#", "") for line in aggregates) and "from_json" not in plan
+
+
+def test_objective_is_the_gradient_of_the_features(spark):
+    """Records of neighbours give the same features, loss and gradient as features written out one by one."""
+    rng = np.random.default_rng(2)
+    words = ["sink", "door", "a", "the", "of", "lobby", "x1.", "it's", "b,"]
+    rows = [(i, [str(w) for w in rng.choice(words, n)], [int(v) for v in rng.integers(0, 8, n)]) for i, n in enumerate([1, 1, 2, 3, 3, 7, 40, 0, 3])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, y array<int>")
+    lexicon = spark.createDataFrame([("sink", "NN"), ("a", "DT"), ("of", "IN")], "word string, tag string")
+    for optional in ((), ("word", "case")):
+        enc = SQ.with_features(df, "tokens", lexicon, optional).collect()
+        objective = SQ.Objective(df, lexicon=lexicon, optional=optional)
+        assert objective.features == sorted({k for r in enc for k in r.fkey})
+        number = {k: i for i, k in enumerate(objective.features)}
+        x = rng.normal(size=objective.size)
+        W, A = objective.split(x)
+        loss, G, GA = SQ.batch_gradient(W, A, [r.ntok for r in enc], [r.ftok for r in enc], [[number[k] for k in r.fkey] for r in enc],
+                                        [r.fval for r in enc], [r.y for r in enc])
+        got, grad = objective(x)
+        assert np.isclose(got, loss + 0.005 * x @ x) and np.allclose(grad, np.concatenate([G.ravel(), GA.ravel()]) + 0.01 * x)
+
+
+def test_products_are_the_sums_of_logarithms():
+    rng = np.random.default_rng(4)
+    for spread in (1, 50, 5000):  # the last one is beyond what products hold
+        E, A = rng.normal(size=(5, 9, 4)) * spread, rng.normal(size=(4, 4)) * spread
+        for a, b in zip(SQ.forward_backward_batch(E, A), SQ._forward_backward_logs(E, A)):
+            assert np.allclose(a, b)
+
+
+def test_decoding_grows_with_the_text(spark):
+    """A state that grows with the text is copied at every step: 16 times the tokens of a text took far more than the same tokens in 16 texts."""
+    import time
+
+    from pyspark.sql import functions as F
+    A = np.random.default_rng(1).normal(size=(8, 8))
+
+    def seconds(texts, tokens):
+        e = spark.range(texts).repartition(1).select(F.transform(F.sequence(F.lit(1), F.lit(tokens)), lambda i: F.array(*[F.hash("id", i, F.lit(j)) / 1e9 for j in range(8)])).alias("e")).localCheckpoint()
+        took = []
+        for _ in range(2):
+            at = time.time()
+            assert e.agg(F.sum(F.size(SQ.viterbi_column(F.col("e"), A)))).first()[0] == texts * tokens
+            took.append(time.time() - at)
+        return min(took)
+
+    assert seconds(1, 16000) < 4 * seconds(16, 1000) + 2

@@ -11,13 +11,14 @@ as there are words.
   weights, those of ``name:value`` features are looked up within the row (see
   `lookup`); the best path is two folds over the scores.  No Python, no
   shuffle, the same on a stream.
-* fit: the items are flattened per text into three arrays, ``ftok`` (token
-  position), ``fidx`` (the feature's number) and ``fval`` (value).  Conditional
-  log-likelihood with L2, minimised by L-BFGS until the loss no longer falls.
-  Each evaluation is one distributed pass: ``mapInPandas`` runs
-  forward-backward per text and adds up the gradient in blocks of features; a
-  grouped sum adds the touched blocks of all tasks, and only that sum (bounded
-  by the model's size) reaches the driver.
+* fit: every token's own record is stored once, as numbers and the numbers of
+  its ``name:value`` features; a token's score adds the shares of its own and
+  both neighbours' records.  Conditional log-likelihood with L2, minimised by
+  L-BFGS until the loss no longer falls.  Each evaluation is one distributed
+  pass: ``mapInArrow`` runs forward-backward over texts of one length at a time
+  and adds up the gradient in blocks of features; a grouped sum adds the
+  touched blocks of all tasks, and only that sum (bounded by the model's size)
+  reaches the driver.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from dataclasses import dataclass, field
 from typing import Tuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +36,7 @@ from wordloom import fixed
 from wordloom.functions import text as T
 from wordloom.operators import features as FE
 from wordloom.operators.lookup import with_lookup
-from wordloom.session import ensure_checkpoint_dir
+from wordloom.session import stage_path
 
 # ---------------------------------------------------------------------------
 # feature encoding
@@ -221,11 +221,11 @@ def forward_backward(E: np.ndarray, A: np.ndarray):
     return float(logz), marg, pair
 
 
-def forward_backward_batch(E: np.ndarray, A: np.ndarray):
-    """``forward_backward`` for a batch of equal-length texts: E is [B, n, L].
+# Scores that lie further apart (as logarithms) are added up as logarithms: products of their exponentials would run out of a double.
+PRODUCT_RANGE = 600.0
 
-    Returns log Z [B], marginals [B, n, L] and pair marginals summed over the batch [L, L].
-    """
+
+def _forward_backward_logs(E: np.ndarray, A: np.ndarray):
     B, n, L = E.shape
     alpha = np.zeros((B, n, L))
     beta = np.zeros((B, n, L))
@@ -243,39 +243,62 @@ def forward_backward_batch(E: np.ndarray, A: np.ndarray):
     return logz, marg, pair
 
 
+def forward_backward_batch(E: np.ndarray, A: np.ndarray):
+    """``forward_backward`` for a batch of equal-length texts: E is [B, n, L].
+
+    Returns log Z [B], marginals [B, n, L] and pair marginals summed over the batch [L, L].
+    A step multiplies by exp(A) and scales to a sum of 1; no label's share of a step falls below exp(-PRODUCT_RANGE).
+    """
+    B, n, L = E.shape
+    top = E.max(axis=2)
+    if not A.max() - A.min() + (top - E.min(axis=2)).max() < PRODUCT_RANGE:
+        return _forward_backward_logs(E, A)
+    P, M = np.exp(E - top[:, :, None]), np.exp(A - A.max())
+    alpha, beta, scale = np.empty((B, n, L)), np.ones((B, n, L)), np.empty((B, n))
+    for t in range(n):
+        alpha[:, t] = P[:, t] if t == 0 else (alpha[:, t - 1] @ M) * P[:, t]
+        scale[:, t] = alpha[:, t].sum(axis=1)
+        alpha[:, t] /= scale[:, t, None]
+    pair = np.zeros((L, L))
+    for t in range(n - 1, 0, -1):
+        ahead = P[:, t] * beta[:, t] / scale[:, t, None]
+        beta[:, t - 1] = ahead @ M.T
+        pair += M * (alpha[:, t - 1].T @ ahead)
+    return np.log(scale).sum(axis=1) + top.sum(axis=1) + (n - 1) * A.max(), alpha * beta, pair
+
+
+def label_errors(E: np.ndarray, A: np.ndarray, ntok, y: np.ndarray):
+    """Loss of a batch of texts, its derivative by every token's scores, and by the transitions.
+
+    ``E`` and ``y`` hold the texts' tokens one behind the other; texts of one length are worked on together.
+    """
+    ntok, y = np.asarray(ntok, np.int64), np.asarray(y, np.int64)
+    begin = np.cumsum(ntok) - ntok
+    loss, D, GA = 0.0, np.zeros_like(E), np.zeros_like(A)
+    for n in np.unique(ntok[ntok > 0]):
+        rows = begin[ntok == n][:, None] + np.arange(n)  # [B, n]
+        e, Y = E[rows], y[rows]
+        logz, d, pair = forward_backward_batch(e, A)
+        gold = np.take_along_axis(e, Y[:, :, None], 2)[:, :, 0].sum(1) + A[Y[:, :-1], Y[:, 1:]].sum(1)
+        loss += float((logz - gold).sum())
+        np.put_along_axis(d, Y[:, :, None], np.take_along_axis(d, Y[:, :, None], 2) - 1.0, 2)
+        D[rows] = d
+        GA += pair - np.bincount((Y[:, :-1] * len(A) + Y[:, 1:]).ravel(), minlength=A.size).reshape(A.shape)
+    return loss, D, GA
+
+
 def batch_gradient(W: np.ndarray, A: np.ndarray, ntok, ftok, fidx, fval, ys):
-    """Loss and gradients of a batch of texts (numpy, grouped by length)."""
+    """Loss and gradients of a batch of texts, given by their features one by one."""
     L = W.shape[1]
     G = np.zeros_like(W)
-    GA = np.zeros_like(A)
-    loss = 0.0
-    ntok = [int(n) for n in ntok]
-    offs = np.concatenate([[0], np.cumsum(ntok)]).astype(np.int64)
-    tok = np.concatenate([np.asarray(a, dtype=np.int64) + offs[i] for i, a in enumerate(ftok)] or [np.zeros(0, np.int64)])
-    idx = np.concatenate([np.asarray(b, dtype=np.int64) for b in fidx] or [np.zeros(0, np.int64)])
-    val = np.concatenate([np.asarray(c, dtype=np.float64) for c in fval] or [np.zeros(0)])
-    Eall = _segment_sum(val[:, None] * W[idx], tok, int(offs[-1])) if len(idx) else np.zeros((int(offs[-1]), L))
-    Dall = np.zeros_like(Eall)
-    yall = np.concatenate([np.asarray(y, dtype=np.int64) for y in ys] or [np.zeros(0, np.int64)])
-    by_len: dict[int, list[int]] = {}
-    for i, n in enumerate(ntok):
-        if n > 0:
-            by_len.setdefault(n, []).append(i)
-    for n, members in by_len.items():
-        rows = np.stack([np.arange(offs[i], offs[i] + n) for i in members])  # [B, n]
-        E = Eall[rows]
-        Y = yall[rows]
-        logz, marg, pair = forward_backward_batch(E, A)
-        gold = np.take_along_axis(E, Y[:, :, None], 2)[:, :, 0].sum(1) + A[Y[:, :-1], Y[:, 1:]].sum(1)
-        loss += float((logz - gold).sum())
-        d = marg
-        np.put_along_axis(d, Y[:, :, None], np.take_along_axis(d, Y[:, :, None], 2) - 1.0, 2)
-        Dall[rows] = d
-        emp = np.zeros_like(A)
-        np.add.at(emp, (Y[:, :-1].ravel(), Y[:, 1:].ravel()), 1.0)
-        GA += pair - emp
+    offs = np.concatenate([[0], np.cumsum([int(n) for n in ntok])]).astype(np.int64)
+    joined = lambda parts, kind: np.concatenate([np.asarray(a, dtype=kind) for a in parts] or [np.zeros(0, kind)])
+    tok = joined([np.asarray(a, np.int64) + offs[i] for i, a in enumerate(ftok)], np.int64)
+    idx, val = joined(fidx, np.int64), joined(fval, np.float64)
+    E = _segment_sum(val[:, None] * W[idx], tok, int(offs[-1])) if len(idx) else np.zeros((int(offs[-1]), L))
+    loss, D, GA = label_errors(E, A, ntok, joined(ys, np.int64))
     if len(idx):
-        contrib = val[:, None] * Dall[tok]
+        contrib = val[:, None] * D[tok]
         for j in range(L):
             G[:, j] += np.bincount(idx, weights=contrib[:, j], minlength=G.shape[0])
     return loss, G, GA
@@ -291,20 +314,8 @@ def sequence_nll(E: np.ndarray, A: np.ndarray, y: np.ndarray) -> float:
 # SEQ-2 / SEQ-3: decode
 # ---------------------------------------------------------------------------
 
-# Entries that a growing array gets before it is put away whole: appending copies an array.
-GROW = 128
-
-
-def _grown(state: Column, x: Column) -> dict[str, Column]:
-    """``tail`` and ``done`` of a fold's state with one more entry (all of them: flatten(done) and then tail)."""
-    tail = F.array_append(state["tail"], x)
-    full = F.size(state["tail"]) >= GROW - 1
-    return {"tail": F.when(full, F.slice(state["tail"], 1, 0)).otherwise(tail),
-            "done": F.when(full, F.array_append(state["done"], tail)).otherwise(state["done"])}
-
-
-def _all(state: Column) -> Column:
-    return F.flatten(F.array_append(state["done"], state["tail"]))
+# Steps of a text that one inner fold walks: a fold's state is copied at every step, so it must not grow with the text.
+STEPS = 128
 
 
 def score_column(records: Column, model: SequenceModel, find) -> Column:
@@ -351,38 +362,46 @@ def viterbi_column(scores: Column, A: np.ndarray) -> Column:
     """Label numbers of the best path over ``scores`` (array<array<double>>); ties go to the smaller number.
 
     The first fold keeps the labels' best scores and, for each token, the label before; the second walks these back.
+    Both go ``STEPS`` tokens at a time: the labels of such a piece are one string, a character each.
     """
     L = len(A)
     none = lambda kind: F.array().cast(kind)
+    number = lambda c: F.ascii(c) - ord("0")
 
     def first_of(value, best):
-        """The first i whose ``value(i)`` is the best."""
-        out = F.lit(L - 1)
+        """The first i whose ``value(i)`` is the best, as a character."""
+        out = F.lit(chr(ord("0") + L - 1))
         for i in reversed(range(L - 1)):
-            out = F.when(value(i) >= best, F.lit(i)).otherwise(out)
+            out = F.when(value(i) >= best, F.lit(chr(ord("0") + i))).otherwise(out)
         return out
 
     def path(e):
-        # `let` copies what it returns, so the growing arrays stay outside of it: a step puts away the labels of the step before.
         def forward(acc, x):
-            come = lambda i, j: F.get(acc["m"]["s"], i) + F.lit(float(A[i, j])) if A[i, j] else F.get(acc["m"]["s"], i)
+            come = lambda i, j: F.get(acc["s"], i) + F.lit(float(A[i, j])) if A[i, j] else F.get(acc["s"], i)
             best = F.array(*[F.greatest(*[come(i, j) for i in range(L)]) if L > 1 else come(0, j) for j in range(L)])
-            m = T.let(best, lambda b: T.nstruct(s=F.array(*[F.get(b, j) + F.get(x, j) for j in range(L)]),
-                                                back=F.array(*[first_of(lambda i, j=j: come(i, j), F.get(b, j)) for j in range(L)])))
-            return T.nstruct(m=m, **_grown(acc, acc["m"]["back"]))
-
-        def backward(acc, back):
-            at = F.get(back, acc["at"])
-            return T.nstruct(at=at, **_grown(acc, at))
-
-        start = T.nstruct(m=T.nstruct(s=F.get(e, 0), back=none("array<int>")), tail=none("array<array<int>>"), done=none("array<array<array<int>>>"))
-        ahead = F.aggregate(F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))), start, forward,
-                            lambda acc: T.nstruct(s=acc["m"]["s"], back=F.array_append(_all(acc), acc["m"]["back"])))
-        last_of = lambda v: F.array_position(v["s"], F.array_max(v["s"])).cast("int") - 1
-        # the first token has no label before it
-        return T.let(ahead, lambda v: T.let(last_of(v), lambda last: F.aggregate(
-            F.reverse(F.slice(v["back"], 2, F.size(v["back"]) - 1)), T.nstruct(at=last, tail=F.array(last), done=none("array<array<int>>")), backward,
-            lambda acc: F.reverse(_all(acc)))))
+            return T.let(best, lambda b: T.nstruct(s=F.array(*[F.get(b, j) + F.get(x, j) for j in range(L)]),
+                                                   tail=F.concat(acc["tail"], *[first_of(lambda i, j=j: come(i, j), F.get(b, j)) for j in range(L)])))
+
+        def forward_piece(acc, at):
+            walked = F.aggregate(F.slice(e, at + 1, F.lit(STEPS)), T.nstruct(s=acc["s"], tail=F.lit("")), forward)
+            return T.let(walked, lambda w: T.nstruct(s=w["s"], done=F.array_append(acc["done"], w["tail"])))
+
+        def backward_piece(acc, before):
+            """Labels of the tokens before those of the piece, from the last to the first."""
+            def backward(own, i):
+                at = F.substr(before, i * L + number(own["at"]) + 1, F.lit(1))
+                return T.let(at, lambda c: T.nstruct(at=c, tail=F.concat(c, own["tail"])))
+
+            steps = F.sequence((F.length(before) / L).cast("int") - 1, F.lit(0), F.lit(-1))
+            return T.let(F.aggregate(steps, T.nstruct(at=acc["at"], tail=F.lit("")), backward),
+                         lambda w: T.nstruct(at=w["at"], done=F.array_append(acc["done"], w["tail"])))
+
+        pieces = F.when(F.size(e) > 1, F.sequence(F.lit(1), F.size(e) - 1, F.lit(STEPS))).otherwise(none("array<int>"))
+        ahead = F.aggregate(pieces, T.nstruct(s=F.get(e, 0), done=none("array<string>")), forward_piece)
+        last = lambda v: F.substr(F.lit("".join(chr(ord("0") + i) for i in range(L))), F.array_position(v["s"], F.array_max(v["s"])).cast("int"), F.lit(1))
+        back = T.let(ahead, lambda v: T.let(last(v), lambda c: F.aggregate(
+            F.reverse(v["done"]), T.nstruct(at=c, done=F.array(c)), backward_piece, lambda acc: F.reverse(acc["done"]))))
+        return F.flatten(F.transform(back, lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: number(F.substr(s, i, F.lit(1))))))
 
     return F.when(F.size(scores) == 0, none("array<int>")).otherwise(T.let(scores, path))
 
@@ -476,6 +495,44 @@ def minimise(evaluate, x: np.ndarray, tolerance: float, memory: int = 8, history
             return x
 
 
+# A token's own record as numbers, and what its features are called with the record of the token itself, before and behind it.
+_RECORD = [*_NUMERIC, *(name for _, name in _BOOL), "rawstring.start", "rawstring.end"]
+ROLES = ("", "previous:", "next:")
+
+
+def with_record_arrays(df: DataFrame, tokens_col: str, lexicon: DataFrame | None = None, optional=(), gazetteer: DataFrame | None = None) -> DataFrame:
+    """Add ``x`` (the numbers of `_RECORD`, token by token) and ``names`` (the ``name:value`` features, as many for each token)."""
+    pos, st = None, df
+    if lexicon is not None or gazetteer is not None:
+        st, pos = FE.with_pos_array(df, tokens_col, lexicon, gazetteer, "_pos"), "_pos"
+    st = st.withColumn("_r", F.coalesce(FE.token_records(tokens_col, pos, optional), F.array()))
+    fields = [*_NUMERIC, *(f for f, _ in _BOOL)]
+    x = F.flatten(F.transform("_r", lambda r: F.array(*[r["f"][f].cast("int") for f in fields], r["rawstring_start"].cast("int"), r["rawstring_end"].cast("int"))))
+    names = F.flatten(F.transform("_r", lambda r: F.array(F.concat(F.lit("nltk_tag:"), r["f"]["nltk_tag"]), *[
+        F.concat(F.lit(f"{o}:"), r["f"][o.replace(".", "_")].cast("string")) for o in optional])))
+    return st.withColumns({"x": x, "names": names}).drop("_r", *([pos] if pos else []))
+
+
+def _flat(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray | pa.Array:
+    """A list column's values, one behind the other, as a table of ``width`` columns (texts stay an Arrow array)."""
+    values = batch.column(column).flatten()
+    return values if pa.types.is_string(values.type) else values.to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _lengths(batch: pa.RecordBatch) -> np.ndarray:
+    """Tokens of every text."""
+    return batch.column("x").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // len(_RECORD)
+
+
+def _neighbours(ntok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens that have one behind them in their text, tokens that have one before them), as truth values."""
+    follows, leads = np.ones(int(ntok.sum()), bool), np.ones(int(ntok.sum()), bool)
+    ends = np.cumsum(ntok)[ntok > 0]
+    leads[ends - 1] = False
+    follows[ends - ntok[ntok > 0]] = False
+    return leads, follows
+
+
 class Objective:
     """The CRF's regularised loss and gradient over a training table, as one distributed pass a call.
 
@@ -487,16 +544,38 @@ class Objective:
     def __init__(self, train: DataFrame, labels=fixed.MODEL_LABELS, l2: float = 0.01, tokens_col: str = "tokens", y_col: str = "y",
                  lexicon: DataFrame | None = None, optional=(), gazetteer: DataFrame | None = None):
         spark = train.sparkSession
-        ensure_checkpoint_dir(spark)
-        named = with_features(train.select(tokens_col, y_col), tokens_col, lexicon, optional, gazetteer) \
-            .select("ntok", "ftok", "fkey", "fval", F.col(y_col).alias("y")).checkpoint()
-        table = named.select(F.explode(F.array_distinct("fkey")).alias("k")).distinct().orderBy("k").toArrow()  # the model's size
+        per_token = 1 + len(optional)
+
+        def stored(df, name):
+            path = stage_path(spark, name)
+            df.write.parquet(path)
+            return spark.read.parquet(path)
+
+        named = stored(with_record_arrays(train.select(tokens_col, F.col(y_col).alias("y")), tokens_col, lexicon, optional, gazetteer).select("x", "names", "y"), "records")
+
+        def occurring(batches):
+            for b in batches:
+                ntok = _lengths(b)
+                x, texts, found = _flat(b, "x", len(_RECORD)), _flat(b, "names", per_token).dictionary_encode(), set()
+                code = texts.indices.to_numpy(zero_copy_only=False).reshape(-1, per_token)
+                for role, rows in zip(ROLES, (slice(None), *_neighbours(ntok))):
+                    found |= {role + n for n, some in zip(_RECORD, (x[rows] != 0).any(axis=0)) if some}
+                    found |= {role + texts.dictionary[int(i)].as_py() for i in np.unique(code[rows])}
+                found |= ({"bias"} if len(x) else set()) | ({"singleton"} if (ntok == 1).any() else set())
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["k"])
+
+        table = named.mapInArrow(occurring, "k string").distinct().orderBy("k").toArrow()  # the model's size
         self.features = table.column("k").to_pylist()
-        index = spark.createDataFrame(pd.DataFrame({"key": self.features, "value": np.arange(len(self.features), dtype=np.int32)}), "key string, value int")
-        enc = with_lookup(named, F.col("fkey"), index, lambda find: F.transform("fkey", find), "fidx").select("ntok", "ftok", "fidx", "fval", "y")
-        # spread the texts over all cores once, then cut lineage on shared storage (reused in every pass)
-        self.enc = enc.repartition(spark.sparkContext.defaultParallelism).checkpoint()
-        self.spark, self.labels, self.l2 = spark, list(labels), l2
+        number = {k: i for i, k in enumerate(self.features)}
+        words = sorted({k[len(p):] for k in self.features for p in ROLES if k.startswith(p)} - {*_RECORD, "bias", "singleton"})
+        # where a record's parts lie among the features, for each role; len(features) stands for no feature
+        place = lambda names: np.array([[number.get(p + n, len(number)) for n in names] for p in ROLES], np.int64)
+        self.places = place(_RECORD), place(words), place(["bias", "singleton"])[0]
+        index = spark.createDataFrame(pa.table({"key": pa.array(words, pa.string()), "value": pa.array(range(len(words)), pa.int32())}))
+        enc = with_lookup(named, F.col("names"), index, lambda find: F.transform("names", find), "code").select("x", "code", "y")
+        # spread the texts over all cores once, on shared storage (read in every pass)
+        self.enc = stored(enc.repartition(spark.sparkContext.defaultParallelism), "encoded")
+        self.spark, self.labels, self.l2, self.per_token = spark, list(labels), l2, per_token
         self.size = len(self.features) * len(self.labels) + len(self.labels) ** 2
 
     def split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -505,24 +584,48 @@ class Objective:
         return x[:-L * L].reshape(-1, L), x[-L * L:].reshape(L, L)
 
     def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
-        L, D = len(self.labels), len(self.features)
-        bc = self.spark.sparkContext.broadcast(self.split(x))
+        L, D, per_token = len(self.labels), len(self.features), self.per_token
+        W, A = self.split(x)
+        bc = self.spark.sparkContext.broadcast((np.vstack([W, np.zeros((1, L))]), A, *self.places))
 
         def part_grad(it, bc=bc):
-            W, A = bc.value
-            G, GA, loss, none = {}, np.zeros_like(A), 0.0, np.zeros(0, np.int64)
-            for pdf in it:
-                # only the batch's own features take part in its step
-                sizes = [len(x) for x in pdf["fidx"]]
-                own, at = np.unique(np.concatenate([np.asarray(x, np.int64) for x in pdf["fidx"]]), return_inverse=True) if sum(sizes) else (none, none)
-                ls, g, ga = batch_gradient(W[own], A, pdf["ntok"], pdf["ftok"], np.split(at, np.cumsum(sizes)[:-1]), pdf["fval"], pdf["y"])
-                loss += ls
-                GA += ga
+            W, A, plain, words, (bias, singleton) = bc.value
+            G, GA, loss = {}, np.zeros_like(A), 0.0
+
+            def add(features, g):
+                """Adds rows of gradients to those features' places."""
+                own, at = np.unique(features, return_inverse=True)
+                total = np.stack([np.bincount(at, weights=g[:, j], minlength=len(own)) for j in range(L)], axis=1)
+                own, total = own[own < D], total[own < D]
                 for b in np.unique(own // FEATURE_BLOCK).tolist():
                     mine = own // FEATURE_BLOCK == b
-                    G.setdefault(b, np.zeros((FEATURE_BLOCK, L)))[own[mine] % FEATURE_BLOCK] += g[mine]
-            rows = [(b, g.tobytes()) for b, g in G.items()]
-            yield pd.DataFrame([*rows, (-1, np.concatenate([[loss], GA.ravel()]).tobytes())], columns=["block", "g"])
+                    G.setdefault(b, np.zeros((FEATURE_BLOCK, L)))[own[mine] % FEATURE_BLOCK] += total[mine]
+
+            for batch in it:
+                ntok = _lengths(batch)
+                numbers, code = _flat(batch, "x", len(_RECORD)).astype(np.float64), _flat(batch, "code", per_token)
+                if not len(numbers):
+                    continue
+                alone, roles = np.repeat(ntok == 1, ntok), (slice(None), *_neighbours(ntok))
+                # a record counts for its own token, for the one behind it (as previous) and for the one before it (as next)
+                to = (slice(None), roles[2], roles[1])
+                E = np.tile(W[bias], (len(numbers), 1))
+                E[alone] += W[singleton]
+                for k in range(3):
+                    E[to[k]] += numbers[roles[k]] @ W[plain[k]]
+                    for c in range(per_token):
+                        E[to[k]] += W[words[k][code[roles[k], c]]]
+                ls, d, ga = label_errors(E, A, ntok, batch.column("y").flatten().to_numpy(zero_copy_only=False))
+                loss += ls
+                GA += ga
+                add(np.array([bias, singleton]), np.stack([d.sum(axis=0), d[alone].sum(axis=0)]))
+                for k in range(3):
+                    mine = d[to[k]]
+                    add(plain[k], numbers[roles[k]].T @ mine)
+                    for c in range(per_token):
+                        add(words[k][code[roles[k], c]], mine)
+            rows = [(b, g.tobytes()) for b, g in G.items()] + [(-1, np.concatenate([[loss], GA.ravel()]).tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([g for _, g in rows], pa.binary())], ["block", "g"])
 
         def added(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = 0
@@ -531,7 +634,7 @@ class Objective:
                     total = total + np.frombuffer(g)
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["block", "g"])
 
-        grads = self.enc.mapInPandas(part_grad, "block long, g binary")
+        grads = self.enc.mapInArrow(part_grad, "block long, g binary")
         G, GA, loss = np.zeros((-(-D // FEATURE_BLOCK) * FEATURE_BLOCK, L)), np.zeros((L, L)), 0.0
         for r in grads.groupBy("block").applyInArrow(added, "block long, g binary").collect():  # the model's size
             g = np.frombuffer(r["g"])

@@ -96,6 +96,8 @@ def q_label_dataset(spark, sf):
     d = load(spark, sf, "documents").select(
         "doc_id", F.col("source").alias("address"), F.col("lang").alias("category"),
         T.normalize("text").alias("description"), F.lit("").alias("unit"))
+    # a file may have few row groups, and labelling is all the work
+    d = d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     lab = SQ.label_tokens(d, "description", model, lexicon(spark))
     cols = L.with_label_columns(lab, "tokens", "labels")
     out = [F.md5(F.col("ent_description" if c == "description" else c)).alias(c)
