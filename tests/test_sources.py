@@ -130,3 +130,17 @@ def test_first_rows_without_a_sort(spark):
     plan = first_rows(df, "k", 4)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrdered" not in plan and "Sort" not in plan
     assert first_rows(df.where("k is null"), "k", 5).count() == 1 and first_rows(df.limit(0), "k", 5).count() == 0
+
+
+def test_spreadsheets_are_parsed_once(spark, tmp_path):
+    """Reading a table or its rejects parses no XML again, and rejects carry the columns asked for without a join."""
+    d = str(tmp_path / "wb")
+    cell = lambda v: f"<Cell><Data>{v}</Data></Cell>"
+    rows = ["".join(cell(v) for v in ("id", "address", "description"))] + [cell(i) + (cell(f"a{i}") if i % 3 else "") for i in range(7)]
+    spark.createDataFrame([("<Workbook><Table>" + "".join(f"<Row>{r}</Row>" for r in rows) + "</Table></Workbook>",)], "value string").coalesce(1).write.text(d)
+    table = R.read_spreadsheet_table(spark, d)
+    bad = R.raw_rejects(table, ("id",))
+    assert sorted(r.id for r in bad.collect()) == ["0", "3", "6"]
+    for df, joins in ((table, 1), (bad, 1)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_xml" not in plan.lower() and "xmltostructs" not in plan.lower() and plan.count("Join") == joins

@@ -80,8 +80,7 @@ def q_xml_work_orders(spark, sf):
 def q_xml_rejects(spark, sf):
     """SRC-2: the export's rows that hold no work-order field, by their id."""
     table = R.read_spreadsheet_table(spark, _export(spark, sf))
-    bad = R.raw_rejects(table).join(table.select("file", "offset", "row_no", "id"), ["file", "offset", "row_no"])
-    return bad.select(F.col("id").cast("bigint").alias("o_orderkey"), "reason")
+    return R.raw_rejects(table, ("id",)).select(F.col("id").cast("bigint").alias("o_orderkey"), "reason")
 
 
 def q_ingest_counters(spark, sf):

@@ -15,7 +15,7 @@ from pyspark.sql import types as T_
 
 from wordloom import fixed
 from wordloom.functions import text as T
-from wordloom.session import checked_broadcast
+from wordloom.session import checked_broadcast, stage_path
 
 WORK_ORDER_COLUMNS = ["address", "category", "description", "unit"]
 LABELLED_COLUMNS = WORK_ORDER_COLUMNS + [("ent_description" if c == "description" else c)
@@ -66,7 +66,10 @@ def read_spreadsheet_table(spark: SparkSession, path: str | list[str]) -> DataFr
     may order their columns differently.  The columns are all names that
     some header has; a name that a file lacks is null for its rows.
     """
-    rows = read_spreadsheet_rows(spark, path)
+    # parsed once: the headers, their names and the records are read from what is stored
+    stored = stage_path(spark, "spreadsheet-rows")
+    read_spreadsheet_rows(spark, path).write.parquet(stored)
+    rows = spark.read.parquet(stored)
     heads = rows.groupBy("file").agg(F.min_by(F.struct("offset", "row_no", "cells"), F.struct("offset", "row_no")).alias("h")) \
                 .select("file", F.struct("h.offset", "h.row_no").alias("_h"), F.col("h.cells").alias("_names"))
     names = [r["n"] for r in heads.select(F.explode(F.map_values("_names")).alias("n")).where("n is not null")
@@ -98,9 +101,9 @@ def _is_reject(table: DataFrame):
     return F.coalesce(*have).isNull() if have else F.lit(True)
 
 
-def raw_rejects(table: DataFrame) -> DataFrame:
-    """SRC-2 side output: the raw rows that become no work order, with the reason."""
-    keep = [c for c in ("file", "offset", "row_no") if c in table.columns]
+def raw_rejects(table: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """SRC-2 side output: the raw rows that become no work order, with the reason and the columns ``also``."""
+    keep = [c for c in ("file", "offset", "row_no", *also) if c in table.columns]
     return table.where(_is_reject(table)).select(*keep, F.lit("no work-order field").alias("reason"))
 
 
