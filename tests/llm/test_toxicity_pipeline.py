@@ -54,6 +54,41 @@ def test_without_labels_every_score_is_the_prior(spark, docs):
     assert toxicity.score_documents(df.limit(0), model).count() == 0
 
 
+def test_all_labelled_documents_are_learnt_from(spark, docs):
+    """More documents than a bounded sample would take, and texts of over 1,500 words: each pair of documents has a word of its own, that the model must know."""
+    ids = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 5]
+    own = {i: "q" + "".join(chr(97 + int(c)) for c in str(k // 2)) for k, i in enumerate(ids)}
+    texts = [(i, f"{own[i]} some words here") for i in ids[:-2]] + [(i, own[i] + " long" * 2000) for i in ids[-2:]]
+    kept = spark.createDataFrame(texts, "doc_id long, text string")
+    y = spark.createDataFrame([(i, k % 50 == 0) for k, i in enumerate(ids)], "doc_id long, bad boolean").selectExpr("doc_id", "int(bad) as toxic")
+    aside = {r.doc_id for r in y.where("pmod(xxhash64(doc_id, 23), 5) = 0").collect()}
+    model = toxicity.train(kept, y)
+    shown = [i for i in ids if i not in aside]
+    pairs = {own[i] for i in shown if sum(own[j] == own[i] for j in ids[max(0, ids.index(i) - 1):ids.index(i) + 2] if j not in aside) == 2}
+    word, _, _ = toxicity.tokens(toxicity.word_hasher(), [" ".join(sorted(pairs)).encode()])
+    assert len(word) == len(pairs) > 2000 and np.isin(word, model.word_keys).all()
+
+
+def test_shards_learn_one_model(spark, docs):
+    """Five shards and more, their means: as good on held-out rows as one shard; cuts come from all documents set aside."""
+    texts, labels = corpus(900, seed=3)
+    df = docs(texts, extra=True).repartition(8)
+    model = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"), toxicity.FitSizes(shard_docs=120))
+    got = {r.id: r.score for r in toxicity.score_documents(df, model).collect()}
+    held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == y for i, y in held]) >= 0.95
+
+
+def test_a_long_text_is_learnt_in_pieces():
+    rng = np.random.default_rng(5)
+    m = toxicity.new_model(np.arange(1, 50, dtype=np.uint32), np.arange(1, 50, dtype=np.uint32))
+    w = rng.integers(0, 50, 3 * toxicity.STEP_WORDS + 1).astype(np.uint32)
+    padded = m.padded(*m.rows(w, w), np.array([0, len(w)]))
+    best, top = toxicity._tops(m, *padded)
+    for z, b, t in zip(m.responses(*padded[:2], padded[3]), best, top):
+        assert (z.argmax(0) == t[0]).all() and (z.max(0) == b[0]).all()
+
+
 def test_windows_stay_in_their_text():
     rng = np.random.default_rng(0)
     m = toxicity.TextCnn(np.arange(1, 9, dtype=np.uint32), np.zeros(0, np.uint32), rng.normal(size=(9, 4)).astype(np.float32), np.zeros((1, 4), np.float32))
