@@ -151,3 +151,18 @@ def test_resolution_is_that_of_single_rounds(spark):
     want = {i: resolve_by_rounds(e, known, stop) for i, e in enumerate(ents)}
     assert got == {i: (m, t, m == "none") for i, (m, t) in want.items()}
     assert {m for m, _ in want.values()} == {"direct", "segment", "reduced", "none"}
+
+
+def test_weights_are_joined_without_a_table_of_all_grams(spark):
+    """The n-grams' weights, which the planner takes for a small table, stay off the driver; repeated, null and unknown keys."""
+    texts = spark.createDataFrame([("a", "one two three"), ("a", "two three"), ("b", "one four"), (None, "one")], "type string, t string")
+    idf = V.idf_by_type(texts, "type", "t")
+    idf = idf.unionByName(idf.where("type = 'b' and gram = 'four'"))
+    words = spark.createDataFrame([("a", "two", 1), ("a", "two", 2), ("a", "new", 3), ("b", "four", 4), ("c", "two", 5), (None, "one", 6), ("a", None, 7)], "type string, w string, k int")
+    out = V.with_weights(words, "type", "w", idf)
+    got = sorted((r.k, round(r.weight, 6)) for r in out.collect())
+    top = {"a": math.log(3 / 2) + 1, "b": math.log(2 / 2) + 1}
+    want = [(1, 1.0), (2, 1.0), (3, top["a"]), (4, top["b"]), (4, top["b"]), (5, 1.0), (6, 1.0), (7, top["a"])]
+    assert got == [(k, round(x, 6)) for k, x in want]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan  # the grams are counted once, before

@@ -21,7 +21,7 @@ from wordloom import fixed
 from wordloom.functions import text as T
 from wordloom.operators import tokens as TK
 from wordloom.operators.cover import greedy_cover
-from wordloom.session import checked_broadcast, ensure_checkpoint_dir
+from wordloom.session import checked_broadcast, ensure_checkpoint_dir, stage_path
 
 
 # ---------------------------------------------------------------------------
@@ -107,12 +107,30 @@ def max_idf(idf: DataFrame) -> DataFrame:
 
 def with_weights(df: DataFrame, type_col: str, term_col: str, idf: DataFrame | None,
                  out: str = "weight") -> DataFrame:
-    """JOIN-6: ``coalesce(idf(type, term), max_idf(type), 1)``; 1 everywhere without weights (Q8)."""
+    """JOIN-6: ``coalesce(idf(type, term), max_idf(type), 1)``; 1 everywhere without weights (Q8).
+
+    ``idf`` is computed once: one pass keeps the weights of the terms that
+    ``df`` asks for and, of all others, the greatest of each type.  What is
+    kept, a row a term asked for, is stored and joined.  The planner takes a
+    table of n-grams for as small as the file it comes from, so no side of
+    these joins is left to its estimate.
+    """
     if idf is None:
         return df.withColumn(out, F.lit(1.0))
+    asked = df.select(F.col(type_col).alias("_t"), F.col(term_col).alias("_g")).distinct().withColumn("_asked", F.lit(True))
     w = idf.select(F.col("type").alias("_t"), F.col("gram").alias("_g"), F.col("idf").alias("_idf"))
-    mx = max_idf(idf).select(F.col("type").alias("_t"), "max_idf")
-    j = df.join(w, (df[type_col] == w["_t"]) & (df[term_col] == w["_g"]), "left").drop("_t", "_g")
+    kept = w.join(asked.hint("shuffle_hash"), ["_t", "_g"], "left") \
+        .groupBy("_t", F.when(F.col("_asked"), F.col("_g")).alias("_g"), F.when(F.col("_asked"), F.col("_idf")).alias("_w")) \
+        .agg(F.max("_idf").alias("idf"), F.count(F.lit(1)).alias("_n"))
+    path = stage_path(df.sparkSession, "weights")
+    kept.write.parquet(path)
+    kept = df.sparkSession.read.parquet(path)
+    # a weight that ``idf`` has several times counts as often
+    found = kept.where(F.col("_g").isNotNull()).select("_t", "_g", F.col("_w").alias("_idf"), F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("col")
+    side = checked_broadcast(found)
+    side = found.hint("merge") if side is found else side
+    mx = max_idf(kept.withColumnRenamed("_t", "type")).select(F.col("type").alias("_t"), "max_idf")
+    j = df.join(side, (df[type_col] == side["_t"]) & (df[term_col] == side["_g"]), "left").drop("_t", "_g")
     j = j.join(checked_broadcast(mx), j[type_col] == mx["_t"], "left").drop("_t")
     return j.withColumn(out, F.coalesce("_idf", "max_idf", F.lit(1.0))).drop("_idf", "max_idf")
 
@@ -235,7 +253,7 @@ def reduce_entities(df: DataFrame, id_col: str, text_col: str, vectors: DataFram
 
 def _attempt(texts: DataFrame, vectors: DataFrame, idf: DataFrame | None, max_n: int, stopwords, drop_stopwords: bool) -> DataFrame:
     """``texts`` (id, type, text, ...) with ``direct`` (weighted vector of the whole text) and ``mean`` (of its segmentation), null where there is none."""
-    d = with_weights(lookup_vectors(texts, "text", vectors, out="_dvec"), "type", "text", idf)
+    d = lookup_vectors(with_weights(texts, "type", "text", idf), "text", vectors, out="_dvec")
     d = d.withColumn("direct", F.when(F.col("_dvec").isNotNull(), scaled("_dvec", "weight"))).drop("_dvec", "weight")
     seg = segment(texts.select("id", "text"), "id", "text", vectors, max_n=max_n, stopwords=stopwords, drop_stopwords=drop_stopwords)
     return d.join(seg.select("id", F.col("vec").alias("mean")), "id", "left")

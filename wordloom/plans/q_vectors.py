@@ -75,8 +75,8 @@ def q_weighted_mean(spark, sf):
     """VEC-4 + JOIN-6: IDF-weighted mean (type = role)."""
     w = turn_words(spark, sf)
     vt = derived_vectors(spark, sf, w.select(F.col("word").alias("term")))
-    j = V.lookup_vectors(w, "word", vt.select("term", "vec"))
-    j = V.with_weights(j, "role", "word", turn_idf(spark, sf))
+    j = V.with_weights(w, "role", "word", turn_idf(spark, sf))  # before the vectors, which are wide
+    j = V.lookup_vectors(j, "word", vt.select("term", "vec"))
     m = V.mean_vectors(j, ["conv_id", "turn"], "vec", weight_col="weight")
     return m.select("conv_id", "turn", F.col("n_found").cast("bigint").alias("n_found"),
                     _r6(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("vec_sum"))
