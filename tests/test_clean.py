@@ -117,3 +117,23 @@ def test_spelling_of_rows_that_share_an_id(spark):
     df = spark.createDataFrame([(1, "laek here"), (1, "laek snik"), (2, None), (None, "snik")], "id long, t string")
     got = sorted((r.id or 0, r.corrected, r.n_words, r.n_corrected) for r in CL.spell_correct(df, "id", "t", dic).collect())
     assert got == [(0, "sink", 1, 1), (1, "leak here", 2, 1), (1, "leak sink", 2, 2), (2, "", 0, 0)]
+
+
+def test_phrases_without_a_shuffle_of_texts(spark):
+    """Each row by itself, whatever its id; empty targets and long texts with many matches."""
+    tab = CL.synonym_table(spark, [("pls", "please"), ("uh", ""), ("a c", "air")], with_builtins=False)
+    many = "Pls uh a c " * 2000
+    df = spark.createDataFrame([(1, "pls now"), (1, "now a c pls"), (None, "pls"), (2, None), (3, ""), (4, many)], "id long, t string")
+    r = CL.replace_phrases(df, "id", "t", tab)
+    got = sorted((x.id or 0, x.cleaned or "") for x in r.collect())
+    assert got == [(0, "please"), (1, "now air please"), (1, "please now"), (2, ""), (3, ""), (4, ("please air " * 2000).strip())]
+    assert "Exchange" not in r._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrases_from_a_table_too_large_for_a_literal(spark, monkeypatch):
+    from wordloom.operators import lookup
+    entries = [("a c", "air"), ("a", "x"), ("uh", "")]
+    texts = ["A c uh b", "none", "a a c"]
+    want = run_phrases(spark, texts, entries)
+    monkeypatch.setattr(lookup, "literal_dictionary", lambda *a, **k: None)
+    assert run_phrases(spark, texts, entries) == want == {0: "air b", 1: "none", 2: "x air"}

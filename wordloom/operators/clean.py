@@ -3,8 +3,8 @@
 Both are joins, not per-row dictionaries:
 
 * phrases - runs of units (words and single other characters) as long as a
-  phrase are joined with the phrase table; the matches of one text are
-  resolved by a greedy longest-first cover and the text is rebuilt in-row.
+  phrase are looked up in the phrase table within the row; the matches of one
+  text are resolved by a greedy longest-first cover and the text is rebuilt in-row.
 * spelling - only the *distinct vocabulary* is corrected: unknown words are
   found with an anti-join, candidates come from an equi-join on shared
   deletion keys of the words' first letters, are verified by edit distance
@@ -66,24 +66,32 @@ def units(text) -> Column:
 FIRST_WORDS_LITERAL_MAX = 10_000
 
 
-def _candidate_spans(keys: DataFrame, id_col: str, phrases: DataFrame, lengths: list[int]) -> DataFrame:
-    """``(id, n, start, gram)`` spans that can match a phrase.
+def _candidate_spans(text, phrases: DataFrame, lengths: list[int]) -> Column:
+    """``array<struct<n, start, gram>>``: the runs of a text's units that can be a phrase.
 
-    With a small phrase table (checked) spans are generated only where a
-    unit can start a phrase (a literal hash-set test per unit); otherwise
-    every span as long as some phrase is generated and the join filters.
+    With a small phrase table (checked) runs are made only where a unit can
+    start a phrase, and as long as phrases from it (literal hash-set tests);
+    otherwise every run as long as some phrase.
     """
-    firsts = phrases.select(F.get(units("phrase"), 0).alias("w")).distinct().limit(FIRST_WORDS_LITERAL_MAX + 1).collect()
-    k = F.col("_k")
-    size = F.size(k)
-    starts = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    if len(firsts) <= FIRST_WORDS_LITERAL_MAX:
-        first_set = [r["w"] for r in firsts]
-        starts = F.filter(starts, lambda i: F.get(k, i).isin(*first_set))
-    spans = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: i + n <= size),
-        lambda n: T.nstruct(n=n, start=i, gram=F.array_join(F.slice(k, i + 1, n), "")))))
-    return TK.explode_with_pos(keys, id_col, spans, "_p", "s").select(id_col, "s.n", "s.start", "s.gram")
+    firsts = phrases.select(F.get(units("phrase"), 0).alias("w"), "n_units").distinct().limit(FIRST_WORDS_LITERAL_MAX + 1).collect()
+    few = len(firsts) <= FIRST_WORDS_LITERAL_MAX
+    first_set = {r["w"] for r in firsts}
+    by_length = {n: {r["w"] for r in firsts if r["n_units"] == n} for n in lengths}
+
+    def spans(k):
+        size = F.size(k)
+        starts = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+        if few:
+            starts = F.filter(starts, lambda i: F.get(k, i).isin(*first_set))
+
+        def fitting(i):
+            """The lengths that a phrase from here may have."""
+            here = lambda n: (i + n <= size) & F.get(k, i).isin(*by_length[n]) if few else i + n <= size
+            return F.array_compact(F.array(*[F.when(here(n), F.lit(n)) for n in lengths]))
+        return F.flatten(F.transform(starts, lambda i: F.transform(
+            fitting(i), lambda n: T.nstruct(n=n, start=i, gram=F.array_join(F.slice(k, i + 1, n), "")))))
+
+    return T.let(units(text), spans)
 
 
 def replace_phrases(df: DataFrame, id_col: str, text_col: str, phrases: DataFrame,
@@ -94,32 +102,39 @@ def replace_phrases(df: DataFrame, id_col: str, text_col: str, phrases: DataFram
     character lies at a word boundary and any other edge may lie anywhere
     (``(bedrm)``, ``a--b``).  Phrases are applied in (length desc, table
     order) order and replaced text is never matched again, which is the
-    same as replacing phrase by phrase with a shield.
+    same as replacing phrase by phrase with a shield.  Phrases are looked up
+    within the row (see `lookup`) and a text is put together piece by piece,
+    so its cost grows with its length; no text is shuffled.
     """
     lengths = sorted(r[0] for r in phrases.select("n_units").distinct().collect())  # distinct lengths: a few numbers
     squeezed = T.squeeze_spaces(F.col(text_col))
-    base = df.select(*df.columns, units(squeezed).alias("_w"))
-    keys = base.select(id_col, (F.col("_w") if case_sensitive else units(F.lower(squeezed))).alias("_k"))
-    spans = _candidate_spans(keys, id_col, phrases, lengths or [1])
-    p = phrases.select(F.col("phrase").alias("gram"), "target", "n_chars", "place")
-    hits = spans.join(checked_broadcast(p), "gram")
-    per = hits.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("n_chars")).alias("o1"), F.col("place").alias("o2"), "start", "n", "target"))).alias("_s"))
-    per = per.withColumn("_m", greedy_cover(F.col("_s")))
-    per = per.select(id_col, F.transform(F.filter(F.arrays_zip(F.col("_s").alias("s"), F.col("_m").alias("m")),
-                                                  lambda z: z["m"]), lambda z: z["s"]).alias("_c"))
-    j = base.join(per, id_col, "left")
-
-    def rebuild(c):
-        starts = F.map_from_entries(F.transform(c, lambda x: T.nstruct(k=x["start"], v=x["target"])))
-        inner = F.map_from_entries(F.flatten(F.transform(c, lambda x: F.when(x["n"] > 1, F.transform(
-            F.sequence(x["start"] + 1, x["start"] + x["n"] - 1), lambda i: T.nstruct(k=i, v=F.lit(True))))
-            .otherwise(F.array().cast("array<struct<k:int,v:boolean>>")))))
-        return T.let(starts, lambda sm: T.let(inner, lambda cov: F.transform(
-            F.col("_w"), lambda w, i: F.coalesce(F.try_element_at(sm, i), F.when(F.try_element_at(cov, i), F.lit("")), w))))
-
-    cleaned = F.when(F.col("_c").isNull(), F.col("_w")).otherwise(rebuild(F.col("_c")))
-    return j.select(*[c for c in df.columns], F.trim(T.squeeze_spaces(F.array_join(cleaned, ""))).alias(out))
+    # a target goes behind a mark, which tells an empty one from none
+    place = F.col("place")
+    table = phrases.select(F.col("phrase").alias("key"), F.struct(
+        F.concat(F.lit("="), "target").alias("target"), (-F.col("n_chars")).alias("o1"),
+        *[place[c].alias(f"p_{c}") for c in phrases.schema["place"].dataType.names]).alias("value"))
+    order = ["o1", *[f"p_{c}" for c in phrases.schema["place"].dataType.names]]
+    base = df.withColumn("_spans", _candidate_spans(squeezed if case_sensitive else F.lower(squeezed), phrases, lengths or [1]))
+
+    def hits(find):
+        def hit(s):
+            return T.let(find(s["gram"]), lambda v: F.when(v.isNotNull(), T.nstruct(
+                **{c: v[c] for c in order}, start=s["start"], n=s["n"], target=v["target"])))
+        return F.array_sort(F.filter(F.transform("_spans", hit), lambda h: h.isNotNull()))
+
+    j = with_lookup(base, F.transform("_spans", lambda s: s["gram"]), table, hits, "_s").drop("_spans")
+    j = j.withColumn("_m", greedy_cover(F.col("_s")))
+    taken = F.array_sort(F.transform(F.filter(F.arrays_zip(F.col("_s").alias("s"), F.col("_m").alias("m")), lambda z: z["m"]),
+                                     lambda z: T.nstruct(start=z["s"]["start"], n=z["s"]["n"], target=F.substring(z["s"]["target"], 2, 1 << 30))))
+
+    def rebuild(w, c):
+        end = lambda i: F.when(i > 0, F.get(c, i - 1)["start"] + F.get(c, i - 1)["n"]).otherwise(F.lit(0))
+        between = lambda a, b: F.array_join(F.slice(w, a + 1, b - a), "")
+        pieces = F.transform(c, lambda x, i: F.concat(between(end(i), x["start"]), F.coalesce(x["target"], F.get(w, x["start"]))))
+        return F.concat(F.array_join(pieces, ""), between(end(F.size(c)), F.size(w)))
+
+    cleaned = T.let(units(squeezed), lambda w: T.let(taken, lambda c: rebuild(w, c)))
+    return j.select(*df.columns, F.trim(T.squeeze_spaces(cleaned)).alias(out))
 
 
 # ---------------------------------------------------------------------------
