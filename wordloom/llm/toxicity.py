@@ -95,7 +95,10 @@ class TextCnn:
         for w, b in zip(self.filters, self.bias):
             z = np.full((len(ww), w.shape[2]), -np.inf, np.float32)
             m = len(ww) - len(w) + 1
-            z[:m] = sum(e[j:m + j] @ w[j] for j in range(len(w))) + b
+            # Sums of a product may depend on its number of rows: a long text has the same steps whole and in pieces.
+            for at in range(0, m, STEP_WORDS):
+                end = min(m, at + STEP_WORDS)
+                z[at:end] = sum(e[at + j:end + j] @ w[j] for j in range(len(w))) + b
             z[~opens] = -np.inf
             out.append(z)
         return out
