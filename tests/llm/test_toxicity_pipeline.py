@@ -41,6 +41,16 @@ def test_scores_on_held_out_rows(spark, docs):
     assert all(abs(by_column[i] - s) < 1e-6 for i, s in got.items())
 
 
+def test_only_labelled_texts_are_shuffled(spark):
+    """Few labels are shuffled like many, and texts without a label are ruled out before."""
+    texts = spark.createDataFrame([*((i, f"text {i}") for i in range(2000)), (7, "again"), (None, "no id")], "id long, text string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(0, 2000, 100)] + [(7, 1), (5000, 0)], "id long, y int")
+    got = toxicity.labelled_texts(texts, y)
+    assert sorted((r.id, r.text, r.y) for r in got.collect()) == sorted([*((i, f"text {i}", i % 2) for i in range(0, 2000, 100)), (7, "text 7", 1), (7, "again", 1)])
+    plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "BroadcastHashJoin" not in plan and "ShuffledHashJoin" in plan and "ArrowEvalPython" in plan
+
+
 def test_held_out_rule(spark):
     ids = spark.range(300)
     got = {r.id: r.h for r in ids.select("id", toxicity.held_out(ids["id"]).alias("h")).collect()}

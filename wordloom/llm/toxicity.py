@@ -25,11 +25,14 @@ from pyspark.sql import types as T
 
 from wordloom.llm.batches import WordHasher, byte_table, text_slices, utf8_texts
 from wordloom.llm.graph import written
+from wordloom.llm.sieve import likely_in
 
 # Words are runs of ASCII letters and of all bytes of other characters.
 NO_LETTER = byte_table(bytes(b for b in range(128) if not chr(b).isalpha()))
 HEAD_BYTES = 5
 WIDTHS = (1, 2, 3)
+# Bits of the table of labelled ids that rules out the texts that have no label.
+LABEL_BITS = 26
 PAD = 3  # zero rows behind each text, so that no window reaches into the next
 
 
@@ -379,6 +382,14 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def labelled_texts(texts: DataFrame, y: DataFrame) -> DataFrame:
+    """``texts`` joined with ``y`` (id unique, y); only texts that a bit table of the labelled ids lets through are shuffled.
+
+    Labels are shuffled at every size: the work grows with the corpus, without a jump where they get too many to be broadcast.
+    """
+    return texts.where(likely_in(y, "id", bits=LABEL_BITS)(F.col("id"))).join(y.hint("shuffle_hash"), "id")
+
+
 def train(docs: DataFrame, labels: DataFrame, sizes: FitSizes = FitSizes(), id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang", label_col: str = "toxic") -> TextCnn:
     """Fit on the whole texts of all labelled documents; one fifth of them, by a hash of the id, calibrates.
@@ -388,6 +399,7 @@ def train(docs: DataFrame, labels: DataFrame, sizes: FitSizes = FitSizes(), id_c
     """
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")) \
         .agg(F.max(F.col(label_col).cast("int")).alias("y")).where(~held_out(F.col("id")))
+    y = written(y, "labels_learnt")
     size = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
                         (F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")).alias("lang"))
@@ -401,7 +413,7 @@ def train(docs: DataFrame, labels: DataFrame, sizes: FitSizes = FitSizes(), id_c
                 yield pa.RecordBatch.from_arrays([b.column(c).slice(a, z - a) for c in ("id", "lang", "y", "aside")] + [cut(word), cut(head)],
                                                  ["id", "lang", "y", "aside", "words", "heads"])
 
-    labelled = texts.join(y, "id").withColumn("aside", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(5)) == 0).select("id", "text", "lang", "y", "aside")
+    labelled = labelled_texts(texts, y).withColumn("aside", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(5)) == 0).select("id", "text", "lang", "y", "aside")
     examples = written(labelled.mapInArrow(run, "id long, lang string, y int, aside boolean, words binary, heads binary"), "labelled_words")
     return fit_text_cnn(examples, size, sizes)
 
