@@ -299,3 +299,17 @@ def test_top_k_of_few_and_none(spark):
     assert vector_near_dup.vector_links(vectors(spark, [])).count() == 0
     assert simhash.simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert substring_dedup.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bit_table_has_all_keys_and_few_others(spark):
+    """Bits merged from many tasks in one job, as many as there are slots; null keys set none."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from wordloom.llm.sieve import bit_table, has_bit
+    keys = spark.range(0, 5000, 1, 7).select(F.xxhash64("id").alias("h")).unionByName(spark.range(3).select(F.lit(None).cast("long").alias("h")))
+    h = np.array([r.h for r in keys.where("h is not null").collect()])
+    for bits in (20, 24):
+        table = bit_table(keys, "h", bits)
+        assert len(table) == 1 << bits - 3 and has_bit(table, h).all()
+        assert np.unpackbits(table).sum() == len(np.unique(h & (1 << bits) - 1))

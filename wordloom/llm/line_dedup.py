@@ -126,7 +126,7 @@ def _slot_table(rows: DataFrame, slots) -> tuple[np.ndarray, int]:
 
     parts = rows.mapInArrow(count, "range long, slots binary, counts binary").groupBy("range").applyInArrow(add, "range long, grades binary, total long")
     table, total = np.zeros(1 << SLOT_BITS, np.uint8), 0
-    for r in parts.toLocalIterator():  # a table of fixed size, 4 MB
+    for r in parts.collect():  # a table of fixed size, 4 MB; one job, not one a partition
         table[r["range"] * width:(r["range"] + 1) * width] = np.frombuffer(r["grades"], np.uint8)
         total += r["total"]
     return table, total
@@ -377,7 +377,7 @@ def _offered(pairs: DataFrame, offers: int) -> DataFrame:
 
 
 def _line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, version, line, words) of the wanted lines, from their documents; a document's lines come together."""
+    """(doc, version, line, words) of the wanted lines (which may repeat), from their documents; a document's lines come together."""
     def run(batches):
         hasher = WordHasher(SPACE, lower=True)
         for b in batches:
@@ -392,14 +392,13 @@ def _line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     picks = wanted.groupBy("doc", "version").agg(F.collect_set("line").alias("lines"))  # the lines of one text
     picks = written(picks, "picked_lines")
     likely = docs.withColumnRenamed("id", "doc").where(likely_in(picks, "doc", "version")(F.col("doc"), F.col("version")))
-    return likely.join(picks, ["doc", "version"]).select("doc", "version", "text", "lines").mapInArrow(run, "doc long, version long, line int, words array<long>")
+    return likely.join(picks.hint("shuffle_hash"), ["doc", "version"]).select("doc", "version", "text", "lines").mapInArrow(run, "doc long, version long, line int, words array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """(doc, version, line) of each u that has a similar enough v among the pairs, by their whole sets."""
     u, v = (F.struct(*(F.col(f"{s}_{c}").alias(c) for c in PLACE)) for s in "uv")
-    wanted = written(pairs.select(F.explode(F.array(u, v)).alias("x")).select("x.*").distinct(), "wanted_lines")
-    words = written(_line_sets(docs, wanted), "line_sets")
+    words = written(_line_sets(docs, pairs.select(F.explode(F.array(u, v)).alias("x")).select("x.*")), "line_sets")
     side = lambda s: words.select(*(F.col(c).alias(f"{s}_{c}") for c in PLACE), F.col("words").alias(f"{s}_words"))
     both = pairs.join(side("u"), [f"u_{c}" for c in PLACE]).join(side("v"), [f"v_{c}" for c in PLACE])
     common = F.size(F.array_intersect("u_words", "v_words"))
@@ -417,11 +416,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of the others are repeated.
     """
     docs = with_row_keys(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), F.col("text"))
-    return _repeated(docs, threshold)
+    return _repeated(docs, threshold).distinct()
 
 
 def _repeated(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The same of rows (id, version, again, text)."""
+    """The same of rows (id, version, again, text); a line may come twice."""
     if 2 * threshold[0] < threshold[1]:
         raise ValueError("the threshold must be at least one half")
     spark, (num, den) = docs.sparkSession, threshold
@@ -431,7 +430,7 @@ def _repeated(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     lines = written(_line_rows(docs, table, num, den), "lines")
 
     # One row a set: its first line.
-    sets = written(lines.groupBy("k1", "k2").agg(F.min(F.struct(*PLACE, "size", "sig0", "sig1", "pre")).alias("x")).select("k1", "k2", "x.*"), "line_set_table")
+    sets = written(lines.groupBy("k1", "k2").agg(F.min(F.struct(*PLACE, "size", "sig0", "sig1", "pre")).alias("x"), F.count(F.lit(1)).alias("n")).select("k1", "k2", "n", "x.*"), "line_set_table")
     grades, hot, total = _unit_table(sets, num, den)
     units = spark.sparkContext.broadcast((grades, hot))
     buckets = max(8, total // BUCKET_ROWS)
@@ -440,25 +439,26 @@ def _repeated(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     found = written(_verified(offered, docs, num, den), "found_lines")
 
     # Sets with more candidates than they offered, none of which matched: now all of their pairs.
-    open_ = written(offered.where("more").select(*(F.col(f"u_{c}").alias(c) for c in PLACE)).distinct()
-                    .join(found, PLACE, "left_anti").join(sets, PLACE).select(*PLACE, "size", "pre"), "open_lines")
+    open_ = written(offered.where("more").select(*(F.col(f"u_{c}").alias(c) for c in PLACE)).distinct().join(found, PLACE, "left_anti"), "open_lines")
     if not open_.isEmpty():
-        only = spark.sparkContext.broadcast(bit_table(_open_units(open_, units, num, den), "w", WORD_BITS))
+        # A set that the bit table wrongly takes for open meets pairs that it needn't; all pairs are verified.
+        flagged = sets.withColumn("open", likely_in(open_, *PLACE, bits=WORD_BITS)(*(F.col(c) for c in PLACE)))
+        only = spark.sparkContext.broadcast(bit_table(_open_units(flagged.where("open"), units, num, den), "w", WORD_BITS))
         pair = [f"{s}_{c}" for s in "uv" for c in PLACE]
-        flagged = sets.join(open_.select(*PLACE, F.lit(True).alias("open")), PLACE, "left").withColumn("open", F.coalesce("open", F.lit(False)))
         rest = _meet(_postings(flagged, units, num, den, buckets, only), num, den, 0).select(*pair).distinct().join(offered, pair, "left_anti")
         found = found.unionByName(_verified(written(rest, "line_pairs"), docs, num, den))
 
-    # A set's later lines go, and its first line too if it was found.
-    state = sets.select("k1", "k2", F.struct(*PLACE).alias("first"))
-    gone = lines.select("k1", "k2", *PLACE).join(state, ["k1", "k2"]).where("doc <> first.doc or version <> first.version or line <> first.line").select(*PLACE)
-    extra = lines.select(*PLACE, "k1", "k2").join(found, PLACE, "left_semi").select(*PLACE)
-    return gone.unionByName(extra).distinct()
+    # A set's later lines go, and its first line too if it was found.  Only lines of sets that likely have several are shuffled.
+    state = written(sets.where("n > 1").select("k1", "k2", F.struct(*PLACE).alias("first")), "repeated_sets")
+    several = likely_in(state, "k1", "k2", bits=WORD_BITS)
+    gone = lines.select("k1", "k2", *PLACE).where(several(F.col("k1"), F.col("k2"))).join(state.hint("shuffle_hash"), ["k1", "k2"]) \
+        .where("doc <> first.doc or version <> first.version or line <> first.line").select(*PLACE)
+    return gone.unionByName(found)
 
 
 def _gone(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """(id, version, gone): numbers of the repeated lines of a text."""
-    gone = _repeated(rows, threshold).groupBy(F.col("doc").alias("id"), "version").agg(F.collect_list("line").alias("gone"))
+    gone = _repeated(rows, threshold).groupBy(F.col("doc").alias("id"), "version").agg(F.collect_set("line").alias("gone"))
     return written(gone, "gone_lines")
 
 
@@ -491,7 +491,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Only documents that a bit table of the changed ones lets through are shuffled and rewritten.
     likely = likely_in(gone, "id", "version")
     packed = packed.withColumn("likely", likely(F.col("id"), F.col("version")))
-    changed = packed.where("likely and not again").join(gone, ["id", "version"], "left") \
+    changed = packed.where("likely and not again").join(gone.hint("shuffle_hash"), ["id", "version"], "left") \
         .unionByName(packed.where("again").withColumn("gone", F.lit(None).cast("array<int>"))).select("row", "gone", "again").mapInArrow(cut, docs.schema)
     return packed.where("not likely and not again").select("row.*").unionByName(changed)
 
@@ -499,7 +499,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the kept lines joined by newlines) for every row; null texts count as empty."""
     rows = with_row_keys(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), F.col("text"))
-    gone = _gone(rows, threshold)
+    gone = _gone(rows, threshold).hint("shuffle_hash")  # the same plan at every size
 
     def run(batches):
         for b in batches:

@@ -2,35 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Tuple
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RANGES = 64
+# Bits of one of Spark's bitmaps: 32,768.
+MAP_BITS = 15
 
 
 def bit_table(keys: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     """Packed bits at the low ``bits`` bits of the (hashed) long column; 2**bits bits, whatever the number of keys.
 
-    The slots are deduplicated and packed range by range on the executors.
+    Every task sets the bits of its own keys in Spark's bitmaps, which are merged range by range.
     """
-    width = (1 << bits) // RANGES
-
-    def pack(key: Tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = np.zeros(width, bool)
-        for b in rows:
-            part[b.column("slot").to_numpy() % width] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([np.packbits(part).tobytes()], pa.binary())], ["range", "bits"])
-
-    slots = keys.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")).distinct().withColumn("range", F.shiftright("slot", bits - 6))
-    table = np.zeros((1 << bits) // 8, np.uint8)
-    for r in slots.groupBy("range").applyInArrow(pack, "range long, bits binary").toLocalIterator():
-        at = r["range"] * (width // 8)
-        table[at:at + width // 8] = np.frombuffer(r["bits"], np.uint8)
+    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    maps = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", MAP_BITS).alias("range")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit((1 << MAP_BITS) - 1))).alias("bits"))
+    table, width = np.zeros((1 << bits) // 8, np.uint8), (1 << MAP_BITS) // 8
+    for r in maps.where("range is not null").collect():  # 2**bits bits
+        # Spark's bitmaps begin at a byte's least bit
+        table[r["range"] * width:(r["range"] + 1) * width] = np.packbits(np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little"))
     return table
 
 
