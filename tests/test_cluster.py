@@ -109,3 +109,20 @@ def test_refinement_across_borders(spark):
     costs = []
     split = cost(C.kmeans_by_type(df, max_bucket_rows=100, costs=costs))
     assert split < 1.05 * whole and all(b <= a + 1e-9 for a, b in zip(costs, costs[1:])) and len(costs) > 1
+
+
+def test_distances_are_held_a_step_at_a_time():
+    """Many points against many pivots or centroids: memory is bounded, results are those of the whole matrix."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=(6000, 4)), rng.normal(size=(4096, 4))
+    d = ((x[:50, None] - c) ** 2).sum(2)
+    tracemalloc.start()
+    cell, dist = N.nearest_pivot(x, c)
+    best, ids = N.best_of(x, c, np.arange(4096))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert (ids[:50] == d.argmin(1)).all() and (cell == ids).all()
+    assert np.allclose(best[:50], d.min(1)) and np.allclose(dist ** 2, best)

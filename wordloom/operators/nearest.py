@@ -17,6 +17,7 @@ compared by sums of squared differences, ties go to the smaller centroid id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Tuple
 
 import numpy as np
@@ -32,6 +33,8 @@ from wordloom.session import stage_path
 CELL = 256
 MAX_PIVOTS = 4096
 PACK = 2048
+# Distances that one numpy step holds; rows with matrices that go to Python at a time.
+AREA, MATRIX_ROWS = 1 << 20, 32
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -51,13 +54,40 @@ def _square(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def best_of(x: np.ndarray, c: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(squared distance, id) of each row's nearest row of ``c``; ties to the smaller id."""
-    d = _square(x, c)
-    slack = 1e-9 * ((x ** 2).sum(1) + (c ** 2).sum(1).max()) + 1e-300
-    row, col = np.nonzero(d <= (d.min(1) + slack)[:, None])
-    exact = ((x[row] - c[col]) ** 2).sum(1)
-    order = np.lexsort((ids[col], exact, row))
-    first = order[np.searchsorted(row[order], np.arange(len(x)))]
-    return exact[first], ids[col[first]]
+    found = np.empty(len(x)), np.empty(len(x), ids.dtype)
+    step = max(1, AREA // len(c))
+    for at in range(0, len(x), step):
+        part = x[at:at + step]
+        d = _square(part, c)
+        slack = 1e-9 * ((part ** 2).sum(1) + (c ** 2).sum(1).max()) + 1e-300
+        row, col = np.nonzero(d <= (d.min(1) + slack)[:, None])
+        exact = np.concatenate([((part[row[i:i + step]] - c[col[i:i + step]]) ** 2).sum(1) for i in range(0, len(row), step)])
+        order = np.lexsort((ids[col], exact, row))
+        first = order[np.searchsorted(row[order], np.arange(len(part)))]
+        found[0][at:at + step], found[1][at:at + step] = exact[first], ids[col[first]]
+    return found
+
+
+def nearest_pivot(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, distance) of each row's nearest pivot, a step of rows at a time."""
+    cell, dist = np.empty(len(x), np.int32), np.empty(len(x))
+    step = max(1, AREA // len(pivots))
+    for at in range(0, len(x), step):
+        d = _square(x[at:at + step], pivots)
+        cell[at:at + step], dist[at:at + step] = d.argmin(1), np.sqrt(d.min(1))
+    return cell, dist
+
+
+@contextmanager
+def _few_rows(spark):
+    """What is run inside sends few rows at a time to Python, as they hold matrices of about a megabyte."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(MATRIX_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -105,9 +135,7 @@ def assign_nearest(points: DataFrame, centroids: DataFrame, group: str = "type",
             cell, dist = np.full(len(gs), -1, np.int32), np.zeros(len(gs))
             for g in {x for x in gs.tolist() if x in shared.value}:
                 some = np.flatnonzero(gs == g)
-                d = _square(_matrix(b.column("v").take(pa.array(some))), shared.value[g])
-                cell[some] = d.argmin(1)
-                dist[some] = np.sqrt(d.min(1))
+                cell[some], dist[some] = nearest_pivot(_matrix(b.column("v").take(pa.array(some))), shared.value[g])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(dist)], [*b.schema.names, "cell", "dist"])
 
     kind = lambda i: f"g {g_kind}, id {i}, v array<double>, cell int, dist double"
@@ -151,7 +179,8 @@ def assign_nearest(points: DataFrame, centroids: DataFrame, group: str = "type",
         return found.groupBy("g", "home", "part").applyInArrow(least, found_kind)
 
     one = packs.select("g", "cell", F.col("cell").alias("home"), "part", "m", F.lit(None).cast("binary").alias("at"))
-    first = _stored(merged(one.join(blocks, ["g", "cell"]).mapInArrow(meet, found_kind)), "first")
+    with _few_rows(spark):
+        first = _stored(merged(one.join(blocks, ["g", "cell"]).mapInArrow(meet, found_kind)), "first")
 
     def elsewhere(batches):
         """The cells that may hold a nearer centroid, each with the points that it may serve."""
@@ -161,19 +190,23 @@ def assign_nearest(points: DataFrame, centroids: DataFrame, group: str = "type",
                 p = shared.value[g]
                 x = np.frombuffer(b.column("m")[i].as_buffer()).reshape(-1, p.shape[1])
                 u = np.sqrt(np.frombuffer(b.column("d")[i].as_buffer()))
-                far = np.sqrt(_square(x, p))
-                reach = u[:, None] + np.array([radii.get((g, j), -np.inf) for j in range(len(p))])
-                may = far <= reach * (1 + 1e-6) + 1e-9
-                may[:, own] = False
-                for j in np.flatnonzero(may.any(0)).tolist():
-                    at = np.flatnonzero(may[:, j]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([g], g_type), pa.array([j], pa.int32()), pa.array([own], pa.int32()), pa.array([b.column("part")[i].as_py()], pa.int32()),
-                                                      pa.array([x[at].tobytes()], pa.binary()), pa.array([at.tobytes()], pa.binary())], ["g", "cell", "home", "part", "m", "at"])
+                step = max(1, AREA // len(x))
+                for low in range(0, len(p), step):
+                    far = np.sqrt(_square(x, p[low:low + step]))
+                    reach = u[:, None] + np.array([radii.get((g, j), -np.inf) for j in range(low, min(low + step, len(p)))])
+                    may = far <= reach * (1 + 1e-6) + 1e-9
+                    if low <= own < low + step:
+                        may[:, own - low] = False
+                    for j in np.flatnonzero(may.any(0)).tolist():
+                        at = np.flatnonzero(may[:, j]).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array([g], g_type), pa.array([low + j], pa.int32()), pa.array([own], pa.int32()), pa.array([b.column("part")[i].as_py()], pa.int32()),
+                                                          pa.array([x[at].tobytes()], pa.binary()), pa.array([at.tobytes()], pa.binary())], ["g", "cell", "home", "part", "m", "at"])
 
     asked = packs.withColumnRenamed("cell", "home").join(first.select("g", "home", "part", "d"), ["g", "home", "part"]).select("g", "home", "part", "m", "d") \
         .mapInArrow(elsewhere, f"g {g_kind}, cell int, home int, part int, m binary, at binary")
     if stats is not None:
-        asked = _stored(asked, "asked")
+        with _few_rows(spark):
+            asked = _stored(asked, "asked")
         n, cells = homes.count(), sum(len(v) for v in pivots.values())
         stats["visited"] = ((asked.agg(F.sum(F.length("at"))).first()[0] or 0) / 4 + n) / max(1, n * cells)
     second = asked.join(blocks, ["g", "cell"]).mapInArrow(meet, found_kind)
@@ -188,4 +221,6 @@ def assign_nearest(points: DataFrame, centroids: DataFrame, group: str = "type",
 
     done = packs.withColumnRenamed("cell", "home").drop("m").join(best.drop("at"), ["g", "home", "part"]).select("g", "ids", "d", "c") \
         .mapInArrow(unpack, f"g {g_kind}, id {id_kind}, cluster long, distance double")
+    with _few_rows(spark):
+        done = _stored(done, "nearest")
     return done.select(F.col("g").alias(group), F.col("id").alias(id_col), F.col("cluster").alias(cluster_col), "distance")
