@@ -137,3 +137,15 @@ def test_phrases_from_a_table_too_large_for_a_literal(spark, monkeypatch):
     want = run_phrases(spark, texts, entries)
     monkeypatch.setattr(lookup, "literal_dictionary", lambda *a, **k: None)
     assert run_phrases(spark, texts, entries) == want == {0: "air b", 1: "none", 2: "x air"}
+
+
+def test_corrections_are_joined_at_every_size(spark):
+    """The lookup's plan doesn't depend on the number of corrections; equal texts and null words keep their rows."""
+    dic = spark.createDataFrame([("leak", 10), ("sink", 7)], "word string, freq long")
+    texts = ["laek here", "laek here", "snik , laek snik 3rd", "", None, "leak"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    r = CL.spell_correct(df, "id", "t", dic)
+    got = {x.id: (x.corrected, x.n_words, x.n_corrected) for x in r.collect()}
+    assert got == {0: ("leak here", 2, 1), 1: ("leak here", 2, 1), 2: ("sink , leak sink 3rd", 5, 3), 3: ("", 0, 0), 4: ("", 0, 0), 5: ("leak", 1, 0)}
+    plan = r._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -259,18 +259,20 @@ def spell_correct(df: DataFrame, id_col: str, text_col: str, dictionary: DataFra
     distinct word is corrected once; the corrections are looked up within the
     row (see `lookup`).
     """
-    base = df.select(id_col, spell_words(text_col).alias("_w"))
-    words = TK.explode_with_pos(base, [], F.filter(F.array_distinct("_w"), eligible), "_p", "word").select("word").distinct()
+    base = df.select(id_col, F.col(text_col).alias("_t"))
+    checked = F.filter(F.array_distinct(spell_words("_t")), eligible)
+    words = TK.explode_with_pos(base, [], checked, "_p", "word").select("word").distinct()
     path = stage_path(df.sparkSession, "corrections")
     spell_candidates(words, dictionary, max_distance).select(F.col("word").alias("key"), F.col("correction").alias("value")).write.parquet(path)
     corr = df.sparkSession.read.parquet(path)
 
     def corrected(find):
-        return F.transform("_w", lambda w: T.let(find(w), lambda c: T.nstruct(w=F.coalesce(c, w), changed=c.isNotNull())))
+        return F.transform(spell_words("_t"), lambda w: T.let(find(w), lambda c: T.nstruct(w=F.coalesce(c, w), changed=c.isNotNull())))
 
-    done = with_lookup(base, F.filter("_w", eligible), corr, corrected, "_c")
+    # corrections grow with the texts: joined at every size
+    done = with_lookup(base, checked, corr, corrected, "_c", max_rows=0, text=F.col("_t"))
     return done.select(id_col, F.coalesce(F.array_join(F.transform("_c", lambda c: c["w"]), " "), F.lit("")).alias(out),
-                       F.coalesce(F.size("_w"), F.lit(0)).cast("long").alias("n_words"),
+                       F.coalesce(F.size("_c"), F.lit(0)).cast("long").alias("n_words"),
                        F.coalesce(F.size(F.filter("_c", lambda c: c["changed"])), F.lit(0)).cast("long").alias("n_corrected"))
 
 

@@ -4,7 +4,7 @@ A dictionary of bounded size becomes part of the expression: lists of words
 and values, in the order of the words' hashes, as one literal.  A lookup then
 is a projection (no join, no shuffle, also on a stream).
 
-A larger dictionary is joined with the texts' distinct words: a text stands
+A larger dictionary, or one that grows with the rows, is joined with the texts' distinct words: a text stands
 there as a 128-bit hash, and gets back an array of small maps, picked by the
 word's hash, of its own known words only.  The rows are joined with these maps by the hash.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
+from wordloom.functions import text as T
 from wordloom.session import DEFAULT_BROADCAST_ROWS
 
 # A dictionary up to this size travels as a literal.
@@ -94,11 +95,14 @@ def literal_dictionary(table: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
 
 
 def with_lookup(df: DataFrame, words: Column, table: DataFrame, use: Callable[[Callable[[Column], Column]], Column], out: str,
-                max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = LITERAL_BYTES) -> DataFrame:
+                max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = LITERAL_BYTES, text: Column | None = None) -> DataFrame:
     """``df`` with a column ``out`` = ``use(find)``, where ``find(word)`` is the word's value in ``table`` (key string unique, value) or null.
 
-    ``words`` is the array of all words that ``use`` may ask for.  On a
-    stream the dictionary must be within the bounds.
+    ``words`` is the array of all words that ``use`` may ask for; ``text`` is
+    a column that determines them, if that takes less to hash.  On a stream
+    the dictionary must be within the bounds.  A dictionary that grows with
+    the rows is better joined at every size (``max_rows`` 0): the work then
+    grows with the rows, without a jump at the bounds.
     """
     found = literal_dictionary(table, max_rows, max_bytes)
     if found is not None:
@@ -106,10 +110,12 @@ def with_lookup(df: DataFrame, words: Column, table: DataFrame, use: Callable[[C
         return df.withColumn(out, F.get(F.transform(F.array(d), lambda x: use(lambda w: find(x, w))), 0))
     if df.isStreaming:
         raise ValueError(f"a stream's dictionary may have {max_rows} rows and {max_bytes} bytes; label larger ones batch by batch (foreachBatch)")
-    keyed = df.withColumns({"_k1": F.xxhash64(F.lit(1), words), "_k2": F.xxhash64(F.lit(2), words)})
-    per = keyed.select("_k1", "_k2", F.explode_outer(F.array_distinct(words)).alias("key")).where("key is not null").distinct().join(table, "key") \
-        .groupBy("_k1", "_k2").agg(F.collect_list(F.struct(F.pmod(F.xxhash64("key"), F.lit(TEXT_MAPS)).cast("int").alias("at"), "key", "value")).alias("_e"))  # the words of one text
-    per = per.select("_k1", "_k2", F.transform(F.sequence(F.lit(0), F.lit(TEXT_MAPS - 1)), lambda b: F.map_from_entries(F.transform(
-        F.filter("_e", lambda e: e["at"] == b), lambda e: F.struct(e["key"], e["value"])))).alias("_maps"))
-    return keyed.join(per, ["_k1", "_k2"], "left").withColumn(out, F.get(F.transform(F.array("_maps"), lambda m: use(lambda w: _find(m, TEXT_MAPS, w))), 0)) \
-        .drop("_k1", "_k2", "_maps")
+    text = words if text is None else text
+    keyed = df.withColumns({"_k1": F.xxhash64(F.lit(1), text), "_k2": F.xxhash64(F.lit(2), text)})
+    # The copies of a word of equal texts meet at the word, so they are one entry before they are shuffled again.
+    per = keyed.select("_k1", "_k2", F.explode_outer(F.array_distinct(words)).alias("key")).where("key is not null").join(table.hint("shuffle_hash"), "key") \
+        .groupBy("_k1", "_k2").agg(F.collect_set(F.struct("key", "value")).alias("_e"))  # the words of one text
+    at = F.transform("_e", lambda e: F.pmod(F.xxhash64(e["key"]), F.lit(TEXT_MAPS)))
+    maps = T.let(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(TEXT_MAPS - 1)), lambda b: F.map_from_entries(F.filter("_e", lambda e, i: F.get(a, i) == b))))
+    j = keyed.join(per.hint("merge"), ["_k1", "_k2"], "left").withColumn("_maps", maps)
+    return j.withColumn(out, F.get(F.transform(F.array("_maps"), lambda m: use(lambda w: _find(m, TEXT_MAPS, w))), 0)).drop("_k1", "_k2", "_e", "_maps")
