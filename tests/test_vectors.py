@@ -166,3 +166,25 @@ def test_weights_are_joined_without_a_table_of_all_grams(spark):
     assert got == [(k, round(x, 6)) for k, x in want]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan  # the grams are counted once, before
+
+
+def test_segment_by_numbers_of_vectors(spark, monkeypatch):
+    """Terms that share vectors: the spans bring the vector's number along, on broadcast and on shuffled sides."""
+    texts = ["a b c a b", "b c d", "", None, "x y", "a b c a b", "c d a"]
+    df = spark.createDataFrame([(i if i != 5 else 0, t) for i, t in enumerate(texts)] + [(None, "a b")], "id long, t string")
+    number = {"a_b": 0, "a": 1, "b": 1, "b_c_d": 2, "d_a": 0, "zz": 2}
+    vec = {0: [1.0, 0.0], 1: [0.0, 2.0], 2: [3.0, 3.0]}
+    keys = spark.createDataFrame(list(number.items()), "term string, vec_id long")
+    table = spark.createDataFrame(list(vec.items()), "vec_id long, vec array<double>")
+    whole = keys.join(table, "vec_id").select("term", "vec")
+
+    def rows(r):
+        return sorted((x.id if x.id is not None else -1, tuple(x.grams), x.n_grams, tuple(x.vec) if x.vec is not None else ()) for x in r.collect())
+
+    want = rows(V.segment(df, "id", "t", whole, drop_stopwords=False))
+    assert rows(V.segment(df, "id", "t", table, keys=keys, drop_stopwords=False)) == want
+    assert (1, ("b_c_d".replace("_", " "),), 1, (3.0, 3.0)) in want
+    monkeypatch.setattr(V, "checked_broadcast", lambda d, *bounds, **kw: d)
+    r = V.segment(df, "id", "t", table, keys=keys, drop_stopwords=False)
+    assert rows(r) == want
+    assert "BroadcastHashJoin" not in r._jdf.queryExecution().sparkPlan().toString()

@@ -127,8 +127,7 @@ def with_weights(df: DataFrame, type_col: str, term_col: str, idf: DataFrame | N
     kept = df.sparkSession.read.parquet(path)
     # a weight that ``idf`` has several times counts as often
     found = kept.where(F.col("_g").isNotNull()).select("_t", "_g", F.col("_w").alias("_idf"), F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("col")
-    side = checked_broadcast(found)
-    side = found.hint("merge") if side is found else side
+    side = _checked_side(found)
     mx = max_idf(kept.withColumnRenamed("_t", "type")).select(F.col("type").alias("_t"), "max_idf")
     j = df.join(side, (df[type_col] == side["_t"]) & (df[term_col] == side["_g"]), "left").drop("_t", "_g")
     j = j.join(checked_broadcast(mx), j[type_col] == mx["_t"], "left").drop("_t")
@@ -157,9 +156,19 @@ def mean_vectors(df: DataFrame, group_cols, vec_col: str = "vec", weight_col: st
 # SEG-1: longest-known-n-gram segmentation
 # ---------------------------------------------------------------------------
 
+# A vector table up to this size is broadcast to the chosen grams; it is checked before.
+VECTOR_ROWS, VECTOR_BYTES = 1_000_000, 1 << 30
+
+
+def _checked_side(df: DataFrame, *bounds: int) -> DataFrame:
+    """``df`` broadcast within the (checked) bounds, else shuffled: the planner takes n-grams for as small as their texts' file."""
+    side = checked_broadcast(df, *bounds)
+    return df.hint("merge") if side is df else side
+
+
 def segment(df: DataFrame, id_col: str, text_col: str, vectors: DataFrame, max_n: int = fixed.MAX_NGRAM,
             lower: bool = True, stopwords: list[str] | None = None, key_col: str = "term",
-            vec_col: str = "vec", drop_stopwords: bool = True) -> DataFrame:
+            vec_col: str = "vec", drop_stopwords: bool = True, keys: DataFrame | None = None) -> DataFrame:
     """Cover each text with the longest known n-grams, then average their vectors.
 
     Spans are taken in (length desc, start asc) order when none of their
@@ -169,28 +178,45 @@ def segment(df: DataFrame, id_col: str, text_col: str, vectors: DataFrame, max_n
     mean (Q13).  Returns ``(id, grams array<string>, n_grams, vec)`` for
     every input id (``vec`` null when nothing is known).
 
-    Plan: spans semi-join the vector keys (no vectors move), the matches of
-    a text are resolved in-row, and only the chosen grams are joined to
+    Plan: spans meet the vector keys (no vectors move), the matches of a
+    text are resolved in-row, and only the chosen grams are joined to
     their vectors and averaged (``Summarizer``, partial aggregation).
+
+    Where many terms share a vector, ``keys`` (``key_col`` unique, ``vec_id``)
+    names each term's, and ``vectors`` is (``vec_id``, ``vec_col``).  The
+    spans then bring the number along, so terms are shuffled once.
     """
     words = T.space_split(F.lower(F.col(text_col)) if lower else F.col(text_col))
     spans = TK.explode_ngrams(df.select(id_col, words.alias("_w")), id_col, "_w", max_n)
     if drop_stopwords:
         stop = stopwords if stopwords is not None else TK.english_stopwords()
         spans = spans.where(~((F.col("n") == 1) & F.col("gram").isin(*stop)))
-    keys = checked_broadcast(vectors.select(F.col(key_col).alias("_vkey")))
-    hits = spans.withColumn("_vkey", T.vector_key("gram")).join(keys, "_vkey", "left_semi")
-    per = hits.groupBy(id_col).agg(F.array_sort(F.collect_list(
-        F.struct("ord", "start", "n", "gram"))).alias("_spans"))
+    # shuffled: the place in one number, and the gram, which tells its length
+    spans = spans.select(id_col, F.shiftleft(F.col("ord").cast("long"), 32).bitwiseOR(F.col("start").cast("long")).alias("place"), "gram")
+    if keys is None:
+        known = _checked_side(vectors.select(F.col(key_col).alias("_vkey")))
+        hits = spans.join(known, T.vector_key("gram") == F.col("_vkey"), "left_semi").withColumn("number", F.lit(None).cast("long"))
+    else:
+        known = _checked_side(keys.select(F.col(key_col).alias("_vkey"), F.col("vec_id").cast("long").alias("number")))
+        hits = spans.join(known, T.vector_key("gram") == F.col("_vkey")).drop("_vkey")
+    n = lambda gram: (F.length(gram) - F.length(F.replace(gram, F.lit(" "), F.lit(""))) + 1).cast("int")
+    per = hits.groupBy(id_col).agg(F.collect_list(F.struct("place", "gram", "number")).alias("_hits"))
+    per = per.select(id_col, F.array_sort(F.transform("_hits", lambda x: T.nstruct(
+        ord=F.shiftright(x["place"], 32), start=x["place"].bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), n=n(x["gram"]), gram=x["gram"], number=x["number"]))).alias("_spans"))
     per = per.withColumn("_mask", greedy_cover(F.col("_spans")))
     chosen = F.transform(F.filter(F.arrays_zip(F.col("_spans").alias("s"), F.col("_mask").alias("m")),
-                                  lambda z: z["m"]), lambda z: z["s"]["gram"])
-    per = per.select(id_col, chosen.alias("grams"))
-    picked = TK.explode_with_pos(per, id_col, F.array_distinct("grams"), "_p", "gram")
-    pv = lookup_vectors(picked, "gram", vectors, out="_vec", key_col=key_col, vec_col=vec_col)
+                                  lambda z: z["m"]), lambda z: T.nstruct(gram=z["s"]["gram"], number=z["s"]["number"]))
+    per = per.select(id_col, chosen.alias("_chosen"))
+    picked = TK.explode_with_pos(per, id_col, F.array_distinct("_chosen"), "_p", "x")
+    if keys is None:
+        pv = lookup_vectors(picked.select(id_col, "x.gram"), "gram", vectors, out="_vec", key_col=key_col, vec_col=vec_col)
+    else:
+        v = vectors.select(F.col("vec_id").cast("long").alias("number"), F.col(vec_col).alias("_vec"))
+        pv = picked.select(id_col, "x.number").join(_checked_side(v, VECTOR_ROWS, VECTOR_BYTES), "number")
     means = mean_vectors(pv, id_col, "_vec", out="vec").drop("n_found")
+    per = per.select(id_col, F.transform("_chosen", lambda x: x["gram"]).alias("grams"))
     base = df.select(id_col).distinct() if df.columns != [id_col] else df
-    return base.join(per, id_col, "left").join(means, id_col, "left").select(
+    return base.join(per.hint("merge"), id_col, "left").join(means.hint("merge"), id_col, "left").select(
         id_col, F.coalesce("grams", F.array().cast("array<string>")).alias("grams"),
         F.coalesce(F.size("grams"), F.lit(0)).alias("n_grams"), "vec")
 

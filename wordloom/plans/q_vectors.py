@@ -16,6 +16,10 @@ from wordloom.functions import text as T
 from wordloom.operators import tokens as TK
 from wordloom.operators import vectors as V
 from wordloom.plans.common import load, sql_normalize
+from wordloom.session import checked_broadcast, stage_path
+
+# Numbers of vectors, 8 bytes each, that are broadcast to tell which terms have one.
+NUMBERS = 5_000_000
 
 
 def derived_vectors(spark, sf, terms):
@@ -26,6 +30,15 @@ def derived_vectors(spark, sf, terms):
     return t.join(emb, "vec_id").select("term", "vec_id", "vec")
 
 
+def derived_numbers(spark, sf, terms):
+    """``(term, vec_id)`` for the distinct candidate ``terms`` that have a vector, stored, and ``(vec_id, vec)``: many terms share a vector."""
+    emb = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    t = terms.select("term").distinct().withColumn("vec_id", V.vector_bucket("term", 2 * emb.count()))
+    path = stage_path(spark, "term_numbers")
+    t.join(checked_broadcast(emb.select("vec_id").distinct(), max_rows=NUMBERS), "vec_id", "left_semi").write.parquet(path)
+    return spark.read.parquet(path), emb
+
+
 def turns(spark, sf):
     c = load(spark, sf, "conversations")
     return c.select("conv_id", "turn", "role", T.normalize("text").alias("t"))
@@ -124,14 +137,14 @@ def q_entity_reduce(spark, sf):
 def _seg_input(spark, sf):
     t = turns(spark, sf).select(F.concat_ws("_", "conv_id", "turn").alias("sid"), "t")
     grams = TK.explode_ngrams(t.select("sid", T.space_split("t").alias("w")), "sid", "w")
-    vt = derived_vectors(spark, sf, grams.select(T.vector_key("gram").alias("term")))
-    return t, vt
+    keys, vectors = derived_numbers(spark, sf, grams.select(T.vector_key("gram").alias("term")))
+    return t, keys, vectors
 
 
 def q_ngram_segment(spark, sf):
     """SEG-1: longest-known-n-gram cover of every whole conversation turn."""
-    t, vt = _seg_input(spark, sf)
-    s = V.segment(t, "sid", "t", vt.select("term", "vec"))
+    t, keys, vectors = _seg_input(spark, sf)
+    s = V.segment(t, "sid", "t", vectors, keys=keys)
     return s.select("sid", F.col("n_grams").cast("bigint").alias("n_grams"),
                     F.md5(F.array_join("grams", "|")).alias("grams_md5"),
                     _r6(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("vec_sum"))
