@@ -313,3 +313,22 @@ def test_bit_table_has_all_keys_and_few_others(spark):
         table = bit_table(keys, "h", bits)
         assert len(table) == 1 << bits - 3 and has_bit(table, h).all()
         assert np.unpackbits(table).sum() == len(np.unique(h & (1 << bits) - 1))
+
+
+def test_word_hashes_take_little_memory():
+    """Hashing a megabyte of text holds a few megabytes; words keep their hash at every place, also across chunks."""
+    import tracemalloc
+
+    from wordloom.llm.batches import CHUNK, SPACE, WordHasher
+    hasher = WordHasher(SPACE, lower=True, prefix=5)
+    text = b" ".join(b"word%d" % (i % 1000) for i in range(150_000))
+    tracemalloc.start()
+    word, first = hasher([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(word) == len(hasher.heads) == 150_000 and first.tolist() == [0, 150_000]
+    assert (word.reshape(-1, 1000) == word[:1000]).all() and len(set(word[:1000].tolist())) == 1000
+    assert peak < 15 << 20
+    long = b"x" * (2 * CHUNK + 5)
+    a, b = hasher([b"a  " + long + b" b", b"", b"c " + long, b" A"]), hasher([long + b" q"])
+    assert a[1].tolist() == [0, 3, 3, 5, 6] and a[0][1] == a[0][4] == b[0][0] and a[0][0] == a[0][5] and len(hasher.heads) == 2

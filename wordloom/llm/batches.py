@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-# Bytes of text that one numpy step looks at; temporaries are about 60 bytes per byte of text.
-CHUNK = 1 << 20
+# Bytes of text that one numpy step looks at; temporaries are about 20 bytes per byte of text.
+CHUNK = 1 << 18
 _U = np.uint64
 
 
@@ -131,16 +131,19 @@ class WordHasher:
         return np.concatenate(hashes), np.concatenate([np.searchsorted(start, begin), [len(start)]]).astype(np.int64)
 
     def _chunk(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        inside = np.zeros(len(part) + 2, np.int8)
-        inside[1:-1] = ~self.sep[part]
-        step = np.diff(inside)
-        s, e = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        inside = np.zeros(len(part) + 2, bool)
+        np.logical_not(self.sep.take(part), out=inside[1:-1])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        s, e = edge[::2], edge[1::2]
         total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(self.value[part] * self.power[:len(part)], out=total[1:])
+        value = self.value.take(part)
+        value *= self.power[:len(part)]
+        np.cumsum(value, out=total[1:])
+        before, inverse = total.take(s), self.inverse.take(s)
         if self.prefix:
             head = np.minimum(e, s + self.prefix)
-            self._heads.append(mix((total[head] - total[s]) * self.inverse[s]))
-        return s, mix((total[e] - total[s]) * self.inverse[s] + (e - s).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+            self._heads.append(mix((total.take(head) - before) * inverse))
+        return s, mix((total.take(e) - before) * inverse + (e - s).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
     def _one_word(self, data: np.ndarray, at: int, hashes: list, starts: list) -> int:
         """A word longer than a chunk: hash its pieces, then the pieces' hashes."""
