@@ -255,8 +255,11 @@ def _shard_passes(spark, shards: DataFrame, m: TextCnn, squares: dict, weights:
 
         def pass_over(held):
             held.sort(key=lambda r: (r[0], r[1]))
-            rows = [own.rows(np.frombuffer(w, np.uint32), np.frombuffer(h, np.uint32)) for _, w, h, _ in held]
             y = np.array([r[3] for r in held], np.float32)
+            rows = []
+            for k, (_, w, h, _) in enumerate(held):  # hashes go as their row numbers come
+                rows.append(own.rows(np.frombuffer(w, np.uint32), np.frombuffer(h, np.uint32)))
+                held[k] = None
             for rate in rates:
                 learn(own, sq, touched, rows, y, np.where(y == 1, weights[1], weights[0]).astype(np.float32), rate, rng)
 
