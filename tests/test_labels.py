@@ -59,3 +59,19 @@ def test_entities_and_dedupe(spark):
         (1, "action", "fix"), (1, "object", "sink"), (2, "location", "tap"), (2, "object", "sink")]
     d = L.first_seen(e, "entity", ["row_id", "type_ord"], ["type"]).collect()
     assert sorted((r.entity, r.row_id) for r in d) == [("fix", 1), ("sink", 1), ("tap", 2)]
+
+
+def test_label_columns_of_odd_rows_are_those_of_the_runs(spark):
+    """Null tokens, labels and rows, unequal lengths, patched and unknown labels: the columns that the run expressions give."""
+    import random
+    rng = random.Random(1)
+    labels = ["object", "object", "noise", "description", "inspect", "decription", "object2", None, "other"]
+    some = lambda of, n: None if rng.random() < 0.05 else [rng.choice(of) for _ in range(n)]
+    rows = [(i, some(["a", "b", "", None], n), some(labels, n if rng.random() < 0.8 else rng.randint(0, 9))) for i, n in enumerate(rng.randint(0, 9) for _ in range(400))]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>, labels array<string>")
+    names = ["location", "object", "action", "numerator", "analysis", "description", "conjunction", "noise", "object2"]
+    runs = df.select("id", L.label_runs("tokens", "labels").alias("r")).withColumn("r", L.second_objects("r"))
+    terms_of = lambda c: F.array_join(F.transform(F.filter("r", lambda x: x["label"] == c), lambda x: x["term"]), " ").alias(c)
+    expected = runs.select("id", *map(terms_of, names))
+    got = L.with_label_columns(df, keep=["id"]).select("id", *names)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))

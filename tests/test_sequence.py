@@ -159,3 +159,69 @@ def test_decoding_grows_with_the_text(spark):
         return min(took)
 
     assert seconds(1, 16000) < 4 * seconds(16, 1000) + 2
+
+
+ODD_TOKENS = ["", "&", "...", "-.", "a..", "\"it's\"", "A.B.", "x1.", "b,", "é.", "aé", "İstanbul", "K9", "Under,", "(sink)", "sink", "kitchen", "the", "''", "o's", "ß", "_x_", "by", "&,", "door's.", "a\u0085", "to"]
+
+
+def test_batches_have_the_projection_s_records_and_labels(spark):
+    """Batched decoding, also of pieces and groups of texts: the same records, the same sums, the same ties."""
+    import pyarrow as pa
+    from wordloom.operators import batches
+    lexicon = spark.createDataFrame([("sink", "NN"), ("a", "DT"), ("the", "NNS"), ("the", "VB")], "word string, tag string")
+    gazetteer = spark.createDataFrame([("object", "door's."), ("location", "the"), ("object", "to")], "kind string, term string")
+    single = spark.createDataFrame([(i, [t]) for i, t in enumerate(ODD_TOKENS)], "id int, tokens array<string>")
+    rng = np.random.default_rng(6)
+    rows = [(i, [str(w) for w in rng.choice(ODD_TOKENS, n)]) for i, n in enumerate([0, 1, 2, 3, 50, 129, 5, 1, 7])]
+    df = spark.createDataFrame([*rows, (99, None)], "id long, tokens array<string>")
+    for lex, gaz in ((None, None), (lexicon, None), (lexicon, gazetteer)):
+        expected = {r.id: r for r in SQ.with_record_arrays(single, "tokens", lex, (), gaz).collect()}
+        x, tags = batches.token_numbers(pa.array(ODD_TOKENS), *SQ.known_words(lex, gaz))
+        assert x.tolist() == [expected[i].x[:10] for i in range(len(ODD_TOKENS))]
+        assert [f"nltk_tag:{t}" for t in tags.to_pylist()] == [expected[i].names[0] for i in range(len(ODD_TOKENS))]
+        names = {r.k for r in SQ.with_features(df.where("tokens is not null"), "tokens", lex, (), gaz).selectExpr("explode(fkey) as k").collect()}
+        model = SQ.SequenceModel(features=sorted(names))
+        for whole in (True, False):
+            draw = (lambda shape: rng.integers(-1, 2, shape).astype(float)) if whole else (lambda shape: rng.normal(size=shape))
+            model.W, model.A = draw(model.W.shape), draw(model.A.shape)
+            expected = {r.id: r.labels for r in SQ.decode(df, model, "tokens", lex, gaz).collect()}
+            assert {r.id: r.labels for r in SQ.decode(df, model, "tokens", lex, gaz, batched=True).collect()} == expected
+            decoder = batches.Decoder(model, SQ._RECORD, *SQ.known_words(lex, gaz))
+            tokens = pa.array([t for _, t in rows], pa.list_(pa.string()))
+            assert [len(tokens[a:b]) for a, b in batches.pieces(tokens, 60)] == [5, 1, 3]
+            assert pa.concat_arrays([decoder(tokens[a:b]) for a, b in batches.pieces(tokens, 60)]).to_pylist() == [expected[i] for i, _ in rows]
+
+
+def test_labelling_by_batch_is_far_faster_than_the_projection(spark):
+    import time
+
+    from pyspark.sql import functions as F
+    df = spark.range(400).select("id", F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.concat(F.lit("w"), F.hash("id", i) % 5000)).alias("tokens")).repartition(4).localCheckpoint()
+    model = SQ.SequenceModel(features=["bias", "length", "next:rawstring.end", "period"])
+    model.W[:] = np.random.default_rng(1).normal(size=model.W.shape)
+
+    def seconds(**how):
+        took = []
+        for _ in range(2):
+            at = time.time()
+            assert SQ.decode(df, model, **how).agg(F.sum(F.size("labels"))).first()[0] == 200_000
+            took.append(time.time() - at)
+        return min(took)
+
+    assert 2 * seconds(batched=True) < seconds()
+
+
+def test_walks_give_the_errors_of_single_texts():
+    """Texts of many lengths side by side: the same loss, derivative and transitions, also where products run out of a double."""
+    from wordloom.operators import batches
+    rng = np.random.default_rng(7)
+    ntok = np.array([3, 1, 0, 7, 7, 2, 40, 1])
+    for spread in (1, 5000):
+        E, A, y = rng.normal(size=(ntok.sum(), 4)) * spread, rng.normal(size=(4, 4)), rng.integers(0, 4, ntok.sum())
+        loss, d, ga = SQ.label_errors(E, A, ntok, y)
+        rows, sizes, _, _ = batches.packed(ntok)
+        assert sorted(rows) == list(range(len(y))) and (batches.walk_errors(E[rows].T, A, sizes, y[rows], SQ.PRODUCT_RANGE) is None) == (spread > 1)
+        got = SQ.walk_errors(np.ascontiguousarray(E[rows].T), A, sizes, y[rows])
+        assert np.isclose(got[0], loss) and np.allclose(got[1], d[rows].T) and np.allclose(got[2], ga)
+        assert [list(p) for p in np.split(batches.best_paths(E[rows].T.copy(), A, sizes)[np.argsort(rows)], np.cumsum(ntok)[:-1])] == [
+            list(SQ.viterbi(e, A)) for e in np.split(E, np.cumsum(ntok)[:-1])]

@@ -12,12 +12,13 @@ Two data shapes are used:
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom import fixed
 from wordloom.functions import text as T
-
+from wordloom.operators import batches
 
 
 def _seq0(n: Column) -> Column:
@@ -192,18 +193,21 @@ def with_label_columns(df: DataFrame, tokens: str = "tokens", labels: str = "lab
     Object runs are merged first; the first object run fills ``object``,
     later ones fill ``object2``.  Several terms of one label join with a
     blank; labels outside ``columns`` are dropped; absent labels give ''.
-    The run array is staged as its own column, computed once per row.  A
-    label column whose name is already taken by a kept column (the work
-    order's own ``description``) gets ``clash_prefix``.
+    Texts are worked on by Arrow batch (`batches.label_columns`), as `label_runs`
+    and `second_objects` have it.  A label column whose name is already taken
+    by a kept column (the work order's own ``description``) gets ``clash_prefix``.
     """
     keep = [c for c in df.columns if c not in (tokens, labels)] if keep is None else list(keep)
-    names = {c: (clash_prefix + c if c in keep else c) for c in list(columns) + [fixed.OBJECT2]}
-    staged = df.select(*keep, label_runs(tokens, labels, fixes).alias("_runs")) \
-               .withColumn("_runs", second_objects("_runs"))
-    def terms_of(c):
-        return F.array_join(F.transform(F.filter("_runs", lambda r: r["label"] == c), lambda r: r["term"]), " ")
-    cols = [terms_of(c).alias(names[c]) for c in list(columns) + [fixed.OBJECT2]]
-    return staged.select(*keep, *cols)
+    columns, fixes = list(columns), list(fixes)
+    names = {c: (clash_prefix + c if c in keep else c) for c in columns + [fixed.OBJECT2]}
+
+    def pivoted(tk: pa.Array, lb: pa.Array) -> pa.Array:
+        return batches.label_columns(tk, lb, columns, fixes, "object", fixed.OBJECT2)
+
+    kind = ", ".join(f"`{c}` string" for c in columns + [fixed.OBJECT2])
+    texts = [F.col(c).cast("array<string>") for c in (tokens, labels)]
+    staged = df.select(*keep, F.arrow_udf(pivoted, f"struct<{kind.replace(' string', ': string')}>")(*texts).alias("_cols"))
+    return staged.select(*keep, *[F.col("_cols").getField(c).alias(names[c]) for c in columns + [fixed.OBJECT2]])
 
 
 def columns_to_entities(df: DataFrame, id_cols, types: list[str] = fixed.ENTITY_TYPES,

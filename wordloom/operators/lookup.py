@@ -42,6 +42,13 @@ def _literal_list(values: list, kind: T_.DataType) -> Column:
     return parts if isinstance(kind, T_.StringType) else parts.try_cast(f"array<{kind.simpleString()}>")
 
 
+def bounded_rows(table: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = LITERAL_BYTES) -> int | None:
+    """The number of rows of a table (key, value), or None beyond the bounds."""
+    line = F.to_json(F.struct("key", "value"))
+    n, size = table.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(F.length(line))).first()
+    return None if n > max_rows or (size or 0) > max_bytes else n
+
+
 def literal_dictionary(table: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = LITERAL_BYTES) -> tuple[Column, Callable[[Column, Column], Column]] | None:
     """(the dictionary as a literal, a function of it and a word that gives the word's value) of a table (key string, value), or None beyond the bounds.
 
@@ -50,9 +57,8 @@ def literal_dictionary(table: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     Values are strings, numbers, truth values, structs of these, or arrays of
     doubles of one length; an empty string in a struct counts as null.
     """
-    line = F.to_json(F.struct("key", "value"))
-    n, size = table.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(F.length(line))).first()
-    if n > max_rows or (size or 0) > max_bytes:
+    n = bounded_rows(table, max_rows, max_bytes)
+    if n is None:
         return None
     n = max(1, n)
     rows = sorted((r[0], r[1], r[2]) for r in table.where("key is not null").select(F.pmod(F.xxhash64("key"), F.lit(n)), "key", F.to_json(F.struct("value"))).collect())  # checked above
@@ -114,8 +120,8 @@ def with_lookup(df: DataFrame, words: Column, table: DataFrame, use: Callable[[C
     keyed = df.withColumns({"_k1": F.xxhash64(F.lit(1), text), "_k2": F.xxhash64(F.lit(2), text)})
     # The copies of a word of equal texts meet at the word, so they are one entry before they are shuffled again.
     per = keyed.select("_k1", "_k2", F.explode_outer(F.array_distinct(words)).alias("key")).where("key is not null").join(table.hint("shuffle_hash"), "key") \
-        .groupBy("_k1", "_k2").agg(F.collect_set(F.struct("key", "value")).alias("_e"))  # the words of one text
-    at = F.transform("_e", lambda e: F.pmod(F.xxhash64(e["key"]), F.lit(TEXT_MAPS)))
-    maps = T.let(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(TEXT_MAPS - 1)), lambda b: F.map_from_entries(F.filter("_e", lambda e, i: F.get(a, i) == b))))
+        .groupBy("_k1", "_k2").agg(F.collect_set(F.struct("key", "value")).alias("_known"))  # the words of one text
+    at = F.transform("_known", lambda e: F.pmod(F.xxhash64(e["key"]), F.lit(TEXT_MAPS)))
+    maps = T.let(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(TEXT_MAPS - 1)), lambda b: F.map_from_entries(F.filter("_known", lambda e, i: F.get(a, i) == b))))
     j = keyed.join(per.hint("merge"), ["_k1", "_k2"], "left").withColumn("_maps", maps)
-    return j.withColumn(out, F.get(F.transform(F.array("_maps"), lambda m: use(lambda w: _find(m, TEXT_MAPS, w))), 0)).drop("_k1", "_k2", "_e", "_maps")
+    return j.withColumn(out, F.get(F.transform(F.array("_maps"), lambda m: use(lambda w: _find(m, TEXT_MAPS, w))), 0)).drop("_k1", "_k2", "_known", "_maps")

@@ -29,13 +29,15 @@ from typing import Tuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom import fixed
 from wordloom.functions import text as T
+from wordloom.operators import batches
 from wordloom.operators import features as FE
-from wordloom.operators.lookup import with_lookup
+from wordloom.operators.lookup import bounded_rows, with_lookup
 from wordloom.session import stage_path
 
 # ---------------------------------------------------------------------------
@@ -287,6 +289,18 @@ def label_errors(E: np.ndarray, A: np.ndarray, ntok, y: np.ndarray):
     return loss, D, GA
 
 
+def walk_errors(E: np.ndarray, A: np.ndarray, sizes: np.ndarray, y: np.ndarray):
+    """`label_errors` of texts that are walked side by side (`batches.packed`): ``E`` and the derivative are [labels, places]."""
+    out = batches.walk_errors(E, A, sizes, y, PRODUCT_RANGE)
+    if out is not None:
+        return out
+    ntok = (np.asarray(sizes)[None, :] > np.arange(sizes[0])[:, None]).sum(axis=1)  # texts lie the longest first
+    rows = batches.packed(ntok)[0]
+    by_text = np.argsort(rows)
+    loss, d, ga = label_errors(E.T[by_text], A, ntok, y[by_text])
+    return loss, d[rows].T, ga
+
+
 def batch_gradient(W: np.ndarray, A: np.ndarray, ntok, ftok, fidx, fval, ys):
     """Loss and gradients of a batch of texts, given by their features one by one."""
     L = W.shape[1]
@@ -406,15 +420,34 @@ def viterbi_column(scores: Column, A: np.ndarray) -> Column:
     return F.when(F.size(scores) == 0, none("array<int>")).otherwise(T.let(scores, path))
 
 
+def known_words(lexicon: DataFrame | None, gazetteer: DataFrame | None) -> tuple[dict | None, bool] | None:
+    """(what the tables say of words, whether that holds the location and object flags) for `batches`, or None beyond the bounds."""
+    if lexicon is None and gazetteer is None:
+        return None, False
+    table = FE.word_table(lexicon, gazetteer)
+    return None if bounded_rows(table) is None else (batches.known_words(table.collect()), gazetteer is not None)  # checked above
+
+
 def decode(df: DataFrame, model: SequenceModel, tokens_col: str = "tokens", lexicon: DataFrame | None = None, gazetteer: DataFrame | None = None,
-           out: str = "labels") -> DataFrame:
+           out: str = "labels", batched: bool = False) -> DataFrame:
     """Best label sequence of every row's tokens (no tokens -> []), as column ``out``.
 
+    ``batched`` works on Arrow batches of texts (`batches.Decoder`, the same
+    sums in the same order) instead of a projection, which takes some 40 us a
+    token; optional features and tables beyond the bounds are left to the projection.
+
     Features without a weight count nothing.  The weights of numbers and
     truth values are literals; those of ``name:value`` features are looked up
     within the row while they have a bounded size, and joined with the texts'
     distinct features beyond it.
     """
+    if batched and not model.optional and (known := known_words(lexicon, gazetteer)):
+        decoder = batches.Decoder(model, _RECORD, *known)
+
+        def labelled(tokens: pa.Array) -> pa.Array:
+            return decoder(tokens)
+
+        return df.withColumn(out, F.arrow_udf(labelled, "array<string>")(F.col(tokens_col).cast("array<string>")))
     pos, st = None, df
     if lexicon is not None or gazetteer is not None:
         st, pos = FE.with_pos_array(df, tokens_col, lexicon, gazetteer, "_pos"), "_pos"
@@ -432,7 +465,7 @@ def decode(df: DataFrame, model: SequenceModel, tokens_col: str = "tokens", lexi
 def label_tokens(df: DataFrame, text_col: str, model: SequenceModel, lexicon: DataFrame | None = None,
                  gazetteer: DataFrame | None = None) -> DataFrame:
     """SEQ-2 on a text column: ``tokens`` (TOK-2 of the lower-cased text) and predicted ``labels``, the same on a stream."""
-    return decode(df.withColumn("tokens", T.tokenize(F.lower(F.col(text_col)))), model, "tokens", lexicon, gazetteer)
+    return decode(df.withColumn("tokens", T.tokenize(F.lower(F.col(text_col)))), model, "tokens", lexicon, gazetteer, batched=True)
 
 
 # ---------------------------------------------------------------------------
@@ -513,24 +546,59 @@ def with_record_arrays(df: DataFrame, tokens_col: str, lexicon: DataFrame | None
     return st.withColumns({"x": x, "names": names}).drop("_r", *([pos] if pos else []))
 
 
-def _flat(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray | pa.Array:
-    """A list column's values, one behind the other, as a table of ``width`` columns (texts stay an Arrow array)."""
-    values = batch.column(column).flatten()
-    return values if pa.types.is_string(values.type) else values.to_numpy(zero_copy_only=False).reshape(-1, width)
+# Tokens of the training texts that are stored, and worked on, as one row.
+TEXTS_TOKENS = 1 << 16
 
 
-def _lengths(batch: pa.RecordBatch) -> np.ndarray:
-    """Tokens of every text."""
-    return batch.column("x").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // len(_RECORD)
+def packed_training(train: DataFrame, tokens_col: str, y_col: str, lexicon: DataFrame | None, optional=(), gazetteer: DataFrame | None = None) -> DataFrame:
+    """Training texts as rows of `batches.packed_texts`: ``sizes``, ``code``, ``y``, ``x`` (the records' numbers) and ``names``.
 
-
-def _neighbours(ntok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens that have one behind them in their text, tokens that have one before them), as truth values."""
-    follows, leads = np.ones(int(ntok.sum()), bool), np.ones(int(ntok.sum()), bool)
-    ends = np.cumsum(ntok)[ntok > 0]
-    leads[ends - 1] = False
-    follows[ends - ntok[ntok > 0]] = False
-    return leads, follows
+    Tokens are looked at by Arrow batch; with optional features, and with
+    tables beyond the bounds, their records come from expressions.
+    """
+    per_token, width = 1 + len(optional), len(_RECORD) - 2
+    known = None if optional else known_words(lexicon, gazetteer)
+    source = train.select(F.col(tokens_col).cast("array<string>").alias("tokens"), F.col(y_col).cast("array<int>").alias("y"))
+    if known is None:
+        source = with_record_arrays(source, "tokens", lexicon, optional, gazetteer).select("tokens", "y", "x", "names")
+
+    def records(b: pa.RecordBatch):
+        """(number of every token's record, the records' numbers, their names)."""
+        if known is not None:
+            words = b.column("tokens").flatten().fill_null("").dictionary_encode()
+            x, tag = batches.token_numbers(words.dictionary, *known)
+            tag = pc.binary_join_element_wise("nltk_tag:", tag, "").dictionary_encode()
+            rows, number = batches.distinct_rows(np.hstack([x, tag.indices.to_numpy(zero_copy_only=False)[:, None]]))
+            number = number[words.indices.to_numpy(zero_copy_only=False)]
+        else:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(_RECORD))[:, :width]
+            tag = b.column("names").flatten().dictionary_encode()
+            rows, number = batches.distinct_rows(np.hstack([x, tag.indices.to_numpy(zero_copy_only=False).reshape(-1, per_token)]))
+        return number, rows[:, :width], tag.dictionary.take(pa.array(rows[:, width:].ravel()))
+
+    def pack(parts):
+        for b in parts:
+            ntok = pc.fill_null(pc.list_value_length(b.column("tokens")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not ntok.sum():
+                continue
+            y = b.column("y").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            number, x, names = records(b)
+            for texts in batches.groups_of(ntok, TEXTS_TOKENS):
+                places = batches.token_places(ntok, texts)
+                row = batches.packed_texts(ntok[texts], y[places], number[places], x, names)
+                yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.binary()) for v in row[:4]), pa.array([row[4]], pa.list_(pa.string()))],
+                                                 ["sizes", "code", "y", "x", "names"])
+
+    return source.mapInArrow(pack, "sizes binary, code binary, y binary, x binary, names array<string>")
+
+
+def _packed_rows(parts, *columns):
+    """Rows of `packed_training`, one after the other: integers, the records' numbers as a table, names as a list."""
+    for b in parts:
+        for i in range(b.num_rows):
+            row = [b.column(c)[i] for c in columns]
+            row = [v.as_py() if c == "names" else np.frombuffer(v.as_buffer(), np.int32) for c, v in zip(columns, row)]
+            yield [v.reshape(-1, len(_RECORD) + 1) if c == "x" else v for c, v in zip(columns, row)]
 
 
 class Objective:
@@ -545,36 +613,30 @@ class Objective:
                  lexicon: DataFrame | None = None, optional=(), gazetteer: DataFrame | None = None):
         spark = train.sparkSession
         per_token = 1 + len(optional)
-
-        def stored(df, name):
-            path = stage_path(spark, name)
-            df.write.parquet(path)
-            return spark.read.parquet(path)
-
-        named = stored(with_record_arrays(train.select(tokens_col, F.col(y_col).alias("y")), tokens_col, lexicon, optional, gazetteer).select("x", "names", "y"), "records")
-
-        def occurring(batches):
-            for b in batches:
-                ntok = _lengths(b)
-                x, texts, found = _flat(b, "x", len(_RECORD)), _flat(b, "names", per_token).dictionary_encode(), set()
-                code = texts.indices.to_numpy(zero_copy_only=False).reshape(-1, per_token)
-                for role, rows in zip(ROLES, (slice(None), *_neighbours(ntok))):
-                    found |= {role + n for n, some in zip(_RECORD, (x[rows] != 0).any(axis=0)) if some}
-                    found |= {role + texts.dictionary[int(i)].as_py() for i in np.unique(code[rows])}
-                found |= ({"bias"} if len(x) else set()) | ({"singleton"} if (ntok == 1).any() else set())
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["k"])
-
-        table = named.mapInArrow(occurring, "k string").distinct().orderBy("k").toArrow()  # the model's size
+        path = stage_path(spark, "texts")
+        packed_training(train, tokens_col, y_col, lexicon, optional, gazetteer).write.parquet(path)
+        self.texts = spark.read.parquet(path)  # read in every pass
+
+        def occurring(parts):
+            found = set()
+            for x, names in _packed_rows(parts, "x", "names"):
+                numbers, alone = x[:, :-1], x[:, -1] != 0
+                code, named = np.arange(len(names)).reshape(-1, per_token), np.array(names, object)
+                # which records lie behind or before another one
+                for role, rows in zip(ROLES, (slice(None), ~alone & (numbers[:, -1] == 0), ~alone & (numbers[:, -2] == 0))):
+                    found |= {role + n for n, some in zip(_RECORD, (numbers[rows] != 0).any(axis=0)) if some}
+                    found |= {role + n for n in set(named[code[rows].ravel()])}
+                found |= {"bias"} | ({"singleton"} if alone.any() else set())
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["k"])
+
+        table = self.texts.select("x", "names").mapInArrow(occurring, "k string").distinct().orderBy("k").toArrow()  # the model's size
         self.features = table.column("k").to_pylist()
         number = {k: i for i, k in enumerate(self.features)}
         words = sorted({k[len(p):] for k in self.features for p in ROLES if k.startswith(p)} - {*_RECORD, "bias", "singleton"})
         # where a record's parts lie among the features, for each role; len(features) stands for no feature
         place = lambda names: np.array([[number.get(p + n, len(number)) for n in names] for p in ROLES], np.int64)
         self.places = place(_RECORD), place(words), place(["bias", "singleton"])[0]
-        index = spark.createDataFrame(pa.table({"key": pa.array(words, pa.string()), "value": pa.array(range(len(words)), pa.int32())}))
-        enc = with_lookup(named, F.col("names"), index, lambda find: F.transform("names", find), "code").select("x", "code", "y")
-        # spread the texts over all cores once, on shared storage (read in every pass)
-        self.enc = stored(enc.repartition(spark.sparkContext.defaultParallelism), "encoded")
+        self.words = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})  # the model's size, as its weights
         self.spark, self.labels, self.l2, self.per_token = spark, list(labels), l2, per_token
         self.size = len(self.features) * len(self.labels) + len(self.labels) ** 2
 
@@ -588,7 +650,7 @@ class Objective:
         W, A = self.split(x)
         bc = self.spark.sparkContext.broadcast((np.vstack([W, np.zeros((1, L))]), A, *self.places))
 
-        def part_grad(it, bc=bc):
+        def part_grad(parts, bc=bc, numbered=self.words):
             W, A, plain, words, (bias, singleton) = bc.value
             G, GA, loss = {}, np.zeros_like(A), 0.0
 
@@ -601,29 +663,29 @@ class Objective:
                     mine = own // FEATURE_BLOCK == b
                     G.setdefault(b, np.zeros((FEATURE_BLOCK, L)))[own[mine] % FEATURE_BLOCK] += total[mine]
 
-            for batch in it:
-                ntok = _lengths(batch)
-                numbers, code = _flat(batch, "x", len(_RECORD)).astype(np.float64), _flat(batch, "code", per_token)
-                if not len(numbers):
-                    continue
-                alone, roles = np.repeat(ntok == 1, ntok), (slice(None), *_neighbours(ntok))
+            for sizes, code, y, x, names in _packed_rows(parts, "sizes", "code", "y", "x", "names"):
+                numbers, alone, y = x[:, :-1].astype(np.float64), x[:, -1] != 0, y.astype(np.int64)
+                name = np.array([numbered.value[n] for n in names], np.int64).reshape(-1, per_token)
                 # a record counts for its own token, for the one behind it (as previous) and for the one before it (as next)
-                to = (slice(None), roles[2], roles[1])
-                E = np.tile(W[bias], (len(numbers), 1))
-                E[alone] += W[singleton]
+                later, before = batches.walk(sizes)
+                seen, counts = (code, code[before], code[later]), (slice(None), later, before)
+                E = None
                 for k in range(3):
-                    E[to[k]] += numbers[roles[k]] @ W[plain[k]]
-                    for c in range(per_token):
-                        E[to[k]] += W[words[k][code[roles[k], c]]]
-                ls, d, ga = label_errors(E, A, ntok, batch.column("y").flatten().to_numpy(zero_copy_only=False))
+                    S = numbers @ W[plain[k]] + W[words[k][name]].sum(axis=1)
+                    if k == 0:
+                        S += W[bias] + alone[:, None] * W[singleton]
+                        E = np.take(np.ascontiguousarray(S.T), code, axis=1)
+                    else:
+                        E[:, counts[k]] += np.take(np.ascontiguousarray(S.T), seen[k], axis=1)
+                ls, d, ga = walk_errors(E, A, sizes, y)
                 loss += ls
                 GA += ga
-                add(np.array([bias, singleton]), np.stack([d.sum(axis=0), d[alone].sum(axis=0)]))
                 for k in range(3):
-                    mine = d[to[k]]
-                    add(plain[k], numbers[roles[k]].T @ mine)
-                    for c in range(per_token):
-                        add(words[k][code[roles[k], c]], mine)
+                    mine = np.stack([np.bincount(seen[k], weights=e[counts[k]], minlength=len(x)) for e in d], axis=1)
+                    add(plain[k], numbers.T @ mine)
+                    add(words[k][name].ravel(), np.repeat(mine, per_token, axis=0))
+                    if k == 0:
+                        add(np.array([bias, singleton]), np.stack([mine.sum(axis=0), mine[alone].sum(axis=0)]))
             rows = [(b, g.tobytes()) for b, g in G.items()] + [(-1, np.concatenate([[loss], GA.ravel()]).tobytes())]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([g for _, g in rows], pa.binary())], ["block", "g"])
 
@@ -634,7 +696,7 @@ class Objective:
                     total = total + np.frombuffer(g)
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["block", "g"])
 
-        grads = self.enc.mapInArrow(part_grad, "block long, g binary")
+        grads = self.texts.mapInArrow(part_grad, "block long, g binary")
         G, GA, loss = np.zeros((-(-D // FEATURE_BLOCK) * FEATURE_BLOCK, L)), np.zeros((L, L)), 0.0
         for r in grads.groupBy("block").applyInArrow(added, "block long, g binary").collect():  # the model's size
             g = np.frombuffer(r["g"])

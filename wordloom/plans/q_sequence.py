@@ -84,7 +84,7 @@ def q_fit_sequence_model(spark, sf):
     """SEQ-1: fit on the training lines, report per-label accuracy on the silver order sequences."""
     model = fitted_model(spark, sf)
     s = QL.order_sequences(spark, sf)
-    d = SQ.decode(s, model, "tokens", lexicon(spark), out="pred")
+    d = SQ.decode(s, model, "tokens", lexicon(spark), out="pred", batched=True)
     z = d.select(F.explode(F.arrays_zip(F.col("labels").alias("gold"), F.col("pred").alias("pred"))).alias("z"))
     return z.groupBy(F.col("z.gold").alias("label")).agg(
         F.count(F.lit(1)).alias("n_tokens"), F.sum((F.col("z.gold") == F.col("z.pred")).cast("int")).alias("n_correct"))
