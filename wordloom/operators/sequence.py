@@ -668,20 +668,20 @@ class Objective:
                 name = np.array([numbered.value[n] for n in names], np.int64).reshape(-1, per_token)
                 # a record counts for its own token, for the one behind it (as previous) and for the one before it (as next)
                 later, before = batches.walk(sizes)
-                seen, counts = (code, code[before], code[later]), (slice(None), later, before)
-                E = None
+                code, none = code.astype(np.int64), len(x)  # none: there is no token there
+                seen = [code, np.full(len(code), none), np.full(len(code), none)]
+                seen[1][later], seen[2][before] = code[before], code[later]
                 for k in range(3):
                     S = numbers @ W[plain[k]] + W[words[k][name]].sum(axis=1)
                     if k == 0:
                         S += W[bias] + alone[:, None] * W[singleton]
-                        E = np.take(np.ascontiguousarray(S.T), code, axis=1)
-                    else:
-                        E[:, counts[k]] += np.take(np.ascontiguousarray(S.T), seen[k], axis=1)
+                    scores = np.take(np.ascontiguousarray(np.vstack([S, np.zeros(L)]).T), seen[k], axis=1)
+                    E = scores if k == 0 else np.add(E, scores, out=E)
                 ls, d, ga = walk_errors(E, A, sizes, y)
                 loss += ls
                 GA += ga
                 for k in range(3):
-                    mine = np.stack([np.bincount(seen[k], weights=e[counts[k]], minlength=len(x)) for e in d], axis=1)
+                    mine = np.stack([np.bincount(seen[k], weights=e, minlength=none + 1)[:none] for e in d], axis=1)
                     add(plain[k], numbers.T @ mine)
                     add(words[k][name].ravel(), np.repeat(mine, per_token, axis=0))
                     if k == 0:
