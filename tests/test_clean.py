@@ -149,3 +149,57 @@ def test_corrections_are_joined_at_every_size(spark):
     assert got == {0: ("leak here", 2, 1), 1: ("leak here", 2, 1), 2: ("sink , leak sink 3rd", 5, 3), 3: ("", 0, 0), 4: ("", 0, 0), 5: ("leak", 1, 0)}
     plan = r._jdf.queryExecution().sparkPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_phrases_by_batch_are_those_looked_up_by_expressions(spark, monkeypatch):
+    """Overlaps, case, blanks, marks, null and empty targets: the same texts by batch and by lookup; by batch no expression walks a text's units."""
+    import random
+    rng = random.Random(3)
+    entries = [("of the thing", None), ("a--b", "X"), ("the", None), ("(x)", ""), ("x", "yy"), ("of", "OF"), ("the of", "q"), ("é", "e"), ("- -", "="), ("on the", "onthe")]
+    words = ["the", "of", "The", "x", "(x)", "a--b", "--", "-", "é", "É", " ", "\t", "thing", "on", "A/C", "pls", "."]
+    texts = [None, "", " "] + ["".join(rng.choice(words) + rng.choice([" ", "", "  "]) for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for case_sensitive in (False, True):
+        tab = CL.synonym_table(spark, entries, case_sensitive=case_sensitive)
+        r = CL.replace_phrases(df, "id", "t", tab, case_sensitive=case_sensitive)
+        assert "lambdafunction" not in r._jdf.queryExecution().optimizedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(CL, "bounded_rows", lambda *_: None)
+            looked_up = CL.replace_phrases(df, "id", "t", tab, case_sensitive=case_sensitive).collect()
+        assert {x.id: x.cleaned for x in r.collect()} == {x.id: x.cleaned for x in looked_up}
+
+
+def test_candidates_are_those_of_all_pairs(spark):
+    """Pairs left out before they are scored are none of the best: all pairs of random words, with swaps, give the same candidates."""
+    import random
+    rng = random.Random(5)
+
+    def edited(w):
+        for _ in range(rng.randint(1, 2)):
+            i = rng.randrange(len(w) - 1)
+            w = rng.choice([w[:i] + w[i + 1] + w[i] + w[i + 2:], w[:i] + w[i + 1:] + "a", w[:i] + rng.choice("abcde") + w[i + 1:], w[:i] + "b" + w[i:]])
+        return w
+
+    known = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(4, 9))) for _ in range(60)})
+    words = sorted({edited(w) for w in known for _ in range(4)} - set(known))
+    dic = spark.createDataFrame([(w, 1 + i % 3) for i, w in enumerate(known)], "word string, freq long")
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    pairs = df.crossJoin(dic.select(F.col("word").alias("cand"), "freq"))
+    for most in (1, 2):
+        far = pairs.withColumn("d", CL.edit_distance("word", "cand", most)).where("d is not null")
+        expected = {r.word: tuple(r.b) for r in far.groupBy("word").agg(F.min(F.struct("d", (-F.col("freq")).alias("nf"), "cand")).alias("b")).collect()}
+        got = {r.word: (r.distance, -r.freq, r.correction) for r in CL.spell_candidates(df, dic, most).collect()}
+        assert got == expected and len(got) > 50
+
+
+def test_corrected_texts_are_put_together_by_batch(spark):
+    """A text of many corrected words: its words are not looked for in small maps by expressions."""
+    known = [a + b + "xyzw" for a in "abcdefghij" for b in "klmnopqrst"]
+    dic = spark.createDataFrame([(w, 5) for w in known], "word string, freq long")
+    wrong = [w[:-2] + w[-1] + w[-2] for w in known]
+    text = " , ".join(wrong * 20)
+    df = spark.createDataFrame([(1, text), (2, text), (3, "(" + wrong[0] + ")\t" + wrong[1] + " é")], "id long, t string")
+    r = CL.spell_correct(df, "id", "t", dic, max_distance=1)
+    got = {x.id: (x.corrected, x.n_words, x.n_corrected) for x in r.collect()}
+    assert got[1] == got[2] == (" , ".join(known * 20), 2 * 2000 - 1, 2000) and got[3] == (f"( {known[0]} ) {known[1]} é", 5, 2)
+    assert "map_from_entries" not in r._jdf.queryExecution().optimizedPlan().toString()

@@ -14,6 +14,11 @@ Both are joins, not per-row dictionaries:
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +26,7 @@ from wordloom import fixed
 from wordloom.functions import text as T
 from wordloom.operators import tokens as TK
 from wordloom.operators.cover import greedy_cover
-from wordloom.operators.lookup import with_lookup
+from wordloom.operators.lookup import bounded_rows, with_entries, with_lookup
 from wordloom.session import checked_broadcast, stage_path
 
 # units of a text for phrase matching: runs of word characters, and every other character by itself
@@ -94,6 +99,50 @@ def _candidate_spans(text, phrases: DataFrame, lengths: list[int]) -> Column:
     return T.let(units(text), spans)
 
 
+class PhraseTable:
+    """The substitution of `replace_phrases` in one text, by a phrase table of bounded size."""
+
+    def __init__(self, phrases: list):
+        given = lambda v: (v is not None, v)  # noqa: E731  null first
+        order = lambda r: (-r["n_chars"], *map(given, r["place"]))
+        self.rank = {k: i for i, k in enumerate(sorted({order(r) for r in phrases}))}
+        self.found = {r["phrase"]: (self.rank[order(r)], r["n_units"], r["target"]) for r in phrases}
+        self.lengths: dict[str, list[int]] = {}
+        for phrase, (_, n, _) in self.found.items():
+            here = self.lengths.setdefault(re.search(UNITS, phrase, re.ASCII)[0], [])
+            if n not in here:
+                here.append(n)
+
+    def __call__(self, text: str | None, lowered: str | None) -> str | None:
+        if text is None:
+            return None
+        keys = re.findall(UNITS, lowered, re.ASCII)
+        hits = []
+        for i in [i for i, u in enumerate(keys) if u in self.lengths]:
+            for n in self.lengths[keys[i]]:
+                if n == 1 or i + n <= len(keys):
+                    v = self.found.get(keys[i] if n == 1 else "".join(keys[i:i + n]))
+                    if v is not None:
+                        hits.append((v[0], i, n, v[2]))
+        if not hits:
+            return text
+        hits.sort(key=lambda h: (*h[:3], h[3] is not None, h[3] or ""))
+        covered, taken = set(), []
+        for _, i, n, target in hits:
+            own = range(i, i + n)
+            if covered.isdisjoint(own):
+                covered.update(own)
+                taken.append((i, n, target))
+        taken.sort(key=lambda x: x[0])
+        words = keys if text == lowered else re.findall(UNITS, text, re.ASCII)
+        pieces, end = [], 0
+        for i, n, target in taken:
+            pieces += words[end:i]
+            pieces.append(target if target is not None else "".join(words[i:i + 1]))
+            end = i + n
+        return "".join(pieces + words[end:])
+
+
 def replace_phrases(df: DataFrame, id_col: str, text_col: str, phrases: DataFrame,
                     out: str = "cleaned", case_sensitive: bool = False) -> DataFrame:
     """CLN-2 + CLN-3: whole-word phrase substitution, longest phrase first.
@@ -102,12 +151,21 @@ def replace_phrases(df: DataFrame, id_col: str, text_col: str, phrases: DataFram
     character lies at a word boundary and any other edge may lie anywhere
     (``(bedrm)``, ``a--b``).  Phrases are applied in (length desc, table
     order) order and replaced text is never matched again, which is the
-    same as replacing phrase by phrase with a shield.  Phrases are looked up
-    within the row (see `lookup`) and a text is put together piece by piece,
-    so its cost grows with its length; no text is shuffled.
+    same as replacing phrase by phrase with a shield.  With a phrase table of
+    bounded size texts are worked on by Arrow batch (`PhraseTable`), with a
+    larger one phrases are looked up by `lookup`; a text is put together piece
+    by piece, so its cost grows with its length.
     """
-    lengths = sorted(r[0] for r in phrases.select("n_units").distinct().collect())  # distinct lengths: a few numbers
     squeezed = T.squeeze_spaces(F.col(text_col))
+    if bounded_rows(phrases.select(F.col("phrase").alias("key"), F.struct("target", "place").alias("value"))) is not None:
+        substitute = PhraseTable(phrases.collect())  # checked above
+
+        def substituted(texts: pa.Array, lowered: pa.Array) -> pa.Array:
+            return pa.array(map(substitute, texts.to_pylist(), lowered.to_pylist()), pa.string())
+
+        done = F.arrow_udf(substituted, "string")(squeezed, squeezed if case_sensitive else F.lower(squeezed))
+        return df.withColumn("_s", done).select(*df.columns, F.trim(T.squeeze_spaces(F.col("_s"))).alias(out))
+    lengths = sorted(r[0] for r in phrases.select("n_units").distinct().collect())  # distinct lengths: a few numbers
     # a target goes behind a mark, which tells an empty one from none
     place = F.col("place")
     table = phrases.select(F.col("phrase").alias("key"), F.struct(
@@ -238,10 +296,16 @@ def spell_candidates(words: DataFrame, dictionary: DataFrame, max_distance: int
     vocab = words.select(F.col(word_col).alias("word")).where(eligible("word")).distinct()
     dic = dictionary.select(F.col("word").alias("cand"), F.col("freq").cast("long").alias("freq"))
     unknown = vocab.join(dic.select(F.col("cand").alias("word")), "word", "left_anti")  # JOIN-7
+    # few words, but each is much work
+    unknown = unknown.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     uk = TK.explode_with_pos(unknown.withColumn("_lw", letters("word")), ["word", "_lw"], deletion_keys("word", max_distance), "_p", "dkey")
     dk = TK.explode_with_pos(dic.withColumn("_lc", letters("cand")), ["cand", "freq", "_lc"], deletion_keys("cand", max_distance), "_p", "dkey")
-    # letters in common decide most pairs before they are shuffled
-    near = (F.abs(F.length("word") - F.length("cand")) <= max_distance) & (F.levenshtein("_lw", "_lc", 2 * max_distance) >= 0)
+    # Most pairs are decided before they are shuffled.  A swap is two plain edits; a word with a swap and another edit has the other's
+    # letters but for that edit, one with swaps only has its letters.
+    gap, lev = F.abs(F.length("word") - F.length("cand")), lambda d: F.levenshtein("word", "cand", d)
+    swaps = (gap < max_distance) & (F.levenshtein("_lw", "_lc", 2 * max_distance - 2) >= 0) & ((F.col("_lw") == F.col("_lc")) | (lev(2 * max_distance - 1) >= 0)) \
+        & (lev(2 * max_distance) >= 0)
+    near = (gap <= max_distance) & ((lev(max_distance) >= 0) | swaps)
     pairs = uk.drop("_p").join(checked_broadcast(dk.drop("_p")), "dkey").where(near).select("word", "cand", "freq", "_lw", "_lc").distinct()
     from wordloom.operators.labels import keep_rows
     scored = keep_rows(pairs.withColumn("distance", edit_distance("word", "cand", max_distance, "_lw", "_lc")),
@@ -256,8 +320,8 @@ def spell_correct(df: DataFrame, id_col: str, text_col: str, dictionary: DataFra
     """CLN-5: correct every eligible unknown word of every text; other words pass through.
 
     Returns ``(id, out, n_words, n_corrected)``, a row for every row.  Each
-    distinct word is corrected once; the corrections are looked up within the
-    row (see `lookup`).
+    distinct word is corrected once; a text meets the corrections of its own
+    words (see `lookup.with_entries`) and is put together by Arrow batch.
     """
     base = df.select(id_col, F.col(text_col).alias("_t"))
     checked = F.filter(F.array_distinct(spell_words("_t")), eligible)
@@ -266,14 +330,23 @@ def spell_correct(df: DataFrame, id_col: str, text_col: str, dictionary: DataFra
     spell_candidates(words, dictionary, max_distance).select(F.col("word").alias("key"), F.col("correction").alias("value")).write.parquet(path)
     corr = df.sparkSession.read.parquet(path)
 
-    def corrected(find):
-        return F.transform(spell_words("_t"), lambda w: T.let(find(w), lambda c: T.nstruct(w=F.coalesce(c, w), changed=c.isNotNull())))
+    def corrected(texts: pa.Array, known: pa.Array) -> pa.Array:
+        found, ends = known.flatten(), np.cumsum(pc.fill_null(pc.list_value_length(known), 0).to_numpy(zero_copy_only=False))
+        keys, values = found.field("key").to_pylist(), found.field("value").to_pylist()
+        rows, at = [], 0
+        for t, end in zip(texts.to_pylist(), ends.tolist()):
+            own, at = dict(zip(keys[at:end], values[at:end])), end
+            words = t.split(" ") if t else []
+            rows.append((" ".join([own.get(w, w) for w in words]) if own else t or "", len(words), sum(map(own.__contains__, words)) if own else 0))
+        columns = [*zip(*rows)] or [[], [], []]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()))], names=["text", "words", "corrected"])
 
     # corrections grow with the texts: joined at every size
-    done = with_lookup(base, checked, corr, corrected, "_c", max_rows=0, text=F.col("_t"))
-    return done.select(id_col, F.coalesce(F.array_join(F.transform("_c", lambda c: c["w"]), " "), F.lit("")).alias(out),
-                       F.coalesce(F.size("_c"), F.lit(0)).cast("long").alias("n_words"),
-                       F.coalesce(F.size(F.filter("_c", lambda c: c["changed"])), F.lit(0)).cast("long").alias("n_corrected"))
+    done = with_entries(base, checked, corr, text=F.col("_t"))
+    spaced = F.trim(T.squeeze_spaces(T.pad_punctuation("_t")))  # the words of `spell_words`, a blank between them
+    known = F.coalesce("_known", F.array().cast("array<struct<key:string,value:string>>"))
+    done = done.withColumn("_c", F.arrow_udf(corrected, "text: string, words: long, corrected: long")(spaced, known))
+    return done.select(id_col, F.col("_c.text").alias(out), F.col("_c.words").alias("n_words"), F.col("_c.corrected").alias("n_corrected"))
 
 
 def preclean(df: DataFrame, id_col: str, text_col: str, phrases: DataFrame, dictionary: DataFrame,

@@ -116,12 +116,18 @@ def with_lookup(df: DataFrame, words: Column, table: DataFrame, use: Callable[[C
         return df.withColumn(out, F.get(F.transform(F.array(d), lambda x: use(lambda w: find(x, w))), 0))
     if df.isStreaming:
         raise ValueError(f"a stream's dictionary may have {max_rows} rows and {max_bytes} bytes; label larger ones batch by batch (foreachBatch)")
+    j = with_entries(df, words, table, text)
+    at = F.transform("_known", lambda e: F.pmod(F.xxhash64(e["key"]), F.lit(TEXT_MAPS)))
+    maps = T.let(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(TEXT_MAPS - 1)), lambda b: F.map_from_entries(F.filter("_known", lambda e, i: F.get(a, i) == b))))
+    j = j.withColumn("_maps", maps)
+    return j.withColumn(out, F.get(F.transform(F.array("_maps"), lambda m: use(lambda w: _find(m, TEXT_MAPS, w))), 0)).drop("_known", "_maps")
+
+
+def with_entries(df: DataFrame, words: Column, table: DataFrame, text: Column | None = None) -> DataFrame:
+    """``df`` with a column ``_known``: the rows of ``table`` for the row's own words as array<struct<key, value>>, null for none; see `with_lookup`."""
     text = words if text is None else text
     keyed = df.withColumns({"_k1": F.xxhash64(F.lit(1), text), "_k2": F.xxhash64(F.lit(2), text)})
     # The copies of a word of equal texts meet at the word, so they are one entry before they are shuffled again.
     per = keyed.select("_k1", "_k2", F.explode_outer(F.array_distinct(words)).alias("key")).where("key is not null").join(table.hint("shuffle_hash"), "key") \
         .groupBy("_k1", "_k2").agg(F.collect_set(F.struct("key", "value")).alias("_known"))  # the words of one text
-    at = F.transform("_known", lambda e: F.pmod(F.xxhash64(e["key"]), F.lit(TEXT_MAPS)))
-    maps = T.let(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(TEXT_MAPS - 1)), lambda b: F.map_from_entries(F.filter("_known", lambda e, i: F.get(a, i) == b))))
-    j = keyed.join(per.hint("merge"), ["_k1", "_k2"], "left").withColumn("_maps", maps)
-    return j.withColumn(out, F.get(F.transform(F.array("_maps"), lambda m: use(lambda w: _find(m, TEXT_MAPS, w))), 0)).drop("_k1", "_k2", "_known", "_maps")
+    return keyed.join(per.hint("merge"), ["_k1", "_k2"], "left").drop("_k1", "_k2")
